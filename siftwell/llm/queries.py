@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets
 from .common import table
+from .embeddings import embedding_groups
 from .licenses import licenses
+from .lines import line_dedup
 from .packing import pack
 from .quality import STOP_WORDS, THRESHOLDS, quality
 from .simhash import simhash_groups
+from .substring import substring_dedup
 from .toxicity import toxicity, train
 
 
@@ -23,6 +27,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secrets(docs, secrets.train(docs))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -45,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_packing, op8_quality, op9_toxicity, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_substring, op5_lines, op6_embeddings, op7_packing, op8_quality, op9_toxicity, op10_licenses)}
 
 
 def _op8_sql() -> str:
@@ -77,4 +98,14 @@ def _op8_sql() -> str:
            round(dup_line_share, 6) AS dup_line_share FROM q"""
 
 
-SQL = {"op8_quality": _op8_sql()}
+_OP4_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM
+            (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+    dup AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS low FROM win) WHERE low < doc_id),
+    gone AS (SELECT r, list(DISTINCT i + k) AS places FROM dup, range(13) t(k) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+           sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i))) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN gone USING (r)"""
+
+SQL = {"op4_substring": _OP4_SQL, "op8_quality": _op8_sql()}
