@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -85,3 +87,11 @@ def arrow_schema(ddl: str) -> pa.Schema:
         inner = kind.removeprefix("array<").removesuffix(">")
         fields.append(pa.field(name, pa.list_(_ARROW[inner]) if kind.startswith("array<") else _ARROW[kind]))
     return pa.schema(fields)
+
+
+def remembered(name: str, make: Callable):
+    """An object that a worker process keeps from one task to the next."""
+    memory = sys.modules.setdefault("_siftwell_memory", types.ModuleType("_siftwell_memory"))
+    if not hasattr(memory, name):
+        setattr(memory, name, make())
+    return getattr(memory, name)

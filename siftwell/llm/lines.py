@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import saved, small_parts, texts
 from .wordhash import mix, open_bytes, press_bytes, shrunk, words_in
@@ -178,7 +179,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.list_(pa.string()))], names=list(out))
 
-    sets = shrunk(rows, "id long, h long").join(lists, ["id", "h"])
+    sets = shrunk(rows).join(lists, ["id", "h"])
     sets = saved(sets.select("id", "h", "packed", "at").mapInArrow(pick, "id long, h long, line int, words array<string>").dropDuplicates(key))
     other = sets.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(sets, key).join(other, ["id2", "h2", "line2"])
@@ -186,8 +187,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
     return both.where(same >= F.lit(alike) * (F.size("words") + F.size("words2") - same) - 1e-9).select(*key).distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_lines, n_removed, kept_sha256 (and kept_text if asked for).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id, n_lines, n_removed, kept_sha256; with carry also kept_text and the columns named.
 
     A line of a text (split at line breaks) goes if an earlier line of the table, by (id, place), has a word set of
     Jaccard similarity `alike` or more; lines are judged on the input, not on what is left. Lines without words
@@ -197,7 +198,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"), "text")
     gone = similar_lines(rows, alike).groupBy("id", "h").agg(F.collect_list("line").alias("gone"))
-    joined = shrunk(rows, "id long, h long").join(gone, ["id", "h"], "left")
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in carry or (id_col,)]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = whole.select("id", F.xxhash64("text").alias("h"), "row", "text")
+    joined = shrunk(whole).join(gone, ["id", "h"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +208,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for packed, at in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 lines, drop = open_bytes(packed).split(b"\n"), set(at or ())
                 left = b"\n".join([x for k, x in enumerate(lines) if k not in drop])
-                for c, v in zip(out, (len(lines), len(drop), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None)):
+                for c, v in zip(out, (len(lines), len(drop), hashlib.sha256(left).hexdigest(), left.decode() if carry else None)):
                     c.append(v)
-            columns = [batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(out[3], pa.string())] * with_text], names=[id_col, "n_lines", "n_removed", "kept_sha256", *["kept_text"] * with_text])
+            columns = [batch.column("id"), batch.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_lines", "n_removed", "kept_sha256", "kept_text"])
 
-    return joined.select("id", "packed", "gone").mapInArrow(finish, f"`{id_col}` long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    made = ["n_lines", "n_removed", "kept_sha256"]
+    joined = joined.select("id", "row", "packed", "gone")
+    done = joined.mapInArrow(finish, StructType([*joined.schema.fields[:2], *[StructField(c, k) for c, k in zip([*made, "kept_text"], (LongType(), LongType(), StringType(), StringType()))]]))
+    return done.select(F.col("id").alias(id_col), *made, *(["kept_text", *[F.col(f"row.{c}").alias(c) for c in carry]] if carry else []))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, texts
+from .common import map_rows, remembered, saved, texts
 
 #: Distinct words of which a task remembers the ids.
 REMEMBERED = 400_000
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, path: str, room: int = 1024, end_id: int = 2, id_col
     """Pieces of every row of docs: id, piece, start, length, crc, and the task and the rank in it of its length class."""
 
     def make():
-        encode, task, seen = encoder(path), TaskContext.get().partitionId(), Counter()
+        encode, task, seen = remembered(f"encoder {path}", lambda: encoder(path)), TaskContext.get().partitionId(), Counter()
         tail = np.array([end_id], "<u4").tobytes()
 
         def step(ids: list, rows: list) -> dict:

@@ -15,6 +15,7 @@ from .quality import STOP_WORDS, THRESHOLDS, quality
 from .simhash import simhash_groups
 from .substring import substring_dedup
 from .toxicity import toxicity, train
+from .wfst import sentencepiece_ids
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +33,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(docs, secrets.train(docs))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ids(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_substring, op5_lines, op6_embeddings, op7_packing, op8_quality, op9_toxicity, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_sentencepiece, op4_substring, op5_lines, op6_embeddings, op7_packing, op8_quality, op9_toxicity, op10_licenses)}
 
 
 def _op8_sql() -> str:

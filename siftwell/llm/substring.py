@@ -189,7 +189,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * size // BUCKET_BYTES)
     ranges = covered(rows, hot, buckets).distinct()
     lists = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))
-    joined = shrunk(rows, "id long, h long").join(lists, ["id", "h"], "left")
+    joined = shrunk(rows).join(lists, ["id", "h"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -60,17 +61,19 @@ def words_in(parts: list[bytes]) -> Words:
     return Words(buf, start, end, part, mix((total[end] - total[start]) * down[start]))
 
 
-def shrunk(docs: DataFrame, names: str) -> DataFrame:
-    """docs (columns in names, then text) with text as a compressed binary column `packed`, for a smaller shuffle."""
-    columns = [x.split()[0] for x in names.split(",")]
+def shrunk(docs: DataFrame) -> DataFrame:
+    """docs with the column text as a compressed binary column `packed`, for a smaller shuffle."""
+    rest = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             raw = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([press.compress(x) for x in raw], pa.binary())], names=[*columns, "packed"])
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([press.compress(x) for x in raw], pa.binary())], names=[*names, "packed"])
 
-    return docs.select(*columns, "text").mapInArrow(run, f"{names}, packed binary")
+    return docs.select(*[f.name for f in rest], "text").mapInArrow(run, StructType([*rest, StructField("packed", BinaryType())]))
 
 
 def press_bytes(data: bytes) -> bytes:

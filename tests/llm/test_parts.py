@@ -99,7 +99,7 @@ def test_lines_with_crowds_of_near_copies(spark, monkeypatch):
 
 def test_lines_odd_tables(clashing, empty):
     assert line_dedup(empty).count() == 0
-    out = line_dedup(clashing, with_text=True).collect()
+    out = line_dedup(clashing, carry=("lang", "id", "h")).collect()
     assert len(out) == 35
     assert all(r["n_removed"] == 0 for r in out if r["doc_id"] is None)
 
