@@ -36,6 +36,8 @@ FAMILIES = (
     ("agpl-3", "agpl", "(?:the )?agpl ?v?3?(?: 0)?"),
     ("mpl-1.1", "mozilla", "(?:the )?mozilla public license(?: version| v)? ?1 1"),
     ("mpl-2", "mozilla", "(?:the )?mozilla public license(?: version| v)? ?(?:2(?: 0)?)?"),
+    ("mpl-1.1", "mpl", "(?:the )?mpl(?: version| v)? ?1 1"),
+    ("mpl-2", "mpl", "(?:the )?mpl(?: version| v)? ?(?:2(?: 0)?)?"),
     ("epl-1", "eclipse", "(?:the )?eclipse public license(?: version| v)? ?1(?: 0)?"),
     ("epl-2", "eclipse", "(?:the )?eclipse public license(?: version| v)? ?(?:2(?: 0)?)?"),
     ("cddl-1", "cddl", "(?:the )?cddl(?: version| v)? ?(?:1(?: [01])?)?"),
