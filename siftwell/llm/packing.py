@@ -18,39 +18,63 @@ from .common import map_rows, remembered, saved, texts
 
 #: Distinct words of which a task remembers the ids.
 REMEMBERED = 400_000
+#: Characters that no letter joins to from the left.
+PUNCTUATION = ".,;:!?%$&*#"
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian 32-bit integers, equal to the tokenizer's.
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """texts -> their ids as little-endian 32-bit integers, equal to the tokenizer's.
 
-    The byte-level pre-tokenizer always cuts before a space that stands between two visible characters, so such
-    words are encoded once and remembered; a text with any other white space at a space goes to the tokenizer whole.
+    The byte-level pre-tokenizer always cuts before a space that stands between two visible characters, and between
+    letters and the punctuation behind them, so words are encoded once and remembered. New words of letters go to the
+    tokenizer in one text: each gives one run of ids that starts with a space. A text with any other white space at a
+    space goes to the tokenizer whole.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
-    one = lambda text: pack(tokenizer.encode(text, add_special_tokens=False).ids)
-    inner: dict[str, bytes] = {}
+    opens = np.zeros(tokenizer.get_vocab_size(), bool)
+    opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+    known: dict[str, bytes | None] = {}
+    tails: dict[str, bytes] = {}
+    batch = lambda rows: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
     plain = lambda c: c > " " and not c.isspace() and not "\x7f" <= c <= "\xa0"
 
-    def encode(text: str) -> bytes:
-        head, *parts = text.split(" ")
-        if not parts:
-            return one(text)
-        if not head or not plain(head[-1]):
-            return one(text)
-        if new := {x for x in parts if x not in inner}:
-            if any(not x or not (plain(x[0]) and plain(x[-1])) for x in new):
-                return one(text)
-            if len(inner) + len(new) > REMEMBERED:
-                inner.clear()
-                new = set(parts)
-            new = list(new)
-            for x, e in zip(new, tokenizer.encode_batch_fast([f" {x}" for x in new], add_special_tokens=False), strict=True):
-                inner[x] = pack(e.ids)
-        return one(head) + b"".join(map(inner.__getitem__, parts))
+    def learn(new: set[str]) -> None:
+        core = {x: x.rstrip(PUNCTUATION) for x in new}
+        letters = sorted({c for c in core.values() if c.isalpha()})
+        of = {}
+        if letters:
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(opens[ids]).tolist()
+            raw = ids.tobytes()
+            of = {c: raw[4 * a : 4 * b] for c, a, b in zip(letters, starts, [*starts[1:], len(ids)], strict=True)}
+        if ends := [t for t in {x[len(c) :] for x, c in core.items() if c in of} if t and t not in tails]:
+            tails.update(zip(ends, batch(ends), strict=True))
+        other = [x for x, c in core.items() if c not in of and x and plain(x[0]) and plain(x[-1])]
+        for x, c in core.items():
+            known[x] = of[c] + tails.get(x[len(c) :], b"") if c in of else None
+        known.update(zip(other, batch([f" {x}" for x in other]), strict=True))
+
+    def encode(rows: list[str]) -> list[bytes]:
+        split = [x.split(" ") for x in rows]
+        words = set().union(*[x[1:] for x in split])
+        new = words.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            tails.clear()
+            new = words
+        learn(new)
+        out: list[bytes | None] = []
+        for head, body in zip(batch([x[0] for x in split]), split, strict=True):
+            whole = len(body) > 1 and not (body[0] and plain(body[0][-1]))
+            found = [] if whole else [known[x] for x in body[1:]]
+            out.append(None if whole or None in found else head + b"".join(found))
+        at = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(at, batch([rows[i] for i in at]), strict=True):
+            out[i] = x
+        return out
 
     return encode
 
@@ -64,8 +88,8 @@ def pieces(docs: DataFrame, path: str, room: int = 1024, end_id: int = 2, id_col
 
         def step(ids: list, rows: list) -> dict:
             out = {k: [] for k in ("id", "piece", "start", "length", "crc", "task", "nth")}
-            for i, raw in zip(ids, rows, strict=True):
-                body = encode(raw.decode()) + tail
+            for i, made in zip(ids, encode([x.decode() for x in rows]), strict=True):
+                body = made + tail
                 n = len(body) // 4
                 cuts = sorted({0, *range(n % room if n > room else 0, n, room), n})
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
