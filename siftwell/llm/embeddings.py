@@ -88,6 +88,46 @@ def _assigned(classes: DataFrame, forests: dict[int, list[Tree]], kind: str) ->
     return classes.mapInArrow(run, f"code long, codes array<long>, label long, dim int, cid long, n long, e {kind}")
 
 
+def _refined(placed: DataFrame, margins: dict[int, float], kind: str, leaf: int, seed: int, most: int = 60) -> DataFrame:
+    """placed with leaves of more than twice `leaf` vectors split on, as often as it takes.
+
+    Each round projects the vectors of the large leaves on a direction of their leaf and cuts at the mean over all of
+    them, with the same overlap; leaves that the overlap would copy whole are left for the comparison by blocks.
+    """
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, dims = batch.column("code").to_numpy(), batch.column("dim").to_numpy()
+            p = np.zeros(len(code))
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                x = unit(_matrix(batch.column("e").take(pa.array(rows))))
+                leaves, at = np.unique(code[rows], return_inverse=True)
+                for k, c in enumerate(leaves.tolist()):
+                    v = np.random.default_rng([seed, c]).normal(size=int(d))
+                    p[rows[at == k]] = x[at == k] @ (v / np.linalg.norm(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
+
+    now = placed.drop("codes").withColumn("settled", F.lit(False))
+    margin = F.element_at(F.create_map(*[F.lit(x) for pair in margins.items() for x in pair]), F.col("dim"))
+    for _ in range(most):
+        large = saved(now.where("not settled").groupBy("code", "dim").count().where(F.col("count") > 2 * leaf).select("code", "dim"))
+        if large.isEmpty():
+            break
+        rows = now.where("not settled").join(large, ["code", "dim"]).select("code", "label", "dim", "cid", "n", "e")
+        rows = saved(rows.mapInArrow(project, f"code long, label long, dim int, cid long, n long, e {kind}, p double"))
+        cuts = rows.groupBy("code", "dim").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd")).withColumn("m", margin)
+        both = rows.join(cuts, ["code", "dim"])
+        child = lambda side: F.xxhash64("code", F.lit(side)).bitwiseAND(F.lit((1 << 63) - 1))
+        left, right = F.when(F.col("p") < F.col("mean") + F.col("m"), child(0)), F.when(F.col("p") >= F.col("mean") - F.col("m"), child(1))
+        wide = F.col("sd") > 2 * F.col("m")
+        codes = F.when(wide, F.array_compact(F.array(left, right))).otherwise(F.array("code"))
+        split = both.select(F.explode(codes).alias("code"), "label", "dim", "cid", "n", "e", (~wide).alias("settled"))
+        now = saved(now.join(large, ["code", "dim"], "left_anti").select(split.columns).withColumn("settled", F.lit(True)).union(split))
+    lists = now.groupBy("cid", "dim").agg(F.collect_set("code").alias("codes"))
+    return now.drop("settled").join(lists, ["cid", "dim"])
+
+
 def _compare(table: pa.Table, alike: float) -> pa.Table:
     """Links inside a leaf (or between two of its blocks): per vector what is counted here, and the smallest id it meets."""
     table = table.combine_chunks()
@@ -138,10 +178,12 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link if their labels are equal and their cosine, in double precision, is `alike` or more. Equal vectors
     of a label are one class, compared once. The splits of the trees are fitted on a sample of `sample` classes;
-    every class goes down every tree, both ways where it lies close to a split. Within a leaf and label all pairs
+    every class goes down every tree, both ways where it lies close to a split. Where the table needs more levels than the
+    sample can fit, large leaves are split on at means over all of their vectors. Within a leaf and label all pairs
     are compared, block by block where they are many, and a pair is counted in the first leaf that it shares. Null
     labels or ids and vectors that are null, empty, zero or hold null or non-finite components link with nothing: 0
-    links, component_id is their own id, kept. Repeated rows are vectors of their own. Further columns are ignored;
+    links, component_id is their own id, kept. Repeated rows are vectors of their own; different vectors
+    that share an id share their links. Further columns are ignored;
     an empty table gives an empty result.
     """
     kind = dict(vectors.dtypes)[vector_col]
@@ -149,14 +191,17 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sound = "size(e) > 0 and not exists(e, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(e, x -> x <> 0)"
     good = F.expr(f"id is not null and label is not null and e is not null and coalesce({sound}, false)")
     classes = saved(rows.where(good).groupBy("label", "e").agg(F.min("id").alias("cid"), F.count("*").alias("n")).withColumn("dim", F.size("e")))
-    forests = {}
+    forests, margins, deep = {}, {}, False
     for dim, n in sorted(classes.groupBy("dim").count().collect()):
         fitted = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("cid", "label"), "cid").limit(sample).select("e").collect()
         x = unit(np.array([r["e"] for r in fitted]))
-        depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(1, len(x) / 8)))))
-        margin = np.sqrt(2 - 2 * alike) / np.sqrt(dim)
-        forests[dim] = [grow(x, depth, margin, seed + 1000 * t) for t in range(trees)]
+        wanted, most = max(0, int(np.ceil(np.log2(n / leaf)))), int(np.log2(max(1, len(x) / 8)))
+        deep |= wanted > most
+        margins[dim] = float(np.sqrt(2 - 2 * alike) / np.sqrt(dim))
+        forests[dim] = [grow(x, min(wanted, most), margins[dim], seed + 1000 * t) for t in range(trees)]
     placed = saved(_assigned(classes, forests, kind))
+    if deep:  # more levels than the sample can fit
+        placed = saved(_refined(placed, margins, kind, leaf, seed))
     sizes = placed.groupBy("code", "label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(sizes, ["code", "label", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

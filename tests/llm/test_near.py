@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from siftwell.llm.embeddings import embedding_groups
@@ -92,9 +93,10 @@ def embeddings(spark):
     return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), rows + [(k + 7, [1.0, 2.0], 1), (k + 8, [2.0, 4.0], 1)], [o[0] for o in odd]
 
 
-def test_embeddings_recall_and_exactness(spark):
+@pytest.mark.parametrize("sample", [8192, 64])  # the small one leaves most levels to the refinement
+def test_embeddings_recall_and_exactness(spark, sample):
     df, good, odd = embeddings(spark)
-    got = {r["vec_id"]: r for r in embedding_groups(df.withColumn("cid", df["label"]).withColumn("e", df["label"]), leaf=32).collect()}
+    got = {r["vec_id"]: r for r in embedding_groups(df.withColumn("cid", df["label"]).withColumn("e", df["label"]), leaf=32, sample=sample).collect()}
     assert len(got) == df.count()
     want = {}
     links_ = []
