@@ -58,7 +58,7 @@ class Runs:
 
 def _rows(docs: DataFrame) -> DataFrame:
     """A row is known by its id and a hash of its text, so repeated ids do not mix."""
-    return docs.select("id", F.xxhash64("text").alias("h"), "text")
+    return docs.select("id", F.hash("text").alias("h"), "text")
 
 
 def hot_minimisers(rows: DataFrame, share: float = HOT_SHARE) -> tuple[np.ndarray, int]:
@@ -104,10 +104,10 @@ def covered(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             for c, v in zip(out, rest[0] if known else ()):
                 c.extend(v)
         _meet([x for x in sent if not x[0]], out)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["id", "h", "start", "words"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["id", "h", "start", "words"])
 
     sent = rows.where("id is not null").mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "id long, h long, start int, words int")
+    return sent.groupBy("bucket").applyInArrow(meet, "id long, h int, start int, words int")
 
 
 def _send(part: pa.RecordBatch, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -133,20 +133,24 @@ def _send(part: pa.RecordBatch, hot: np.ndarray, buckets: int) -> Iterator[pa.Re
     go = np.flatnonzero(~later)
     go = go[np.argsort(bucket[go], kind="stable")]
     for group in np.split(go, np.flatnonzero(np.diff(bucket[go])) + 1) if len(go) else []:
-        data = (False, runs.key[group], id_[group], h[group], start[group].astype(np.int32), runs.size[group].astype(np.uint8), b"\n".join([text[i] for i in group]))
+        data = (False, (runs.key[group] >> np.uint64(32)).astype(np.uint32), np.diff(id_[group], prepend=0), h[group], start[group].astype(np.int32), runs.size[group].astype(np.uint8), b"\n".join([text[i] for i in group]))
         blobs.append((int(bucket[group[0]]), press_bytes(pickle.dumps(data, 5))))
     known = np.flatnonzero(later)
     if len(known):
         ranges = (id_[known].tolist(), h[known].tolist(), start[known].tolist(), (runs.size[known] + runs.window - 1).tolist())
-        blobs.append((int(mix(h[known[:1]].view(np.uint64))[0] % np.uint64(buckets)), press_bytes(pickle.dumps((True, ranges), 5))))
+        blobs.append((int(mix(id_[known[:1]].view(np.uint64))[0] % np.uint64(buckets)), press_bytes(pickle.dumps((True, ranges), 5))))
     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["bucket", "blob"])
 
 
 def _meet(sent: list[tuple], out: list[list]) -> None:
-    """Sorts the windows of each minimiser that several ids have, and marks those behind the smallest id."""
+    """Sorts the windows of each minimiser that several ids have, and marks those behind the smallest id.
+
+    Half of a minimiser's hash travels; should two share it, their windows are sorted together and stay apart.
+    """
     if not sent:
         return
-    key, ids, hs, start, size = (np.concatenate([x[k] for x in sent]) for k in range(1, 6))
+    key, hs, start, size = (np.concatenate([x[k] for x in sent]) for k in (1, 3, 4, 5))
+    ids = np.concatenate([np.cumsum(x[2]) for x in sent])
     text = [t for x in sent for t in x[6].split(b"\n")]
     order = np.lexsort((ids, key))
     heads = np.append(np.flatnonzero(np.append(True, np.diff(key[order]) != 0)), len(order))

@@ -14,16 +14,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 BASE = 0x9E3779B97F4A7C15
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n in _POWERS:
-        return _POWERS[n]
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    _POWERS[n] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS[n]
+def _powers(n: int) -> np.ndarray:
+    up = np.full(n, BASE, np.uint64)
+    up[0] = 1
+    return np.cumprod(up, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,10 +49,15 @@ def words_in(parts: list[bytes]) -> Words:
     real = end > start
     part = np.cumsum(a[end] == 10) - (a[end] == 10)
     start, end, part = start[real], end[real], part[real]
-    size = 1 << max(16, len(buf) - 1).bit_length()
-    up, down = _powers(size)
-    total = np.append(np.uint64(0), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64))
-    return Words(buf, start, end, part, mix((total[end] - total[start]) * down[start]))
+    if not len(start):
+        return Words(buf, start, end, part, np.zeros(0, np.uint64))
+    size = end - start
+    letters = a[(a != 32) & (a != 10)]
+    heads = np.append(0, np.cumsum(size)[:-1])
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(heads.astype(np.int32), size)
+    value = _powers(int(size.max()))[place]
+    value *= letters.astype(np.uint64) + np.uint64(1)
+    return Words(buf, start, end, part, mix(np.add.reduceat(value, heads) + size.astype(np.uint64)))
 
 
 def shrunk(docs: DataFrame) -> DataFrame:
