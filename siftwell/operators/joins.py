@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import digest_rank
+
 
 def pair(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
     """Full join on a key. Columns: key, every column of both sides (in structs l and r), status (paired, left_only,
@@ -20,8 +22,8 @@ def pair(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column)
 def prefer(df: DataFrame, key: str, kind: str, order: list[str], tie: str) -> DataFrame:
     """Of each key the row whose kind stands first in order; unknown kinds are left out."""
     rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(kind))
-    w = Window.partitionBy(key).orderBy("_rank", tie)
-    return df.withColumn("_rank", rank).where("_rank > 0").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rank", "_rn")
+    best = F.min_by(F.struct(*df.columns), F.struct("_rank", tie))
+    return df.withColumn("_rank", rank).where("_rank > 0").groupBy(F.col(key).alias("_key")).agg(best.alias("_best")).select("_best.*")
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -43,8 +45,8 @@ def candidates(plans: DataFrame, pool: DataFrame, on: str, plan_key: str, pool_k
     The pool is cut into ranks by environment first, and each plan starts at a place of its own in that ring, so a
     plan meets k rows and not the whole pool.
     """
-    w = Window.partitionBy(on).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(pool_key).cast("string")), 256), pool_key)
-    ring = pool.withColumn("_at", F.row_number().over(w) - 1)
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(pool_key).cast("string")), 256)
+    ring = digest_rank(pool.withColumn("_d", digest), [on], "_d", pool_key, "_r").withColumn("_at", F.col("_r").cast("int") - 1).drop("_d", "_r")
     size = ring.groupBy(on).agg(F.count("*").alias("_size"))
     start = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(plan_key).cast("string")), 256), 1, 8), 16, 10).cast("long")
     asked = plans.join(size, on).withColumn("rank", F.explode(F.expr(f"sequence(0, cast(least({k}, _size) as int) - 1)")))

@@ -63,10 +63,16 @@ def hardness(df: DataFrame, weights: dict[str, tuple[float, bool]], name: str =
     return wide.withColumn(name, total).drop(*[f"{c}_norm" for c in weights])
 
 
-def stratified_topk(df: DataFrame, quotas: DataFrame, by: str, order: list, rank: str = "rank") -> DataFrame:
-    """Rows of rank <= the stratum's quota. quotas: (by, quota), a row for each stratum."""
+def stratified_topk(df: DataFrame, quotas: DataFrame, by: str, order: list, rank: str = "rank", most: int | None = None) -> DataFrame:
+    """Rows of rank <= the stratum's quota. quotas: (by, quota), a row for each stratum.
+
+    With `most`, a number that no quota exceeds, each task hands on that many rows of a stratum at most.
+    """
     w = Window.partitionBy(by).orderBy(*order)
-    return df.join(quotas, by).withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= F.col("quota")).drop("quota")
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    if most is not None:
+        ranked = ranked.where(F.col(rank) <= most)
+    return ranked.join(quotas, by).where(F.col(rank) <= F.col("quota")).drop("quota")
 
 
 def shortage(df: DataFrame, quotas: DataFrame, by: str) -> DataFrame:

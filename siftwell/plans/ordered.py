@@ -41,7 +41,7 @@ def quotas(t: Tables, n: int = 120) -> DataFrame:
 @query(f"SELECT doc_id, lang, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM ({SCORED})) JOIN ({QUOTAS}) USING (lang) WHERE rank <= quota")
 def q_stratified_topk(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return W.stratified_topk(scored(t).select("doc_id", "lang", "score"), quotas(t), "lang", [F.desc("score"), F.col("doc_id")]).select("doc_id", "lang", "rank")
+    return W.stratified_topk(scored(t).select("doc_id", "lang", "score"), quotas(t), "lang", [F.desc("score"), F.col("doc_id")], most=120).select("doc_id", "lang", "rank")
 
 
 @query(f"WITH q AS ({allocate_sql('SELECT lang, count(*) AS w FROM documents GROUP BY lang', 'lang', 'w', '900')}) SELECT lang, quota, count(doc_id) AS available, greatest(0, quota - count(doc_id)) AS short FROM q LEFT JOIN (SELECT doc_id, lang FROM documents JOIN labels USING (doc_id)) USING (lang) GROUP BY lang, quota")
