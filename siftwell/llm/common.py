@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space and \x09-\x0D. bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\f\r"
+#: Rows of texts that go to a task's Python worker at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +43,13 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of docs: other columns, whatever their names, play no part; null text is empty."""
+    """(id, text) of docs: other columns, whatever their names, play no part; null text is empty.
+
+    Tasks get texts in batches of a few MB: unless the session says otherwise, a batch has BATCH_ROWS rows at most.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -49,14 +58,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * (len(SPACES) - 1)), " "), "")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
-    """mapInArrow over (id, text): make() runs once a task; what it returns gets the ids and texts (bytes) of at most a few MB at a time."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow over (id, text): make() runs once a task; what it returns gets the ids and texts (bytes) of about a MB at a
+    time. keeps: make() uses what remembered() has kept in the worker; else that is let go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = arrow_schema(schema)
+        if not keeps:
+            forget()
         step = make()
         for batch in batches:
-            for part in small_parts(batch):
+            for part in small_parts(batch, 1 << 20):
                 out = step(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
 
@@ -95,3 +107,14 @@ def remembered(name: str, make: Callable):
     if not hasattr(memory, name):
         setattr(memory, name, make())
     return getattr(memory, name)
+
+
+def forget() -> None:
+    """Lets go of what earlier tasks have kept in this worker, and hands free memory back to the system: workers live on
+    from stage to stage, beside each other and a JVM."""
+    sys.modules.pop("_siftwell_memory", None)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+        if trim is not None:
+            trim(0)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, remembered, saved, texts
 
 #: Distinct words of which a task remembers the ids.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters that no letter joins to from the left.
 PUNCTUATION = ".,;:!?%$&*#"
 
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, path: str, room: int = 1024, end_id: int = 2, id_col
 
         return step
 
-    return map_rows(texts(docs, id_col, text_col), make, "id long, piece int, start long, length int, crc long, task int, nth long")
+    return map_rows(texts(docs, id_col, text_col), make, "id long, piece int, start long, length int, crc long, task int, nth long", keeps=True)
 
 
 def plan(counts: dict[int, int], room: int) -> np.ndarray:

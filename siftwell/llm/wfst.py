@@ -15,7 +15,7 @@ from .common import map_rows, remembered, texts
 
 SPACE = "▁"
 #: Entries that a worker process remembers of units and of neighbouring pieces each.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -181,4 +181,4 @@ def sentencepiece_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         return step
 
     schema = "id long, n_ids long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return map_rows(texts(docs, id_col, text_col), make, schema).withColumnRenamed("id", id_col)
+    return map_rows(texts(docs, id_col, text_col), make, schema, keeps=True).withColumnRenamed("id", id_col)
