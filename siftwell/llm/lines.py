@@ -12,15 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import saved, small_parts, texts
+from .common import forget, saved, small_parts, texts
 from .wordhash import mix, open_bytes, press_bytes, shrunk, words_in
 
 #: Two lines are alike if their word sets have this Jaccard similarity or more.
 ALIKE = 0.8
-#: Words with this share of all words are ordered by their count, so there are 1/COMMON such at most.
-COMMON = 1e-5
-#: Earlier lines that a line is compared with in the first round; the second round takes all others.
-FIRST_TRIES = 16
+#: Counters, chosen by a hash, that the number of each word is estimated from; their number is fixed.
+COUNTERS = 1 << 19
+#: Numbers of a row in which such arrays reach the driver.
+BLOCK = 4096
+#: Lines of a token up to which all pairs that pass the filters are verified at once, and how many for each line beyond.
+STEPS, TRIES = 64, 4
+#: Bytes of text that a task works on at a time.
+CHUNK = 2 << 20
+#: Bits of the filter that keeps documents without a pair out of the verification; its size is fixed.
+FILTER_BITS = 1 << 24
 
 
 def _lines(texts_: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -31,36 +37,55 @@ def _lines(texts_: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [y for x in split for y in x], owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def common_words(rows: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Hashes of the words that make up `share` of all words each, rarest first. All words are counted; a chunk hands on
-    the counts of those with that share of it."""
+def word_classes(rows: DataFrame) -> np.ndarray:
+    """For each counter a class 0..255 that grows with the logarithm of the number of words that hash to it.
+
+    All words are counted: a task adds up its counters and hands them on, COUNTERS at most, and so does the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in small_parts(batch):
+            for part in small_parts(batch, CHUNK):
                 w = words_in(part.column("text").cast(pa.binary()).to_pylist())
-                h, n = np.unique(w.hash, return_counts=True)
-                often = n >= max(2, share * len(w.hash))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often], np.uint64(0)).view(np.int64)), pa.array([*n[often].tolist(), 0], pa.int64()), pa.array([0] * int(often.sum()) + [len(w.hash)], pa.int64())], names=["h", "n", "total"])
+                total += np.bincount(_counter(w.hash), minlength=COUNTERS)
+        slot = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+
+    def grade(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(BLOCK, np.uint8)
+        out[table.column("slot").to_numpy() % BLOCK] = np.minimum(255, 6 * np.log2(table.column("n").to_numpy().astype(np.float64)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    n = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return _gathered(n.withColumn("block", F.expr(f"slot div {BLOCK}").cast("int")).groupBy("block").applyInArrow(grade, "block int, data binary"), COUNTERS, np.uint8)
+
+
+def _gathered(blocks: DataFrame, n: int, kind: type) -> np.ndarray:
+    """An array of n numbers from rows (block, data) of BLOCK numbers each; missing blocks are 0."""
+    out = np.zeros(n, kind)
+    for r in blocks.collect():  # n / BLOCK rows at most
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], kind)
+    return out
+
 
-    counts = saved(rows.select("text").mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    often = counts.where(F.col("n") >= max(2, int(share * total))).orderBy("n", "h").select("h").collect()
-    return np.array([r["h"] for r in often], np.int64).view(np.uint64)
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _entries(part: pa.RecordBatch, rank_of: tuple[np.ndarray, np.ndarray], buckets: int, alike: float) -> Iterator[pa.RecordBatch]:
+def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: float) -> Iterator[pa.RecordBatch]:
     """Packed prefix entries by bucket: token, position, set size, bitmap and hash of the set, id, text hash, line."""
     ids, hs = (part.column(c).to_numpy() for c in ("id", "h"))
     lines, owner, number = _lines(part.column("text").cast(pa.binary()).to_pylist())
     w = words_in(lines)
     if not len(w.hash):
         return
-    known, rank = rank_of
-    at = np.minimum(np.searchsorted(known, w.hash), max(0, len(known) - 1))
-    order = np.where(known[at] == w.hash, rank[at], 0) if len(known) else np.zeros(len(w.hash), np.int64)
-    by = np.argsort(w.hash, kind="stable")
-    by = by[np.argsort((w.part * (len(known) + 1) + order)[by], kind="stable")]
+    dense, grade = np.cumsum(np.append(0, np.diff(w.part) != 0)), classes[_counter(w.hash)]
+    if dense[-1] < 1 << 20:
+        by = np.argsort((dense.astype(np.uint64) << np.uint64(44)) | (grade.astype(np.uint64) << np.uint64(36)) | (w.hash >> np.uint64(28)))
+    else:  # one text of very many lines
+        by = np.lexsort((w.hash, grade, dense))
     token, line = w.hash[by], w.part[by]
     new = np.append(True, (np.diff(line) != 0) | (np.diff(token) != 0))
     token, line = token[new], line[new]
@@ -76,54 +101,93 @@ def _entries(part: pa.RecordBatch, rank_of: tuple[np.ndarray, np.ndarray], bucke
     text_line = line[heads][which]
     bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
     go = np.argsort(bucket, kind="stable")
-    columns = (token, pos.astype(np.int32), size[which].astype(np.int32), bits[which], whole[which], ids[owner[text_line]], hs[owner[text_line]], number[text_line].astype(np.int32))
+    low = lambda x: (x >> np.uint64(32)).astype(np.uint32)
+    columns = (low(token), _narrow(pos), _narrow(size[which]), bits[which], low(whole[which]), hs[owner[text_line]], _narrow(number[text_line]))
+    of = ids[owner[text_line]]
     blobs, keys = [], []
     for group in np.split(go, np.flatnonzero(np.diff(bucket[go])) + 1):
         keys.append(int(bucket[group[0]]))
-        blobs.append(press_bytes(pickle.dumps([c[group] for c in columns], 5)))
+        blobs.append(press_bytes(pickle.dumps([*[c[group] for c in columns], np.diff(of[group], prepend=0)], 5)))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-def _pairs(table: pa.Table, alike: float, tries: int | None) -> pa.Table:
-    """What the entries of a bucket tell: equal sets (no partner), and pairs that no filter rules out."""
-    out: list[list[np.ndarray]] = [[] for _ in range(7)]
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
+    """What the entries of a bucket tell: equal sets (no partner), and pairs that no filter rules out.
+
+    Unless all are asked for, a line gets the first TRIES such partners of a token with more than STEPS lines, and is
+    marked if there are more.
+    """
+    out: list[list] = [[] for _ in range(7)]
     sent = [pickle.loads(open_bytes(x)) for x in table.column("blob").to_pylist()]
-    token, pos, size, bits, whole, ids, hs, line = (np.concatenate([x[k] for x in sent]) for k in range(8))
-    order = np.lexsort((line, hs, ids, whole, token))
+    token, pos, size, bits, whole, hs, line = (np.concatenate([x[k] for x in sent]) for k in range(7))
+    ids = np.concatenate([np.cumsum(x[7]) for x in sent])
+    by = np.argsort(token)
+    again = token[by][1:] == token[by][:-1]
+    shared = by[np.append(again, False) | np.append(False, again)]  # of tokens that stand more than once
+    token, pos, size, bits, whole, ids, hs, line = (x[shared] for x in (token, pos, size, bits, whole, ids, hs, line))
+    order = np.lexsort((line, hs, ids))
+    order = order[np.lexsort((bits[order], whole[order], token[order]))]
     token, pos, size, bits, whole, ids, hs, line = (x[order] for x in (token, pos, size, bits, whole, ids, hs, line))
-    lead = np.append(True, (np.diff(token) != 0) | (np.diff(whole) != 0))
-    first = np.flatnonzero(lead)
+    lead = np.ones(len(token), bool)
+    lead[1:] = (token[1:] != token[:-1]) | (whole[1:] != whole[:-1]) | (bits[1:] != bits[:-1]) | (size[1:] != size[:-1])
     copies = np.flatnonzero(~lead & (pos == 0))
     _add(out, (ids[copies], hs[copies], line[copies], None, None, None, False))
-    groups = np.split(first, np.flatnonzero(np.diff(token[first]) != 0) + 1) if len(first) else []
-    for g in groups:
-        if len(g) < 2:
-            continue
-        g = g[np.lexsort((line[g], hs[g], ids[g]))]
-        step = max(1, (1 << 20) // len(g))
-        for a in range(0, len(g), step):
-            later = g[a : a + step]
-            s, t = size[later][:, None], size[g][None, :]
-            need = np.ceil(alike / (1 + alike) * (s + t) - 1e-9)
-            left = np.minimum(s - pos[later][:, None], t - pos[g][None, :])
-            apart = np.bitwise_count(bits[later][:, None] ^ bits[g][None, :])
-            ok = (np.arange(len(g))[None, :] < np.arange(a, a + len(later))[:, None]) & (np.minimum(s, t) >= alike * np.maximum(s, t) - 1e-9) & (left >= need) & (apart <= s + t - 2 * need)
-            nth = np.cumsum(ok, axis=1)
-            more = np.zeros(len(later), bool)
-            if tries is not None:
-                more = nth[:, -1] > tries
-                ok &= nth <= tries
-            i, j = np.nonzero(ok)
-            x, y = later[i], g[j]
-            _add(out, (ids[x], hs[x], line[x], ids[y], hs[y], line[y], more[i]))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    first = np.flatnonzero(lead)
+    first = first[np.lexsort((line[first], hs[first], ids[first], token[first]))]
+    token, pos, size, bits, ids, hs, line = token[first], pos[first].astype(np.int64), size[first].astype(np.int64), bits[first], ids[first], hs[first], line[first]
+
+    def near(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        s, t = size[later], size[earlier]
+        need = np.ceil(alike / (1 + alike) * (s + t) - 1e-9)
+        ok = (np.minimum(s, t) >= alike * np.maximum(s, t) - 1e-9) & (np.minimum(s - pos[later], t - pos[earlier]) >= need)
+        return ok & (np.bitwise_count(bits[later] ^ bits[earlier]) <= s + t - 2 * need)
+
+    heads = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    length = np.diff(np.append(heads, len(token)))
+    of = np.repeat(length, length)
+    later_, earlier_, more_ = [], [], []
+    for d in range(1, STEPS):
+        at = np.flatnonzero((token[d:] == token[:-d]) & (of[d:] <= STEPS))
+        if not len(at):
+            break
+        at = at[near(at + d, at)]
+        later_.append(at + d)
+        earlier_.append(at)
+        more_.append(np.zeros(len(at), bool))
+    for g in np.flatnonzero(length > STEPS):
+        a0, n = int(heads[g]), int(length[g])
+        step = max(1, (1 << 18) // n)
+        for a in range(1, n, step):
+            i, j = np.meshgrid(np.arange(a, min(n, a + step)), np.arange(n), indexing="ij")
+            keep = j < i
+            i, j = a0 + i[keep], a0 + j[keep]
+            ok = near(i, j)
+            i, j = i[ok], j[ok]
+            more = np.zeros(len(i), bool)
+            if not every and len(i):
+                first_of = np.flatnonzero(np.append(True, i[1:] != i[:-1]))  # i ascends, and j within it
+                n_of = np.diff(np.append(first_of, len(i)))
+                nth = np.arange(len(i)) - np.repeat(first_of, n_of)
+                keep, more = nth < TRIES, np.repeat(n_of > TRIES, n_of)
+                i, j, more = i[keep], j[keep], more[keep]
+            later_.append(i)
+            earlier_.append(j)
+            more_.append(more)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later_, earlier_))
+    more = np.concatenate(more_) if more_ else np.zeros(0, bool)
+    _add(out, (ids[i], hs[i], line[i], ids[j], hs[j], line[j], more))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     names = ["id", "h", "line", "id2", "h2", "line2", "more"]
-    return pa.table([pa.chunked_array([pa.array(v, k) if not isinstance(v, pa.Array) else v for v in c], k) for c, k in zip(out, kinds)], names=names)
+    return pa.table([pa.chunked_array([v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)).cast(k) if k != pa.bool_() else pa.array(v) for v in c], k) for c, k in zip(out, kinds)], names=names)
 
 
 def _add(out: list[list], values: tuple) -> None:
     n = len(values[0])
-    for c, v, kind in zip(out, values, (None, None, None, pa.int64(), pa.int64(), pa.int32(), pa.bool_())):
+    for c, v, kind in zip(out, values, (None, None, None, pa.int64(), pa.int32(), pa.int32(), pa.bool_())):
         c.append(v if isinstance(v, np.ndarray) else pa.nulls(n, kind) if v is None else pa.array([v] * n, kind))
 
 
@@ -134,30 +198,29 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
     entries of equal sets fall together on their first, and only the first ones of each set are compared. The pairs
     that pass the filters are verified on the words themselves.
     """
-    known = common_words(rows)
-    at = np.argsort(known)
-    rank_of = (known[at], at + 1)
+    classes = rows.sparkSession.sparkContext.broadcast(word_classes(rows))
     buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in small_parts(batch):
-                yield from _entries(part, rank_of, buckets, alike)
+            for part in small_parts(batch, CHUNK):
+                yield from _entries(part, classes.value, buckets, alike)
 
     entries = rows.where("id is not null").mapInArrow(send, "bucket int, blob binary")
-    schema = "id long, h long, line int, id2 long, h2 long, line2 int, more boolean"
+    schema = "id long, h int, line int, id2 long, h2 int, line2 int, more boolean"
 
-    def found(tries: int | None) -> DataFrame:
-        return entries.groupBy("bucket").applyInArrow(lambda t: _pairs(t, alike, tries), schema)
+    def found(every: bool) -> DataFrame:
+        return entries.groupBy("bucket").applyInArrow(lambda t: _pairs(t, alike, every), schema)
 
-    first = saved(found(FIRST_TRIES))
+    first = saved(found(False))
     copies = first.where("id2 is null").select("id", "h", "line")
-    near = saved(_verified(rows, first.where("id2 is not null"), alike))
-    out = copies.union(near).distinct()
     key = ["id", "h", "line"]
+    near = saved(_verified(rows, first.where("id2 is not null").join(copies, key, "left_anti"), alike))
+    out = copies.union(near).distinct()
     open_ = saved(first.where("more").select(*key).distinct().join(out, key, "left_anti"))
     if not open_.isEmpty():
-        rest = found(None).where("id2 is not null").join(open_, key, "left_semi")
+        rest = found(True).where("id2 is not null").join(open_, key, "left_semi")
         out = out.union(_verified(rows, rest, alike)).distinct()
     return out
 
@@ -167,24 +230,50 @@ def _verified(rows: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
     key = ["id", "h", "line"]
     pairs = saved(pairs.select(*key, "id2", "h2", "line2").distinct())
     wanted = pairs.select(*key).union(pairs.select("id2", "h2", "line2")).distinct()
-    lists = wanted.groupBy("id", "h").agg(F.collect_list("line").alias("at"))
+    lists = saved(wanted.groupBy("id", "h").agg(F.collect_list("line").alias("at")))
+    slot = F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS))
+    bits = lists.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(BLOCK, np.int64)
+        out[table.column("w").to_numpy() % BLOCK] = table.column("b").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    held = _gathered(bits.withColumn("block", F.expr(f"w div {BLOCK}").cast("int")).groupBy("block").applyInArrow(fill, "block int, data binary"), FILTER_BITS // 64, np.int64)
+    mask = rows.sparkSession.sparkContext.broadcast(held)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            s = batch.column("s").to_numpy()
+            keep = mask.value[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64) & np.uint64(1) == 1
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "h", "text")], names=["id", "h", "text"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out: dict[str, list] = {"id": [], "h": [], "line": [], "words": []}
             for i, h, packed, at in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "packed", "at")), strict=True):
                 lines = open_bytes(packed).split(b"\n")
                 for k in at:
-                    for c, v in zip(out, (i, h, k, sorted({x.decode() for x in lines[k].split()}))):
+                    for c, v in zip(out, (i, h, k, b" ".join(sorted({*lines[k].split()})))):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.list_(pa.string()))], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int32()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
 
-    sets = shrunk(rows).join(lists, ["id", "h"])
-    sets = saved(sets.select("id", "h", "packed", "at").mapInArrow(pick, "id long, h long, line int, words array<string>").dropDuplicates(key))
+    some = rows.where("id is not null").select("id", "h", slot.alias("s"), "text").mapInArrow(sift, "id long, h int, text string")
+    sets = saved(shrunk(some).join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(pick, "id long, h int, line int, words binary"))
     other = sets.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(sets, key).join(other, ["id2", "h2", "line2"])
-    same = F.size(F.array_intersect("words", "words2"))
-    return both.where(same >= F.lit(alike) * (F.size("words") + F.size("words2") - same) - 1e-9).select(*key).distinct()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("words", "words2"))
+            same = [(len(x & y), len(x | y)) for x, y in ((set(p.split(b" ")), set(q.split(b" "))) for p, q in zip(a, b, strict=True))]
+            part = batch.filter(pa.array([n >= alike * m - 1e-9 for n, m in same], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in key], names=key)
+
+    return both.select(*key, "words", "words2").mapInArrow(judge, "id long, h int, line int").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -196,13 +285,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text lose the same lines; among different texts with one id the order is that of a hash of the text. Further
     columns are ignored; an empty table gives an empty result.
     """
-    rows = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"), "text")
+    rows = texts(docs, id_col, text_col).select("id", F.hash("text").alias("h"), "text")
     gone = similar_lines(rows, alike).groupBy("id", "h").agg(F.collect_list("line").alias("gone"))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in carry or (id_col,)]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = whole.select("id", F.xxhash64("text").alias("h"), "row", "text")
+    whole = whole.select("id", F.hash("text").alias("h"), "row", "text")
     joined = shrunk(whole).join(gone, ["id", "h"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for packed, at in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist(), strict=True):

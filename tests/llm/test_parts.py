@@ -92,7 +92,7 @@ def test_lines_with_crowds_of_near_copies(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(20)] = f"v{rng.randrange(30)}"
         rows.append((i, " ".join(w) + "\n" + " ".join(rng.sample(base, 6)) + f" z{i % 9}"))
-    monkeypatch.setattr(lines, "FIRST_TRIES", 2)
+    monkeypatch.setattr(lines, "STEPS", 16)
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in line_dedup(make(spark, rows)).collect()}
     assert got == plain_lines(rows)
 
