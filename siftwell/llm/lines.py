@@ -134,7 +134,9 @@ def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
     token, pos, size, bits, whole, ids, hs, line = (x[order] for x in (token, pos, size, bits, whole, ids, hs, line))
     lead = np.ones(len(token), bool)
     lead[1:] = (token[1:] != token[:-1]) | (whole[1:] != whole[:-1]) | (bits[1:] != bits[:-1]) | (size[1:] != size[:-1])
-    copies = np.flatnonzero(~lead & (pos == 0))
+    of_lead = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
+    itself = (ids == ids[of_lead]) & (hs == hs[of_lead]) & (line == line[of_lead])  # the same line of a row that is repeated
+    copies = np.flatnonzero(~lead & (pos == 0) & ~itself)
     _add(out, (ids[copies], hs[copies], line[copies], None, None, None, False))
     first = np.flatnonzero(lead)
     first = first[np.lexsort((line[first], hs[first], ids[first], token[first]))]
@@ -282,7 +284,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line of a text (split at line breaks) goes if an earlier line of the table, by (id, place), has a word set of
     Jaccard similarity `alike` or more; lines are judged on the input, not on what is left. Lines without words
     stay. Null texts are empty: one line without words. Rows with a null id are returned whole. Rows that repeat id
-    and text lose the same lines; among different texts with one id the order is that of a hash of the text. Further
+    and text count as one and lose the same lines, those alike an earlier line of another place; among different texts with one id the order is that of a hash of the text. Further
     columns are ignored; an empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col).select("id", F.hash("text").alias("h"), "text")

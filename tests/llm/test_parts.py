@@ -104,6 +104,15 @@ def test_lines_odd_tables(clashing, empty):
     assert all(r["n_removed"] == 0 for r in out if r["doc_id"] is None)
 
 
+def test_lines_of_repeated_rows_equal_brute_force(spark, corpus):
+    rows = corpus[:60] + corpus[:20] + corpus[:5]
+    got = [(r["doc_id"], (r["n_lines"], r["n_removed"], r["kept_sha256"])) for r in line_dedup(make(spark, rows)).collect()]
+    want = plain_lines(corpus[:60])
+    assert sorted(got) == sorted((i, want[i]) for i, _ in rows)
+    twice = line_dedup(make(spark, [(7, "one two three\nfour five six")] * 2 + [(9, "four five six\nseven")]), carry=("text",)).collect()
+    assert sorted((r["doc_id"], r["kept_text"]) for r in twice) == [(7, "one two three\nfour five six")] * 2 + [(9, "seven")]
+
+
 @pytest.fixture(scope="module")
 def path():
     return tokenizer_path("byte_bpe_50k.json")
