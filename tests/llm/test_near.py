@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline as pipe
+from siftwell.llm import near
 from siftwell.llm.embeddings import embedding_groups
 from siftwell.llm.simhash import fingerprint, golay_keys, golay_tables, links, simhash_groups
 
@@ -127,3 +129,71 @@ def test_embeddings_blocks_count_each_pair_once(spark):
     assert {r["n_links"] for r in got} == {2539}
     assert {r["component_id"] for r in got} == {0}
     assert embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def plain_shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_roots(texts):
+    """Number of the first text of each one's component, by all pairs of Jaccard similarity 0.8 or more."""
+    sets = [plain_shingles(t or "") for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(sets))]
+
+
+def near_texts(words):
+    rng = random.Random(12)
+    out = []
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(rng.randint(60, 260))]
+        out.append(" ".join(w))
+        for k in range(3):  # one to a twentieth of the words changed
+            v = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 20))):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            out.append(" ".join(v))
+    return out + [out[0].upper(), "", None, " \n", "one", "One", "one two", "a b c d e", "a b c d e f"]
+
+
+@pytest.mark.parametrize("paired", [64, 2])
+def test_near_groups_equal_brute_force(spark, words, paired, monkeypatch):
+    monkeypatch.setattr(near.near_nodes, "__defaults__", (near.WORDS, near.ALIKE, paired))
+    texts = near_texts(words)
+    want = plain_roots(texts)
+    got = near.near_groups(make(spark, list(enumerate(texts)))).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    first = {}
+    for r in sorted(got, key=lambda r: r["doc_id"]):
+        first.setdefault(r["root"], r["doc_id"])
+    assert {r["doc_id"]: first[r["root"]] for r in got} == dict(enumerate(want))
+    assert 60 < len(set(want)) < 200
+
+
+def test_band_recall_of_pairs_just_alike():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(2000)]
+    other = [np.sort(np.append(s[:178], rng.integers(0, 1 << 63, 22).astype(np.uint64))) for s in sets]  # 178 / 222 = 0.802
+    keys = [near.band_keys(np.concatenate(x), np.arange(0, 400_000, 200), near.BANDS, near.DEPTH) for x in (sets, other)]
+    share = (keys[0] == keys[1]).any(1).mean()
+    print("recall of pairs at 0.802:", share)
+    assert share >= 0.998
+
+
+def test_pipeline_drops_near_copies_that_simhash_keeps(spark, words):
+    texts = near_texts(words)[:240]
+    docs = make(spark, list(enumerate(texts)))
+    kept = {r["doc_id"] for r in pipe.keep_one_of_near(spark, docs, "").collect()}
+    assert kept == set(plain_roots(texts))
