@@ -197,3 +197,12 @@ def test_pipeline_drops_near_copies_that_simhash_keeps(spark, words):
     docs = make(spark, list(enumerate(texts)))
     kept = {r["doc_id"] for r in pipe.keep_one_of_near(spark, docs, "").collect()}
     assert kept == set(plain_roots(texts))
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark, words):
+    rng = random.Random(2)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (3, c), (3, c), (4, c), (5, None), (None, a), (None, a)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipe.keep_one_of_near(spark, make(spark, rows), "").collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (5, ""), (0, a), (0, a)])
+    assert pipe.keep_one_of_near(spark, make(spark, []), "").columns == pipe.COLUMNS
