@@ -5,15 +5,16 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import forget, saved, small_parts, texts
-from .wordhash import mix, open_bytes, press_bytes, shrunk, words_in
+from .wordhash import line_words, mix, open_bytes, press_bytes
 
 #: Two lines are alike if their word sets have this Jaccard similarity or more.
 ALIKE = 0.8
@@ -21,20 +22,17 @@ ALIKE = 0.8
 COUNTERS = 1 << 19
 #: Numbers of a row in which such arrays reach the driver.
 BLOCK = 4096
-#: Lines of a token up to which all pairs that pass the filters are verified at once, and how many for each line beyond.
-STEPS, TRIES = 64, 4
+#: Partners that a line asks for at a token, such as the bitmaps show to be alike and doubtful ones, before it waits for
+#: the verification of these; a further pass serves those whose partners all fail.
+SURE, TRIES = 2, 16
 #: Bytes of text that a task works on at a time.
 CHUNK = 2 << 20
-#: Bits of the filter that keeps documents without a pair out of the verification; its size is fixed.
+#: Bits of the filters that keep out what no pair needs; their size is fixed.
 FILTER_BITS = 1 << 24
-
-
-def _lines(texts_: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All lines, with the number of their text and their number in it."""
-    split = [x.split(b"\n") for x in texts_]
-    n = np.array([len(x) for x in split], np.int64)
-    owner = np.repeat(np.arange(len(split)), n)
-    return [y for x in split for y in x], owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+#: Words of 64 bits in the bitmap of a set: one for each so many tokens, rounded up to a power of two, at most MOST_BITMAP.
+TOKENS_A_WORD, MOST_BITMAP = 40, 16
+KEY = ["id", "h", "line"]
+PAIR = [*KEY, "id2", "h2", "line2"]
 
 
 def word_classes(rows: DataFrame) -> np.ndarray:
@@ -48,8 +46,8 @@ def word_classes(rows: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in small_parts(batch, CHUNK):
-                w = words_in(part.column("text").cast(pa.binary()).to_pylist())
-                total += np.bincount(_counter(w.hash), minlength=COUNTERS)
+                h = line_words(part.column("text").cast(pa.binary()).to_pylist())[0]
+                total += np.bincount(_counter(h), minlength=COUNTERS)
         slot = np.flatnonzero(total > 1)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
 
@@ -70,187 +68,275 @@ def _gathered(blocks: DataFrame, n: int, kind: type) -> np.ndarray:
     return out
 
 
+def _slot(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("s")
+
+
+def _filter(slots: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with those of the column s set."""
+    bits = slots.groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(BLOCK, np.int64)
+        out[table.column("w").to_numpy() % BLOCK] = table.column("b").to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    return _gathered(bits.withColumn("block", F.expr(f"w div {BLOCK}").cast("int")).groupBy("block").applyInArrow(fill, "block int, data binary"), FILTER_BITS // 64, np.int64)
+
+
+def _holds(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return bits[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
 def _counter(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: float) -> Iterator[pa.RecordBatch]:
-    """Packed prefix entries by bucket: token, position, set size, bitmap and hash of the set, id, text hash, line."""
-    ids, hs = (part.column(c).to_numpy() for c in ("id", "h"))
-    lines, owner, number = _lines(part.column("text").cast(pa.binary()).to_pylist())
-    w = words_in(lines)
-    if not len(w.hash):
-        return
-    dense, grade = np.cumsum(np.append(0, np.diff(w.part) != 0)), classes[_counter(w.hash)]
+def _token_slot(token: np.ndarray) -> np.ndarray:
+    return (mix(token) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _line_slot(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (mix(h.view(np.uint64) + mix(line.astype(np.uint64))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _tokens(h: np.ndarray, line: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words by line the distinct ones of each, the rarest first, and the number of their line."""
+    if not len(h):
+        return h, line
+    dense, grade = np.cumsum(np.append(0, np.diff(line) != 0)), classes[_counter(h)]
     if dense[-1] < 1 << 20:
-        by = np.argsort((dense.astype(np.uint64) << np.uint64(44)) | (grade.astype(np.uint64) << np.uint64(36)) | (w.hash >> np.uint64(28)))
+        by = np.argsort((dense.astype(np.uint64) << np.uint64(44)) | (grade.astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28)))
     else:  # one text of very many lines
-        by = np.lexsort((w.hash, grade, dense))
-    token, line = w.hash[by], w.part[by]
+        by = np.lexsort((h >> np.uint64(28), grade, dense))
+    token, line = h[by], line[by]
     new = np.append(True, (np.diff(line) != 0) | (np.diff(token) != 0))
-    token, line = token[new], line[new]
+    return token[new], line[new]
+
+
+def _prefix(size: np.ndarray, alike: float) -> np.ndarray:
+    return size - np.ceil(alike * size - 1e-9).astype(np.int64) + 1
+
+
+def _width(size: np.ndarray) -> np.ndarray:
+    """Words of the bitmap of a set."""
+    return np.minimum(MOST_BITMAP, 1 << np.ceil(np.log2(np.maximum(1, size / TOKENS_A_WORD))).astype(np.int64))
+
+
+def _parity(token: np.ndarray, heads: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of sets of tokens, one behind the other, and where each starts: a bit is the parity of the tokens on it."""
+    width = _width(size)
+    start = np.cumsum(width) - width
+    which = np.repeat(np.arange(len(size)), size)
+    bit = (token >> np.uint64(40)).astype(np.int64) & (64 * width[which] - 1)
+    odd = np.bincount(64 * start[which] + bit, minlength=64 * int(width.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), start
+
+
+def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: float, wanted: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Packed prefix entries by bucket: token and the one before it, position, set size, hash, line, text, bitmap.
+
+    Of equal sets of a chunk the first line is sent whole; the others only tell at their first token that they are there.
+    wanted: only tokens in the first filter are sent, and lines in the second one ask for partners.
+    """
+    ids, hs = (part.column(c).to_numpy() for c in ("id", "h"))
+    h, line, owner, number = line_words(part.column("text").cast(pa.binary()).to_pylist())
+    if wanted is not None:  # most lines have no such token
+        some = np.zeros(len(owner), bool)
+        some[line[_holds(wanted[0], _token_slot(h))]] = True
+        h, line = h[some[line]], line[some[line]]
+    token, line = _tokens(h, line, classes)
+    if not len(token):
+        return
     heads = np.flatnonzero(np.append(True, np.diff(line) != 0))
     size = np.diff(np.append(heads, len(line)))
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), heads)
+    bits, bits_at = _parity(token, heads, size)
     whole = np.add.reduceat(mix(token ^ np.uint64(0x5851F42D4C957F2D)), heads)
+    at = line[heads]  # the line of each set
+    asks = np.ones(len(heads), bool) if wanted is None else _holds(wanted[1], _line_slot(hs[owner[at]], number[at]))
+    by = np.lexsort((number[at], hs[owner[at]], ids[owner[at]], whole, size))
+    same = np.append(False, (whole[by][1:] == whole[by][:-1]) & (size[by][1:] == size[by][:-1]))
+    copy = np.zeros(len(heads), bool)
+    copy[by] = same
+    if wanted is not None:
+        copy &= ~asks
     which = np.repeat(np.arange(len(heads)), size)
     pos = np.arange(len(line)) - heads[which]
-    prefix = size - np.ceil(alike * size - 1e-9).astype(np.int64) + 1
-    take = pos < prefix[which]
-    token, pos, which = token[take], pos[take], which[take]
-    text_line = line[heads][which]
-    bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
+    take = pos < np.where(copy, 1, _prefix(size, alike))[which]
+    if wanted is not None:
+        take &= _holds(wanted[0], _token_slot(token))
+    token_id = (token >> np.uint64(32)).astype(np.uint32)
+    before = np.append(np.uint32(0), token_id[:-1])
+    token_id, before, pos, which = token_id[take], before[take], pos[take], which[take]
+    if not len(which):
+        return
+    bucket = (mix(token_id) % np.uint64(buckets)).astype(np.int64)
     go = np.argsort(bucket, kind="stable")
-    low = lambda x: (x >> np.uint64(32)).astype(np.uint32)
-    columns = (low(token), _narrow(pos), _narrow(size[which]), bits[which], low(whole[which]), hs[owner[text_line]], _narrow(number[text_line]))
-    of = ids[owner[text_line]]
-    blobs, keys = [], []
+    width = _width(size)
+    keys, blobs = [], []
     for group in np.split(go, np.flatnonzero(np.diff(bucket[go])) + 1):
+        k = which[group]
+        doc, of = np.unique(owner[at[k]], return_inverse=True)
+        n = width[k]
+        flat = np.repeat(bits_at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        flags = copy[k] + 2 * asks[k]
+        columns = (token_id[group], before[group], _narrow(pos[group]), _narrow(size[k]), (whole[k] >> np.uint64(32)).astype(np.uint32), _narrow(number[at[k]]), _narrow(of), flags.astype(np.uint8), bits[flat], np.diff(ids[doc], prepend=0), hs[doc])
         keys.append(int(bucket[group[0]]))
-        blobs.append(press_bytes(pickle.dumps([*[c[group] for c in columns], np.diff(of[group], prepend=0)], 5)))
+        blobs.append(press_bytes(pickle.dumps(columns, 5)))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+    most = x.max(initial=0)
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+class _Bucket:
+    """The entries of a bucket as arrays, those of a token together and in the order of their lines."""
+
+    def __init__(self, sent: list[tuple]):
+        self.token, self.before, self.pos, self.size, self.whole, self.line, _, self.flags = (np.concatenate([x[k] for x in sent]) for k in range(8))
+        self.pos, self.size, self.line = (x.astype(np.int64) for x in (self.pos, self.size, self.line))
+        self.id = np.concatenate([np.cumsum(x[9])[x[6]] for x in sent])
+        self.h = np.concatenate([x[10][x[6]] for x in sent])
+        self.width = _width(self.size)
+        self.at = np.cumsum(self.width) - self.width
+        self.bits = np.concatenate([x[8] for x in sent])
+
+    def take(self, rows: np.ndarray) -> None:
+        for k, v in vars(self).items():
+            if k != "bits":
+                setattr(self, k, v[rows])
+
+    def bitmaps(self, k: np.ndarray, w: int) -> np.ndarray:
+        """Bitmaps of w words of sets that have w or twice as many."""
+        out = self.bits[self.at[k][:, None] + np.arange(w)]
+        wide = np.flatnonzero(self.width[k] > w)
+        out[wide] ^= self.bits[self.at[k[wide]][:, None] + np.arange(w, 2 * w)]
+        return out
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of sets differ, the wider one folded: not more than the tokens in which the sets do."""
+        out = np.zeros(len(i), np.int64)
+        least = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(least).tolist():
+            n = np.flatnonzero(least == w)
+            out[n] = np.bitwise_count(self.bitmaps(i[n], w) ^ self.bitmaps(j[n], w)).sum(1, dtype=np.int64)
+        return out
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets look equal: size, hash and bitmap."""
+        out = (self.token[i] == self.token[j]) & (self.size[i] == self.size[j]) & (self.whole[i] == self.whole[j])
+        n = np.flatnonzero(out)
+        out[n] = self.differing(i[n], j[n]) == 0
+        return out
 
 
 def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
-    """What the entries of a bucket tell: equal sets (no partner), and pairs that no filter rules out.
+    """Pairs (later line, earlier one) of a bucket that the filters let through; more: the later one may have others.
 
-    Unless all are asked for, a line gets the first TRIES such partners of a token with more than STEPS lines, and is
-    marked if there are more.
+    Equal sets meet in a pair with their first line, and only that one is compared with other sets. A pair that has
+    the token before this one in common, too, is left to that token. A line goes back over the earlier ones of its
+    token until it has met SURE that look alike by the bitmaps, or TRIES that may be (every: to the first one).
     """
-    out: list[list] = [[] for _ in range(7)]
-    sent = [pickle.loads(open_bytes(x)) for x in table.column("blob").to_pylist()]
-    token, pos, size, bits, whole, hs, line = (np.concatenate([x[k] for x in sent]) for k in range(7))
-    ids = np.concatenate([np.cumsum(x[7]) for x in sent])
-    by = np.argsort(token)
-    again = token[by][1:] == token[by][:-1]
-    shared = by[np.append(again, False) | np.append(False, again)]  # of tokens that stand more than once
-    token, pos, size, bits, whole, ids, hs, line = (x[shared] for x in (token, pos, size, bits, whole, ids, hs, line))
-    order = np.lexsort((line, hs, ids))
-    order = order[np.lexsort((bits[order], whole[order], token[order]))]
-    token, pos, size, bits, whole, ids, hs, line = (x[order] for x in (token, pos, size, bits, whole, ids, hs, line))
-    lead = np.ones(len(token), bool)
-    lead[1:] = (token[1:] != token[:-1]) | (whole[1:] != whole[:-1]) | (bits[1:] != bits[:-1]) | (size[1:] != size[:-1])
-    of_lead = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-    itself = (ids == ids[of_lead]) & (hs == hs[of_lead]) & (line == line[of_lead])  # the same line of a row that is repeated
-    copies = np.flatnonzero(~lead & (pos == 0) & ~itself)
-    _add(out, (ids[copies], hs[copies], line[copies], None, None, None, False))
-    first = np.flatnonzero(lead)
-    first = first[np.lexsort((line[first], hs[first], ids[first], token[first]))]
-    token, pos, size, bits, ids, hs, line = token[first], pos[first].astype(np.int64), size[first].astype(np.int64), bits[first], ids[first], hs[first], line[first]
-
-    def near(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        s, t = size[later], size[earlier]
-        need = np.ceil(alike / (1 + alike) * (s + t) - 1e-9)
-        ok = (np.minimum(s, t) >= alike * np.maximum(s, t) - 1e-9) & (np.minimum(s - pos[later], t - pos[earlier]) >= need)
-        return ok & (np.bitwise_count(bits[later] ^ bits[earlier]) <= s + t - 2 * need)
-
-    heads = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    length = np.diff(np.append(heads, len(token)))
-    of = np.repeat(length, length)
-    later_, earlier_, more_ = [], [], []
-    for d in range(1, STEPS):
-        at = np.flatnonzero((token[d:] == token[:-d]) & (of[d:] <= STEPS))
-        if not len(at):
-            break
-        at = at[near(at + d, at)]
-        later_.append(at + d)
-        earlier_.append(at)
-        more_.append(np.zeros(len(at), bool))
-    for g in np.flatnonzero(length > STEPS):
-        a0, n = int(heads[g]), int(length[g])
-        step = max(1, (1 << 18) // n)
-        for a in range(1, n, step):
-            i, j = np.meshgrid(np.arange(a, min(n, a + step)), np.arange(n), indexing="ij")
-            keep = j < i
-            i, j = a0 + i[keep], a0 + j[keep]
-            ok = near(i, j)
-            i, j = i[ok], j[ok]
-            more = np.zeros(len(i), bool)
-            if not every and len(i):
-                first_of = np.flatnonzero(np.append(True, i[1:] != i[:-1]))  # i ascends, and j within it
-                n_of = np.diff(np.append(first_of, len(i)))
-                nth = np.arange(len(i)) - np.repeat(first_of, n_of)
-                keep, more = nth < TRIES, np.repeat(n_of > TRIES, n_of)
-                i, j, more = i[keep], j[keep], more[keep]
-            later_.append(i)
-            earlier_.append(j)
-            more_.append(more)
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later_, earlier_))
-    more = np.concatenate(more_) if more_ else np.zeros(0, bool)
-    _add(out, (ids[i], hs[i], line[i], ids[j], hs[j], line[j], more))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-    names = ["id", "h", "line", "id2", "h2", "line2", "more"]
-    return pa.table([pa.chunked_array([v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)).cast(k) if k != pa.bool_() else pa.array(v) for v in c], k) for c, k in zip(out, kinds)], names=names)
-
-
-def _add(out: list[list], values: tuple) -> None:
-    n = len(values[0])
-    for c, v, kind in zip(out, values, (None, None, None, pa.int64(), pa.int32(), pa.int32(), pa.bool_())):
-        c.append(v if isinstance(v, np.ndarray) else pa.nulls(n, kind) if v is None else pa.array([v] * n, kind))
+    b = _Bucket([pickle.loads(open_bytes(x)) for x in table.column("blob").to_pylist()])
+    order = np.argsort(b.token, kind="stable")
+    again = b.token[order][1:] == b.token[order][:-1]
+    shared = np.sort(order[np.append(again, False) | np.append(False, again)])  # of tokens that stand more than once
+    by_line = np.argsort(b.id[shared], kind="stable")  # within a text lines come in their order
+    b.take(shared[by_line])
+    if ((b.id[1:] == b.id[:-1]) & (b.h[1:] != b.h[:-1])).any():  # texts that share an id
+        b.take(np.lexsort((b.line, b.h, b.id)))
+    sets = np.argsort(b.token.astype(np.uint64) << np.uint64(32) | b.whole, kind="stable")
+    new = np.append(True, ~b.same(sets[1:], sets[:-1]))[: len(sets)]
+    lead, of_lead = np.empty(len(sets), bool), np.empty(len(sets), np.int64)
+    lead[sets], of_lead[sets] = new, sets[np.maximum.accumulate(np.where(new, np.arange(len(sets)), 0))]
+    itself = (b.id == b.id[of_lead]) & (b.h == b.h[of_lead]) & (b.line == b.line[of_lead])  # the same line of a row that is repeated
+    asks = b.flags >= 2
+    copies = np.flatnonzero(~lead & (b.pos == 0) & ~itself & asks)
+    found = [(copies, of_lead[copies], np.ones(len(copies), bool))]
+    stay = np.flatnonzero((lead | (asks & ~itself if every else False)) & (b.flags & 1 == 0))
+    by = stay[np.argsort(b.token[stay], kind="stable")]
+    heads = np.flatnonzero(np.append(True, np.diff(b.token[by]) != 0)) if len(by) else np.zeros(0, np.int64)
+    nth = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
+    active, tried, back = np.flatnonzero(asks[by] & (nth > 0)), np.zeros(len(by), np.int64), 1
+    size, rest, pos, before = (x[by] for x in (b.size, b.size - b.pos, b.pos, b.before))
+    while len(active):
+        s, t = size[active], size[active - back]
+        at = np.flatnonzero(np.minimum(s, t) >= alike * np.maximum(s, t) - 1e-9)
+        i, j = active[at], active[at] - back
+        need = np.ceil(alike / (1 + alike) * (s[at] + t[at]) - 1e-9)
+        ok = np.minimum(rest[i], rest[j]) >= need
+        ok &= (pos[i] == 0) | (pos[j] == 0) | (before[i] != before[j])
+        at, i, j, most = at[ok], by[i[ok]], by[j[ok]], (s[at] + t[at] - 2 * need)[ok]
+        apart = b.differing(i, j)
+        near = apart <= most
+        at, i, j, sure = at[near], i[near], j[near], (2 * apart + 2 <= most)[near]
+        tried[active[at]] += np.where(sure, TRIES // SURE, 1)
+        ended = np.zeros(len(active), bool)
+        if not every:
+            ended[at] = tried[active[at]] >= TRIES
+        found.append((i, j, ended[at]))
+        back += 1
+        active = active[~ended]
+        active = active[nth[active] >= back]
+    i, j, more = (np.concatenate([x[k] for x in found]) for k in range(3))
+    return pa.table([pa.array(x) for x in (b.id[i], b.h[i], b.line[i].astype(np.int32), b.id[j], b.h[j], b.line[j].astype(np.int32), more)], names=[*PAIR, "more"])
 
 
 def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(id, h, line): the lines of rows (id, h, text) that are alike an earlier line, by id, then place.
 
-    A line is its set of words; lines without words are never alike. Alike lines share a token of their prefixes;
-    entries of equal sets fall together on their first, and only the first ones of each set are compared. The pairs
-    that pass the filters are verified on the words themselves.
+    A line is its set of words; lines without words are never alike. Alike lines share a token of their prefixes, so
+    they meet in its bucket; a line asks for few of the partners that no filter rules out there, the pairs are verified
+    on the words themselves, and only lines all of whose partners failed ask, in a second pass, for all others.
     """
-    classes = rows.sparkSession.sparkContext.broadcast(word_classes(rows))
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+    rows = rows.where("id is not null")
+    context = rows.sparkSession.sparkContext
+    classes = context.broadcast(word_classes(rows))
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def found(wanted=None) -> DataFrame:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
+            for batch in batches:
+                for part in small_parts(batch, CHUNK):
+                    yield from _entries(part, classes.value, buckets, alike, wanted and wanted.value)
+
+        every = wanted is not None
+        schema = "id long, h long, line int, id2 long, h2 long, line2 int, more boolean"
+        pairs = rows.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _pairs(t, alike, every), schema)
+        return saved(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")))
+
+    pairs = found()
+    sets = _sets(rows, pairs)
+    out = saved(_verified(pairs, sets, alike))
+    left = saved(pairs.where("more").select(*KEY).distinct().join(out, KEY, "left_anti"))
+    if left.isEmpty():
+        return out
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in small_parts(batch, CHUNK):
-                yield from _entries(part, classes.value, buckets, alike)
-
-    entries = rows.where("id is not null").mapInArrow(send, "bucket int, blob binary")
-    schema = "id long, h int, line int, id2 long, h2 int, line2 int, more boolean"
-
-    def found(every: bool) -> DataFrame:
-        return entries.groupBy("bucket").applyInArrow(lambda t: _pairs(t, alike, every), schema)
-
-    first = saved(found(False))
-    copies = first.where("id2 is null").select("id", "h", "line")
-    key = ["id", "h", "line"]
-    near = saved(_verified(rows, first.where("id2 is not null").join(copies, key, "left_anti"), alike))
-    out = copies.union(near).distinct()
-    open_ = saved(first.where("more").select(*key).distinct().join(out, key, "left_anti"))
-    if not open_.isEmpty():
-        rest = found(True).where("id2 is not null").join(open_, key, "left_semi")
-        out = out.union(_verified(rows, rest, alike)).distinct()
-    return out
+            token, line = _tokens(*line_words(batch.column("words").to_pylist())[:2], classes.value)
+            heads = np.flatnonzero(np.append(True, np.diff(line) != 0)) if len(line) else np.zeros(0, np.int64)
+            size = np.diff(np.append(heads, len(line)))
+            first = np.arange(len(line)) - np.repeat(heads, size) < np.repeat(_prefix(size, alike), size)
+            yield pa.RecordBatch.from_arrays([pa.array(_token_slot(token[first]))], names=["s"])
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_line_slot(batch.column("h").to_numpy(), batch.column("line").to_numpy()))], names=["s"])
 
-def _verified(rows: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
-    """The later lines of the pairs that are alike."""
-    key = ["id", "h", "line"]
-    pairs = saved(pairs.select(*key, "id2", "h2", "line2").distinct())
-    wanted = pairs.select(*key).union(pairs.select("id2", "h2", "line2")).distinct()
-    lists = saved(wanted.groupBy("id", "h").agg(F.collect_list("line").alias("at")))
-    slot = F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS))
-    bits = lists.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+    asked = sets.join(left, KEY).select("words").mapInArrow(slots, "s long")
+    wanted = context.broadcast((_filter(asked), _filter(left.select("h", "line").mapInArrow(own, "s long"))))
+    rest = saved(found(wanted).join(left, KEY, "left_semi").join(pairs, PAIR, "left_anti"))
+    return out.union(_verified(rest, _sets(rows, rest), alike)).distinct()
 
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(BLOCK, np.int64)
-        out[table.column("w").to_numpy() % BLOCK] = table.column("b").to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    held = _gathered(bits.withColumn("block", F.expr(f"w div {BLOCK}").cast("int")).groupBy("block").applyInArrow(fill, "block int, data binary"), FILTER_BITS // 64, np.int64)
-    mask = rows.sparkSession.sparkContext.broadcast(held)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            s = batch.column("s").to_numpy()
-            keep = mask.value[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64) & np.uint64(1) == 1
-            part = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "h", "text")], names=["id", "h", "text"])
+def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, h, line, words) of the lines in pairs; words are distinct, sorted, with one space between them."""
+    wanted = pairs.select(*KEY).union(pairs.select("id2", "h2", "line2")).distinct()
+    lists = saved(wanted.groupBy("id", "h").agg(F.collect_set("line").alias("at")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -261,21 +347,48 @@ def _verified(rows: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
                 for k in at:
                     for c, v in zip(out, (i, h, k, b" ".join(sorted({*lines[k].split()})))):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int32()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
+
+    some = _pressed(rows, _filter(lists.select(_slot("id", "h"))))
+    return saved(some.join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(pick, "id long, h long, line int, words binary"))
+
+
+def _inside(batch: pa.RecordBatch, bits: np.ndarray, inside: bool = True) -> pa.RecordBatch:
+    """The rows of a batch whose slot s is in the filter, or those that are not."""
+    return batch.filter(pa.array(_holds(bits, batch.column("s").to_numpy()) == inside))
+
+
+def _pressed(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Of the rows (id, h, .., text) those whose (id, h) are in the filter, their text packed."""
+    mask = rows.sparkSession.sparkContext.broadcast(bits)
+    rest = [c for c in rows.columns if c != "text"]
 
-    some = rows.where("id is not null").select("id", "h", slot.alias("s"), "text").mapInArrow(sift, "id long, h int, text string")
-    sets = saved(shrunk(some).join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(pick, "id long, h int, line int, words binary"))
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            part = _inside(batch, mask.value)
+            packed = [press_bytes(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(packed, pa.binary())], names=[*rest, "packed"])
+
+    fields = [*[rows.schema[c] for c in rest], StructField("packed", BinaryType())]
+    return rows.select(*rest, "text", _slot("id", "h")).mapInArrow(press, StructType(fields))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """The later lines of the pairs that are alike."""
     other = sets.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
-    both = pairs.join(sets, key).join(other, ["id2", "h2", "line2"])
+    both = pairs.select(*PAIR).join(sets, KEY).join(other, ["id2", "h2", "line2"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("words", "words2"))
-            same = [(len(x & y), len(x | y)) for x, y in ((set(p.split(b" ")), set(q.split(b" "))) for p, q in zip(a, b, strict=True))]
-            part = batch.filter(pa.array([n >= alike * m - 1e-9 for n, m in same], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in key], names=key)
+            good = []
+            for p, q in zip(batch.column("words").to_pylist(), batch.column("words2").to_pylist(), strict=True):
+                x, y = set(p.split(b" ")), set(q.split(b" "))
+                good.append(p == q or len(x & y) >= alike * len(x | y) - 1e-9)
+            part = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in KEY], names=KEY)
 
-    return both.select(*key, "words", "words2").mapInArrow(judge, "id long, h int, line int").distinct()
+    return both.select(*KEY, "words", "words2").mapInArrow(judge, "id long, h long, line int").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -284,28 +397,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line of a text (split at line breaks) goes if an earlier line of the table, by (id, place), has a word set of
     Jaccard similarity `alike` or more; lines are judged on the input, not on what is left. Lines without words
     stay. Null texts are empty: one line without words. Rows with a null id are returned whole. Rows that repeat id
-    and text count as one and lose the same lines, those alike an earlier line of another place; among different texts with one id the order is that of a hash of the text. Further
-    columns are ignored; an empty table gives an empty result.
+    and text count as one and lose the same lines, those alike an earlier line of another place; among different
+    texts with one id the order is that of a 64-bit hash of the text. Further columns are ignored; an empty table
+    gives an empty result.
     """
-    rows = texts(docs, id_col, text_col).select("id", F.hash("text").alias("h"), "text")
-    gone = similar_lines(rows, alike).groupBy("id", "h").agg(F.collect_list("line").alias("gone"))
+    rows = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"), "text")
+    gone = saved(similar_lines(rows, alike).groupBy("id", "h").agg(F.collect_list("line").alias("gone")))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in carry or (id_col,)]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = whole.select("id", F.hash("text").alias("h"), "row", "text")
-    joined = shrunk(whole).join(gone, ["id", "h"], "left")
+    whole = whole.select("id", F.xxhash64("text").alias("h"), "row", "text")
+    bits = _filter(gone.select(_slot("id", "h")))
+
+    mask = docs.sparkSession.sparkContext.broadcast(bits)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
+            packed = "packed" in batch.schema.names
+            part = batch if packed else _inside(batch, mask.value, False)
+            raw = map(open_bytes, part.column("packed").to_pylist()) if packed else part.column("text").cast(pa.binary()).to_pylist()
             out: list[list] = [[], [], [], []]
-            for packed, at in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                lines, drop = open_bytes(packed).split(b"\n"), set(at or ())
-                left = b"\n".join([x for k, x in enumerate(lines) if k not in drop])
-                for c, v in zip(out, (len(lines), len(drop), hashlib.sha256(left).hexdigest(), left.decode() if carry else None)):
+            for x, at in zip(raw, part.column("gone").to_pylist() if packed else repeat(None, part.num_rows), strict=True):
+                n = x.count(b"\n") + 1
+                if at:
+                    drop = set(at)
+                    x = b"\n".join([y for k, y in enumerate(x.split(b"\n")) if k not in drop])
+                for c, v in zip(out, (n, len(at or ()), hashlib.sha256(x).hexdigest(), x.decode() if carry else None)):
                     c.append(v)
-            columns = [batch.column("id"), batch.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
+            columns = [part.column("id"), part.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_lines", "n_removed", "kept_sha256", "kept_text"])
 
     made = ["n_lines", "n_removed", "kept_sha256"]
-    joined = joined.select("id", "row", "packed", "gone")
-    done = joined.mapInArrow(finish, StructType([*joined.schema.fields[:2], *[StructField(c, k) for c, k in zip([*made, "kept_text"], (LongType(), LongType(), StringType(), StringType()))]]))
+    schema = StructType([whole.schema["id"], whole.schema["row"], *[StructField(c, k) for c, k in zip([*made, "kept_text"], (LongType(), LongType(), StringType(), StringType()))]])
+    cut = _pressed(whole, bits).join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone")
+    done = cut.mapInArrow(finish, schema).union(whole.select("id", "row", "text", _slot("id", "h")).mapInArrow(finish, schema))
     return done.select(F.col("id").alias(id_col), *made, *(["kept_text", *[F.col(f"row.{c}").alias(c) for c in carry]] if carry else []))
