@@ -59,7 +59,8 @@ def polygon_bbox(points: str) -> Column:
 
 def largest_polygon(df: DataFrame, by: str, points: str, tie: str) -> DataFrame:
     """The polygon of greatest area of each record, the one with the smallest tie on equal areas."""
-    return df.groupBy(by).agg(F.max_by(F.struct(tie, points), F.struct(polygon_area(points).alias("a"), (-F.col(tie)).alias("t"))).alias("_b")).select(by, f"_b.{tie}", f"_b.{points}")
+    best = F.min_by(F.struct(tie, points), F.struct((-polygon_area(points)).alias("a"), F.col(tie).alias("t")))
+    return df.groupBy(by).agg(best.alias("_b")).select(by, f"_b.{tie}", f"_b.{points}")
 
 
 def to_pixels(points: str, width: int, height: int) -> Column:
@@ -133,33 +134,61 @@ def _rasters(column: pd.Series, side: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64).reshape(-1, side, side)
 
 
-def raster_features(df: DataFrame, key: str, raster: str, side: int, threshold: float = 0.5) -> DataFrame:
-    """Mean, deviation, 64-bin entropy, share of strong edges, Laplacian variance and patch likeness of square rasters."""
+def raster_moments(df: DataFrame, key: str, raster: str) -> DataFrame:
+    """Mean and deviation of the values of each raster."""
+    x = F.transform(raster, lambda v: v.cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    out = df.select(key, x.alias("_x")).withColumn("mean", total(F.col("_x")) / F.size("_x"))
+    apart = F.transform("_x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))
+    return out.select(key, "mean", F.sqrt(total(apart) / F.size("_x")).alias("deviation"))
+
+
+def _sobel(x: np.ndarray) -> np.ndarray:
+    """Gradient magnitudes of rasters by the 3 x 3 Sobel operator, reflected at the border without its own cells."""
+    p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    smooth = lambda a, axis: np.take(a, range(a.shape[axis] - 2), axis) + 2 * np.take(a, range(1, a.shape[axis] - 1), axis) + np.take(a, range(2, a.shape[axis]), axis)
+    return np.hypot(smooth(p[:, :, 2:] - p[:, :, :-2], 1), smooth(p[:, 2:] - p[:, :-2], 2))
+
+
+def raster_features(df: DataFrame, key: str, raster: str, side: int, low: float = 0.0, high: float = 256.0, edge: float = 28.0, apart: float = 55.0, mask: str | None = None) -> DataFrame:
+    """Measures of square rasters: entropy of 64 bins over the fixed range low..high, share of cells with a Sobel gradient over
+    `edge`, variance of the Laplacian, self_similarity = 1 - mean distance of the (mean, deviation) of 3 x 3 patches / `apart` (0 at
+    least), and with a mask (booleans) contrast, the distance of its inner and outer mean (null where one is empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = _rasters(b[raster], side)
-            gx = x[:, 1:-1, 2:] * 2 + x[:, :-2, 2:] + x[:, 2:, 2:] - x[:, 1:-1, :-2] * 2 - x[:, :-2, :-2] - x[:, 2:, :-2]
-            gy = x[:, 2:, 1:-1] * 2 + x[:, 2:, :-2] + x[:, 2:, 2:] - x[:, :-2, 1:-1] * 2 - x[:, :-2, :-2] - x[:, :-2, 2:]
-            lap = x[:, 1:-1, 2:] + x[:, 1:-1, :-2] + x[:, 2:, 1:-1] + x[:, :-2, 1:-1] - 4 * x[:, 1:-1, 1:-1]
-            low, high = x.min((1, 2), keepdims=True), x.max((1, 2), keepdims=True)
-            bins = np.minimum(63, ((x - low) / np.where(high > low, high - low, 1) * 64).astype(int)).reshape(len(x), -1)
-            p = np.stack([np.bincount(r, minlength=64) for r in bins]) / bins.shape[1]
-            half = side // 2
-            patches = np.stack([x[:, :half, :half], x[:, :half, half:], x[:, half:, :half], x[:, half:, half:]], 1).mean((2, 3))
-            yield pd.DataFrame({key: b[key], "mean": x.mean((1, 2)), "deviation": x.std((1, 2)), "entropy": -(p * np.log2(np.where(p > 0, p, 1))).sum(1), "edge_share": (np.hypot(gx, gy) > threshold).mean((1, 2)), "laplacian": lap.var((1, 2)), "patch_spread": patches.std(1)})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, raster).mapInPandas(run, f"{key} {kind}, mean double, deviation double, entropy double, edge_share double, laplacian double, patch_spread double")
+            p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+            lap = p[:, 1:-1, 2:] + p[:, 1:-1, :-2] + p[:, 2:, 1:-1] + p[:, :-2, 1:-1] - 4 * x
+            bins = np.floor((x - low) / (high - low) * 64).astype(int).reshape(len(x), -1)
+            counts = np.stack([np.bincount(r[(r >= 0) & (r < 64)], minlength=64) for r in bins])
+            share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+            cuts = [round(side * k / 3) for k in range(4)]
+            cells = [x[:, r0:r1, c0:c1] for r0, r1 in zip(cuts, cuts[1:]) for c0, c1 in zip(cuts, cuts[1:]) if r1 > r0 and c1 > c0]
+            v = np.stack([np.stack([c.mean((1, 2)), c.std((1, 2))], 1) for c in cells], 1)
+            i, j = np.triu_indices(len(cells), 1)
+            far = np.linalg.norm(v[:, i] - v[:, j], axis=2).mean(1) if len(i) else np.full(len(x), apart)
+            out = {key: b[key], "entropy": -(share * np.log2(np.where(share > 0, share, 1))).sum(1), "edge_share": (_sobel(x) > edge).mean((1, 2)), "laplacian": lap.var((1, 2)), "self_similarity": np.clip(1 - far / apart, 0, 1)}
+            if mask is not None:
+                m = np.stack(b[mask].to_numpy()).astype(bool).reshape(x.shape)
+                with np.errstate(invalid="ignore"):
+                    means = [np.where(k.any((1, 2)), (x * k).sum((1, 2)) / np.maximum(1, k.sum((1, 2))), np.nan) for k in (m, ~m)]
+                out["contrast"] = np.abs(means[0] - means[1])
+            yield pd.DataFrame(out)
+
+    made = "entropy double, edge_share double, laplacian double, self_similarity double" + ", contrast double" * (mask is not None)
+    cols = [key, raster] + ([mask] if mask is not None else [])
+    out = df.select(*cols).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {made}")
+    return out if mask is None else out.withColumn("contrast", F.when(~F.isnan("contrast"), F.col("contrast")))
 
 
 def radial_profile(df: DataFrame, population: str, raster: str, side: int, bins: int) -> DataFrame:
-    """Mean log power of the spectrum by population and ring around its centre. Rings are open on the right: the farthest
-    cells are in none; rings without cells are 0."""
+    """Mean log power of the spectrum by population and ring around the middle of the raster. Rings are open on the right: the
+    farthest cells are in none; rings without cells are 0."""
     y, x = np.indices((side, side))
-    far = np.hypot(x - side // 2, y - side // 2)
+    far = np.hypot(x - (side - 1) / 2, y - (side - 1) / 2)
     ring = np.digitize(far, np.linspace(0, far.max(), bins + 1)) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,20 +204,32 @@ def radial_profile(df: DataFrame, population: str, raster: str, side: int, bins:
     return rows.select(population, F.posexplode("profile").alias("bin", "value")).groupBy(population, "bin").agg(F.avg("value").alias("power"), F.count("*").alias("n"))
 
 
-def gradient_values(df: DataFrame, key: str, population: str, raster: str, side: int) -> DataFrame:
-    """(population, key, value): gradient magnitudes of square rasters."""
+def gradient_values(df: DataFrame, key: str, population: str, raster: str, side: int, mask: str | None = None) -> DataFrame:
+    """(population, key, pos, value): Sobel gradient magnitudes of square rasters, at the cells of the mask (booleans) if there
+    is one and it holds any, else at all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            x = _rasters(b[raster], side)
-            g = np.hypot(*np.gradient(x, axis=(1, 2))).reshape(len(x), -1)
-            yield pd.DataFrame({population: b[population], key: b[key], "values": [r.tolist() for r in g]})
+            g = _sobel(_rasters(b[raster], side)).reshape(len(b), -1)
+            keep = np.ones(g.shape, bool) if mask is None else np.stack(b[mask].to_numpy()).astype(bool).reshape(g.shape)
+            keep[~keep.any(1)] = True
+            at = [np.flatnonzero(k) for k in keep]
+            yield pd.DataFrame({population: b[population], key: b[key], "at": [a.tolist() for a in at], "values": [r[a].tolist() for r, a in zip(g, at)]})
 
     types = dict(df.dtypes)
-    made = df.select(key, population, raster).mapInPandas(run, f"{population} {types[population]}, {key} {types[key]}, values array<double>")
-    return made.select(population, key, F.posexplode("values").alias("pos", "value"))
+    cols = [key, population, raster] + ([mask] if mask is not None else [])
+    made = df.select(*cols).mapInPandas(run, f"{population} {types[population]}, {key} {types[key]}, at array<int>, values array<double>")
+    return made.select(population, key, F.explode(F.arrays_zip("at", "values")).alias("v")).select(population, key, F.col("v.at").alias("pos"), F.col("v.values").alias("value"))
+
+
+def sample_values(df: DataFrame, population: str, key: list[str], most: int, seed: int) -> DataFrame:
+    """`most` rows of each population at most, those with the least digests."""
+    from ..operators.windows import digest_rank
+
+    ranked = digest_rank(df.withColumn("_d", F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), 256)), [population], "_d", key[0], "_r")
+    return ranked.where(F.col("_r") <= most).drop("_d", "_r")
 
 
 def density_histogram(df: DataFrame, population: str, value: str, low: float, high: float, bins: int) -> DataFrame:

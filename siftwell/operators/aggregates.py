@@ -117,7 +117,7 @@ def latency_quantiles(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 def all_equal(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """Whether all rows of a group agree in cols: the least and the greatest digest are the same."""
-    d = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]), 256)
+    d = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
     return df.groupBy(*by).agg(F.count("*").alias("n"), (F.min(d) == F.max(d)).alias("equal"))
 
 
@@ -125,16 +125,9 @@ def mean_vector(df: DataFrame, population: str, vector: str) -> DataFrame:
     return df.select(population, F.posexplode(vector).alias("dim", "x")).groupBy(population, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count("*").alias("n"))
 
 
-def covariance(df: DataFrame, population: str, vector: str) -> DataFrame:
-    """Sample covariance of each pair of dimensions (i <= j) by population."""
-    pair = f"flatten(transform({vector}, (x, i) -> transform(filter(transform({vector}, (y, j) -> struct(j, y)), s -> s.j >= i), s -> struct(i as i, s.j as j, cast(x as double) as x, cast(s.y as double) as y))))"
-    rows = df.select(population, F.explode(F.expr(pair)).alias("p"))
-    return rows.groupBy(population, F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.covar_samp("p.x", "p.y").alias("cov"))
-
-
-def moments(df: DataFrame, population: str, vector: str, dim: int) -> dict:
-    """population -> (n, mean, covariance): each task adds up sums of x and of x x', and only those d x d sums are
-    merged, by a shuffle; one row for each population reaches the driver."""
+def moments(df: DataFrame, population: str, vector: str) -> DataFrame:
+    """(population, i, j, n, si, sj, sij): sums over each population's vectors of x_i, x_j and x_i x_j, i <= j. Each task adds up
+    its vectors, and only those sums, d (d + 1) / 2 rows for a population and task, are shuffled and merged."""
 
     def run(batches):
         import pandas as pd
@@ -146,16 +139,46 @@ def moments(df: DataFrame, population: str, vector: str, dim: int) -> dict:
                 n, s, q = held.get(key, (0, 0.0, 0.0))
                 held[key] = (n + len(x), s + x.sum(0), q + x.T @ x)
         for key, (n, s, q) in held.items():
-            flat = np.concatenate([[n], s, q.ravel()])
-            yield pd.DataFrame({"population": [str(key)] * len(flat), "pos": range(len(flat)), "v": flat})
+            i, j = np.triu_indices(len(s))
+            yield pd.DataFrame({population: [key] * len(i), "i": i, "j": j, "n": n, "si": s[i], "sj": s[j], "sij": q[i, j]})
+
+    kind = dict(df.dtypes)[population]
+    sums = df.select(population, vector).mapInPandas(run, f"{population} {kind}, i int, j int, n long, si double, sj double, sij double")
+    return sums.groupBy(population, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+
+
+def covariance(df: DataFrame, population: str, vector: str) -> DataFrame:
+    """Sample covariance of each pair of dimensions (i <= j) by population."""
+    cov = F.when(F.col("n") > 1, (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1))
+    return moments(df, population, vector).select(population, "i", "j", cov.alias("cov"))
+
+
+def frechet_distances(df: DataFrame, population: str, vector: str) -> DataFrame:
+    """(a, b, n_a, n_b, distance) of each two populations a < b. The moments of a population are one row of d (d + 1) / 2 numbers;
+    rows are joined and compared in tasks."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "n", "si", "sj", "sij")))
+    one = moments(df, population, vector).groupBy(population).agg(F.first("n").alias("n"), cells.alias("m"))
+    one = one.select(F.col(population).alias("p"), "n", F.transform("m", lambda c: c["i"]).alias("i"), F.transform("m", lambda c: c["j"]).alias("j"), F.transform("m", lambda c: c["si"]).alias("si"), F.transform("m", lambda c: c["sij"]).alias("sij"))
+    sides = [one.select(*[F.col(c).alias(f"{c}_{s}") for c in one.columns]) for s in "ab"]
+    pairs = sides[0].join(sides[1], F.col("p_a") < F.col("p_b"))
+
+    def unpacked(r, s: str) -> tuple:
+        i, j = (np.asarray(r[f"{c}_{s}"]) for c in "ij")
+        n, d = int(r[f"n_{s}"]), int(i.max()) + 1
+        q, mean = np.zeros((d, d)), np.zeros(d)
+        q[i, j] = q[j, i] = np.asarray(r[f"sij_{s}"])
+        mean[i] = np.asarray(r[f"si_{s}"]) / n
+        return n, mean, (q - n * np.outer(mean, mean)) / max(1, n - 1)
+
+    def run(batches):
+        import pandas as pd
 
-    sums = df.select(population, vector).mapInPandas(run, "population string, pos int, v double").groupBy("population", "pos").agg(F.sum("v").alias("v"))
-    out = {}
-    for key, part in sums.toPandas().groupby("population"):
-        v = part.sort_values("pos")["v"].to_numpy()
-        n, mean, q = v[0], v[1 : dim + 1] / v[0], v[dim + 1 :].reshape(dim, dim)
-        out[key] = (int(n), mean, (q - n * np.outer(mean, mean)) / max(1, n - 1))
-    return out
+        for b in batches:
+            rows = b.to_dict("records")
+            yield pd.DataFrame({"a": b["p_a"], "b": b["p_b"], "n_a": b["n_a"], "n_b": b["n_b"], "distance": [frechet(unpacked(r, "a"), unpacked(r, "b")) for r in rows]})
+
+    kind = dict(df.dtypes)[population]
+    return pairs.mapInPandas(run, f"a {kind}, b {kind}, n_a long, n_b long, distance double")
 
 
 def frechet(a: tuple, b: tuple) -> float:
@@ -179,6 +202,13 @@ def duplicate_groups(df: DataFrame, digest: Column, key: str, by: str) -> DataFr
     return g.where("n > 1")
 
 
+def duplicate_members(df: DataFrame, digest: Column, key: str) -> DataFrame:
+    """(digest, n, key): a row for each member of a content that stands more than once. Groups are counted and joined back,
+    so a large one is never gathered."""
+    rows = df.select(digest.alias("digest"), key)
+    return rows.join(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digest").select("digest", "n", key)
+
+
 def spread(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(value).alias("n"), F.stddev_pop(value).alias("sd"), (F.max(value) - F.min(value)).alias("range"))
 

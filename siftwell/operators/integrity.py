@@ -28,8 +28,8 @@ def check_inventory(df: DataFrame, key: str, split: str, digest: str, allowed: l
 
 
 def row_digest(df: DataFrame, cols: list[str], name: str = "row_digest") -> DataFrame:
-    """SHA-256 of the values of cols in the order of their names, joined by |; null counts as the empty string."""
-    return df.withColumn(name, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(cols)]), 256))
+    """SHA-256 of the values of cols as a JSON object in the order of their names, nulls included: other values, other text."""
+    return df.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256))
 
 
 def tree_fingerprint(df: DataFrame, key: str, digest: str, size: str, buckets: int = 64) -> DataFrame:

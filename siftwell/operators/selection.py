@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_rank
 from .joins import exclude
 from .similarity import durable
-from .windows import bucket_rank, digest_rank, hardness, keep_best, stratified_topk
+from .windows import bucket_rank, digest_rank, hardness, keep_best, score_rank
 
 
 def allocate(weights: DataFrame, key: str, weight: str, n: int | Column, by: list[str] | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def drop_variants(df: DataFrame, origin: str, signature: str, key: str) -> DataF
     return df.groupBy(origin, signature).agg(F.min(key).alias(key))
 
 
-def promote(scores: DataFrame, kept: DataFrame, removed: DataFrame, by: str, key: str, group: str, score: str, most: int | None = None) -> DataFrame:
+def promote(scores: DataFrame, kept: DataFrame, removed: DataFrame, by: str, key: str, group: str, score: str) -> DataFrame:
     """Replacements: in each stratum as many unselected rows as were removed, best score first, one of each similarity
     group, none of a group that a kept row stands in."""
     need = removed.groupBy(by).agg(F.count("*").alias("quota"))
@@ -58,7 +58,8 @@ def promote(scores: DataFrame, kept: DataFrame, removed: DataFrame, by: str, key
     taken = kept.where(F.col(group).isNotNull()).select(group)
     pool = pool.join(taken.distinct(), group, "left_anti")
     pool = keep_best(pool, group, score, key).where("not removed").drop("removed")
-    return stratified_topk(pool, need, by, [F.desc(score), F.col(key)], most=most).drop("rank")
+    ranked = score_rank(pool, [by], score, [F.col(key)], "rank")
+    return ranked.join(need, by).where(F.col("rank") <= F.col("quota")).drop("rank", "quota")
 
 
 def change_log(kept: DataFrame, promoted: DataFrame, removed: DataFrame, cols: list[str]) -> DataFrame:
@@ -72,14 +73,16 @@ def select_hard(df: DataFrame, key: str, by: str, group: str, weights: dict, n:
     written once, so that the steps do not measure the rows again."""
     scored = hardness(durable(df.select(key, by, group, *weights)), weights).select(key, by, group, F.round("score", 9).alias("score"))
     quotas = allocate(scored.groupBy(by).agg(F.count("*").alias("w")), by, "w", n).select(by, "quota")
-    top = durable(stratified_topk(scored, quotas, by, [F.desc("score"), F.col(key)], most=n))
+    scored = durable(scored)
+    ranked = score_rank(scored, [by], "score", [F.col(key)], "rank")
+    top = durable(ranked.join(quotas, by).where(F.col("rank") <= F.col("quota")).drop("rank", "quota"))
     marked = keep_best(top, group, "score", key)
     kept, removed = marked.where("not removed"), marked.where("removed")
-    promoted = promote(scored, kept, removed, by, key, group, "score", n)
+    promoted = promote(scored, kept, removed, by, key, group, "score")
     log = change_log(kept, promoted, removed, [key, by, "score"])
-    w = Window.partitionBy(by, "stays").orderBy(F.desc("score"), key)  # n rows at most
-    log = log.withColumn("stays", F.col("action") != "removed").withColumn("rank", F.when(F.col("stays"), F.row_number().over(w)).otherwise(0))
-    return log.drop("stays")
+    log = durable(log)
+    stays = score_rank(log.where("action <> 'removed'"), [by], "score", [F.col(key)], "rank")
+    return stays.unionByName(log.where("action = 'removed'").withColumn("rank", F.lit(0).cast("long")))
 
 
 def stratified_split(df: DataFrame, by: str, key: str, targets: dict[str, int], seed: int) -> DataFrame:

@@ -42,6 +42,11 @@ def score_rank(df: DataFrame, by: list[str], score: str, ties: list, name: str,
     return bucket_rank(rows, by, bucket, [F.desc_nulls_last(score), *ties], name).drop("_low", "_high", *[f"_e{i}" for i in range(len(by))])
 
 
+def first_of(score: Column, tie: str) -> Column:
+    """A value that is least for the greatest score (nulls last) and the least tie, which may be of any ordered type."""
+    return F.struct(score.isNull().alias("n"), (-score).alias("s"), F.col(tie).alias("t"))
+
+
 def minmax(df: DataFrame, cols: dict[str, bool], by: list[str] | None = None) -> DataFrame:
     """Adds col_norm in 0..1 for each column (True: inverted); 0.5 where all values are equal.
 
@@ -87,7 +92,7 @@ def keep_best(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
 
     The best is found by an aggregation and joined back, so a large group is never gathered.
     """
-    best = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.max_by(tie, F.struct(F.col(score), (-F.col(tie)).alias("t"))).alias("_best"))
+    best = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(tie, first_of(F.col(score), tie)).alias("_best"))
     joined = df.join(best, group, "left")
     return joined.withColumn("removed", F.col(group).isNotNull() & (F.col(tie) != F.col("_best"))).drop("_best")
 
@@ -114,14 +119,35 @@ def extremes(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     return df.groupBy(by).agg(F.min_by(value, o).alias("first"), F.max_by(value, o).alias("last"))
 
 
-def compare_selections(df: DataFrame, n: int, seed: int, key: str, score: str) -> DataFrame:
-    """(method, key, rank) of n rows by digest and of n by score; invalid rows (null score) are left out."""
-    pool = df.where(F.col(score).isNotNull()).dropDuplicates([key])
-    order = {"random": [hash_rank(seed, F.col(key)), F.col(key)], "task": [F.desc(score), F.col(key)]}
-    parts = [pool.orderBy(*o).limit(n).select(F.lit(m).alias("method"), key) for m, o in order.items()]
+def compare_selections(df: DataFrame, n: int, seed: int, key: str, score: str, valid: Column | None = None, expected: Column | None = None) -> DataFrame:
+    """(method, key, rank) of n rows by digest (random) and of n by score, then digest (task).
+
+    The pool is checked first, in one aggregation: it must have n rows at least, no repeated or null key, only valid rows,
+    and (if told) scores that equal what is expected within 1e-9; otherwise a ValueError tells what is wrong.
+    """
+    sound = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    exact = F.lit(True) if expected is None else F.coalesce(F.abs(expected - F.col(score)) <= 1e-9, F.lit(False))
+    seen = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.count_if(~sound).alias("invalid"), F.count_if(F.col(score).isNull()).alias("unscored"), F.count_if(~exact).alias("tampered")).first()
+    if seen["rows"] < n or seen["keys"] < seen["rows"]:
+        raise ValueError("too few rows, or keys that are null or repeated")
+    if seen["invalid"] or seen["unscored"] or seen["tampered"]:
+        raise ValueError("rows that are not valid, have no score, or one that differs from the formula")
+    pool = df.withColumn("_d", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256))
+    order = {"random": [F.col("_d"), F.col(key)], "task": [F.desc(score), F.col("_d"), F.col(key)]}
+    parts = [pool.orderBy(*o).limit(n).select(F.lit(m).alias("method"), key, F.row_number().over(Window.orderBy(*o)).cast("long").alias("rank")) for m, o in order.items()]  # n rows
     return parts[0].unionByName(parts[1])
 
 
+def selection_statistics(chosen: DataFrame, df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(method, field, value, n): how the rows of each method spread over fields of df, and how many keys both methods
+    share (method `both`, field `overlap`)."""
+    rows = chosen.join(df.select(key, *[F.col(f).cast("string").alias(f) for f in fields]), key)
+    long = rows.select("method", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("p"))
+    stats = long.groupBy("method", "p.field", "p.value").agg(F.count("*").alias("n"))
+    shared = chosen.groupBy(key).agg(F.count_distinct("method").alias("_m")).agg(F.count_if(F.col("_m") == 2).alias("n"))
+    return stats.unionByName(shared.select(F.lit("both").alias("method"), F.lit("overlap").alias("field"), F.lit(None).cast("string").alias("value"), "n"))
+
+
 def balance(df: DataFrame, population: str, seed: int, key: str) -> DataFrame:
     """Of each population as many rows as the smallest has, by digest."""
     ranked = digest_rank(df.withColumn("_d", hash_rank(seed, F.col(key))), [population], "_d", key, "rank").drop("_d")
@@ -145,7 +171,7 @@ def check_series(df: DataFrame, key: str, pos: str, value: str | None = None) ->
 
 def best_of(df: DataFrame, key: str, score: str, pos: str) -> DataFrame:
     """The row of the greatest score of each series, the earliest on ties."""
-    best = F.max_by(F.struct(pos, score), F.struct(F.col(score), (-F.col(pos)).alias("p")))
+    best = F.min_by(F.struct(pos, score), first_of(F.col(score), pos))
     return df.groupBy(key).agg(best.alias("_b")).select(key, F.col(f"_b.{pos}").alias("best_pos"), F.col(f"_b.{score}").alias("best_score"))
 
 
@@ -185,8 +211,8 @@ def select_candidate(df: DataFrame, sample: str, candidate: str, components: lis
             aggs.append(F.min_by(F.struct(F.lit(cond).alias("condition"), F.col(candidate), F.lit(None).cast("double").alias("final_score")), order).alias(cond))
         else:
             score = reduce(lambda a, b: a + b, [F.lit(0.0 if cond == f"no_{c}" else weights[c]) * F.col(c) for c in components])
-            order = F.struct(score.alias("s"), (-F.col(candidate)).alias("c"))
-            aggs.append(F.max_by(F.struct(F.lit(cond).alias("condition"), F.col(candidate), score.alias("final_score")), order).alias(cond))
+            order = first_of(score, candidate)
+            aggs.append(F.min_by(F.struct(F.lit(cond).alias("condition"), F.col(candidate), score.alias("final_score")), order).alias(cond))
     g = df.groupBy(sample).agg(*aggs)
     return g.select(sample, F.explode(F.array(*conditions)).alias("_c")).select(sample, "_c.condition", f"_c.{candidate}", "_c.final_score")
 

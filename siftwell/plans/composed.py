@@ -67,7 +67,7 @@ def hard(t: Tables) -> DataFrame:
     return X.select_hard(df, "doc_id", "lang", "sim_group", HARDNESS, n)
 
 
-@query(HARD + " SELECT doc_id, lang, round(score, 6) AS score, action, CASE WHEN action <> 'removed' THEN row_number() OVER (PARTITION BY lang, action <> 'removed' ORDER BY score DESC, doc_id) ELSE 0 END::INT AS rank FROM log")
+@query(HARD + " SELECT doc_id, lang, round(score, 6) AS score, action, CASE WHEN action <> 'removed' THEN row_number() OVER (PARTITION BY lang, action <> 'removed' ORDER BY score DESC, doc_id) ELSE 0 END::BIGINT AS rank FROM log")
 def q_hard_selection(spark, sf_dir) -> DataFrame:
     return hard(Tables(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
@@ -103,10 +103,10 @@ def splits(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("h"), F.when(part < 7, "train").when(part < 8, "val").otherwise("test").alias("split"))
 
 
-@query(f"WITH s AS ({SPLITS}) SELECT s.doc_id, s.h, s.split, r.split AS registered FROM s JOIN (SELECT DISTINCT h, split FROM s WHERE doc_id % 2 = 0) r ON s.h = r.h WHERE s.split <> r.split")
+@query(f"WITH s AS ({SPLITS}) SELECT s.doc_id, s.h, s.split, r.split AS registered FROM s JOIN (SELECT DISTINCT h, split FROM s JOIN labels USING (doc_id)) r ON s.h = r.h WHERE s.split <> r.split")
 def q_split_conflicts(spark, sf_dir) -> DataFrame:
-    s = splits(Tables(spark, sf_dir))
-    return X.split_conflicts(s, s.where("doc_id % 2 = 0"), "h")
+    t = Tables(spark, sf_dir)
+    return X.split_conflicts(splits(t), splits(t).join(t.labels, "doc_id", "left_semi"), "h")
 
 
 @query(f"WITH s AS (SELECT DISTINCT h, split FROM (SELECT h, split FROM ({SPLITS}) UNION ALL SELECT sha256(text), 'benchmark' FROM benchmark)) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.split < b.split GROUP BY ALL")
@@ -197,11 +197,11 @@ def q_split_log(spark, sf_dir) -> DataFrame:
     return stage_log({"length": short, "label": labelled, "duplicate": later}).select("doc_id", "stage", "reason")
 
 
-@query("SELECT doc_id, CASE WHEN f IS NULL THEN 'MISSING' ELSE 'CHANGED' END AS status FROM (SELECT d.doc_id, sha256(d.text) AS m, f.h AS f FROM documents d LEFT JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 19 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 23 <> 0) f USING (doc_id)) WHERE f IS NULL OR m <> f")
+@query("SELECT doc_id, CASE WHEN f IS NULL THEN 'MISSING' ELSE 'CHANGED' END AS status FROM (SELECT d.doc_id, sha256(d.text) AS m, f.h AS f FROM documents d LEFT JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 19 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE lang <> 'es') f USING (doc_id)) WHERE f IS NULL OR m <> f")
 def q_verify_hashes(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).documents
     manifest = docs.select("doc_id", F.sha2("text", 256).alias("h"))
-    files = docs.where("doc_id % 23 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
+    files = docs.where("lang <> 'es'").select("doc_id", F.sha2(F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
     return I.verify_hashes(manifest, files, "doc_id", "h")
 
 
@@ -217,7 +217,7 @@ def q_inventory_checks(spark, sf_dir) -> DataFrame:
     return I.check_inventory(inv, "k", "split", "h", ["train", "val", "test"], {"train": 500, "val": 100})
 
 
-@query("SELECT c_custkey, sha256(c_custkey || '|' || coalesce(c_mktsegment, '') || '|' || coalesce(c_name, '')) AS row_digest FROM customer")
+@query("SELECT c_custkey, sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name})::VARCHAR) AS row_digest FROM customer")
 def q_row_digest(spark, sf_dir) -> DataFrame:
     return I.row_digest(Tables(spark, sf_dir).customer, ["c_name", "c_custkey", "c_mktsegment"]).select("c_custkey", "row_digest")
 
@@ -238,16 +238,16 @@ def graph(t: Tables) -> DataFrame:
     return a.union(p.where("p_partkey % 4 = 0").select("p_partkey", F.expr("p_partkey div 2")).where("`(p_partkey div 2)` > 0")).distinct()
 
 
-@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_partkey % 50 = 7 UNION SELECT r.start, e.dependency FROM r JOIN e ON e.node = r.node) SELECT start, node FROM r")
+@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT r.start, e.dependency FROM r JOIN e ON e.node = r.node) SELECT start, node FROM r")
 def q_upstream(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return I.upstream(graph(t), t.part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("node")))
+    return I.upstream(graph(t), t.part.select(F.col("p_partkey").alias("node")))
 
 
-@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_partkey % 100 = 9 UNION SELECT r.start, e.node FROM r JOIN e ON e.dependency = r.node) SELECT start, node FROM r")
+@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT r.start, e.node FROM r JOIN e ON e.dependency = r.node) SELECT start, node FROM r")
 def q_downstream(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return I.downstream(graph(t), t.part.where("p_partkey % 100 = 9").select(F.col("p_partkey").alias("node")))
+    return I.downstream(graph(t), t.part.select(F.col("p_partkey").alias("node")))
 
 
 @query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS node, 0 AS level FROM part UNION SELECT e.node, r.level + 1 FROM r JOIN e ON e.dependency = r.node) SELECT node, max(level)::INT AS level, NULL::VARCHAR AS problem FROM r GROUP BY node")
@@ -256,11 +256,11 @@ def q_graph_levels(spark, sf_dir) -> DataFrame:
     return I.check_graph(t.part.select(F.col("p_partkey").alias("node")), graph(t))
 
 
-@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_partkey % 50 = 7 UNION SELECT r.start, e.dependency FROM r JOIN e ON e.node = r.node) SELECT start, count(*) AS jobs, sum(p_size)::BIGINT AS size, round(sum(p_retailprice), 3) AS price, round(sum(p_retailprice) * 1.2, 3) AS price_with_margin FROM r JOIN part ON p_partkey = node GROUP BY start")
+@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT r.start, e.dependency FROM r JOIN e ON e.node = r.node) SELECT start, count(*) AS jobs, sum(p_size)::BIGINT AS size, round(sum(p_retailprice), 3) AS price, round(sum(p_retailprice) * 1.2, 3) AS price_with_margin FROM r JOIN part ON p_partkey = node GROUP BY start")
 def q_closure_cost(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     costs = t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    out = I.closure_cost(graph(t), t.part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("node")), costs, ["size", "price"], 1.2)
+    out = I.closure_cost(graph(t), t.part.select(F.col("p_partkey").alias("node")), costs, ["size", "price"], 1.2)
     return out.withColumns({"price": F.round("price", 3), "price_with_margin": F.round("price_with_margin", 3)})
 
 

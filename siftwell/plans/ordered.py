@@ -82,9 +82,24 @@ def pool(t: Tables) -> DataFrame:
     return doc_features(t).select("doc_id", F.when(F.col("n_words") >= 20, F.round(2 - F.least(F.lit(1.0), F.col("n_words") / 500.0) - F.col("variety"), 9)).alias("score"))
 
 
-@query(f"WITH p AS (SELECT * FROM ({POOL}) WHERE score IS NOT NULL) SELECT 'random' AS method, doc_id FROM (SELECT doc_id FROM p ORDER BY {hash_sql(9, 'doc_id')}, doc_id LIMIT 60) UNION ALL SELECT 'task', doc_id FROM (SELECT doc_id FROM p ORDER BY score DESC, doc_id LIMIT 60)")
+CHOSEN = f"""WITH p AS (SELECT *, sha256('9:' || doc_id) AS d FROM ({POOL}) WHERE score IS NOT NULL), c AS (
+    SELECT 'random' AS method, doc_id, row_number() OVER (ORDER BY d, doc_id) AS rank FROM p UNION ALL SELECT 'task', doc_id, row_number() OVER (ORDER BY score DESC, d, doc_id) FROM p)"""
+
+
+def chosen(t: Tables) -> DataFrame:
+    return W.compare_selections(pool(t).where("score is not null"), 60, 9, "doc_id", "score", F.col("score").between(0, 2))
+
+
+@query(f"{CHOSEN} SELECT method, doc_id, rank FROM c WHERE rank <= 60")
 def q_two_selections(spark, sf_dir) -> DataFrame:
-    return W.compare_selections(pool(Tables(spark, sf_dir)), 60, 9, "doc_id", "score")
+    return chosen(Tables(spark, sf_dir))
+
+
+@query(f"""{CHOSEN}, k AS (SELECT method, doc_id, lang, source FROM c JOIN documents USING (doc_id) WHERE rank <= 60)
+    SELECT method, field, value, count(*) AS n FROM k UNPIVOT (value FOR field IN (lang, source)) GROUP BY ALL UNION ALL SELECT 'both', 'overlap', NULL, count(*) FROM (SELECT doc_id FROM k GROUP BY doc_id HAVING count(*) = 2)""")
+def q_selection_statistics(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return W.selection_statistics(chosen(t), t.documents, "doc_id", ["lang", "source"])
 
 
 @query(f"WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {hash_sql(1, 'vec_id')}, vec_id) AS rank FROM embeddings) SELECT * FROM r WHERE rank <= (SELECT min(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))")

@@ -10,10 +10,10 @@ from .base import FEATURES, Tables, doc_features, hash_sql, query
 from .scalar import IOU, mask_pairs
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS key, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'paired' END AS status, d.lang, coalesce(l.toxic, -1) AS toxic FROM documents d FULL JOIN (SELECT * FROM labels WHERE doc_id % 5 <> 0) l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS key, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'paired' END AS status, d.lang, coalesce(l.toxic, -1) AS toxic FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def q_pair_full(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    out = J.pair(t.documents.select("doc_id", "lang"), t.labels.where("doc_id % 5 <> 0"), F.col("doc_id"), F.col("doc_id"))
+    out = J.pair(t.documents.select("doc_id", "lang"), t.labels, F.col("doc_id"), F.col("doc_id"))
     return out.select("key", "status", F.col("l.lang").alias("lang"), F.coalesce("r.toxic", F.lit(-1)).alias("toxic"))
 
 
@@ -29,11 +29,12 @@ def q_exclude_selected(spark, sf_dir) -> DataFrame:
     return J.exclude(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p_size > 25 AND p_retailprice > 1000)")
+@query("SELECT d.doc_id, sha256(d.text) AS h, d.lang FROM documents d WHERE EXISTS (SELECT 1 FROM documents m JOIN labels l ON m.doc_id = l.doc_id AND l.toxic = 0 WHERE m.doc_id = d.doc_id AND sha256(CASE WHEN m.lang = 'de' THEN m.text || 'x' ELSE m.text END) = sha256(d.text))")
 def q_allowed_sources(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    allowed = t.part.where("p_size > 25 and p_retailprice > 1000").select(F.col("p_partkey").alias("l_partkey"))
-    return J.allowed_only(t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber"), allowed, ["l_partkey"])
+    registered = F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text"))  # these have changed since
+    allowed = t.documents.join(t.labels.where("toxic = 0"), "doc_id", "left_semi").select("doc_id", F.sha2(registered, 256).alias("h"))
+    return J.allowed_only(t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "lang"), allowed, ["doc_id", "h"])
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderstatus <> 'P') GROUP BY l_orderkey")
@@ -76,13 +77,13 @@ def q_catalog_check(spark, sf_dir) -> DataFrame:
     return J.check_catalog(catalog, m, "l_orderkey", ["lines"])
 
 
-@query("""WITH a AS (SELECT doc_id, n_chars, lang FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, length(text) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_chars, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 13 <> 0)
+@query("""WITH a AS (SELECT doc_id, n_chars, lang FROM documents WHERE n_chars >= 200), b AS (SELECT doc_id, length(text) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_chars, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang FROM documents WHERE n_chars <= 5000)
        SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, unnest(list_filter([CASE WHEN b.doc_id IS NULL THEN 'missing_right' END, CASE WHEN a.doc_id IS NULL THEN 'missing_left' END,
        CASE WHEN a.doc_id = b.doc_id AND a.n_chars IS DISTINCT FROM b.n_chars THEN 'differs:n_chars' END, CASE WHEN a.doc_id = b.doc_id AND a.lang IS DISTINCT FROM b.lang THEN 'differs:lang' END], lambda x: x IS NOT NULL)) AS reason FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def q_reconcile(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).documents
-    a = docs.where("doc_id % 11 <> 0").select("doc_id", "n_chars", "lang")
-    b = docs.where("doc_id % 13 <> 0").select("doc_id", (F.length("text") + (F.col("doc_id") % 7 == 0).cast("int")).cast("long").alias("n_chars"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
+    a = docs.where("n_chars >= 200").select("doc_id", "n_chars", "lang")
+    b = docs.where("n_chars <= 5000").select("doc_id", (F.length("text") + (F.col("doc_id") % 7 == 0).cast("int")).cast("long").alias("n_chars"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
     return J.reconcile(a, b, ["doc_id"], ["n_chars", "lang"])
 
 
@@ -216,7 +217,7 @@ def q_latency(spark, sf_dir) -> DataFrame:
     return A.latency_quantiles(Tables(spark, sf_dir).events, ["event_type"], "value").withColumn("median", F.round("median", 6))
 
 
-@query("SELECT p_brand, count(*) AS n, count(DISTINCT p_type || '|' || p_size % 2) = 1 AS equal FROM part GROUP BY p_brand")
+@query("SELECT p_brand, count(*) AS n, count(DISTINCT (p_type, p_size % 2)) = 1 AS equal FROM part GROUP BY p_brand")
 def q_all_equal(spark, sf_dir) -> DataFrame:
     return A.all_equal(Tables(spark, sf_dir).part.select("p_brand", "p_type", (F.col("p_size") % 2).alias("odd")), ["p_brand"], ["p_type", "odd"])
 
@@ -229,17 +230,14 @@ def q_mean_vector(spark, sf_dir) -> DataFrame:
     return A.mean_vector(Tables(spark, sf_dir).embeddings, "label", "embedding").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"WITH v AS ({VECTORS}) SELECT a.label, a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.dim <= b.dim AND b.dim < 8 GROUP BY ALL")
+@query(f"WITH v AS ({VECTORS}) SELECT a.label, a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL")
 def q_covariance(spark, sf_dir) -> DataFrame:
-    rows = Tables(spark, sf_dir).embeddings.select("label", F.slice("embedding", 1, 8).alias("embedding"))
-    return A.covariance(rows, "label", "embedding").withColumn("cov", F.round("cov", 6))
+    return A.covariance(Tables(spark, sf_dir).embeddings, "label", "embedding").withColumn("cov", F.round("cov", 6))
 
 
 @query()
 def q_frechet(spark, sf_dir) -> DataFrame:
-    m = A.moments(Tables(spark, sf_dir).embeddings, "label", "embedding", 64)
-    rows = [(a, b, m[a][0], m[b][0], A.frechet(m[a], m[b])) for a in sorted(m) for b in sorted(m) if a < b]
-    return spark.createDataFrame(rows, "a string, b string, n_a long, n_b long, distance double")
+    return A.frechet_distances(Tables(spark, sf_dir).embeddings, "label", "embedding")
 
 
 @query("""WITH p AS (SELECT l_partkey AS a, l_suppkey AS b, count(*) AS n FROM lineitem GROUP BY ALL), u AS (SELECT a, sum(n) AS uses FROM p GROUP BY a)
@@ -253,6 +251,11 @@ def q_duplicate_groups(spark, sf_dir) -> DataFrame:
     return A.duplicate_groups(Tables(spark, sf_dir).documents, F.sha2("text", 256), "doc_id", "lang")
 
 
+@query("SELECT sha256(text) AS digest, count(*) OVER (PARTITION BY sha256(text)) AS n, doc_id FROM documents QUALIFY count(*) OVER (PARTITION BY sha256(text)) > 1")
+def q_duplicate_members(spark, sf_dir) -> DataFrame:
+    return A.duplicate_members(Tables(spark, sf_dir).documents, F.sha2("text", 256), "doc_id")
+
+
 @query("SELECT o_custkey, count(o_totalprice) AS n, round(stddev_pop(o_totalprice), 4) AS sd, round(max(o_totalprice) - min(o_totalprice), 4) AS range FROM orders GROUP BY o_custkey")
 def q_model_spread(spark, sf_dir) -> DataFrame:
     return A.spread(Tables(spark, sf_dir).orders, "o_custkey", "o_totalprice").withColumns({c: F.round(c, 4) for c in ("sd", "range")})

@@ -104,6 +104,13 @@ def q_signature(spark, sf_dir) -> DataFrame:
     return sig.select("doc_id", *[F.get("sig", i).alias(f"w{i}") for i in range(4)], M.mask_area(F.col("sig")).alias("bits"))
 
 
+@query("""SELECT vec_id, bit_or(CASE WHEN i < 32 AND x > mean THEN 1::BIGINT << i ELSE 0 END) AS w0, bit_or(CASE WHEN i >= 32 AND x > mean THEN 1::BIGINT << (i - 32) ELSE 0 END) AS w1
+       FROM (SELECT vec_id, unnest(range(0, 64))::INT AS i, unnest(embedding)::DOUBLE AS x, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / len(embedding) AS mean FROM embeddings) GROUP BY vec_id""")
+def q_mean_signature(spark, sf_dir) -> DataFrame:
+    sig = M.mean_signature(F.transform("embedding", lambda x: x.cast("double")), 64)
+    return Tables(spark, sf_dir).embeddings.select("vec_id", sig.alias("sig")).select("vec_id", F.get("sig", 0).alias("w0"), F.get("sig", 1).alias("w1"))
+
+
 @query("""SELECT doc_id, CASE WHEN c BETWEEN 0 AND 1 THEN round(2 - v - c, 6) END AS task_score FROM
        (SELECT doc_id, least(1.0, n_words / 500.0) AS v, variety * 1.2 AS c FROM (""" + FEATURES + "))")
 def q_task_score(spark, sf_dir) -> DataFrame:
@@ -121,11 +128,11 @@ def q_releasable(spark, sf_dir) -> DataFrame:
 PLANTED = C.SCREEN_PATTERNS | {"password": r"password=[0-9a-f]{8,}", "token": r'token = "[0-9a-f]{20,}"'}
 
 
-@query("WITH s AS (SELECT 'documents' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages) " + " UNION ALL ".join(f"SELECT source, id, '{k}' AS reason FROM s WHERE regexp_matches(text, '{p}')" for k, p in PLANTED.items()) + " UNION ALL SELECT source, id, 'too_long' FROM s WHERE length(text) > 20000")
+@query("WITH s AS (SELECT 'documents' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages) " + " UNION ALL ".join(f"SELECT source, id, '{k}' AS reason FROM s WHERE regexp_matches(text, '{p}')" for k, p in PLANTED.items()) + " UNION ALL SELECT source, id, 'too_long' FROM s WHERE length(text) > 20000" + f" UNION ALL SELECT 'pages', page_id, 'denied_format' FROM pages WHERE lower(regexp_extract(url, '(\\.[^./\\\\]*)$', 1)) IN {C.DENIED_EXTENSIONS}")
 def q_secret_screen(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    both = t.documents.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text").union(t.pages.select(F.lit("pages"), "page_id", "html"))
-    out = C.screen_text(both.select(F.struct("source", "id").alias("k"), "text"), "k", "text", PLANTED, 20000)
+    both = t.documents.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("path")).union(t.pages.select(F.lit("pages"), "page_id", "html", "url"))
+    out = C.screen_text(both.select(F.struct("source", "id").alias("k"), "text", "path"), "k", "text", PLANTED, 20000, "path")
     return out.select("k.source", "k.id", "reason")
 
 
@@ -202,9 +209,9 @@ def q_mask_stats(spark, sf_dir) -> DataFrame:
     return df.select("vec_id", F.col("area").cast("long").alias("area"), F.round("coverage", 6).alias("coverage"), "box_x0", "box_y0", "box_x1", "box_y1")
 
 
-@query(f"SELECT vec_id % 50 AS image, (i // 32)::INT AS pos, bit_or(CASE WHEN b THEN 1::BIGINT << (i % 32) ELSE 0 END) AS word FROM ({BITS}) WHERE label < 2 GROUP BY ALL")
+@query(f"SELECT vec_id % 50 AS image, (i // 32)::INT AS pos, bit_or(CASE WHEN b THEN 1::BIGINT << (i % 32) ELSE 0 END) AS word FROM ({BITS}) GROUP BY ALL")
 def q_mask_union(spark, sf_dir) -> DataFrame:
-    df = vector_masks(Tables(spark, sf_dir)).where("label < 2").withColumn("image", F.col("vec_id") % 50)
+    df = vector_masks(Tables(spark, sf_dir)).withColumn("image", F.col("vec_id") % 50)
     return M.mask_union(df, "image", "words").select("image", F.posexplode("words").alias("pos", "word"))
 
 
@@ -227,7 +234,7 @@ def q_mask_iou(spark, sf_dir) -> DataFrame:
 
 def best_match(df: DataFrame, target: str, iou, confidence, index: str) -> DataFrame:
     """Per target the prediction of greatest overlap, then confidence, then least index; 0, 0 and null where there is none."""
-    best = F.max_by(F.struct(F.col(index), iou.alias("iou"), confidence.alias("confidence")), F.struct(iou.alias("i"), confidence.alias("c"), (-F.col(index)).alias("k")))
+    best = F.min_by(F.struct(F.col(index), iou.alias("iou"), confidence.alias("confidence")), F.struct(iou.isNull().alias("n"), (-iou).alias("i"), (-confidence).alias("c"), F.col(index).alias("k")))
     g = df.groupBy(target).agg(best.alias("_b"))
     return g.select(target, F.col(f"_b.{index}").alias(index), F.coalesce("_b.iou", F.lit(0.0)).alias("iou"), F.coalesce("_b.confidence", F.lit(0.0)).alias("confidence"))
 
@@ -243,13 +250,14 @@ def q_best_match(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS mean, round(list_stddev_pop(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS deviation FROM embeddings""")
 def q_raster_moments(spark, sf_dir) -> DataFrame:
-    out = M.raster_features(Tables(spark, sf_dir).embeddings, "vec_id", "embedding", 8)
+    out = M.raster_moments(Tables(spark, sf_dir).embeddings, "vec_id", "embedding")
     return out.select("vec_id", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
 @query()
 def q_raster_features(spark, sf_dir) -> DataFrame:
-    return M.raster_features(Tables(spark, sf_dir).embeddings, "vec_id", "embedding", 8)
+    df = Tables(spark, sf_dir).embeddings.withColumn("mask", F.transform("embedding", lambda x: x > 0))
+    return M.raster_features(df, "vec_id", "embedding", 8, -4.0, 4.0, 1.0, 2.0, "mask")
 
 
 @query()
@@ -266,8 +274,9 @@ def q_density_histogram(spark, sf_dir) -> DataFrame:
 
 @query()
 def q_gradient_histogram(spark, sf_dir) -> DataFrame:
-    rows = M.gradient_values(Tables(spark, sf_dir).embeddings, "vec_id", "label", "embedding", 8)
-    return M.density_histogram(rows, "label", "value", 0.0, 4.0, 16)
+    df = Tables(spark, sf_dir).embeddings.withColumn("mask", F.transform("embedding", lambda x: x > 0))
+    rows = M.gradient_values(df, "vec_id", "label", "embedding", 8, "mask")
+    return M.density_histogram(rows, "label", "value", 0.0, 16.0, 32)
 
 
 @query("""SELECT page_id, array_to_string(list_sort(list_filter([CASE WHEN NOT regexp_matches(html, '<html') THEN 'no_html' END, CASE WHEN NOT regexp_matches(html, '<title>') THEN 'no_title' END,

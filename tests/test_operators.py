@@ -153,19 +153,115 @@ def test_masks(spark):
     assert (stats[1]["box_x0"], stats[1]["box_y1"]) == (xs.min(), ys.max())
 
 
-def test_frechet_and_spectrum(spark):
+def test_frechet_and_covariance(spark):
     rng = np.random.default_rng(3)
-    x = {p: rng.normal(size=(40, 16)) * (1 + p) for p in range(2)}
-    df = spark.createDataFrame([(p, v.tolist()) for p, rows in x.items() for v in rows], "p int, v array<double>")
-    m = A.moments(df, "p", "v", 16)
-    assert np.allclose(m["1"][2], np.cov(x[1].T)) and A.frechet(m["0"], m["0"]) == pytest.approx(0, abs=1e-6)
-    a, b = np.cov(x[0].T), np.cov(x[1].T)
-    w, v = np.linalg.eigh(a)
-    r = (v * np.sqrt(w)) @ v.T
-    want = ((x[0].mean(0) - x[1].mean(0)) ** 2).sum() + np.trace(a) + np.trace(b) - 2 * np.sqrt(np.maximum(np.linalg.eigvalsh(r @ b @ r), 0)).sum()
-    assert A.frechet(m["0"], m["1"]) == pytest.approx(want)
-    prof = {r["bin"]: r["power"] for r in M.radial_profile(df.where("p = 0"), "p", "v", 4, 3).collect()}
-    assert len(prof) == 3
+    x = [rng.normal(size=(40, 16)) + k for k in range(3)]
+    df = spark.createDataFrame([(k, v.tolist()) for k in range(3) for v in x[k]], "p int, v array<double>")
+    cov = np.zeros((16, 16))
+    for r in A.covariance(df.where("p = 1"), "p", "v").collect():
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
+    assert np.allclose(cov, np.cov(x[1].T))
+    got = {(r["a"], r["b"]): r for r in A.frechet_distances(df, "p", "v").collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2)}
+    for (a, b), r in got.items():
+        c, d = np.cov(x[a].T), np.cov(x[b].T)
+        roots = np.linalg.eigvals(c @ d)
+        want = ((x[a].mean(0) - x[b].mean(0)) ** 2).sum() + np.trace(c) + np.trace(d) - 2 * np.sqrt(np.maximum(roots.real, 0)).sum()
+        assert (r["n_a"], r["n_b"]) == (40, 40) and r["distance"] == pytest.approx(want)
+
+
+def test_radial_profile_is_centred(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3, 4, 4))
+    df = spark.createDataFrame([(0, v.ravel().tolist()) for v in x], "p int, v array<double>")
+    got = {r["bin"]: r["power"] for r in M.radial_profile(df, "p", "v", 4, 3).collect()}
+    want = []
+    for v in x:
+        power = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(v))) ** 2)
+        far = np.array([[np.hypot(i - 1.5, j - 1.5) for j in range(4)] for i in range(4)])
+        edges = np.linspace(0, far.max(), 4)
+        want.append([power[(far >= a) & (far < b)].mean() if ((far >= a) & (far < b)).any() else 0.0 for a, b in zip(edges, edges[1:])])
+    assert [got[k] for k in range(3)] == pytest.approx(np.mean(want, 0).tolist())
+
+
+def plain_sobel(v):
+    n = len(v)
+    at = lambda i: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    g = np.zeros_like(v)
+    for r in range(n):
+        for c in range(n):
+            cell = lambda i, j: v[at(r + i), at(c + j)]  # noqa: E731, B023
+            gx = sum(w * (cell(i, 1) - cell(i, -1)) for i, w in ((-1, 1), (0, 2), (1, 1)))
+            gy = sum(w * (cell(1, j) - cell(-1, j)) for j, w in ((-1, 1), (0, 2), (1, 1)))
+            g[r, c] = np.hypot(gx, gy)
+    return g
+
+
+def test_raster_measures(spark):
+    rng = np.random.default_rng(6)
+    x, masks = rng.uniform(0, 256, size=(4, 6, 6)), rng.random((4, 6, 6)) < 0.3
+    masks[3] = False
+    df = spark.createDataFrame([(k, v.ravel().tolist(), m.ravel().tolist()) for k, (v, m) in enumerate(zip(x, masks))], "k int, v array<double>, m array<boolean>").withColumn("p", F.lit("a"))
+    got = {r["k"]: r for r in M.raster_features(df, "k", "v", 6, mask="m").collect()}
+    values = {}
+    for r in M.gradient_values(df, "k", "p", "v", 6, "m").collect():
+        values.setdefault(r["k"], {})[r["pos"]] = r["value"]
+    for k, (v, m) in enumerate(zip(x, masks)):
+        g = plain_sobel(v)
+        assert got[k]["edge_share"] == pytest.approx((g > 28).mean())
+        n = np.bincount((v // 4).astype(int).ravel(), minlength=64) / 36
+        assert got[k]["entropy"] == pytest.approx(-sum(p * np.log2(p) for p in n if p))
+        cells = [np.array([c.mean(), c.std()]) for c in (v[i : i + 2, j : j + 2] for i in (0, 2, 4) for j in (0, 2, 4))]
+        far = np.mean([np.linalg.norm(cells[i] - cells[j]) for i in range(9) for j in range(i)])
+        assert got[k]["self_similarity"] == pytest.approx(max(0, 1 - far / 55))
+        assert got[k]["contrast"] == (pytest.approx(abs(v[m].mean() - v[~m].mean())) if m.any() else None)
+        want = {i: g.ravel()[i] for i in (np.flatnonzero(m) if m.any() else range(36))}
+        assert values[k] == pytest.approx(want)
+    few = M.sample_values(M.gradient_values(df, "k", "p", "v", 6), "p", ["k", "pos"], 10, 3)
+    assert few.count() == 10
+
+
+def test_string_keys(spark):
+    rows = [("b.jpg", "g1", 2.0), ("a.jpg", "g1", 2.0), ("c.jpg", "g1", 1.0), ("d.jpg", None, 3.0), ("e.jpg", "g2", None), ("f.jpg", "g2", 0.5)]
+    df = spark.createDataFrame(rows, "name string, g string, score double")
+    assert {r["name"] for r in W.keep_best(df, "g", "score", "name").where("removed").collect()} == {"b.jpg", "c.jpg", "e.jpg"}
+    assert {r["g"]: r["best_pos"] for r in W.best_of(df, "g", "score", "name").collect()}["g1"] == "a.jpg"
+    tied = spark.createDataFrame([("s", "b", 1.0), ("s", "a", 1.0), ("s", "a", 1.0)], "s string, c string, x double")
+    assert [r["c"] for r in W.select_candidate(tied, "s", "c", ["x"], {"x": 1.0}, ["full"], 1).collect()] == ["a"]
+    docs = spark.createDataFrame([(f"f{k:02d}.jpg", "snow" if k % 2 else "road", f"g{k % 9}", float(k % 7)) for k in range(40)], "name string, env string, grp string, size double")
+    log = X.select_hard(docs, "name", "env", "grp", {"size": (1.0, True)}, 12).collect()
+    assert sum(r["action"] != "promoted" for r in log) == 12
+    for env in ("snow", "road"):
+        ranked = sorted((r for r in log if r["env"] == env and r["action"] != "removed"), key=lambda r: (-r["score"], r["name"]))
+        assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1))
+
+
+def test_selections_golden(spark):
+    rows = [(str(k), True, k / 10, 2 - 2 * k / 10) for k in range(6)]
+    make = lambda r: spark.createDataFrame(r, "id string, valid boolean, iou double, score double")
+    pick = lambda r: W.compare_selections(make(r), 3, 416, "id", "score", F.col("valid"), C.task_score(F.col("iou"), F.col("iou")))
+    got = {}
+    for r in pick(rows).collect():
+        got.setdefault(r["method"], {})[r["rank"]] = r["id"]
+    assert got["task"] == {1: "0", 2: "1", 3: "2"} and len(got["random"]) == 3
+    assert sorted(map(tuple, pick(rows[::-1]).collect())) == sorted(map(tuple, pick(rows).collect()))
+    for bad in (rows + rows[:1], [(a, False, b, c) for a, _, b, c in rows], [(a, v, b, -1.0) for a, v, b, _ in rows], rows[:2]):
+        with pytest.raises(ValueError):
+            pick(bad)
+
+
+def test_digests_tell_values_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, ""), ("", None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert I.row_digest(df, ["x", "y"]).select("row_digest").distinct().count() == 4
+    pairs = spark.createDataFrame([(1, "a|b", "c"), (1, "a", "b|c"), (2, "q", "r"), (2, "q", "r")], "g int, x string, y string")
+    assert {r["g"]: r["equal"] for r in A.all_equal(pairs, ["g"], ["x", "y"]).collect()} == {1: False, 2: True}
+
+
+def test_screen_reasons(spark):
+    rows = [(1, "x github_pat_" + "a1B2" * 14, "a.txt"), (2, "sk-proj-" + "Ab9_" * 10, "b/model.ckpt"), (3, "fine", "c/.env.local"), (4, "xoxb-" + "1" * 19, "d.MP4"), (5, "AKIA" + "A1" * 8, None)]
+    got = C.screen_text(spark.createDataFrame(rows, "k int, t string, p string"), "k", "t", C.SCREEN_PATTERNS, path="p").collect()
+    assert {(r["k"], r["reason"]) for r in got} == {(1, "github_token"), (2, "openai_key"), (2, "denied_format"), (3, "denied_format"), (4, "denied_format"), (5, "aws_access_id")}
 
 
 def test_verify_summary_finds_changes(spark):
