@@ -62,11 +62,41 @@ def test_base_spans_and_network(spark, words):
     assert np.mean(scores) > np.mean(clean)
 
 
+MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_network_finds_planted_tokens(spark, words):
+    """Bare tokens that no base pattern matches, of kinds that training has not seen without their keyword."""
+    rng = random.Random(4)
+    token = lambda n: "".join(rng.choice(MIXED) for _ in range(n))
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    clean = lambda i: rng.choice([f"mail{i}@host{i}.example.com/inbox", f"/home/user/{rng.choice(words)}/file_{i:06d}.txt", f"{rng.choice(words)}-{rng.choice(words)}-{rng.choice(words)}-{rng.choice(words)}", "".join(rng.choice(words) for _ in range(5)), f"www.{rng.choice(words)}{rng.choice(words)}.org/a/b.html"])
+    rows = [(i, f"{prose(20)} {rng.choice(['api_key = ', 'token: ', 'password='])}{token(rng.randint(20, 40))} {prose(9)}" if i % 3 == 0 else f"{prose(20)} {clean(i)} {prose(9)}") for i in range(900)]
+    net = sec.train(make(spark, rows))
+    planted = [f"{prose(12)} {head}{token(n)} {prose(6)}" for head, n in [("ghp_", 36), ("xoxb-", 32), ("", 40), ("", 32), ("glpat-", 22)] * 20]
+    other = [f"{prose(12)} {clean(5000 + i)} {prose(6)}" for i in range(200)]
+    found = [s for t, s in zip(planted, sec.all_spans(planted, net)) if s]
+    wrong = [s for s in sec.all_spans(other, net) if s]
+    assert len(found) >= 80  # of 100
+    assert len(found) / (len(found) + len(wrong)) >= 0.9
+
+
+def test_candidates_are_seen_whole():
+    text = "a/" * 60 + "Zq7Rk29xPw4LmT8vBn3Y" + " end"
+    (start, end), = sec.candidates(text)
+    seen = sec.windows(text, start, end)
+    assert len(seen) > 2
+    assert sum((w[sec.BEFORE : sec.BEFORE + sec.INSIDE] > 0).sum() for w in seen) >= end - start
+    inside = "x" * 8 + "0123456789abcdef" * 2 + "Y" * 8
+    net = sec.Network(np.zeros((97, 8)), np.zeros((5, 8, 16)), np.zeros(16), np.zeros(32), 9.0, (1.0, 0.0), (0.5, 0.5, 0.5))
+    assert sec.joined(sec.all_spans([inside], net)[0]) == "model:0:48,hex:8:40"
+
+
 def test_secrets_odd_tables(clashing, empty):
     assert sec.train(empty) is None
     assert sec.secrets(empty, None).count() == 0
     assert sec.secrets(clashing, None).count() == 35
-    assert sec.masked("x password=abcdef y", sec.all_spans("x password=abcdef y", None)) == "x <assign> y"
+    assert sec.masked("x password=abcdef y", sec.all_spans(["x password=abcdef y"], None)[0]) == "x <assign> y"
     assert clashing.select(sec.mask_column(None)("text")).count() == 35
 
 
@@ -171,9 +201,9 @@ def test_transducer_equals_library(pieces, corpus):
     noise = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x250), rng.randrange(0x4E00, 0x4F00), 32, 10, 0x1F600])) for _ in range(rng.randrange(60))) for _ in range(400)]
     code = ["def f(x):\n        return   x+1\n", "aaaaaaaaaaaaaaaaaaaa", "====----====----", "....com,,'s''s", " ▁ x▁y"]
     for text in [*[t or "" for _, t in corpus], *noise, *code]:
-        assert e.ids(text) == sp.encode(text)
+        assert e.ids_of(text) == sp.encode(text)
         if "▁" not in text:
-            assert d.decode(e.encode(text)).decode() == text
+            assert d.decode(e.encode([text])[0]).decode() == text
 
 
 def test_sentencepiece_odd_tables(clashing, empty, docs):
