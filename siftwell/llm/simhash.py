@@ -18,8 +18,6 @@ from .graph import components
 GENERATOR = 0xC75
 #: The three segments of a fingerprint: first bit and number of bits.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of a key up to which its pairs are compared one by one; beyond, radius-1 balls link them.
-PAIRED = 64
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -91,24 +89,21 @@ def _keyed(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(distinct: DataFrame, paired: int = PAIRED) -> DataFrame:
+def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints (column fp) whose distance is 2 or less.
 
-    Keys with few fingerprints: each pair is verified. Fingerprints of a larger key are linked through the points of
-    their radius-1 balls: two fingerprints share a point exactly if they differ in 2 bits or less, so the members of
-    a point, 65 at most, hang on the smallest. Edges grow in proportion to the fingerprints, whatever the groups.
+    Fingerprints that share a Golay key with another one are candidates; no other one can have a link. They are verified
+    exactly without comparing pairs: two fingerprints share a point of their radius-1 balls if, and only if, they differ in
+    2 bits or less, so the fingerprints around a point, 65 at most, hang on the smallest. Edges grow in proportion to the
+    candidates, however many share a key.
     """
     keyed = saved(_keyed(distinct))
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    few = keyed.join(sizes.where(F.col("count") <= paired), "key").select("key", "fp")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where("a < b").where(near).select("a", "b")
-    crowd = keyed.join(sizes.where(F.col("count") > paired), "key").select("fp").distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    crowd = keyed.join(shared, "key").select("fp").distinct()
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     ball = crowd.select("fp", F.explode(flips).alias("point"))
     low = ball.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = ball.join(low, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    return pairs.union(stars)
+    return ball.join(low, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -128,7 +123,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = saved(components(links(distinct)))
     root = distinct.join(joined, F.col("fp") == F.col("node"))
     root = root.join(root.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    of = distinct.join(root, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    of = saved(distinct.join(root, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return marks.join(of, "fp").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

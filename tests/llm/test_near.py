@@ -64,7 +64,7 @@ def test_crowded_keys_link_through_balls(spark):
     center = rng.getrandbits(64)
     fps = {center} | {center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = [(r["a"], r["b"]) for r in links(spark.createDataFrame([(x,) for x in signed], "fp long"), paired=4).collect()]
+    edges = [(r["a"], r["b"]) for r in links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
     want = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
     assert roots(signed, edges) == roots(signed, want)
