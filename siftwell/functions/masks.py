@@ -130,6 +130,31 @@ def bundle_reasons(checks: dict[str, Column]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))))
 
 
+def rendered_reasons(image_size: tuple[Column, Column], mask_size: tuple[Column, Column], mask: Column, polygons: Column, metadata: Column, required: list[str]) -> Column:
+    """Sorted reasons why a rendered sample is bad: sizes of image and mask, mask values (an array) other than 0 and 255 or all 0,
+    the first bad line of the polygon text, and keys that the metadata (a map) lacks."""
+    lines = F.filter(F.transform(F.split(F.trim(polygons), r"\r\n|\n|\r"), lambda x: F.array_remove(F.split(F.trim(x), r"\s+"), "")), lambda x: F.lit(True))
+
+    def line_reason(parts: Column) -> Column:
+        numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda v: v.try_cast("double"))
+        return (
+            F.when((F.size(parts) < 7) | (F.size(parts) % 2 == 0), "polygon_invalid_field_count").when(parts[0] != "0", "polygon_invalid_class")
+            .when(F.exists(numbers, lambda v: v.isNull()), "polygon_non_numeric").when(F.exists(numbers, lambda v: (v < 0) | (v > 1)), "polygon_coordinate_out_of_range")
+        )
+
+    bad = F.filter(F.transform(lines, line_reason), lambda r: r.isNotNull())
+    empty = F.trim(F.coalesce(polygons, F.lit(""))) == ""
+    missing = F.array_except(F.array(*[F.lit(c) for c in sorted(required)]), F.coalesce(F.map_keys(metadata), F.array().cast("array<string>")))
+    fails = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.array_sort(F.array_compact(F.array(
+        F.when(fails((image_size[0] == mask_size[0]) & (image_size[1] == mask_size[1])), "image_mask_size_mismatch"),
+        F.when(fails(F.forall(mask, lambda v: v.isin(0, 255))), "mask_not_binary"),
+        F.when(fails(F.exists(mask, lambda v: v != 0)), "mask_empty"),
+        F.when(empty, "polygon_empty").otherwise(F.get(bad, 0)),
+        F.when(F.size(missing) > 0, F.concat(F.lit("metadata_missing:"), F.array_join(missing, ","))),
+    )))
+
+
 def _rasters(column: pd.Series, side: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64).reshape(-1, side, side)
 

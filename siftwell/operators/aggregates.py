@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import score_rank
+
 
 def long_form(df: DataFrame, ids: list[str], cols: list[str], name: str, value: str) -> DataFrame:
     return df.unpivot(ids, cols, name, value)
@@ -19,10 +21,25 @@ def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_form(text, [], cols, "field", "value").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+def exact_quantiles(df: DataFrame, col: str, by: list[str], wanted: dict[str, tuple[float, bool]], slices: int = 1024) -> DataFrame:
+    """Exact quantiles of each group; wanted: name -> (share, interpolate). Values are ranked by slices of their range, so no task
+    holds a group, and only the rows at the ranks asked for are aggregated. Nulls do not count."""
+    ranked = score_rank(df.where(F.col(col).isNotNull()).select(*by, (-F.col(col).cast("double")).alias("_x")), by, "_x", [], "_rank", slices)
+    size = ranked.groupBy(*by).agg(F.count("*").alias("_size"))
+    at = {}
+    for k, (share, between) in wanted.items():
+        place = (F.col("_size") - 1) * share + 1 if between else F.greatest(F.lit(1.0), F.ceil(F.col("_size") * share))
+        at[k] = (F.floor(place).cast("long"), F.ceil(place).cast("long"), place - F.floor(place))
+    some = ranked.join(size, by).where(reduce(lambda p, q: p | q, [F.col("_rank").isin(low, high) for low, high, _ in at.values()]))
+    value = lambda rank: F.max(F.when(F.col("_rank") == rank, -F.col("_x")))
+    return some.groupBy(*by).agg(*[(value(low) + (value(high) - value(low)) * F.max(part)).alias(k) for k, (low, high, part) in at.items()])
+
+
 def describe_exact(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """Count, mean, least, quartiles and greatest, with interpolated exact percentiles."""
-    p = lambda q: F.percentile(col, F.lit(q))
-    return df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.min(col).alias("minimum"), p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"), F.max(col).alias("maximum"))
+    """Count, mean, least, quartiles and greatest, with interpolated exact percentiles. Groups without values have nulls."""
+    plain = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.min(col).alias("minimum"), F.max(col).alias("maximum"))
+    quarters = exact_quantiles(df, col, by, {"q1": (0.25, True), "median": (0.5, True), "q3": (0.75, True)})
+    return plain.join(quarters, by, "left").select(*by, "n", "mean", "minimum", "q1", "median", "q3", "maximum")
 
 
 def bin_of(col: Column, edges: list[float]) -> Column:
@@ -79,22 +96,30 @@ def check_prf(df: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return fresh.where(bad)
 
 
-def mean_ap(df: DataFrame, by: list[str], targets: DataFrame, thresholds: list[float], iou: str, confidence: str, tie: str) -> DataFrame:
+def mean_ap(df: DataFrame, by: list[str], targets: DataFrame, thresholds: list[float], iou: str, confidence: str, tie: str, slices: int = 1024) -> DataFrame:
     """Average precision of each group at each overlap threshold.
 
     df has a prediction per row with the overlap with its target; targets has `by` and n_targets. Predictions are taken
-    by falling confidence; precision is made non-increasing from the right and summed over the steps of recall.
+    by falling confidence (0..1); precision is made non-increasing from the right and summed over the steps of recall. Slices of
+    the confidence are counted first, so a task sorts a slice of a group and never a whole one.
     """
-    rows = df.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    rows = df.withColumn("_b", F.floor((1 - F.col(confidence)) * slices)).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    rows = rows.withColumn("_hit", (F.col(iou) >= F.col("threshold")).cast("long"))
     group = [*by, "threshold"]
-    order = Window.partitionBy(*group).orderBy(F.desc(confidence), tie)
+    order = Window.partitionBy(*group, "_b").orderBy(F.desc(confidence), tie)
+    slice_ = Window.partitionBy(*group).orderBy("_b")  # a row for each slice
+    earlier = slice_.rowsBetween(Window.unboundedPreceding, -1)
+    n = rows.groupBy(*group, "_b").agg(F.count("*").alias("_k"), F.sum("_hit").alias("_h"))
+    n = n.select(*group, "_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_k", "_h")])
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    hit = (F.col(iou) >= F.col("threshold")).cast("long")
-    rows = rows.withColumns({"_tp": F.sum(hit).over(run), "_n": F.count("*").over(run)}).join(targets, by)
-    rows = rows.withColumns({"_recall": ratio(F.col("_tp"), F.col("n_targets")), "_precision": F.col("_tp") / F.col("_n")})
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"_best": F.max("_precision").over(ahead), "_before": F.coalesce(F.lag("_recall").over(order), F.lit(0.0))})
-    return rows.groupBy(*group).agg(F.sum((F.col("_recall") - F.col("_before")) * F.col("_best")).alias("ap"))
+    rows = rows.join(n, [*group, "_b"]).join(targets, by)
+    rows = rows.withColumns({"_tp": F.col("_h0") + F.sum("_hit").over(run), "_n": F.col("_k0") + F.count("*").over(run)})
+    rows = rows.withColumn("_precision", F.col("_tp") / F.col("_n"))
+    later = rows.groupBy(*group, "_b").agg(F.max("_precision").alias("_top")).select(*group, "_b", F.max("_top").over(slice_.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    rows = rows.join(later, [*group, "_b"])
+    best = F.greatest(F.max("_precision").over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
+    rows = rows.withColumns({"_best": best, "_step": ratio(F.col("_hit"), F.col("n_targets"))})
+    return rows.groupBy(*group).agg(F.sum(F.col("_step") * F.col("_best")).alias("ap"))
 
 
 def map_summary(ap: DataFrame, by: list[str]) -> DataFrame:
@@ -112,7 +137,8 @@ def resource_rollup(df: DataFrame, job: str, seconds: str, peak: str, retries: C
 
 def latency_quantiles(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """Median (interpolated) and nearest-rank 95th percentile."""
-    return df.groupBy(*by).agg(F.count(col).alias("n"), F.median(col).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{col}`)").alias("p95"))
+    n = df.groupBy(*by).agg(F.count(col).alias("n"))
+    return n.join(exact_quantiles(df, col, by, {"median": (0.5, True), "p95": (0.95, False)}), by, "left").select(*by, "n", "median", "p95")
 
 
 def all_equal(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:

@@ -32,14 +32,21 @@ def row_digest(df: DataFrame, cols: list[str], name: str = "row_digest") -> Data
     return df.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256))
 
 
-def tree_fingerprint(df: DataFrame, key: str, digest: str, size: str, buckets: int = 64) -> DataFrame:
-    """One row: a digest of all (key, size, digest) rows, their number and total size. Rows are sorted and digested by
-    bucket, then the bucket digests in turn, so no string holds the table. Use more buckets for larger tables."""
+def tree_fingerprint(df: DataFrame, key: str, digest: str, size: str, width: int = 4096) -> DataFrame:
+    """One row: a digest of all (key, size, digest) rows, their number and total size. Rows are sorted and digested by ranges of
+    `width` integer keys, the digests of these by ranges of ranges, and so on: there are as many levels as the greatest key
+    asks for, and a task never joins more than `width` lines (more only where keys repeat)."""
     line = F.concat_ws("|", F.col(key).cast("string"), F.col(size).cast("string"), F.col(digest))
-    rows = df.select(F.pmod(F.col(key), F.lit(buckets)).alias("b"), line.alias("line"), F.col(size).alias("size"))
-    per = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n")
-    return per.agg(F.sha2(top, 256).alias("fingerprint"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    rows = df.select(F.floor(F.col(key) / width).alias("b"), line.alias("line"), F.col(size).alias("size"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    level = rows.groupBy("b").agg(joined("line").alias("d"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    ends = df.agg(F.min(key), F.max(key)).first()
+    span = max(abs(x or 0) for x in ends)
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n")
+    while span >= width * width:
+        level = level.groupBy(F.floor(F.col("b") / width).alias("b2")).agg(F.sha2(ordered, 256).alias("d"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).withColumnRenamed("b2", "b")
+        span //= width
+    return level.agg(F.sha2(ordered, 256).alias("fingerprint"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def reach(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:

@@ -134,14 +134,15 @@ def assign_balanced(slots: DataFrame, objects: DataFrame, by: str, slot: str, ba
 
 
 def rotate(slots: DataFrame, pool: DataFrame, by: str, slot: str, item: str, seed: int) -> DataFrame:
-    """(slot, by, item): each cycle of a domain goes through its whole pool, in the pool's digest order, shifted by one
-    place each cycle."""
+    """(slot, by, item, cycle): each cycle of a domain goes through its whole pool, in a digest order of its own. The rings of
+    all cycles together have about as many rows as there are slots."""
     ranked = digest_rank(slots.withColumn("_d", hash_rank(seed, F.col(slot))), [by], "_d", slot, "_r").drop("_d")
-    ring = digest_rank(pool.select(by, item).withColumn("_d", hash_rank(seed, F.col(item))), [by], "_d", item, "_o").drop("_d")
     size = pool.groupBy(by).agg(F.count("*").alias("_k"))
-    asked = ranked.join(size, by).withColumn("cycle", F.floor((F.col("_r") - 1) / F.col("_k")))
-    asked = asked.withColumn("_o", (F.col("_r") - 1 + F.col("cycle")) % F.col("_k") + 1)
-    return asked.join(ring, [by, "_o"]).select(slot, by, item, "cycle")
+    turns = slots.groupBy(by).agg(F.count("*").alias("_n")).join(size, by).select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / F.col("_k")) - 1)).alias("cycle"))
+    rings = pool.select(by, item).join(turns, by).withColumn("_d", hash_rank(seed, F.col("cycle"), F.col(item)))
+    rings = digest_rank(rings, [by, "cycle"], "_d", item, "_o").drop("_d")
+    asked = ranked.join(size, by).withColumn("cycle", F.floor((F.col("_r") - 1) / F.col("_k"))).withColumn("_o", (F.col("_r") - 1) % F.col("_k") + 1)
+    return asked.join(rings, [by, "cycle", "_o"]).select(slot, by, item, "cycle")
 
 
 def prefilter(df: DataFrame, group: str, strict: Column, order: list, k: int) -> DataFrame:
@@ -156,6 +157,15 @@ def build_mixture(mix: DataFrame, rows: DataFrame, kind: str, key: str) -> DataF
     return rows.join(mix, kind).where(F.col("rank") <= F.col("take")).select("experiment", kind, key)
 
 
+def check_mixture(mix: DataFrame, rows: DataFrame, kind: str, key: str) -> DataFrame:
+    """(experiment, kind, reason, n): kinds of which an experiment has not the number of rows asked for (n: how many too many),
+    and experiments with keys that stand more than once (n: how many keys)."""
+    have = rows.groupBy("experiment", kind).agg(F.count("*").alias("_n"))
+    short = mix.join(have, ["experiment", kind], "left").withColumn("n", F.coalesce("_n", F.lit(0)) - F.col("take")).where("n <> 0")
+    twice = rows.groupBy("experiment", key).agg(F.count("*").alias("_n")).where("_n > 1").groupBy("experiment").agg(F.count("*").alias("n"))
+    return short.select("experiment", kind, F.lit("count").alias("reason"), "n").unionByName(twice.select("experiment", F.lit(None).cast(dict(mix.dtypes)[kind]).alias(kind), F.lit("repeated_key").alias("reason"), "n"))
+
+
 def background_pool(df: DataFrame, digest: str, key: str, real: DataFrame) -> DataFrame:
     """One row (the least key) of each content that no real row has."""
     return df.groupBy(digest).agg(F.min(key).alias(key)).join(real.select(digest).distinct(), digest, "left_anti")
@@ -187,3 +197,14 @@ def build_grid(conditions: DataFrame, seeds: DataFrame, contract: list[str]) ->
     grid = grid.withColumn("job", F.concat_ws("_", "experiment", F.concat(F.lit("seed"), "seed")))
     first = grid.groupBy("digest").agg(F.min("job").alias("reuses"))
     return grid.join(first, "digest").withColumn("reuses", F.when(F.col("reuses") != F.col("job"), F.col("reuses")))
+
+
+def check_grid(jobs: DataFrame, job: str, reuses: str, digest: str, dataset: str, denied: str = "#split=test") -> DataFrame:
+    """(job, reason): job ids that stand more than once, jobs on data they must not see, and jobs that reuse one that is not there
+    or is itself a reference (no_target) or that has another contract (other_contract)."""
+    twice = jobs.groupBy(job).agg(F.count("*").alias("_n")).where("_n > 1").select(job, F.lit("repeated_job").alias("reason"))
+    leaks = jobs.where(F.contains(F.lower(dataset), F.lit(denied.lower()))).select(job, F.lit("test_data").alias("reason"))
+    target = jobs.where(F.col(reuses).isNull()).groupBy(F.col(job).alias(reuses)).agg(F.min(digest).alias("_d"))
+    asked = jobs.where(F.col(reuses).isNotNull()).join(target, reuses, "left")
+    wrong = F.when(F.col("_d").isNull(), "no_target").when(F.col("_d") != F.col(digest), "other_contract")
+    return twice.unionByName(leaks).unionByName(asked.select(job, wrong.alias("reason")).where("reason is not null"))

@@ -130,8 +130,9 @@ def q_assign_balanced(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT slot, env, row_number() OVER (PARTITION BY env ORDER BY {hash_sql(12, 'slot')}, slot) AS r FROM ({SLOTS})),
-    o AS (SELECT s_suppkey, s_suppkey % 5 AS env, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY {hash_sql(12, 's_suppkey')}, s_suppkey) AS o, count(*) OVER (PARTITION BY s_suppkey % 5) AS k FROM supplier)
-    SELECT slot, s.env, s_suppkey, (r - 1) // k AS cycle FROM s JOIN o ON s.env = o.env AND (r - 1 + (r - 1) // k) % k + 1 = o""")
+    p AS (SELECT s_suppkey, s_suppkey % 5 AS env, count(*) OVER (PARTITION BY s_suppkey % 5) AS k FROM supplier), n AS (SELECT env, count(*) AS slots FROM s GROUP BY env),
+    c AS (SELECT p.*, unnest(range(0, (slots + k - 1) // k)) AS cycle FROM p JOIN n USING (env)), o AS (SELECT *, row_number() OVER (PARTITION BY env, cycle ORDER BY {hash_sql(12, 'cycle', 's_suppkey')}, s_suppkey) AS o FROM c)
+    SELECT slot, s.env, s_suppkey, cycle FROM s JOIN o ON s.env = o.env AND (r - 1) // k = cycle AND (r - 1) % k + 1 = o""")
 def q_rotate(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     slots = t.orders.select(F.col("o_orderkey").alias("slot"), (F.col("o_orderkey") % 5).alias("env"))
@@ -156,6 +157,18 @@ def q_mixture(spark, sf_dir) -> DataFrame:
     return X.build_mixture(spark.createDataFrame(MIX, "experiment string, lang string, take long"), ranked, "lang", "doc_id")
 
 
+@query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {hash_sql(13, 'doc_id')}, doc_id) AS rank FROM documents), m AS (SELECT * FROM (VALUES {', '.join(map(str, [*MIX, ('M9', 'fr', 10**9)]))}) m(experiment, lang, take)),
+    c AS (SELECT experiment, lang, doc_id FROM r JOIN m USING (lang) WHERE rank <= take UNION ALL SELECT 'M0', lang, doc_id FROM r WHERE lang = 'en' AND rank <= 3)
+    SELECT m.experiment, m.lang, 'count' AS reason, count(c.doc_id) - take AS n FROM m LEFT JOIN c ON m.experiment = c.experiment AND m.lang = c.lang GROUP BY m.experiment, m.lang, take HAVING count(c.doc_id) <> take
+    UNION ALL SELECT experiment, NULL, 'repeated_key', count(*) FROM (SELECT experiment, doc_id FROM c GROUP BY ALL HAVING count(*) > 1) GROUP BY experiment""")
+def q_mixture_checks(spark, sf_dir) -> DataFrame:
+    rows = Tables(spark, sf_dir).documents.select("doc_id", "lang").withColumn("_d", hash_rank(13, F.col("doc_id")))
+    ranked = X.digest_rank(rows, ["lang"], "_d", "doc_id", "rank")
+    mix = spark.createDataFrame([*MIX, ("M9", "fr", 10**9)], "experiment string, lang string, take long")
+    twice = ranked.where("lang = 'en' and rank <= 3").select(F.lit("M0").alias("experiment"), "lang", "doc_id")
+    return X.check_mixture(mix, X.build_mixture(mix, ranked, "lang", "doc_id").unionByName(twice), "lang", "doc_id")
+
+
 @query("SELECT h, min(doc_id) AS doc_id FROM (SELECT sha256(text) AS h, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE h NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY h")
 def q_background_pool(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -185,6 +198,21 @@ def q_grid(spark, sf_dir) -> DataFrame:
     return X.build_grid(conditions, spark.createDataFrame([(0,), (1,), (2,)], "seed int"), ["contract"]).select("experiment", "seed", "job", "n", "reuses")
 
 
+@query("""WITH o AS (SELECT o_orderpriority AS e, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL), j AS (SELECT CASE WHEN e = '5-LOW' AND s = 'F' THEN '1-URGENT_' || s ELSE e || '_' || s END AS job, CASE WHEN s = 'P' THEN e || '_F' END AS reuses, e || CASE WHEN e = '2-HIGH' AND s = 'P' THEN 'x' ELSE '' END AS digest, CASE WHEN e = '3-MEDIUM' THEN 'real#split=TEST' ELSE 'real#split=train' END AS dataset FROM o)
+    SELECT job, 'repeated_job' AS reason FROM j GROUP BY job HAVING count(*) > 1 UNION ALL SELECT job, 'test_data' FROM j WHERE dataset ILIKE '%#split=test%' UNION ALL
+    SELECT job, CASE WHEN t IS NULL THEN 'no_target' ELSE 'other_contract' END FROM (SELECT j.job, j.digest, k.job AS t, k.digest AS td FROM j LEFT JOIN (SELECT job, min(digest) AS digest FROM j WHERE reuses IS NULL GROUP BY job) k ON k.job = j.reuses WHERE j.reuses IS NOT NULL) WHERE t IS NULL OR digest <> td""")
+def q_grid_checks(spark, sf_dir) -> DataFrame:
+    n = Tables(spark, sf_dir).orders.groupBy(F.col("o_orderpriority").alias("e"), F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n"))
+    named = lambda e, s: F.concat_ws("_", e, s)
+    jobs = n.select(
+        F.when((F.col("e") == "5-LOW") & (F.col("s") == "F"), named(F.lit("1-URGENT"), "s")).otherwise(named("e", "s")).alias("job"),
+        F.when(F.col("s") == "P", named("e", F.lit("F"))).alias("reuses"),
+        F.concat("e", F.when((F.col("e") == "2-HIGH") & (F.col("s") == "P"), "x").otherwise("")).alias("digest"),
+        F.when(F.col("e") == "3-MEDIUM", "real#split=TEST").otherwise("real#split=train").alias("dataset"),
+    )
+    return X.check_grid(jobs, "job", "reuses", "digest", "dataset")
+
+
 @query("""SELECT doc_id, 'length' AS stage, 'too_short' AS reason FROM documents WHERE n_chars < 300 UNION ALL SELECT doc_id, 'label', CASE WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END FROM labels WHERE toxic = 1 OR quality = 0
        UNION ALL SELECT doc_id, 'duplicate', NULL FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r > 1""")
 def q_split_log(spark, sf_dir) -> DataFrame:
@@ -222,7 +250,7 @@ def q_row_digest(spark, sf_dir) -> DataFrame:
     return I.row_digest(Tables(spark, sf_dir).customer, ["c_name", "c_custkey", "c_mktsegment"]).select("c_custkey", "row_digest")
 
 
-@query("SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM (SELECT doc_id % 64 AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS d, count(*) AS files, sum(n_chars) AS bytes FROM (SELECT doc_id, n_chars, doc_id || '|' || n_chars || '|' || sha256(text) AS l FROM documents) GROUP BY 1)")
+@query("SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM (SELECT doc_id // 4096 AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS d, count(*) AS files, sum(n_chars) AS bytes FROM (SELECT doc_id, n_chars, doc_id || '|' || n_chars || '|' || sha256(text) AS l FROM documents) GROUP BY 1)")
 def q_tree_fingerprint(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).documents.select("doc_id", "n_chars", F.sha2("text", 256).alias("h"))
     return I.tree_fingerprint(docs, "doc_id", "h", "n_chars")

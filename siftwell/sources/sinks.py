@@ -47,10 +47,17 @@ def stage_log(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys are not at the path yet; to be used by foreachBatch, where a batch can come twice."""
+def append_new(batch: DataFrame, path: str, keys: list[str], by: str | None = None) -> None:
+    """Appends the rows whose keys are not at the path yet; to be used by foreachBatch, where a batch can come twice.
+
+    by: a column, such as the day, that a key never changes; the sink is partitioned by it, and a batch then reads only the
+    partitions that it has rows for, not the whole sink.
+    """
     rows = batch.dropDuplicates(keys)
     if _exists(batch.sparkSession, path):
-        held = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys)
-        rows = rows.join(held, keys, "left_anti")
-    rows.write.mode("append").parquet(path)
+        held = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        if by is not None:
+            held = held.where(F.col(by).isin([r[0] for r in batch.select(by).distinct().collect()]))  # days of a batch
+        rows = rows.join(held.select(*keys), keys, "left_anti")
+    writer = rows.write.mode("append")
+    (writer if by is None else writer.partitionBy(by)).parquet(path)

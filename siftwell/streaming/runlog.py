@@ -117,6 +117,7 @@ def capped_choice(events: DataFrame, cap: int) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(CappedChoice(cap), "user_id long, event_id long, choice string", "Append", "None")
 
 
-def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Writer that appends each row once by its keys, also when a batch is repeated or the stream starts anew."""
-    return stream.writeStream.foreachBatch(lambda df, _: append_new(df, path, keys)).option("checkpointLocation", checkpoint)
+def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str, by: str | None = None):
+    """Writer that appends each row once by its keys, also when a batch is repeated or the stream starts anew. by: a column,
+    such as the day, by which the sink is partitioned and read."""
+    return stream.writeStream.foreachBatch(lambda df, _: append_new(df, path, keys, by)).option("checkpointLocation", checkpoint)

@@ -264,6 +264,43 @@ def test_screen_reasons(spark):
     assert {(r["k"], r["reason"]) for r in got} == {(1, "github_token"), (2, "openai_key"), (2, "denied_format"), (3, "denied_format"), (4, "denied_format"), (5, "aws_access_id")}
 
 
+def test_rendered_bundles(spark):
+    square = "0 0.1 0.1 0.9 0.1 0.9 0.9"
+    meta = {"sample_id": "s", "selection": "x"}
+    rows = [
+        (1, 4, 4, 4, [0, 255], square, meta, []), (2, 4, 4, 5, [0, 0], square, meta, ["image_mask_size_mismatch", "mask_empty"]),
+        (3, 4, 4, 4, [0, 7], square + "\n1 0 0 1 1 0 1", meta, ["mask_not_binary", "polygon_invalid_class"]), (4, 4, 4, 4, [255], "  ", {"sample_id": "s"}, ["metadata_missing:selection", "polygon_empty"]),
+        (5, 4, 4, 4, [255], "0 0.1 0.1 0.9 0.1 0.9", None, ["metadata_missing:sample_id,selection", "polygon_invalid_field_count"]), (6, 4, 4, 4, None, "0 0.1 x 0.9 0.1 0.9 0.9", meta, ["mask_empty", "mask_not_binary", "polygon_non_numeric"]),
+        (7, 4, 4, 4, [255], "0 0.1 0.1 1.9 0.1 0.9 0.9\n1 0 0", meta, ["polygon_coordinate_out_of_range"]),
+    ]
+    df = spark.createDataFrame([r[:-1] for r in rows], "k int, w int, h int, mw int, m array<int>, p string, meta map<string,string>")
+    reasons = M.rendered_reasons((F.col("w"), F.col("h")), (F.col("mw"), F.col("h")), F.col("m"), F.col("p"), F.col("meta"), ["selection", "sample_id"])
+    assert {r["k"]: r["r"] for r in df.select("k", reasons.alias("r")).collect()} == {r[0]: r[-1] for r in rows}
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(2)
+    rows = [(g, None if rng.random() < 0.1 else rng.choice([float(rng.randrange(9)), rng.random() * 1e6])) for g in "ab" for _ in range(rng.randrange(50, 90))] + [("c", 3.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in A.describe_exact(df, "x", ["g"]).collect()}
+    late = {r["g"]: r for r in A.latency_quantiles(df, ["g"], "x").collect()}
+    for g in "abcd":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        if v:
+            assert [got[g][c] for c in ("q1", "median", "q3")] == pytest.approx(np.percentile(v, [25, 50, 75]).tolist())
+            assert late[g]["p95"] == v[int(np.ceil(0.95 * len(v))) - 1] and late[g]["n"] == len(v)
+        else:
+            assert got[g]["q1"] is None and late[g]["p95"] is None
+
+
+def test_fingerprint_levels(spark):
+    rows = [(k * 37 % 5000, f"{k:x}", k) for k in range(900)]
+    df = spark.createDataFrame(rows, "k long, d string, n long")
+    one = I.tree_fingerprint(df, "k", "d", "n", 8).first()
+    assert I.tree_fingerprint(df.repartition(7), "k", "d", "n", 8).first() == one and (one["files"], one["bytes"]) == (900, sum(range(900)))
+    assert I.tree_fingerprint(df.where("k <> 37").union(spark.createDataFrame([(37, "zz", 1)], df.schema)), "k", "d", "n", 8).first()["fingerprint"] != one["fingerprint"]
+
+
 def test_verify_summary_finds_changes(spark):
     raw = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0)], "e string, m double")
     good = A.summarise(raw, ["e"], ["m"])

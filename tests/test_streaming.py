@@ -72,7 +72,14 @@ def test_capped_choice_equals_sequential(spark, log, tmp_path):
 
 def test_stale_jobs_and_activity(spark, log, tmp_path):
     out = run(spark, log, lambda s: R.stale_jobs(s, "user_id", "ts", "10 minutes", "5 minutes"), "append", tmp_path, "stale").collect()
-    assert out and all(r["n"] >= 1 for r in out)
+    sessions, rows = [], sorted((r["user_id"], r["ts"]) for r in spark.read.parquet(log).collect())
+    for user, ts in rows:
+        if sessions and sessions[-1][0] == user and ts < sessions[-1][2]:
+            sessions[-1] = (user, sessions[-1][1], ts + pd.Timedelta(minutes=10), sessions[-1][3] + 1)
+        else:
+            sessions.append((user, ts, ts + pd.Timedelta(minutes=10), 1))
+    ended = max(ts for _, ts in rows) - pd.Timedelta(minutes=5)  # the watermark when all has been read
+    assert sorted((r["user_id"], r["start"], r["end"], r["n"]) for r in out) == sorted(x for x in sessions if x[2] <= ended)
     active = last(run(spark, log, lambda s: R.activity(s, "user_id", "value", 3000.0), "update", tmp_path, "active"), "user_id", "active")
     want = {r["user_id"]: r["s"] for r in spark.read.parquet(log).groupBy("user_id").agg(F.sum("value").alias("s")).collect()}
     assert {k: pytest.approx(r["active"]) for k, r in active.items()} == want
@@ -84,3 +91,12 @@ def test_append_once(spark, log, tmp_path):
         stream = spark.readStream.schema(R.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(log)
         R.append_once(stream, path, ["event_id"], f"{tmp_path}/c{attempt}").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(path).count() == 600
+
+
+def test_append_once_by_day(spark, log, tmp_path):
+    path = f"{tmp_path}/out"
+    for attempt in range(2):
+        stream = spark.readStream.schema(R.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(log).withColumn("day", F.to_date("ts"))
+        R.append_once(stream, path, ["event_id"], f"{tmp_path}/c{attempt}", by="day").trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.parquet(path)
+    assert held.count() == 600 and held.where(F.to_date("ts") != F.col("day")).count() == 0
