@@ -2,133 +2,236 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases (words of a text, lower case) and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: label, keyword that a text must hold, pattern of the name over lower-case words with one space between them.
-FAMILIES = (
-    ("mit", "mit", "(?:the )?mit(?: x11| expat)?"),
-    ("x11", "x11", "(?:the )?x11"),
-    ("isc", "isc", "(?:the )?isc"),
-    ("zlib", "zlib", "(?:the )?zlib(?: libpng)?"),
-    ("apache-1.1", "apache", "(?:the )?apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("apache-2", "apache", "(?:the )?apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("bsd-2-clause", "bsd", "(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-3-clause", "bsd", "(?:the )?(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd", "bsd", "(?:the )?(?:berkeley software distribution|bsd)"),
-    ("gpl-1", "gnu", "(?:the )?gnu (?:general public license|gpl)(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2", "gnu", "(?:the )?gnu (?:general public license|gpl)(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "gnu", "(?:the )?gnu (?:general public license|gpl)(?: version| v)? ?3(?: 0)?"),
-    ("gpl", "gnu", "(?:the )?gnu (?:general public license|gpl)"),
-    ("gpl-2", "gpl", "(?:the )?(?:gpl ?v?2(?: 0)?|gplv2)"),
-    ("gpl-3", "gpl", "(?:the )?(?:gpl ?v?3(?: 0)?|gplv3)"),
-    ("lgpl-2.1", "lgpl", "(?:the )?lgpl ?v?2 1"),
-    ("lgpl-3", "lgpl", "(?:the )?lgpl ?v?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", "(?:the )?gnu lesser general public license(?: version| v)? ?2 1"),
-    ("lgpl-3", "lesser", "(?:the )?gnu lesser general public license(?: version| v)? ?3(?: 0)?"),
-    ("lgpl", "lesser", "(?:the )?gnu lesser general public license"),
-    ("agpl-3", "affero", "(?:the )?gnu affero general public license(?: version| v)? ?(?:3(?: 0)?)?"),
-    ("agpl-3", "agpl", "(?:the )?agpl ?v?3?(?: 0)?"),
-    ("mpl-1.1", "mozilla", "(?:the )?mozilla public license(?: version| v)? ?1 1"),
-    ("mpl-2", "mozilla", "(?:the )?mozilla public license(?: version| v)? ?(?:2(?: 0)?)?"),
-    ("mpl-1.1", "mpl", "(?:the )?mpl(?: version| v)? ?1 1"),
-    ("mpl-2", "mpl", "(?:the )?mpl(?: version| v)? ?(?:2(?: 0)?)?"),
-    ("epl-1", "eclipse", "(?:the )?eclipse public license(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "eclipse", "(?:the )?eclipse public license(?: version| v)? ?(?:2(?: 0)?)?"),
-    ("cddl-1", "cddl", "(?:the )?cddl(?: version| v)? ?(?:1(?: [01])?)?"),
-    ("artistic-2", "artistic", "(?:the )?artistic license(?: version| v)? ?(?:2(?: 0)?)?"),
-    ("boost-1", "boost", "(?:the )?boost software license(?: version| v)? ?(?:1(?: 0)?)?"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "(?:the )?wtfpl"),
-    ("cc0", "cc0", "(?:the )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "cc", "(?:the )?cc by(?: [1-4](?: 0)?)?"),
-    ("cc-by-sa", "cc", "(?:the )?cc by sa(?: [1-4](?: 0)?)?"),
-    ("cc-by-nd", "cc", "(?:the )?cc by nd(?: [1-4](?: 0)?)?"),
-    ("cc-by-nc", "cc", "(?:the )?cc by nc(?: [1-4](?: 0)?)?"),
-    ("cc-by-nc-sa", "cc", "(?:the )?cc by nc sa(?: [1-4](?: 0)?)?"),
-    ("cc-by-nc-nd", "cc", "(?:the )?cc by nc nd(?: [1-4](?: 0)?)?"),
-    ("cc-by", "creative", "(?:a |the )?creative commons attribution(?: [1-4](?: 0)?)?"),
-    ("cc-by-sa", "creative", "(?:a |the )?creative commons attribution share ?alike(?: [1-4](?: 0)?)?"),
-    ("cc-by-nc", "creative", "(?:a |the )?creative commons attribution non ?commercial(?: [1-4](?: 0)?)?"),
-    ("odbl", "database", "(?:the )?open database license(?: version| v)? ?(?:1(?: 0)?)?"),
-    ("ofl-1.1", "font", "(?:the )?(?:sil )?open font license(?: version| v)? ?(?:1 1)?"),
-    ("python-2", "python", "(?:the )?python software foundation license(?: version| v)? ?(?:2(?: 0)?)?"),
-    ("postgresql", "postgresql", "(?:the )?postgresql"),
-    ("public-domain", "domain", "(?:in )?(?:the )?public domain"),
+#: Signature rules: tier, label, keyword that a text must hold, pattern over lower-case words with one space between them,
+#: weight. The tier is the priority: wording of a license itself, addresses, notices that grant it, names with a version, names.
+LICENSE_TEXTS = (
+    (0, "mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", 0.99),
+    (0, "mit", "permission", "to deal in the software without restriction including without limitation the rights to use copy modify", 0.97),
+    (0, "x11", "permission", "except as contained in this notice the name of (?:[^ ]+ ){1,12}shall not be used in advertising", 0.97),
+    (0, "isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 0.98),
+    (0, "postgresql", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 0.98),
+    (0, "hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted", 0.95),
+    (0, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.97),
+    (0, "bsd-3-clause", "endorse", "neither the name of (?:[^ ]+ ){1,20}nor the names of (?:its|their) contributors may be used to endorse or promote products", 0.98),
+    (0, "bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.98),
+    (0, "bsd-2-clause", "freebsd", "the views and conclusions contained in the software and documentation are those of the authors", 0.9),
+    (0, "0bsd", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", 0.97),
+    (0, "zlib", "liable", "in no event will the authors be held liable for any damages arising from the use of this software", 0.97),
+    (0, "zlib", "altered", "altered source versions must be plainly marked as such", 0.95),
+    (0, "apache-2", "apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at(?: http| https)? www apache org licenses license 2 0", 0.99),
+    (0, "apache-2", "apache", "terms and conditions for use reproduction and distribution", 0.6),
+    (0, "apache-1.1", "apache", "this product includes software developed by the apache software foundation", 0.9),
+    (0, "gpl", "gnu", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", 0.99),
+    (0, "gpl-2", "gnu", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 0.99),
+    (0, "gpl-3", "gnu", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.99),
+    (0, "gpl-2", "gnu", "gnu general public license version 2 only as published by the free software foundation", 0.99),
+    (0, "gpl-2", "verbatim", "gnu general public license version 2 june 1991", 0.99),
+    (0, "gpl-3", "verbatim", "gnu general public license version 3 29 june 2007", 0.99),
+    (0, "gpl", "gnu", "you should have received a copy of the gnu general public license along with this program", 0.95),
+    (0, "lgpl", "gnu", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation", 0.99),
+    (0, "lgpl-2.1", "gnu", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 0.99),
+    (0, "lgpl-3", "gnu", "gnu lesser general public license as published by the free software foundation either version 3 of the license", 0.99),
+    (0, "lgpl-2", "gnu", "gnu library general public license as published by the free software foundation either version 2 of the license", 0.99),
+    (0, "lgpl", "gnu", "you should have received a copy of the gnu lesser general public license along with this library", 0.95),
+    (0, "agpl-3", "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", 0.99),
+    (0, "mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0", 0.99),
+    (0, "mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 0.99),
+    (0, "mpl-1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0", 0.99),
+    (0, "epl-1", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? ?1 0", 0.98),
+    (0, "epl-2", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? ?2 0", 0.98),
+    (0, "cpl-1", "common", "this program and the accompanying materials are made available under the terms of the common public license v(?:ersion)? ?1 0", 0.98),
+    (0, "cddl-1", "common", "subject to the terms of the common development and distribution license", 0.97),
+    (0, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0.99),
+    (0, "wtfpl", "public", "do what the fuck you want to public license", 0.98),
+    (0, "boost-1", "boost", "boost software license version 1 0 august 17th 2003", 0.99),
+    (0, "boost-1", "boost", "distributed under the boost software license version 1 0", 0.99),
+    (0, "cc0", "creative", "to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighboring rights", 0.98),
+    (0, "ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1", 0.99),
+    (0, "python-2", "python", "psf license agreement for python", 0.97),
+    (0, "openssl", "openssl", "this product includes software developed by the openssl project", 0.95),
+    (0, "ms-pl", "microsoft", "this license governs use of the accompanying software if you use the software you accept this license", 0.9),
+    (0, "eupl-1.2", "european", "licensed under the eupl version 1 2 or as soon they will be approved", 0.98),
+    (0, "beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 0.95),
+    (0, "vim", "vim", "vim is charityware", 0.9),
+    (0, "artistic-2", "artistic", "the artistic license 2 0 copyright c 2000 2006 the perl foundation", 0.98),
+    (0, "permissive-notice", "permission", "permission is hereby granted free of charge", 0.8),
 )
-#: first words and pattern before the name, pattern after it, weight; stronger wording first.
-FRAMES = (
-    ("spdx", "spdx license identifier ", "", 0.99),
-    ("licensed", "licen[cs]ed (?:to you )?under (?:the terms of )?", "", 0.95),
-    ("released", "released (?:under|into|in) (?:the terms of )?", "", 0.95),
-    ("distributed", "distributed under (?:the terms of )?", "", 0.9),
-    ("available", "available under (?:the terms of )?", "", 0.9),
-    ("under", "under (?:the terms of )?", "(?: license)?", 0.85),
+ADDRESSES = (
+    (1, "mit", "opensource", "opensource org licenses mit(?: license)?", 0.97),
+    (1, "apache-2", "apache", "apache org licenses license 2 0", 0.97),
+    (1, "bsd-2-clause", "opensource", "opensource org licenses bsd 2 clause", 0.97),
+    (1, "bsd-3-clause", "opensource", "opensource org licenses bsd 3 clause", 0.97),
+    (1, "bsd", "opensource", "opensource org licenses bsd license", 0.95),
+    (1, "isc", "opensource", "opensource org licenses isc", 0.97),
+    (1, "zlib", "opensource", "opensource org licenses zlib", 0.97),
+    (1, "gpl-2", "gnu", "gnu org (?:old )?licenses (?:old licenses )?gpl 2 0", 0.97),
+    (1, "gpl-3", "gnu", "gnu org licenses gpl 3 0", 0.97),
+    (1, "gpl", "gnu", "gnu org licenses gpl", 0.9),
+    (1, "lgpl-2.1", "gnu", "gnu org licenses (?:old licenses )?lgpl 2 1", 0.97),
+    (1, "lgpl-3", "gnu", "gnu org licenses lgpl 3 0", 0.97),
+    (1, "lgpl", "gnu", "gnu org licenses lgpl", 0.9),
+    (1, "agpl-3", "gnu", "gnu org licenses agpl(?: 3 0)?", 0.97),
+    (1, "mpl-2", "mozilla", "mozilla org mpl 2 0", 0.97),
+    (1, "mpl-1.1", "mozilla", "mozilla org mpl mpl 1 1", 0.97),
+    (1, "epl-1", "eclipse", "eclipse org legal epl v10", 0.97),
+    (1, "epl-2", "eclipse", "eclipse org legal epl (?:v20|2 0)", 0.97),
+    (1, "unlicense", "unlicense", "unlicense org", 0.97),
+    (1, "cc0", "creativecommons", "creativecommons org publicdomain zero(?: 1 0)?", 0.98),
+    (1, "public-domain", "creativecommons", "creativecommons org publicdomain mark(?: 1 0)?", 0.95),
+    (1, "cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa(?: [1-4] [05])?", 0.98),
+    (1, "cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd(?: [1-4] [05])?", 0.98),
+    (1, "cc-by-nc", "creativecommons", "creativecommons org licenses by nc(?: [1-4] [05])?", 0.98),
+    (1, "cc-by-nd", "creativecommons", "creativecommons org licenses by nd(?: [1-4] [05])?", 0.98),
+    (1, "cc-by-sa", "creativecommons", "creativecommons org licenses by sa(?: [1-4] [05])?", 0.98),
+    (1, "cc-by", "creativecommons", "creativecommons org licenses by(?: [1-4] [05])?", 0.98),
+    (1, "ofl-1.1", "scripts", "scripts sil org ofl", 0.95),
+    (1, "boost-1", "boost", "boost org license 1 0 txt", 0.97),
+    (1, "wtfpl", "wtfpl", "wtfpl net", 0.95),
 )
-#: Wording that names no license family. label, keyword, first words, pattern, weight.
 NOTICES = (
-    ("all-rights-reserved", "rights", "all", "all rights reserved", 0.7),
-    ("proprietary", "confidential", "proprietary", "proprietary and confidential", 0.8),
-    ("no-redistribution", "redistribution", "no", "no redistribution (?:is )?(?:permitted|allowed)", 0.7),
-    ("copyright", "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 0.5),
-    ("permissive-notice", "permission", "permission", "permission is hereby granted free of charge", 0.8),
+    (5, "all-rights-reserved", "rights", "all rights reserved", 0.7),
+    (5, "proprietary", "confidential", "proprietary and confidential", 0.8),
+    (5, "proprietary", "confidential", "confidential and proprietary(?: information)?", 0.8),
+    (5, "proprietary", "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)(?: or distribution)?(?: of this (?:file|software|document))? (?:via any medium )?is (?:strictly )?prohibited", 0.85),
+    (5, "no-redistribution", "redistribution", "no redistribution (?:is )?(?:permitted|allowed)", 0.7),
+    (5, "no-redistribution", "redistribute", "(?:may|must|do|shall) not redistribute", 0.6),
+    (5, "no-commercial-use", "commercial", "(?:for )?non ?commercial use only", 0.75),
+    (5, "no-commercial-use", "commercial", "not for commercial use", 0.75),
+    (5, "no-derivatives", "derivative", "no derivative works(?: are)? (?:permitted|allowed)", 0.7),
+    (5, "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 0.5),
+    (5, "public-domain", "domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 0.9),
+)
+#: Names: tier of the bare name (None: the name alone says nothing), label, keyword, pattern.
+NAMES = (
+    (None, "mit", "mit", "mit(?: x11| expat)?"),
+    (None, "x11", "x11", "x11"),
+    (None, "isc", "isc", "isc"),
+    (None, "zlib", "zlib", "zlib(?: libpng)?"),
+    (3, "apache-1.1", "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?1 1"),
+    (3, "apache-2", "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    (3, "apache-2", "apache", "apache ?2(?: 0)?"),
+    (4, "apache", "apache", "apache(?: software)? licen[cs]e"),
+    (3, "bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    (3, "bsd-3-clause", "bsd", "(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
+    (3, "bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
+    (None, "bsd", "bsd", "bsd"),
+    (4, "bsd", "berkeley", "berkeley software distribution"),
+    (3, "gpl-1", "gnu", "gnu (?:general public licen[cs]e|gpl)(?: version| v)? ?1(?: 0)?"),
+    (3, "gpl-2", "gnu", "gnu (?:general public licen[cs]e|gpl)(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
+    (3, "gpl-3", "gnu", "gnu (?:general public licen[cs]e|gpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    (4, "gpl", "gnu", "gnu (?:general public licen[cs]e|gpl)"),
+    (3, "gpl-2", "gpl", "gpl(?: version)? ?v?2(?: 0)?(?: only| or later)?"),
+    (3, "gpl-2", "gplv2", "gplv2"),
+    (3, "gpl-3", "gpl", "gpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
+    (3, "gpl-3", "gplv3", "gplv3"),
+    (None, "gpl", "gpl", "gpl"),
+    (3, "lgpl-2.1", "lgpl", "lgpl(?: version)? ?v?2 1(?: only| or later)?"),
+    (3, "lgpl-3", "lgpl", "lgpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
+    (None, "lgpl", "lgpl", "lgpl"),
+    (3, "lgpl-2.1", "lesser", "gnu lesser general public licen[cs]e(?: version| v)? ?2 1"),
+    (3, "lgpl-3", "lesser", "gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
+    (4, "lgpl", "lesser", "gnu lesser general public licen[cs]e"),
+    (3, "lgpl-2", "library", "gnu library general public licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    (4, "lgpl", "library", "gnu library general public licen[cs]e"),
+    (3, "agpl-3", "affero", "gnu affero general public licen[cs]e(?:(?: version| v)? ?3(?: 0)?)?"),
+    (3, "agpl-3", "agpl", "agpl ?v?3(?: 0)?(?: only| or later)?"),
+    (None, "agpl-3", "agpl", "agpl"),
+    (3, "fdl-1.3", "documentation", "gnu free documentation licen[cs]e(?:(?: version| v)? ?1(?: [1-3])?)?"),
+    (3, "mpl-1.1", "mozilla", "mozilla public licen[cs]e(?: version| v)? ?1 1"),
+    (3, "mpl-2", "mozilla", "mozilla public licen[cs]e(?:(?: version| v)? ?2(?: 0)?)?"),
+    (3, "mpl-1.1", "mpl", "mpl(?: version| v)? ?1 1"),
+    (3, "mpl-2", "mpl", "mpl(?: version| v)? ?2(?: 0)?"),
+    (None, "mpl-2", "mpl", "mpl"),
+    (3, "epl-1", "eclipse", "eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"),
+    (3, "epl-2", "eclipse", "eclipse public licen[cs]e(?:(?: version| v)? ?2(?: 0)?)?"),
+    (3, "eupl-1.2", "eupl", "eupl(?: version| v)? ?1 2"),
+    (3, "cddl-1", "cddl", "cddl(?: version| v)? ?1(?: [01])?"),
+    (4, "cddl-1", "distribution", "common development and distribution licen[cs]e"),
+    (None, "cddl-1", "cddl", "cddl"),
+    (3, "artistic-2", "artistic", "artistic licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    (4, "artistic", "artistic", "artistic licen[cs]e"),
+    (3, "boost-1", "boost", "boost software licen[cs]e(?:(?: version| v)? ?1(?: 0)?)?"),
+    (3, "ms-pl", "microsoft", "microsoft public licen[cs]e"),
+    (3, "upl-1", "universal", "universal permissive licen[cs]e(?:(?: version| v)? ?1(?: 0)?)?"),
+    (4, "unlicense", "unlicense", "unlicense"),
+    (4, "wtfpl", "wtfpl", "wtfpl"),
+    (3, "cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
+    (3, "cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nc", "cc", "cc by nc(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-sa", "cc", "cc by sa(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nd", "cc", "cc by nd(?: [1-4](?: [05])?)?"),
+    (3, "cc-by", "cc", "cc by(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1-4](?: [05])?)?"),
+    (3, "cc-by-nd", "creative", "creative commons attribution no ?deriv(?:ative)?s?(?: [1-4](?: [05])?)?"),
+    (3, "cc-by", "creative", "creative commons attribution(?: [1-4](?: [05])?)?"),
+    (3, "odbl", "database", "open (?:data commons open )?database licen[cs]e(?:(?: version| v)? ?1(?: 0)?)?"),
+    (3, "ofl-1.1", "font", "(?:sil )?open font licen[cs]e(?:(?: version| v)? ?1 1)?"),
+    (3, "python-2", "python", "python software foundation licen[cs]e(?:(?: version| v)? ?2(?: 0)?)?"),
+    (None, "postgresql", "postgresql", "postgresql"),
+    (None, "public-domain", "domain", "public domain"),
 )
-#: Words that a detection looks at from its first word on.
-REACH = 16
+#: What stands before a name that grants the license, and behind one that needs it.
+GRANT = (
+    "(?:spdx license identifier "
+    "|(?:(?:licen[cs]ed|released|distributed|available|published|provided|offered|shared) )?(?:to you )?under (?:the terms of )?(?:a |an |the )?"
+    "|(?:covered|governed) by (?:the terms of )?(?:a |an |the )?"
+    "|(?:released|placed) (?:in|into) (?:the )?)"
+)
+BEHIND = "(?: style)? licen[cs]e"
 
 
 def rules() -> list[dict]:
-    """Signature rules in order of priority: each family in each frame, then the notices."""
-    out = []
-    for first, before, after, weight in FRAMES:
-        starts = ["licensed", "licenced"] if first == "licensed" else [first]
-        for label, gate, name in FAMILIES:
-            out += [{"label": label, "gate": f" {gate}", "first": s, "pattern": f"^{before}{name}{after} ", "weight": weight} for s in starts]
-    out += [{"label": a, "gate": f" {gate}", "first": first, "pattern": f"^{p} ", "weight": w} for a, gate, first, p, w in NOTICES]
-    return [r | {"priority": i} for i, r in enumerate(out)]
+    """All rules in order of priority: signatures as they stand; each name where words before it grant the license, where
+    `license` follows, and alone if that says enough."""
+    out = [*LICENSE_TEXTS, *ADDRESSES]
+    for tier, label, gate, name in NAMES:
+        out.append((2, label, gate, f"{GRANT}{name}(?:{BEHIND})?", 0.95))
+        if tier is None:
+            out.append((4, label, gate, f"(?:the )?{name}{BEHIND}", 0.85))
+        else:
+            out.append((tier, label, gate, f"(?:the )?{name}(?:{BEHIND})?", 0.9 if tier == 3 else 0.8))
+    out = sorted([*out, *NOTICES], key=lambda r: r[0])  # stable: rules of a tier keep their order
+    return [{"tier": t, "label": label, "gate": f" {gate} ", "pattern": f" {pattern}(?= )", "weight": w} for t, label, gate, pattern, w in out]
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Letters A-Z are lower-cased; words are runs of digits, letters and characters beyond ASCII. Base phrases count
-    wherever their words stand consecutively. A rule is tried at words it can start with, if the text holds its
-    keyword; a detection inside another one (or on the same words with a later rule) is suppressed. score is the
-    greatest weight of what remains, 0.95 at least where a base phrase stands, 0 without any. Null and empty texts
-    have no words and no labels; repeated rows are judged each; further columns are ignored; an empty table gives an
-    empty result.
+    wherever their words stand consecutively. A rule is tried if the text holds its keyword. Detections are taken by
+    tier, the longer first within a tier, then the earlier; one that shares words with a taken one, inside it or across its
+    border, is suppressed. score is the greatest weight of what remains, 0.95 at least where a base phrase stands, 0 without
+    any. Null and empty texts have no words and no labels; repeated rows are judged each; further columns are ignored; an
+    empty table gives an empty result.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     rows = docs.select(F.col(id_col).alias("id"), F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ").alias("t"))
     rows = rows.select("id", F.concat(F.lit(" "), F.trim("t"), F.lit(" ")).alias("t"))
     rows = rows.withColumn("w", F.array_remove(F.split("t", " "), ""))
     table = rules()
-    schema = "array<struct<label:string,gate:string,first:string,pattern:string,weight:double,priority:int>>"
-    gates = "|".join(sorted({r["gate"].strip() for r in table}))
-    firsts = sorted({r["first"] for r in table})
     none = F.array().cast("array<int>")
     at = F.sequence(F.lit(0), F.size("w") - 1)
-    has_words = F.size("w") > 0
     base = {label: F.when(F.contains("t", F.lit(f" {phrase} ")), F.filter(at, _stands(phrase.split()))).otherwise(none) for phrase, label in BASE}
-    found = F.from_json(F.lit(json.dumps(table)), schema)
-    rows = rows.select("id", "t", "w", *[v.alias(f"b{i}") for i, v in enumerate(base.values())], (has_words & F.col("t").rlike(f" (?:{gates})")).alias("gated"))
-    rows = rows.withColumn("r", F.when(F.col("gated"), F.filter(found, lambda r: F.contains(F.col("t"), r["gate"]))))
-    rows = rows.withColumn("s", F.when(F.size("r") > 0, F.filter(at, lambda i: F.get("w", i).isin(firsts))).otherwise(none))
-    window = lambda i: F.struct(i.alias("i"), F.concat(F.array_join(F.slice("w", i + 1, REACH), " "), F.lit(" ")).alias("x"))
-    rows = rows.withColumn("s", F.transform("s", window))
-    rows = rows.withColumn("d", F.sort_array(F.flatten(F.transform("s", _detect))))
-    kinds = "array<string>"
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(kinds).alias("labels"), F.lit(0.0).alias("score"))
-    grow = lambda a, d: F.struct((-d["minus_end"]).alias("end"), F.array_union(a["labels"], F.array(d["label"])).alias("labels"), F.greatest(a["score"], d["weight"]).alias("score"))
-    kept = F.aggregate("d", start, lambda a, d: F.when(-d["minus_end"] <= a["end"], a).otherwise(grow(a, d)))
+    gates = "|".join(sorted({r["gate"].strip() for r in table}))
+    gated = F.col("t").rlike(f" (?:{gates}) ")
+    rows = rows.select("id", "t", "w", *[v.alias(f"b{i}") for i, v in enumerate(base.values())], F.when(gated, F.expr(_matches(table))).alias("m"))
+    rows = rows.withColumn("d", F.sort_array(F.flatten(F.transform("m", lambda m: _placed(m, table)))))
+    kept = F.aggregate("d", F.filter("d", lambda d: F.lit(False)), lambda a, d: F.when(F.exists(a, lambda k: (d["start"] < k["end"]) & (k["start"] < d["end"])), a).otherwise(F.array_append(a, d)))
     rows = rows.withColumn("k", kept)
     names = [F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, label in enumerate(base)]
     rows = rows.withColumn("bl", F.array_sort(F.array_compact(F.array(*names)))).withColumn("p", F.concat("b0", "b1", "b2"))
+    found = F.coalesce(F.transform("k", lambda k: k["label"]), F.array().cast("array<string>"))
+    best = F.coalesce(F.array_max(F.transform("k", lambda k: k["weight"])), F.lit(0.0))
     return rows.select(
         F.col("id").alias(id_col),
         F.size("w").cast("long").alias("n_words"),
@@ -136,11 +239,37 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.array_min("p").cast("long").alias("first_word"),
         F.array_max("p").cast("long").alias("last_word"),
         F.array_join("bl", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("bl", F.coalesce(F.col("k.labels"), F.array().cast(kinds)))), ",").alias("labels"),
-        F.greatest(F.coalesce(F.col("k.score"), F.lit(0.0)), F.when(F.size("p") > 0, F.lit(0.95)).otherwise(F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union("bl", found)), ",").alias("labels"),
+        F.greatest(best, F.when(F.size("p") > 0, F.lit(0.95)).otherwise(F.lit(0.0))).alias("score"),
     )
 
 
+def _matches(table: list[dict]) -> str:
+    """SQL of an array of (rule, hits, what stands between them) of the rules that match: first by keyword, then one
+    constant pattern for each rule."""
+    gates: dict[str, list[str]] = {}
+    for i, r in enumerate(table):
+        p = r["pattern"]
+        gates.setdefault(r["gate"], []).append(f"CASE WHEN t RLIKE '{p}' THEN named_struct('rule', {i}, 'hits', regexp_extract_all(t, '{p}', 0), 'between', split(t, '{p}', -1)) END")
+    parts = [f"CASE WHEN contains(t, '{gate}') THEN array_compact(array({', '.join(found)})) END" for gate, found in gates.items()]
+    return f"flatten(array_compact(array({', '.join(parts)})))"
+
+
+def _placed(m: Column, table: list[dict]) -> Column:
+    """Detections of a rule: tier, minus_words (so that longer ones sort first), start, end, label, weight; places count words."""
+    of = lambda name, cut="{}": F.get(F.expr(f"array({', '.join(cut.format(r[name]) for r in table)})"), m["rule"])
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    pairs = F.zip_with(F.slice(m["between"], 1, F.size(m["hits"])), m["hits"], lambda s, h: F.struct(spaces(s).alias("before"), spaces(h).alias("words")))
+    empty = F.expr("cast(array() as array<struct<start:int,words:int>>)")
+
+    def add(a: Column, x: Column) -> Column:
+        start = a["at"] + x["before"]
+        return F.struct((start + x["words"]).alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), x["words"].alias("words"))).alias("out"))
+
+    places = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
+    return F.transform(places, lambda x: F.struct(of("tier").alias("tier"), (-x["words"]).alias("minus_words"), x["start"].alias("start"), (x["start"] + x["words"]).alias("end"), of("label", "'{}'").alias("label"), of("weight", "{}D").alias("weight")))
+
+
 def _stands(phrase: list[str]):
     def test(i: Column) -> Column:
         out = F.get("w", i) == phrase[0]
@@ -149,14 +278,3 @@ def _stands(phrase: list[str]):
         return F.coalesce(out, F.lit(False))
 
     return test
-
-
-def _detect(s: Column) -> Column:
-    """Detections at one start: start, minus_end (so that the longer one sorts first), priority, label, weight."""
-    hit = F.filter("r", lambda r: (r["first"] == F.substring_index(s["x"], " ", 1)) & F.rlike(s["x"], r["pattern"]))
-
-    def one(r: Column) -> Column:
-        n = F.size(F.split(F.regexp_substr(s["x"], r["pattern"]), " ")) - 1
-        return F.struct(s["i"].alias("start"), (-(s["i"] + n)).alias("minus_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight"))
-
-    return F.transform(hit, one)

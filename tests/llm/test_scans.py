@@ -125,6 +125,39 @@ def test_licenses(spark, words):
     assert len(lic.rules()) > 200
 
 
+def plain_licenses(text):
+    """Rules by Python's re, suppression by trying every pair."""
+    t = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', text.lower()))} "
+    found = []
+    for r in lic.rules():
+        if r["gate"] in t:
+            for m in re.finditer(r["pattern"], t):
+                start, words = t[: m.start()].count(" "), m[0].count(" ")
+                found.append((r["tier"], -words, start, start + words, r["label"], r["weight"]))
+    kept = []
+    for d in sorted(found):
+        if not any(d[2] < k[3] and k[2] < d[3] for k in kept):
+            kept.append(d)
+    base = {label for phrase, label in lic.BASE if f" {phrase} " in t}
+    return ",".join(sorted(base | {k[4] for k in kept})), max([0.0, *(k[5] for k in kept), *(0.95 for _ in base)])
+
+
+def test_license_rules_equal_plain_version(spark):
+    said = {
+        "MIT License": "mit", "BSD 3-Clause License": "bsd-3-clause", "GNU General Public License version 3": "gpl-3", "covered by the GNU GPL": "gpl", "CC BY-SA 4.0": "cc-by-sa", "released under the GPL": "gpl",
+        "Licensed under the LGPL.": "lgpl", "developed by MIT": "", "see isc": "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "https://www.gnu.org/licenses/gpl-3.0.html": "gpl-3",
+        "https://creativecommons.org/licenses/by-nc-nd/4.0/": "cc-by-nc-nd", "SPDX-License-Identifier: BSD-2-Clause": "bsd-2-clause", "Apache-2.0": "apache-2", "released into the public domain": "public-domain", "Copyright (c) 2019 X": "copyright",
+        "under the GNU Lesser General Public License version 2.1 only": "lgpl-2.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2", "nothing here": "",
+    }
+    rng = random.Random(8)
+    words_ = ["the", "under", "gnu", "license", "licensed", "general", "public", "version", "2", "3", "0", "mit", "apache", "bsd", "cc", "by", "nc", "sa", "clause", "lesser", "gpl", "terms", "of", "style", "software", "rights", "all", "reserved", "x"]
+    texts = [*said, *(" ".join(rng.choice([*said, *words_, *words_]) for _ in range(rng.randint(3, 40))) for _ in range(300))]
+    got = {r["doc_id"]: r for r in lic.licenses(make(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["labels"], got[i]["score"]) == plain_licenses(t), t
+    assert {t: got[i]["labels"] for i, t in enumerate(said)} == said
+
+
 def test_license_suppression(spark):
     r = lic.licenses(make(spark, [(1, "Licensed under CC BY-NC-SA 4.0 today")])).first()
     assert r["labels"] == "cc-by-nc,cc-by-nc-sa" and r["base_labels"] == "cc-by-nc"
