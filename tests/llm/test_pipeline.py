@@ -66,3 +66,40 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     assert pipe.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_on_odd_rows(spark, sf_dir, words, tmp_path):
+    """Null ids and texts, repeated ids with unlike texts, repeated rows, a very long text, and columns named as the stages' own."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    twice = prose(60)
+    odd = [(None, prose(50)), (None, None), (7000, None), (7001, ""), (7002, prose(80)), (7002, prose(80)), (7003, prose(150_000)), (7004, twice), (7004, twice), (7005, f"{prose(40)} password=abc1def2{'x' * 9}")]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(make(spark, odd))
+    for name in ("h", "id", "line", "score", "root", "r", "node", "keys", "masked", "order", "packed", "gone", "rank", "size"):
+        docs = docs.withColumn(name, docs["lang"])
+    seen = {}
+    for name, stage in pipe.STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = [tuple(r)[:2] for r in docs.where("doc_id is null or doc_id >= 7000").collect()]
+        if name != "packing":
+            assert docs.columns == pipe.COLUMNS
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(seen["toxicity"], key=key) == sorted(odd, key=key)
+    texts = lambda name, i: sorted(t or "" for k, t in seen[name] if k == i)
+    assert sorted(seen["line_dedup"], key=key) == sorted(odd, key=key)
+    assert texts("near_dedup", 7002) == texts("toxicity", 7002) and texts("near_dedup", 7004) == [twice]
+    assert texts("near_dedup", None) == texts("toxicity", None) and len(texts("near_dedup", 7003)) == 1
+    assert sum(len(texts("near_dedup", i)) for i in (7000, 7001)) <= 1  # copies of each other and of other empty texts
+    assert texts("secrets", 7005)[0].endswith("<assign>")
+    pieces = [r for r in seen["packing"] if r[0] == 7003]
+    assert len(pieces) > 100 and sorted(k for _, k in pieces) == list(range(len(pieces)))
+
+
+def test_stages_on_an_empty_table(spark, sf_dir, tmp_path):
+    docs = make(spark, [])
+    for name, stage in pipe.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0
