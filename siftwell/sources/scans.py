@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.columns import extension, stem
 
 
 def scan_files(spark: SparkSession, root: str, exts: list[str]) -> DataFrame:
-    """(path, stem, extension, folder, size, modified) of the files under root; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    """(path, stem, extension, folder, size, modified) of the files under root with these extensions, in any case; contents are
+    not read, and other files are left out when the folder is listed."""
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".")) for e in exts]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(any_case)}}}")
+    files = reader.load(root).select("path", "length", "modificationTime")
     out = files.select("path", stem(F.col("path")).alias("stem"), extension(F.col("path")).alias("extension"), F.element_at(F.split("path", "/"), -2).alias("folder"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return out.where(F.col("extension").isin([e.lower() for e in exts]))
 
@@ -37,16 +40,10 @@ def read_table_csv(spark: SparkSession, path: str, schema: StructType, exact: bo
         raise ValueError(f"header {header} is not {schema.names}")
     if missing := set(schema.names) - set(header):
         raise ValueError(f"columns {sorted(missing)} are missing")
-    rows = spark.read.option("header", True).csv(path)
-    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    typed = StructType([schema[c] if c in schema.names else StructField(c, StringType()) for c in header])
+    return spark.read.schema(typed).option("header", True).option("mode", "FAILFAST").csv(path).select(*[f"`{c}`" for c in schema.names])
 
 
 def read_manifest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines by a fixed schema; blank lines are skipped, broken ones are an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
-def assert_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    if missing := set(names) - set(df.columns):
-        raise ValueError(f"columns {sorted(missing)} are missing")
-    return df
