@@ -148,38 +148,61 @@ def _compare(table: pa.Table, alike: float) -> pa.Table:
     for i, v in enumerate(lists):
         codes[i, : len(v)] = v
     mixed = len(np.unique(block)) > 1
-    count, low = np.zeros(len(node), np.int64), np.arange(len(node))
     order = np.argsort(node, kind="stable")
-    node, n, block, x, codes = node[order], n[order], block[order], x[order], codes[order]
-    near_i, near_j = [], []
+    node, n, block, x, codes = node[order], n[order].astype(np.float64), block[order], x[order], codes[order]
+    kinds, kind = np.unique(codes, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    here = _first_shared(kinds, code)
+    count, low, seen = np.zeros(len(node)), np.arange(len(node)), np.zeros(len(node), bool)
     for a in range(0, len(node), 256):
-        hit = x[a : a + 256] @ x.T >= alike
-        hit &= np.arange(len(node))[None, :] > np.arange(a, min(a + 256, len(node)))[:, None]
+        part = slice(a, min(a + 256, len(node)))
+        hit = x[part] @ x.T >= alike
+        hit &= np.arange(len(node))[None, :] > np.arange(part.start, part.stop)[:, None]
         if mixed:
-            hit &= block[a : a + 256][:, None] != block[None, :]
-        i, j = np.nonzero(hit)
-        i += a
-        near_i.append(i)
-        near_j.append(j)
-        first = np.full(len(i), np.iinfo(np.int64).max)
-        for s in range(codes.shape[1]):
-            c = codes[i, s]
-            shared = (codes[j] == c[:, None]).any(axis=1) & (c >= 0)
-            first = np.where(shared, np.minimum(first, c), first)
-        mine = first == code  # each pair is counted in the first leaf that it shares
-        np.add.at(count, i[mine], n[j[mine]])
-        np.add.at(count, j[mine], n[i[mine]])
-    i, j = np.concatenate(near_i), np.concatenate(near_j)
+            hit &= block[part][:, None] != block[None, :]
+        own = (hit & here[kind[part]][:, kind]).astype(np.float64)  # each pair is counted in the first leaf that it shares
+        count[part] += own @ n
+        count += n[part] @ own
+        seen[part] |= hit.any(1)
+        seen |= hit.any(0)
+        low = _merged(low, *np.nonzero(hit & (low[part][:, None] != low[None, :])), a)
+    rows = np.flatnonzero(seen)
+    return pa.table({"node": pa.array(node[rows]), "links": pa.array(count[rows].astype(np.int64)), "low": pa.array(node[low[rows]])})
+
+
+def _first_shared(kinds: np.ndarray, code: int) -> np.ndarray:
+    """For each two lists of leaf codes (-1: none) whether `code` is the least that both hold."""
+    most = np.iinfo(np.int64).max
+    out = np.zeros((len(kinds), len(kinds)), bool)
+    for a in range(0, len(kinds), 256):
+        mine = kinds[a : a + 256]
+        first = np.full((len(mine), len(kinds)), most)
+        for s in range(kinds.shape[1]):
+            c = mine[:, s]
+            shared = np.zeros((len(mine), len(kinds)), bool)
+            for k in range(kinds.shape[1]):
+                shared |= kinds[:, k][None, :] == c[:, None]
+            first = np.where(shared & (c >= 0)[:, None], np.minimum(first, c[:, None]), first)
+        out[a : a + 256] = first == code
+    return out
+
+
+def _merged(low: np.ndarray, i: np.ndarray, j: np.ndarray, shift: int) -> np.ndarray:
+    """low, the least row that each row is linked to, after the links (i + shift, j)."""
+    i = i + shift
     while len(i):
-        least = np.minimum(low[i], low[j])
-        before = low.copy()
-        np.minimum.at(low, i, least)
-        np.minimum.at(low, j, least)
-        low = low[low]
-        if (low == before).all():
-            break
-    seen = np.unique(np.concatenate([i, j]))
-    return pa.table({"node": pa.array(node[seen]), "links": pa.array(count[seen]), "low": pa.array(node[low[seen]])})
+        p, q = low[i], low[j]
+        least = np.minimum(p, q)
+        np.minimum.at(low, p, least)
+        np.minimum.at(low, q, least)
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
+        apart = low[i] != low[j]
+        i, j = i[apart], j[apart]
+    return low
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", alike: float = 0.98, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11) -> DataFrame:

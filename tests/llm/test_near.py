@@ -8,6 +8,7 @@ import xxhash
 
 import corpus_pipeline as pipe
 from siftwell.llm import near
+from siftwell.llm import embeddings as emb
 from siftwell.llm.embeddings import embedding_groups
 from siftwell.llm.simhash import fingerprint, golay_keys, golay_tables, links, simhash_groups
 
@@ -121,7 +122,8 @@ def test_embeddings_recall_and_exactness(spark, sample):
     assert got[odd[7]]["n_links"] == 1
 
 
-def test_embeddings_blocks_count_each_pair_once(spark):
+def test_embeddings_blocks_count_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(emb, "BLOCK", 700)
     rng = np.random.default_rng(6)
     c = rng.normal(size=16)
     rows = [(i, (c + rng.normal(size=16) * 0.02).tolist(), 1) for i in range(2500)] + [(5000 + i, c.tolist(), 1) for i in range(40)]
@@ -131,6 +133,13 @@ def test_embeddings_blocks_count_each_pair_once(spark):
     assert embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.1]
+    rows = [(1, a, 0), (1, b, 0), (2, b, 0), (3, [x * 2 for x in b], 0), (4, b, 1), (4, b, 1)]
+    got = sorted(tuple(r) for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
 def plain_shingles(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
