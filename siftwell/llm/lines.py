@@ -9,26 +9,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import forget, saved, small_parts, texts
+from .sift import BLOCK, FILTER_BITS, bit_filter, gathered, holds, inside_filter, pressed, slot
 from .wordhash import line_words, mix, open_bytes, press_bytes
 
 #: Two lines are alike if their word sets have this Jaccard similarity or more.
 ALIKE = 0.8
 #: Counters, chosen by a hash, that the number of each word is estimated from; their number is fixed.
 COUNTERS = 1 << 19
-#: Numbers of a row in which such arrays reach the driver.
-BLOCK = 4096
 #: Partners that a line asks for at a token, such as the bitmaps show to be alike and doubtful ones, before it waits for
 #: the verification of these; a further pass serves those whose partners all fail.
 SURE, TRIES = 2, 16
 #: Bytes of text that a task works on at a time.
 CHUNK = 2 << 20
-#: Bits of the filters that keep out what no pair needs; their size is fixed.
-FILTER_BITS = 1 << 24
 #: Words of 64 bits in the bitmap of a set: one for each so many tokens, rounded up to a power of two, at most MOST_BITMAP.
 TOKENS_A_WORD, MOST_BITMAP = 40, 16
 KEY = ["id", "h", "line"]
@@ -57,35 +54,7 @@ def word_classes(rows: DataFrame) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
 
     n = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    return _gathered(n.withColumn("block", F.expr(f"slot div {BLOCK}").cast("int")).groupBy("block").applyInArrow(grade, "block int, data binary"), COUNTERS, np.uint8)
-
-
-def _gathered(blocks: DataFrame, n: int, kind: type) -> np.ndarray:
-    """An array of n numbers from rows (block, data) of BLOCK numbers each; missing blocks are 0."""
-    out = np.zeros(n, kind)
-    for r in blocks.collect():  # n / BLOCK rows at most
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], kind)
-    return out
-
-
-def _slot(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("s")
-
-
-def _filter(slots: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with those of the column s set."""
-    bits = slots.groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
-
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(BLOCK, np.int64)
-        out[table.column("w").to_numpy() % BLOCK] = table.column("b").to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
-
-    return _gathered(bits.withColumn("block", F.expr(f"w div {BLOCK}").cast("int")).groupBy("block").applyInArrow(fill, "block int, data binary"), FILTER_BITS // 64, np.int64)
-
-
-def _holds(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return bits[s >> 6].view(np.uint64) >> (s & 63).astype(np.uint64) & np.uint64(1) == 1
+    return gathered(n.withColumn("block", F.expr(f"slot div {BLOCK}").cast("int")).groupBy("block").applyInArrow(grade, "block int, data binary"), COUNTERS, np.uint8)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -143,7 +112,7 @@ def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: flo
     h, line, owner, number = line_words(part.column("text").cast(pa.binary()).to_pylist())
     if wanted is not None:  # most lines have no such token
         some = np.zeros(len(owner), bool)
-        some[line[_holds(wanted[0], _token_slot(h))]] = True
+        some[line[holds(wanted[0], _token_slot(h))]] = True
         h, line = h[some[line]], line[some[line]]
     token, line = _tokens(h, line, classes)
     if not len(token):
@@ -153,7 +122,7 @@ def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: flo
     bits, bits_at = _parity(token, heads, size)
     whole = np.add.reduceat(mix(token ^ np.uint64(0x5851F42D4C957F2D)), heads)
     at = line[heads]  # the line of each set
-    asks = np.ones(len(heads), bool) if wanted is None else _holds(wanted[1], _line_slot(hs[owner[at]], number[at]))
+    asks = np.ones(len(heads), bool) if wanted is None else holds(wanted[1], _line_slot(hs[owner[at]], number[at]))
     by = np.lexsort((number[at], hs[owner[at]], ids[owner[at]], whole, size))
     same = np.append(False, (whole[by][1:] == whole[by][:-1]) & (size[by][1:] == size[by][:-1]))
     copy = np.zeros(len(heads), bool)
@@ -164,7 +133,7 @@ def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: flo
     pos = np.arange(len(line)) - heads[which]
     take = pos < np.where(copy, 1, _prefix(size, alike))[which]
     if wanted is not None:
-        take &= _holds(wanted[0], _token_slot(token))
+        take &= holds(wanted[0], _token_slot(token))
     token_id = (token >> np.uint64(32)).astype(np.uint32)
     before = np.append(np.uint32(0), token_id[:-1])
     token_id, before, pos, which = token_id[take], before[take], pos[take], which[take]
@@ -182,7 +151,7 @@ def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: flo
         flags = copy[k] + 2 * asks[k]
         columns = (token_id[group], before[group], _narrow(pos[group]), _narrow(size[k]), (whole[k] >> np.uint64(32)).astype(np.uint32), _narrow(number[at[k]]), _narrow(of), flags.astype(np.uint8), bits[flat], np.diff(ids[doc], prepend=0), hs[doc])
         keys.append(int(bucket[group[0]]))
-        blobs.append(press_bytes(pickle.dumps(columns, 5)))
+        blobs.append(press_bytes(pickle.dumps(columns, 5), 1))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
@@ -328,7 +297,7 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_line_slot(batch.column("h").to_numpy(), batch.column("line").to_numpy()))], names=["s"])
 
     asked = sets.join(left, KEY).select("words").mapInArrow(slots, "s long")
-    wanted = context.broadcast((_filter(asked), _filter(left.select("h", "line").mapInArrow(own, "s long"))))
+    wanted = context.broadcast((bit_filter(asked), bit_filter(left.select("h", "line").mapInArrow(own, "s long"))))
     rest = saved(found(wanted).join(left, KEY, "left_semi").join(pairs, PAIR, "left_anti"))
     return out.union(_verified(rest, _sets(rows, rest), alike)).distinct()
 
@@ -349,31 +318,10 @@ def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
 
-    some = _pressed(rows, _filter(lists.select(_slot("id", "h"))))
+    some = pressed(rows, bit_filter(lists.select(slot("id", "h"))))
     return saved(some.join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(pick, "id long, h long, line int, words binary"))
 
 
-def _inside(batch: pa.RecordBatch, bits: np.ndarray, inside: bool = True) -> pa.RecordBatch:
-    """The rows of a batch whose slot s is in the filter, or those that are not."""
-    return batch.filter(pa.array(_holds(bits, batch.column("s").to_numpy()) == inside))
-
-
-def _pressed(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Of the rows (id, h, .., text) those whose (id, h) are in the filter, their text packed."""
-    mask = rows.sparkSession.sparkContext.broadcast(bits)
-    rest = [c for c in rows.columns if c != "text"]
-
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            part = _inside(batch, mask.value)
-            packed = [press_bytes(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(packed, pa.binary())], names=[*rest, "packed"])
-
-    fields = [*[rows.schema[c] for c in rest], StructField("packed", BinaryType())]
-    return rows.select(*rest, "text", _slot("id", "h")).mapInArrow(press, StructType(fields))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     """The later lines of the pairs that are alike."""
     other = sets.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
@@ -405,7 +353,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = saved(similar_lines(rows, alike).groupBy("id", "h").agg(F.collect_list("line").alias("gone")))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in carry or (id_col,)]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = whole.select("id", F.xxhash64("text").alias("h"), "row", "text")
-    bits = _filter(gone.select(_slot("id", "h")))
+    bits = bit_filter(gone.select(slot("id", "h")))
 
     mask = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -413,7 +361,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         forget()
         for batch in batches:
             packed = "packed" in batch.schema.names
-            part = batch if packed else _inside(batch, mask.value, False)
+            part = batch if packed else inside_filter(batch, mask.value, False)
             raw = map(open_bytes, part.column("packed").to_pylist()) if packed else part.column("text").cast(pa.binary()).to_pylist()
             out: list[list] = [[], [], [], []]
             for x, at in zip(raw, part.column("gone").to_pylist() if packed else repeat(None, part.num_rows), strict=True):
@@ -428,6 +376,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     made = ["n_lines", "n_removed", "kept_sha256"]
     schema = StructType([whole.schema["id"], whole.schema["row"], *[StructField(c, k) for c, k in zip([*made, "kept_text"], (LongType(), LongType(), StringType(), StringType()))]])
-    cut = _pressed(whole, bits).join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone")
-    done = cut.mapInArrow(finish, schema).union(whole.select("id", "row", "text", _slot("id", "h")).mapInArrow(finish, schema))
+    cut = pressed(whole, bits).join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone")
+    done = cut.mapInArrow(finish, schema).union(whole.select("id", "row", "text", slot("id", "h")).mapInArrow(finish, schema))
     return done.select(F.col("id").alias(id_col), *made, *(["kept_text", *[F.col(f"row.{c}").alias(c) for c in carry]] if carry else []))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small_parts, texts
-from .wordhash import mix, open_bytes, press_bytes, shrunk, words_in
+from .sift import bit_filter, inside_filter, pressed, slot
+from .wordhash import mix, open_bytes, press_bytes, words_in
 
 #: Words of a window and of the m-mers whose least hash is its minimiser.
 WINDOW, MER = 13, 3
@@ -192,14 +194,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot, size = hot_minimisers(rows)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * size // BUCKET_BYTES)
     ranges = covered(rows, hot, buckets).distinct()
-    lists = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))
-    joined = shrunk(rows).join(lists, ["id", "h"], "left")
+    lists = saved(ranges.groupBy("id", "h").agg(F.collect_list(F.struct("start", "words")).alias("ranges")))
+    bits = bit_filter(lists.select(slot("id", "h")))
+    mask = spark.sparkContext.broadcast(bits)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"n": [], "gone": [], "sha": [], "text": []}
-            for packed, found in zip(batch.column("packed").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                w = open_bytes(packed).split()
+            packed = "packed" in batch.schema.names
+            if not packed:  # texts that lose nothing
+                batch = inside_filter(batch, mask.value, False)
+            raw = map(open_bytes, batch.column("packed").to_pylist()) if packed else batch.column("text").cast(pa.binary()).to_pylist()
+            for x, found in zip(raw, batch.column("ranges").to_pylist() if packed else repeat(None, batch.num_rows), strict=True):
+                w = x.split()
                 keep = np.ones(len(w), bool)
                 for r in found or ():
                     keep[r["start"] : r["start"] + r["words"]] = False
@@ -209,4 +216,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [batch.column("id"), pa.array(out["n"], pa.int64()), pa.array(out["gone"], pa.int64()), pa.array(out["sha"], pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(out["text"], pa.string())] * with_text], names=[id_col, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
-    return joined.select("id", "packed", "ranges").mapInArrow(finish, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    cut = pressed(rows, bits, 3).join(lists, ["id", "h"], "left").select("id", "packed", "ranges")
+    return cut.mapInArrow(finish, schema).union(rows.select("id", "text", slot("id", "h")).mapInArrow(finish, schema))

@@ -90,23 +90,8 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return mix(h), line, np.repeat(np.arange(len(n)), n), np.arange(len(ends)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def shrunk(docs: DataFrame) -> DataFrame:
-    """docs with the column text as a compressed binary column `packed`, for a smaller shuffle."""
-    rest = [f for f in docs.schema if f.name != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([press.compress(x) for x in raw], pa.binary())], names=[*names, "packed"])
-
-    return docs.select(*[f.name for f in rest], "text").mapInArrow(run, StructType([*rest, StructField("packed", BinaryType())]))
-
-
-def press_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def press_bytes(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def open_bytes(data: bytes) -> bytes:
