@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -45,16 +46,23 @@ def word_classes(rows: DataFrame) -> np.ndarray:
             for part in small_parts(batch, CHUNK):
                 h = line_words(part.column("text").cast(pa.binary()).to_pylist())[0]
                 total += np.bincount(_counter(h), minlength=COUNTERS)
-        slot = np.flatnonzero(total > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+        blocks = total.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([press_bytes(blocks[k].tobytes(), 1) for k in some], pa.binary())], names=["block", "data"]).add_column(0, "task", pa.array(np.full(len(some), TaskContext.get().partitionId(), np.int32)))
+
+    def total_of(table: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(open_bytes(x), np.int64) for x in table.column("data").to_pylist())
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([press_bytes(total_of(table).tobytes(), 1)], pa.binary())})
 
     def grade(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(BLOCK, np.uint8)
-        out[table.column("slot").to_numpy() % BLOCK] = np.minimum(255, 6 * np.log2(table.column("n").to_numpy().astype(np.float64)))
+        out = np.minimum(255, 6 * np.log2(np.maximum(total_of(table), 1).astype(np.float64))).astype(np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    n = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    return gathered(n.withColumn("block", F.expr(f"slot div {BLOCK}").cast("int")).groupBy("block").applyInArrow(grade, "block int, data binary"), COUNTERS, np.uint8)
+    sent = rows.select("text").mapInArrow(run, "task int, block int, data binary")
+    summed = sent.groupBy("block", F.expr("task div 256").alias("tasks")).applyInArrow(add, "block int, data binary")  # few rows a group, however many tasks
+    return gathered(summed.groupBy("block").applyInArrow(grade, "block int, data binary"), COUNTERS, np.uint8)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -143,9 +151,14 @@ def _entries(part: pa.RecordBatch, classes: np.ndarray, buckets: int, alike: flo
     go = np.argsort(bucket, kind="stable")
     width = _width(size)
     keys, blobs = [], []
+    there, place = np.zeros(part.num_rows, bool), np.zeros(part.num_rows, np.int64)
     for group in np.split(go, np.flatnonzero(np.diff(bucket[go])) + 1):
         k = which[group]
-        doc, of = np.unique(owner[at[k]], return_inverse=True)
+        there[owner[at[k]]] = True
+        doc = np.flatnonzero(there)
+        place[doc] = np.arange(len(doc))
+        of = place[owner[at[k]]]
+        there[doc] = False
         n = width[k]
         flat = np.repeat(bits_at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         flags = copy[k] + 2 * asks[k]
