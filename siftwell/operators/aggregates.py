@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import score_rank
+from .ranges import carried, falling, fields, rising, running, sliced
 
 
 def long_form(df: DataFrame, ids: list[str], cols: list[str], name: str, value: str) -> DataFrame:
@@ -21,17 +21,21 @@ def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_form(text, [], cols, "field", "value").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, col: str, by: list[str], wanted: dict[str, tuple[float, bool]], slices: int = 1024) -> DataFrame:
-    """Exact quantiles of each group; wanted: name -> (share, interpolate). Values are ranked by slices of their range, so no task
-    holds a group, and only the rows at the ranks asked for are aggregated. Nulls do not count."""
-    ranked = score_rank(df.where(F.col(col).isNotNull()).select(*by, (-F.col(col).cast("double")).alias("_x")), by, "_x", [], "_rank", slices)
-    size = ranked.groupBy(*by).agg(F.count("*").alias("_size"))
+def exact_quantiles(df: DataFrame, col: str, by: list[str], wanted: dict[str, tuple[float, bool]]) -> DataFrame:
+    """Exact quantiles of each group; wanted: name -> (share, interpolate). Nulls do not count.
+
+    Equal values are counted before the shuffle; the distinct ones are cut into ranges at quantiles of a sample, and running counts tell
+    which value stands at each rank that is asked for. So no task holds a group, whether its values are all equal or far apart."""
+    values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    upto = running(values, by, rising("_x"), {"_upto": F.col("_n")})
+    size = values.groupBy(*by).agg(F.sum("_n").alias("_size"))
     at = {}
     for k, (share, between) in wanted.items():
         place = (F.col("_size") - 1) * share + 1 if between else F.greatest(F.lit(1.0), F.ceil(F.col("_size") * share))
         at[k] = (F.floor(place).cast("long"), F.ceil(place).cast("long"), place - F.floor(place))
-    some = ranked.join(size, by).where(reduce(lambda p, q: p | q, [F.col("_rank").isin(low, high) for low, high, _ in at.values()]))
-    value = lambda rank: F.max(F.when(F.col("_rank") == rank, -F.col("_x")))
+    here = lambda rank: (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))
+    some = upto.join(size, by).where(reduce(lambda p, q: p | q, [here(low) | here(high) for low, high, _ in at.values()]))
+    value = lambda rank: F.max(F.when(here(rank), F.col("_x")))
     return some.groupBy(*by).agg(*[(value(low) + (value(high) - value(low)) * F.max(part)).alias(k) for k, (low, high, part) in at.items()])
 
 
@@ -96,30 +100,27 @@ def check_prf(df: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return fresh.where(bad)
 
 
-def mean_ap(df: DataFrame, by: list[str], targets: DataFrame, thresholds: list[float], iou: str, confidence: str, tie: str, slices: int = 1024) -> DataFrame:
+def mean_ap(df: DataFrame, by: list[str], targets: DataFrame, thresholds: list[float], iou: str, confidence: str, tie: str) -> DataFrame:
     """Average precision of each group at each overlap threshold.
 
-    df has a prediction per row with the overlap with its target; targets has `by` and n_targets. Predictions are taken
-    by falling confidence (0..1); precision is made non-increasing from the right and summed over the steps of recall. Slices of
-    the confidence are counted first, so a task sorts a slice of a group and never a whole one.
+    df has a prediction per row with the overlap with its target; targets has `by` and n_targets. Predictions are taken by
+    falling confidence, then tie; precision is made non-increasing from the right and summed over the steps of recall. A
+    prediction travels once for all thresholds; ranges cut at quantiles of (confidence, tie) are what a task sorts.
     """
-    rows = df.withColumn("_b", F.floor((1 - F.col(confidence)) * slices)).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    rows = rows.withColumn("_hit", (F.col(iou) >= F.col("threshold")).cast("long"))
-    group = [*by, "threshold"]
-    order = Window.partitionBy(*group, "_b").orderBy(F.desc(confidence), tie)
-    slice_ = Window.partitionBy(*group).orderBy("_b")  # a row for each slice
-    earlier = slice_.rowsBetween(Window.unboundedPreceding, -1)
-    n = rows.groupBy(*group, "_b").agg(F.count("*").alias("_k"), F.sum("_hit").alias("_h"))
-    n = n.select(*group, "_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_k", "_h")])
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(n, [*group, "_b"]).join(targets, by)
-    rows = rows.withColumns({"_tp": F.col("_h0") + F.sum("_hit").over(run), "_n": F.col("_k0") + F.count("*").over(run)})
-    rows = rows.withColumn("_precision", F.col("_tp") / F.col("_n"))
-    later = rows.groupBy(*group, "_b").agg(F.max("_precision").alias("_top")).select(*group, "_b", F.max("_top").over(slice_.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    rows = rows.join(later, [*group, "_b"])
-    best = F.greatest(F.max("_precision").over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
-    rows = rows.withColumns({"_best": best, "_step": ratio(F.col("_hit"), F.col("n_targets"))})
-    return rows.groupBy(*group).agg(F.sum(F.col("_step") * F.col("_best")).alias("ap"))
+    rows = sliced(df.select(*by, iou, confidence, tie), by, falling(confidence, F.col(tie)))
+    hits = {f"_t{i}": (F.col(iou) >= t).cast("long") for i, t in enumerate(thresholds)}
+    rows = carried(rows, by, "_slice", fields(rows), {"_n": F.lit(1).cast("long"), **hits})
+    rows = rows.withColumns({f"_p{i}": F.col(f"_t{i}") / F.col("_n") for i in range(len(thresholds))})
+    later = Window.partitionBy(*by).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)  # a row for each range
+    tops = rows.groupBy(*by, "_slice").agg(*[F.max(f"_p{i}").alias(f"_m{i}") for i in range(len(thresholds))])
+    tops = tops.select(*by, "_slice", *[F.max(f"_m{i}").over(later).alias(f"_l{i}") for i in range(len(thresholds))])
+    onward = Window.partitionBy(*by, "_slice").orderBy(*fields(rows)).rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.join(tops, [*by, "_slice"]).join(targets, by)
+    best = {f"_p{i}": F.greatest(F.max(f"_p{i}").over(onward), F.col(f"_l{i}")) for i in range(len(thresholds))}
+    rows = rows.select(*by, iou, "n_targets", *[c.alias(k) for k, c in best.items()])
+    ap = [F.sum(ratio((F.col(iou) >= t).cast("long"), F.col("n_targets")) * F.col(f"_p{i}")).alias(f"_a{i}") for i, t in enumerate(thresholds)]
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_a{i}").alias("ap")) for i, t in enumerate(thresholds)])
+    return rows.groupBy(*by).agg(*ap).select(*by, F.explode(each).alias("_e")).select(*by, "_e.threshold", "_e.ap")
 
 
 def map_summary(ap: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_sha256
-from .similarity import durable
+from .durable import durable
 
 
 def verify_hashes(manifest: DataFrame, files: DataFrame, key: str, digest: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_rank
 from .joins import exclude
-from .similarity import durable
+from .durable import durable
 from .windows import bucket_rank, digest_rank, hardness, keep_best, score_rank
 
 

@@ -8,22 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_rank
+from .ranges import carried, falling, fields, following, recent, rising, sliced
 
 
 def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, name: str) -> DataFrame:
     """Adds the rank 1, 2, ... of each row within `by` in an order that starts with a bucket.
 
-    A rank is the number of rows in earlier buckets plus the one within the bucket, so no task ever holds a whole
-    stratum, however large: only a bucket of it, and one counter for each bucket.
+    A rank is the number of rows in earlier buckets plus the one within the bucket: a task holds a bucket of a stratum, and
+    one counter for each bucket.
     """
     rows = df.withColumn("_bucket", bucket)
-    n = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = n.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] + [F.col("_bucket").eqNullSafe(F.col("_b"))])
-    inner = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
-    ranked = rows.withColumn("_inner", inner).join(before, on)
-    return ranked.withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_bucket", "_b", "_before", "_inner", *[f"_k{i}" for i in range(len(by))])
+    return carried(rows, by, "_bucket", order, {name: F.lit(1).cast("long")}).drop("_bucket")
 
 
 def digest_rank(df: DataFrame, by: list[str], digest: str, tie: str, name: str) -> DataFrame:
@@ -31,15 +26,11 @@ def digest_rank(df: DataFrame, by: list[str], digest: str, tie: str, name: str)
     return bucket_rank(df, by, F.substring(F.col(digest), 1, 3), [F.col(digest), F.col(tie)], name)
 
 
-def score_rank(df: DataFrame, by: list[str], score: str, ties: list, name: str, slices: int = 1024) -> DataFrame:
-    """Rank within `by` by falling score (nulls last), then ties; slices of the score's range deal the rows out."""
-    ends = df.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    ends = ends.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(by)], "_low", "_high")
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(by)])
-    rows = df.join(ends, on)
-    share = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col(score)) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
-    bucket = F.coalesce(F.floor(share * slices).cast("int"), F.lit(slices + 1))
-    return bucket_rank(rows, by, bucket, [F.desc_nulls_last(score), *ties], name).drop("_low", "_high", *[f"_e{i}" for i in range(len(by))])
+def score_rank(df: DataFrame, by: list[str], score: str, ties: list, name: str) -> DataFrame:
+    """Rank within `by` by falling score (nulls last), then ties, the last of which should tell rows apart: ranges cut at quantiles of
+    (score, ties) deal the rows out, so neither outliers nor equal scores bring a group together."""
+    rows = sliced(df, by, falling(score, *ties))
+    return bucket_rank(rows, by, F.col("_slice"), fields(rows), name).drop("_o", "_slice", "_cut")
 
 
 def first_of(score: Column, tie: str) -> Column:
@@ -180,11 +171,15 @@ def curve(df: DataFrame, by: list[str], step: Column, value: str) -> DataFrame:
 
 
 def eta(df: DataFrame, key: str, order: list[str], seconds: str, total: int, k: int = 5) -> DataFrame:
-    """Adds done and remaining = (total - done) * mean of the last k steps."""
-    w = Window.partitionBy(key).orderBy(*order)
-    recent = F.avg(seconds).over(w.rowsBetween(-(k - 1), 0))
-    out = df.withColumn("done", F.row_number().over(w)).withColumn("recent", recent)
-    return out.withColumn("remaining", F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("recent"))
+    """Adds done and remaining = (total - done) * mean of the last k steps. A long series is cut into ranges, each of which is handed the
+    number of steps and the last k - 1 of those before it."""
+    rows = sliced(df, [key], rising(*order))
+    rows = carried(rows, [key], "_slice", fields(rows), {"done": F.lit(1).cast("long")})
+    rows = recent(rows, [key], F.col(seconds).cast("double"), k, "_last", own=True)
+    known = F.filter(F.transform("_last", lambda x: x["v"]), lambda v: v.isNotNull())
+    out = rows.withColumn("recent", F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)))
+    out = out.withColumn("remaining", F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("recent"))
+    return out.drop("_last", "_o", "_slice", "_cut")
 
 
 def choose_by_mode(df: DataFrame, group: str, mode: Column, score: str, key: str, seed: int) -> DataFrame:
@@ -217,20 +212,42 @@ def select_candidate(df: DataFrame, sample: str, candidate: str, components: lis
     return g.select(sample, F.explode(F.array(*conditions)).alias("_c")).select(sample, "_c.condition", f"_c.{candidate}", "_c.final_score")
 
 
-def usage_guidance(df: DataFrame, obj: str, domain: str, background: str, order: list[str], quota: int) -> DataFrame:
-    """What earlier rows of the same object tell at each row: uses, quota left, share of repeats, recency."""
-    w = Window.partitionBy(obj).orderBy(*order)
-    before = lambda *cols: F.count("*").over(Window.partitionBy(obj, *cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumns({"used": before(), "domain_used": before(domain), "background_used": before(background), "seq": F.row_number().over(w)})
-    last = F.lag("seq").over(Window.partitionBy(obj, background).orderBy(*order))
-    return out.withColumns(
+#: What each part of the guidance weighs in the adjustment of a score.
+GUIDANCE_WEIGHTS = {"quota_bonus": 0.06, "domain_repeat_penalty": -0.08, "background_repeat_penalty": -0.18, "recent_history_penalty": -0.10, "coarse_domain_penalty": -0.30}
+
+
+def usage_guidance(df: DataFrame, obj: str, domain: str, background: str, order: list[str], quota: int, allowed: dict | None = None, others: int = 5, memory: int = 4, coarse: Column | None = None) -> DataFrame:
+    """What the uses committed before each row tell of its object, and the adjustment of a score that follows.
+
+    Rows are uses in the order of their commits. used: earlier uses of the object; remaining_quota and quota_bonus: what
+    the quota leaves, and its share; domain_repeat_penalty: earlier uses in the row's domain by the number of domains
+    that are allowed with it (`allowed`, else `others`); background_repeat_penalty: earlier uses on the row's background;
+    recent_history_penalty: 1 if the object is among the last `memory` commits, of whatever object; coarse_domain_penalty: a
+    column of the caller's, or 0; adjustment: their weighted sum.
+
+    Counts of an object are running sums over ranges of its uses, so an object with half of all uses is spread over tasks;
+    the memory goes through ranges of all commits, each of which gets the last ones of those before it.
+    """
+    one = F.lit(1).cast("long")
+    rows = sliced(df, [obj], rising(*order))
+    rows = carried(rows, [obj], "_slice", fields(rows), {"used": one, "_domain": one, "_background": one}, {"_domain": [domain], "_background": [background]})
+    commits = sliced(rows.drop("_o", "_slice", "_cut"), [], rising(*order))
+    rows = recent(commits, [], F.col(obj), memory, "_memory", own=False)
+    most = F.lit(others)
+    for value, n in (allowed or {}).items():
+        most = F.when(F.col(domain) == value, F.lit(n)).otherwise(most)
+    rows = rows.withColumn("used", F.col("used") - 1).withColumn("remaining_quota", F.greatest(F.lit(0), F.lit(quota) - F.col("used")))
+    out = rows.withColumns(
         {
-            "quota_left": F.greatest(F.lit(0), F.lit(quota) - F.col("used")),
-            "domain_repeat": F.when(F.col("used") > 0, F.col("domain_used") / F.col("used")).otherwise(0.0),
-            "background_repeat": F.least(F.lit(1), F.col("background_used")),
-            "recent": F.coalesce(F.col("seq") - last <= 4, F.lit(False)),
+            "quota_bonus": F.col("remaining_quota") / F.lit(float(max(1, quota))),
+            "domain_repeat_penalty": (F.col("_domain") - 1) / most,
+            "background_repeat_penalty": (F.col("_background") - 1).cast("double"),
+            "recent_history_penalty": F.exists("_memory", lambda x: x["v"].eqNullSafe(F.col(obj))).cast("double"),
+            "coarse_domain_penalty": F.lit(0.0) if coarse is None else coarse,
         }
     )
+    total = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in GUIDANCE_WEIGHTS.items()])
+    return out.withColumn("adjustment", total).drop("_domain", "_background", "_memory", "_o", "_slice", "_cut")
 
 
 def latest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
@@ -238,7 +255,8 @@ def latest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFr
 
 
 def attempts(df: DataFrame, job: str, order: list[str], ts: str) -> DataFrame:
-    """Adds attempt (1, 2, ...) and seconds to the next row of the job (null for the last)."""
-    w = Window.partitionBy(job).orderBy(*order)
-    seconds = (F.unix_micros(F.lead(ts).over(w)) - F.unix_micros(ts)) / 1e6
-    return df.withColumns({"attempt": F.row_number().over(w), "seconds": seconds})
+    """Adds attempt (1, 2, ...) and seconds to the next row of the job (null for the last); the rows of one job are cut into ranges."""
+    rows = sliced(df, [job], rising(*order))
+    rows = carried(rows, [job], "_slice", fields(rows), {"attempt": F.lit(1).cast("long")})
+    rows = following(rows, [job], F.unix_micros(ts), "_next")
+    return rows.withColumn("seconds", (F.col("_next.v") - F.unix_micros(ts)) / 1e6).drop("_next", "_o", "_slice", "_cut")

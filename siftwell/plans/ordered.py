@@ -129,7 +129,7 @@ def q_curve(spark, sf_dir) -> DataFrame:
     return out.withColumns({"step": F.col("step").cast("timestamp_ntz"), "mean": F.round("mean", 8), "sample_sd": F.round("sample_sd", 8)})
 
 
-@query("SELECT user_id, event_id, done::INT AS done, round(greatest(0, 200 - done) * recent, 7) AS remaining FROM (SELECT user_id, event_id, row_number() OVER w AS done, avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+@query("SELECT user_id, event_id, done, round(greatest(0, 200 - done) * recent, 7) AS remaining FROM (SELECT user_id, event_id, row_number() OVER w AS done, avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 def q_eta(spark, sf_dir) -> DataFrame:
     return W.eta(Tables(spark, sf_dir).events, "user_id", ["ts", "event_id"], "value", 200).select("user_id", "event_id", "done", F.round("remaining", 7).alias("remaining"))
 
@@ -162,14 +162,20 @@ def q_ablation_select(spark, sf_dir) -> DataFrame:
     return W.select_candidate(df, "l_orderkey", "l_linenumber", list(WEIGHTS), WEIGHTS, conditions, 11).withColumn("final_score", F.round("final_score", 9))
 
 
-@query("""WITH s AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_extendedprice, row_number() OVER w AS seq, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used,
-       count(*) OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS du, count(*) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bu
-       FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag))
-       SELECT l_orderkey, l_linenumber, l_partkey, used, greatest(0, 40 - used) AS quota_left, CASE WHEN used > 0 THEN round(du::DOUBLE / used, 6) ELSE 0 END AS domain_repeat, least(1, bu) AS background_repeat,
-       coalesce(seq - lag(seq) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag) <= 4, false) AS recent FROM s""")
+COMMITS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag"
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY {COMMITS}) AS seq, row_number() OVER (PARTITION BY l_partkey ORDER BY {COMMITS}) - 1 AS used,
+       row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY {COMMITS}) - 1 AS du, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY {COMMITS}) - 1 AS bu FROM lineitem),
+       g AS (SELECT *, greatest(0, 40 - used) AS remaining_quota, greatest(0, 40 - used) / 40.0::DOUBLE AS quota_bonus, du::DOUBLE / CASE l_returnflag WHEN 'A' THEN 1 ELSE 5 END AS domain_repeat_penalty, bu::DOUBLE AS background_repeat_penalty,
+       coalesce(seq - lag(seq) OVER (PARTITION BY l_partkey ORDER BY seq) <= 4, false)::INT::DOUBLE AS recent_history_penalty, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS coarse_domain_penalty FROM s)
+       SELECT l_orderkey, l_linenumber, l_partkey, used, remaining_quota, round(quota_bonus, 6) AS quota_bonus, round(domain_repeat_penalty, 6) AS domain_repeat_penalty, background_repeat_penalty, recent_history_penalty,
+       round(0.06 * quota_bonus - 0.08 * domain_repeat_penalty - 0.18 * background_repeat_penalty - 0.10 * recent_history_penalty - 0.30 * coarse_domain_penalty, 8) AS adjustment FROM g""")
 def q_usage_guidance(spark, sf_dir) -> DataFrame:
-    out = W.usage_guidance(Tables(spark, sf_dir).lineitem, "l_partkey", "l_returnflag", "l_suppkey", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag"], 40)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "used", "quota_left", F.round("domain_repeat", 6).alias("domain_repeat"), "background_repeat", "recent")
+    coarse = F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 3 == 0), 0.5).otherwise(0.0)
+    lines = Tables(spark, sf_dir).lineitem.select(*COMMITS.split(", "))
+    out = W.usage_guidance(lines, "l_partkey", "l_returnflag", "l_suppkey", COMMITS.split(", "), 40, {"A": 1}, coarse=coarse)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "used", "remaining_quota", F.round("quota_bonus", 6).alias("quota_bonus"), F.round("domain_repeat_penalty", 6).alias("domain_repeat_penalty"), "background_repeat_penalty", "recent_history_penalty", F.round("adjustment", 8).alias("adjustment"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -177,7 +183,7 @@ def q_latest_state(spark, sf_dir) -> DataFrame:
     return W.latest(Tables(spark, sf_dir).events, "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
 
 
-@query("SELECT user_id, event_id, (row_number() OVER w)::INT AS attempt, round((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6, 3) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("SELECT user_id, event_id, row_number() OVER w AS attempt, round((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6, 3) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def q_attempts(spark, sf_dir) -> DataFrame:
     events = Tables(spark, sf_dir).events.withColumn("ts", F.col("ts").cast("timestamp"))
     return W.attempts(events, "user_id", ["ts", "event_id"], "ts").select("user_id", "event_id", "attempt", F.round("seconds", 3).alias("seconds"))
