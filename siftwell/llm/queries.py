@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import secrets
+from .centroids import centroid_clusters
 from .common import table
 from .embeddings import embedding_groups
+from .importance import importance_sample
 from .licenses import licenses
 from .lines import line_dedup
 from .packing import pack
 from .quality import STOP_WORDS, THRESHOLDS, quality
 from .simhash import simhash_groups
 from .substring import substring_dedup
+from .topk import top_k
 from .toxicity import toxicity, train
 from .wfst import sentencepiece_ids
 
@@ -71,7 +74,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_sentencepiece, op4_substring, op5_lines, op6_embeddings, op7_packing, op8_quality, op9_toxicity, op10_licenses)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_sentencepiece, op4_substring, op5_lines, op6_embeddings, op7_packing, op8_quality, op9_toxicity, op10_licenses, op11_topk, op12_importance, op13_centroids)}
 
 
 def _op8_sql() -> str:
@@ -113,4 +128,52 @@ _OP4_SQL = r"""
            sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i))) END, ' ')) AS kept_sha256
     FROM d LEFT JOIN gone USING (r)"""
 
-SQL = {"op4_substring": _OP4_SQL, "op8_quality": _op8_sql()}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_OP11_SQL = f"""
+    WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE {_FINITE} AND len(embedding) > 0),
+    s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.x, e.x), lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM e q JOIN e ON q.r <> e.r AND len(q.x) = len(e.x) WHERE q.vec_id % 100 = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10"""
+
+#: CRC-32 of a word in SQL: a table worked out from the polynomial, then a byte at a time over the hexadecimal digits of the word.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_OP12_SQL = rf"""
+    WITH t0 AS (SELECT range AS i, range::BIGINT AS c FROM range(256)),
+    {" ".join(f"t{k + 1} AS (SELECT i, {_STEP} AS c FROM t{k})," for k in range(8))}
+    tab AS (SELECT list(c ORDER BY i) AS tab FROM t8),
+    w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+    d AS (SELECT r, unnest(w) AS w FROM w),
+    x AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM d UNION SELECT w FROM g)),
+    b AS (SELECT w, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) AS b FROM x),
+    c AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1]))) % 10000 AS bucket FROM b, tab),
+    s AS (SELECT bucket, count(*) AS s FROM d JOIN c USING (w) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM g JOIN c USING (w) GROUP BY bucket),
+    gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+    m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM d JOIN c USING (w) JOIN gain USING (bucket) GROUP BY r),
+    f AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (r)),
+    z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, doc_id IS NOT NULL AND n_features >= 20 AS fit FROM f),
+    o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS k, (SELECT count(*) FROM z WHERE fit) * 10 // 100 AS n FROM z)
+    SELECT doc_id, n_features, weight, score, CASE WHEN fit AND k <= n THEN k END AS rank FROM o"""
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    distance = "list_sum(list_transform(list_zip(e.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS (SELECT r, any_value(e.vec_id) AS vec_id, any_value(e.x) AS x, arg_min(c.c, ({distance}, c.c)) AS c, min({distance}) AS d FROM e, c{k} c GROUP BY r)")
+        if k < rounds:
+            parts.append(f"s{k} AS (SELECT c, i, sum(v) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS v, unnest(range(64)) AS i FROM a{k}) GROUP BY c, i)")
+            parts.append(f"m{k} AS (SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{k} GROUP BY c)")
+            parts.append(f"c{k + 1} AS (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON c.c = m.c)")
+    return f"""
+    WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+    c0 AS (SELECT c, x FROM (SELECT x, (row_number() OVER (ORDER BY sha256('1:' || vec_id), embedding) - 1)::INT AS c FROM e) WHERE c < 16),
+    {", ".join(parts)}
+    SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+           sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+SQL = {"op4_substring": _OP4_SQL, "op8_quality": _op8_sql(), "op11_topk": _OP11_SQL, "op12_importance": _OP12_SQL, "op13_centroids": _op13_sql()}
