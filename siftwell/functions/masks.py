@@ -130,10 +130,21 @@ def bundle_reasons(checks: dict[str, Column]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))))
 
 
+#: Names of what can be wrong with a rendered sample.
+RENDERED_REASONS = (
+    "image_decode_failed mask_decode_failed image_mask_size_mismatch mask_not_binary mask_empty polygon_not_utf8 polygon_empty "
+    "polygon_invalid_field_count polygon_invalid_class polygon_non_numeric polygon_coordinate_out_of_range metadata_missing"
+).split()
+
+
 def rendered_reasons(image_size: tuple[Column, Column], mask_size: tuple[Column, Column], mask: Column, polygons: Column, metadata: Column, required: list[str]) -> Column:
-    """Sorted reasons why a rendered sample is bad: sizes of image and mask, mask values (an array) other than 0 and 255 or all 0,
-    the first bad line of the polygon text, and keys that the metadata (a map) lacks."""
-    lines = F.filter(F.transform(F.split(F.trim(polygons), r"\r\n|\n|\r"), lambda x: F.array_remove(F.split(F.trim(x), r"\s+"), "")), lambda x: F.lit(True))
+    """Sorted reasons why a rendered sample is bad. A size (width, height) is null where decoding failed; if both decode, they must be
+    equal, and the mask, an array, must hold only 0 and 255 and not only 0. polygons is the label, text or bytes: what that is not UTF-8
+    counts as empty too, else the first bad line tells. The metadata, a map, must have the required keys."""
+    image_size, mask_size = (F.when(w.isNotNull() & h.isNotNull(), F.struct(w.alias("w"), h.alias("h"))) for w, h in (image_size, mask_size))
+    valid = F.coalesce(F.is_valid_utf8(polygons.cast("string")), F.lit(False))
+    text = F.when(valid, F.trim(F.regexp_replace(polygons.cast("string"), r"^\s+|\s+$", ""))).otherwise("")
+    lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.array_remove(F.split(x, r"\s+"), ""))
 
     def line_reason(parts: Column) -> Column:
         numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda v: v.try_cast("double"))
@@ -143,16 +154,19 @@ def rendered_reasons(image_size: tuple[Column, Column], mask_size: tuple[Column,
         )
 
     bad = F.filter(F.transform(lines, line_reason), lambda r: r.isNotNull())
-    empty = F.trim(F.coalesce(polygons, F.lit(""))) == ""
     missing = F.array_except(F.array(*[F.lit(c) for c in sorted(required)]), F.coalesce(F.map_keys(metadata), F.array().cast("array<string>")))
-    fails = lambda c: ~F.coalesce(c, F.lit(False))
-    return F.array_sort(F.array_compact(F.array(
-        F.when(fails((image_size[0] == mask_size[0]) & (image_size[1] == mask_size[1])), "image_mask_size_mismatch"),
+    decoded = image_size.isNotNull() & mask_size.isNotNull()
+    fails = lambda c: decoded & ~F.coalesce(c, F.lit(False))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(
+        F.when(image_size.isNull(), "image_decode_failed"),
+        F.when(mask_size.isNull(), "mask_decode_failed"),
+        F.when(fails(image_size == mask_size), "image_mask_size_mismatch"),
         F.when(fails(F.forall(mask, lambda v: v.isin(0, 255))), "mask_not_binary"),
         F.when(fails(F.exists(mask, lambda v: v != 0)), "mask_empty"),
-        F.when(empty, "polygon_empty").otherwise(F.get(bad, 0)),
+        F.when(polygons.isNotNull() & ~valid, "polygon_not_utf8"),
+        F.when(text == "", "polygon_empty").otherwise(F.get(bad, F.lit(0))),
         F.when(F.size(missing) > 0, F.concat(F.lit("metadata_missing:"), F.array_join(missing, ","))),
-    )))
+    ))))
 
 
 def _rasters(column: pd.Series, side: int) -> np.ndarray:
@@ -250,11 +264,11 @@ def gradient_values(df: DataFrame, key: str, population: str, raster: str, side:
 
 
 def sample_values(df: DataFrame, population: str, key: list[str], most: int, seed: int) -> DataFrame:
-    """`most` rows of each population at most, those with the least digests."""
-    from ..operators.windows import digest_rank
+    """`most` rows of each population at most, those with the least digests of seed and key."""
+    from ..operators.windows import bottom_k
 
-    ranked = digest_rank(df.withColumn("_d", F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), 256)), [population], "_d", key[0], "_r")
-    return ranked.where(F.col("_r") <= most).drop("_d", "_r")
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), 256)
+    return bottom_k(df.withColumn("_d", digest), [population], "_d", key, most, "_r").drop("_d", "_r")
 
 
 def density_histogram(df: DataFrame, population: str, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -32,37 +32,95 @@ def row_digest(df: DataFrame, cols: list[str], name: str = "row_digest") -> Data
     return df.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256))
 
 
+def _line(*cols: str) -> Column:
+    return F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
+
+
+def fingerprint_tree(df: DataFrame, key: str, digest: str, size: str, width: int = 4096) -> DataFrame:
+    """(level, prefix, digest, files, bytes): a tree of digests over all (key, size, digest) rows; the root is level 0 with an empty
+    prefix. Keys may be of any type.
+
+    Rows are dealt out by the SHA-256 of their key, so the tree is as even for paths that begin alike as for numbers: a leaf is
+    the digest of the sorted lines `key<TAB>size<TAB>digest` whose key digests share a prefix, each node above that of its
+    children's digests. A level takes one more hexadecimal digit, and there are as many as keep a leaf at about `width` lines
+    or less, so a task never joins more than that (more only where keys repeat). Two tables give the same root only if they have
+    the same rows.
+    """
+    n = df.count()
+    depth = 0
+    while n > width * 16**depth:
+        depth += 1
+    name = F.sha2(F.col(key).cast("string"), 256)
+    line = _line(key, size, digest)
+    rows = df.select(F.substring(name, 1, depth).alias("prefix"), line.alias("line"), F.col(size).alias("size"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
+    level = rows.groupBy("prefix").agg(joined.alias("digest"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    levels = [durable(level.select(F.lit(depth).alias("level"), "prefix", "digest", "files", "bytes"))]
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda s: s["digest"]), "\n")
+    for d in reversed(range(depth)):
+        up = levels[-1].groupBy(F.substring("prefix", 1, d).alias("p")).agg(F.sha2(ordered, 256).alias("digest"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        levels.append(up.select(F.lit(d).alias("level"), F.col("p").alias("prefix"), "digest", "files", "bytes"))
+    return reduce(DataFrame.unionByName, reversed(levels))
+
+
 def tree_fingerprint(df: DataFrame, key: str, digest: str, size: str, width: int = 4096) -> DataFrame:
-    """One row: a digest of all (key, size, digest) rows, their number and total size. Rows are sorted and digested by ranges of
-    `width` integer keys, the digests of these by ranges of ranges, and so on: there are as many levels as the greatest key
-    asks for, and a task never joins more than `width` lines (more only where keys repeat)."""
-    line = F.concat_ws("|", F.col(key).cast("string"), F.col(size).cast("string"), F.col(digest))
-    rows = df.select(F.floor(F.col(key) / width).alias("b"), line.alias("line"), F.col(size).alias("size"))
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    level = rows.groupBy("b").agg(joined("line").alias("d"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    ends = df.agg(F.min(key), F.max(key)).first()
-    span = max(abs(x or 0) for x in ends)
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n")
-    while span >= width * width:
-        level = level.groupBy(F.floor(F.col("b") / width).alias("b2")).agg(F.sha2(ordered, 256).alias("d"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).withColumnRenamed("b2", "b")
-        span //= width
-    return level.agg(F.sha2(ordered, 256).alias("fingerprint"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
-
-
-def reach(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+    """One row: the root of fingerprint_tree, the number of rows and their total size; no row for an empty table."""
+    return fingerprint_tree(df, key, digest, size, width).where("level = 0").select(F.col("digest").alias("fingerprint"), "files", "bytes")
+
+
+def tree_difference(left: DataFrame, right: DataFrame, left_tree: DataFrame, right_tree: DataFrame, key: str, digest: str, size: str) -> DataFrame:
+    """(key, status): rows that differ between two tables, MISSING (right has none), ADDED or CHANGED, found from their trees.
+
+    The descent compares the children of nodes that differ and no others, level by level; only rows under leaves that
+    differ are read and compared. The trees must have been made with one width; of trees of different depth the leaves of the
+    shallower one are compared.
+    """
+    depth = min(t.agg(F.max("level")).first()[0] or 0 for t in (left_tree, right_tree))
+    there = lambda t, d, name: t.where(F.col("level") == d).select("prefix", F.col("digest").alias(name))
+    off = None
+    for d in range(depth + 1):
+        a, b = there(left_tree, d, "_a"), there(right_tree, d, "_b")
+        if off is not None:
+            under = F.broadcast(off.withColumnRenamed("prefix", "_p")) if d <= 2 else off.withColumnRenamed("prefix", "_p")  # 256 prefixes of two digits
+            a, b = (x.join(under, F.substring("prefix", 1, d - 1) == F.col("_p"), "left_semi") for x in (a, b))
+        off = durable(a.join(b, "prefix", "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("prefix"))
+    rows = lambda t, mark: t.select(key, _line(size, digest).alias(mark), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, depth).alias("prefix")).join(off, "prefix", "left_semi").drop("prefix")
+    both = rows(left, "_l").join(rows(right, "_r"), key, "full")
+    status = F.when(F.col("_r").isNull(), "MISSING").when(F.col("_l").isNull(), "ADDED").when(F.col("_l") != F.col("_r"), "CHANGED")
+    return both.select(key, status.alias("status")).where("status is not null").distinct()
+
+
+def reach(edges: DataFrame, start: DataFrame, plain: int = 4) -> DataFrame:
     """(start, node) for every node that edges (src, dst) lead to from a start, itself included.
 
-    Each round follows the edges of what the last one found, and writes what is new; it ends when nothing is.
+    The first `plain` rounds follow the edges of what the last one found, which is all that a shallow graph needs. From then on
+    paths double: a round joins what was found so far with pairs that are 2^k edges apart, and squares those pairs for the
+    next one. So a depth of d takes about plain + log2(d) rounds, whatever it is, and cycles end too: a round that finds
+    nothing has seen all distances. The pairs are those of the graph's own closure at one distance, one for each node of a chain.
     """
     seen = durable(start.select(F.col("node").alias("start"), "node").distinct())
     new = seen
-    for _ in range(most):
-        step = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        new = durable(step.join(seen, ["start", "node"], "left_anti"))
+    for _ in range(plain):
+        new = durable(_onward(new, edges).join(seen, ["start", "node"], "left_anti"))
         if new.isEmpty():
             return seen
         seen = durable(seen.union(new))
-    raise RuntimeError(f"not done in {most} rounds")
+    hop = durable(edges.select("src", "dst").distinct())
+    while True:
+        new = durable(_onward(seen, hop).join(seen, ["start", "node"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = durable(seen.union(new))
+        hop = squared(hop)
+
+
+def _onward(found: DataFrame, hop: DataFrame) -> DataFrame:
+    return found.join(hop, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+
+
+def squared(hop: DataFrame) -> DataFrame:
+    """Pairs twice as far apart as those of hop (src, dst)."""
+    return durable(hop.join(hop.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct())
 
 
 def upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -75,23 +133,30 @@ def downstream(edges: DataFrame, failed: DataFrame) -> DataFrame:
     return reach(edges.select(F.col("dependency").alias("src"), F.col("node").alias("dst")), failed)
 
 
-def check_graph(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def check_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, problem): level 0 has no dependency, others one more than their highest; null level and `cycle` where
-    there is none. missing and self_loop tell of an edge; such edges do not count for the levels."""
+    there is none. missing and self_loop tell of an edge; such edges do not count for the levels.
+
+    Pairs 2^k dependencies apart are squared until there are none, or until their paths are longer than there are nodes: what then
+    still starts one leads into a cycle. Every other node's longest path starts with its longest power of two; levels follow from
+    the shorter paths to the longer ones, in as many rounds again.
+    """
     e = edges.select("node", "dependency").distinct()
-    loops = e.where("node = dependency").select("node", F.lit(None).cast("int").alias("level"), F.lit("self_loop").alias("problem"))
-    missing = e.join(nodes.select(F.col("node").alias("dependency")), "dependency", "left_anti").select("node", F.lit(None).cast("int").alias("level"), F.lit("missing").alias("problem")).distinct()
-    e = durable(e.where("node <> dependency").join(nodes.select(F.col("node").alias("dependency")), "dependency", "left_semi"))
-    done = durable(nodes.join(e.select("node"), "node", "left_anti").select("node", F.lit(0).alias("level")))
-    for level in range(1, most):
-        open_ = nodes.join(done.select("node"), "node", "left_anti")
-        blocked = e.join(open_.select(F.col("node").alias("dependency")), "dependency", "left_semi").select("node").distinct()
-        new = durable(open_.join(blocked, "node", "left_anti").select("node", F.lit(level).alias("level")))
-        if new.isEmpty():
-            break
-        done = durable(done.union(new))
+    none = F.lit(None).cast("int").alias("level")
+    loops = e.where("node = dependency").select("node", none, F.lit("self_loop").alias("problem"))
+    missing = e.join(nodes.select(F.col("node").alias("dependency")), "dependency", "left_anti").select("node", none, F.lit("missing").alias("problem")).distinct()
+    e = e.where("node <> dependency").join(nodes.select(F.col("node").alias("dependency")), "dependency", "left_semi")
+    n, hops = nodes.count(), [durable(e.select(F.col("node").alias("src"), F.col("dependency").alias("dst")))]
+    while not hops[-1].isEmpty() and 2 ** (len(hops) - 1) < n:
+        hops.append(squared(hops[-1]))
+    starts = lambda hop: hop.select(F.col("src").alias("node")).distinct()
+    done = durable(nodes.join(starts(hops[0]), "node", "left_anti").select("node", F.lit(0).alias("level")))
+    for k, (hop, longer) in enumerate(zip(hops, hops[1:])):  # the last has no pairs, or those of cycles
+        last = hop.join(longer.select("src").distinct(), "src", "left_anti")
+        levels = last.join(done, F.col("dst") == F.col("node")).groupBy("src").agg((F.max("level") + F.lit(2**k)).cast("int").alias("level"))
+        done = durable(done.union(levels.select(F.col("src").alias("node"), "level")))
     placed = done.select("node", "level", F.lit(None).cast("string").alias("problem"))
-    cycle = nodes.join(done.select("node"), "node", "left_anti").select("node", F.lit(None).cast("int").alias("level"), F.lit("cycle").alias("problem"))
+    cycle = nodes.join(done.select("node"), "node", "left_anti").select("node", none, F.lit("cycle").alias("problem"))
     return reduce(DataFrame.unionByName, [placed, cycle, loops, missing])
 
 

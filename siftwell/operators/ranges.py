@@ -17,7 +17,7 @@ from .durable import durable
 
 #: Rows of the sample (of distinct orders) and of those that make a range: there are 2048 cuts of all groups together at most
 #: (about: the sample is drawn by a hash), and that is what is broadcast. LEAST: rows of a range; smaller groups are one range.
-SAMPLE, PER_RANGE, LEAST = 65536, 32, 2048
+SAMPLE, PER_RANGE, LEAST = 65536, 32, 1024
 
 
 def falling(score: str, *ties: Column | str) -> Column:

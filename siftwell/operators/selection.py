@@ -35,6 +35,51 @@ def expand_schedule(counts: DataFrame, by: str, count: str, seed: int) -> DataFr
     return digest_rank(rows, ["_all"], "_d", "nth", "slot").select("slot", by, "nth")
 
 
+def zip_schedule(columns: dict[str, tuple[DataFrame, str]], seed: int) -> DataFrame:
+    """(slot, one column for each of `columns`): independent schedules of the same number of slots, zipped by slot.
+
+    columns: name -> (a frame with a column of that name and a count of each value, the count's column). Each is made into
+    rows and shuffled by a digest order of its own, so each value has exactly its count and columns do not depend on each other. Counts
+    that add up to different numbers are an error.
+    """
+    sums = {name: counts.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col(count))), F.lit(0))).first()[0] for name, (counts, count) in columns.items()}
+    if len(set(sums.values())) > 1:
+        raise ValueError(f"schedules of different lengths: {sums}")
+    parts = [expand_schedule(counts, name, count, seed + i).select("slot", name) for i, (name, (counts, count)) in enumerate(columns.items())]
+    return reduce(lambda a, b: a.join(b, "slot"), parts)
+
+
+def exchange(rows: DataFrame, slot: str, column: str, allowed: Column, seed: int, rounds: int = 6, fan: int = 8) -> DataFrame:
+    """rows with values of `column` exchanged between rows so that `allowed`, a condition on a row, holds for each; every value keeps
+    its count.
+
+    In each round the rows that are not allowed, in a digest order of the round, are each offered `fan` allowed ones of another
+    order, which no other is offered; it exchanges values with the first that leaves both allowed. Rows that are still not
+    allowed after all rounds are an error.
+    """
+    ok = F.coalesce(allowed, F.lit(False))
+    others = [c for c in rows.columns if c not in (slot, column)]
+    now = durable(rows.withColumn("_ok", ok))
+    for k in range(rounds):
+        ill = now.where("not _ok").count()
+        if not ill:
+            return now.drop("_ok")
+        dealt = digest_rank(now.withColumn("_d", hash_rank(seed, F.lit(k), F.col(slot))), ["_ok"], "_d", slot, "_n").where(F.col("_n") <= fan * ill)
+        dealt = durable(dealt.withColumn("_pair", F.when(F.col("_ok"), F.floor((F.col("_n") - 1) / fan) + 1).otherwise(F.col("_n"))).select(slot, *others, column, "_ok", "_n", "_pair"))
+        one, two = dealt.where("not _ok"), dealt.where("_ok")
+        value = lambda df, name, *more: df.select("_pair", F.col(column).alias(name), *more)
+        theirs = two.join(value(one, "_new"), "_pair").withColumn("_old", F.col(column)).withColumn(column, F.col("_new")).withColumn("_fits", ok).where("_fits").select(F.col(slot).alias("_slot"), "_pair", "_n", "_old", "_new")
+        mine = one.drop("_n").join(theirs, "_pair").withColumn(column, F.col("_old")).withColumn("_fits", ok).where("_fits")
+        best = mine.groupBy("_pair").agg(F.min(F.struct("_n", F.col(slot).alias("a"), F.col("_slot").alias("b"), F.col("_old").alias("va"), F.col("_new").alias("vb"))).alias("m"))
+        swap = F.explode(F.array(F.struct(F.col("m.a").alias("s"), F.col("m.va").alias("v")), F.struct(F.col("m.b").alias("s"), F.col("m.vb").alias("v")))).alias("x")
+        swapped = best.select(swap).select(F.col("x.s").alias(slot), F.col("x.v").alias("_new"), F.lit(True).alias("_swap"))
+        moved = now.join(swapped, slot, "left").withColumn(column, F.when(F.col("_swap"), F.col("_new")).otherwise(F.col(column)))
+        now = durable(moved.drop("_new", "_swap").withColumn("_ok", ok))
+    if now.where("not _ok").isEmpty():
+        return now.drop("_ok")
+    raise ValueError(f"rows that no exchange made allowed in {rounds} rounds")
+
+
 def object_quota(df: DataFrame, key: str, n: int, seed: int, low: int = 5, high: int = 7) -> DataFrame:
     """Uses of each object when n are dealt out evenly in the order of a digest, under a ceiling between low and high."""
     ranked = digest_rank(df.select(key).withColumns({"_d": hash_rank(seed, F.col(key)), "_all": F.lit(1)}), ["_all"], "_d", key, "rank")

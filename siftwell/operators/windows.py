@@ -93,9 +93,19 @@ def hash_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.withColumn("rank_digest", hash_rank(seed, F.col(key))).orderBy("rank_digest", key).limit(n)
 
 
+def bottom_k(df: DataFrame, by: list[str], digest: str, ties: list[str], k: int, name: str = "rank", fan: int = 64) -> DataFrame:
+    """The k rows of each group with the least digests, ranked. Each task holds on to k rows of a group in each of `fan` classes of
+    digests and hands on no more; their k least are merged class by class, then the classes. So what is shuffled is bounded by
+    k, not by the size of a group, and the last merge of a group sees fan x k rows at most."""
+    order = [F.col(digest), *[F.col(t) for t in ties]]
+    rows = df.withColumn("_class", F.pmod(F.xxhash64(digest), F.lit(fan)))
+    part = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_class").orderBy(*order))).where(F.col("_in") <= k).drop("_in", "_class")
+    return part.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+
+
 def hash_sample_by(df: DataFrame, by: str, n: int, seed: int, key: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy("rank_digest", key)
-    return df.withColumn("rank_digest", hash_rank(seed, F.col(key))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """The first n rows of each stratum by digest of seed and key, then key."""
+    return bottom_k(df.withColumn("rank_digest", hash_rank(seed, F.col(key))), [by], "rank_digest", [key], n)
 
 
 def round_robin(df: DataFrame, stratum: str, n: int, key: str) -> DataFrame:

@@ -8,8 +8,8 @@ from ..operators import integrity as I
 from ..operators import selection as X
 from ..operators import similarity as S
 from ..sources.sinks import stage_log
-from .base import FEATURES, GROUPED, HARDNESS, Tables, allocate_sql, doc_features, group_hash, hash_sql, query
-from .ordered import pool, scored
+from .base import FEATURES, GROUPED, HARDNESS, SCORED, Tables, allocate_sql, doc_features, group_hash, hash_sql, query
+from .ordered import POOL, pool, scored
 from .scalar import SIGNATURE, doc_signature
 
 LANGS = "SELECT lang, count(*) AS w FROM documents GROUP BY lang"
@@ -38,6 +38,35 @@ def q_schedule(spark, sf_dir) -> DataFrame:
     return X.expand_schedule(n, "lang", "w", 3)
 
 
+SHARES = {"difficulty": {"easy": 5, "mid": 3, "hard": 2}, "scale": {"large": 3, "small": 3, "tiny": 4}}
+FORBIDDEN = "(difficulty = 'hard' AND scale = 'tiny') OR (lang = 'es' AND scale = 'large')"
+
+
+def _zip_sql(rounds: int = 6) -> str:
+    values = lambda name: f"SELECT * FROM (VALUES {', '.join(map(str, SHARES[name].items()))}) v({name}, w)"
+    shares = lambda name: allocate_sql(values(name), name, "w", "(SELECT count(*) FROM documents)")
+    order = lambda seed, name, counts, n: f"SELECT row_number() OVER (ORDER BY {hash_sql(seed, name, 'nth')}, nth) AS slot, {name} FROM (SELECT {name}, unnest(range(1, {n} + 1)) AS nth FROM ({counts}))"
+    forbidden = lambda row, other: "((" + FORBIDDEN.replace("difficulty", f"{row}.difficulty").replace("scale", f"{other}.scale").replace("lang", f"{row}.lang") + "))"
+    parts = [f"s0 AS MATERIALIZED (SELECT slot, lang, difficulty, scale, NOT ({FORBIDDEN}) AS ok FROM ({order(30, 'lang', LANGS, 'w')}) JOIN ({order(31, 'difficulty', shares('difficulty'), 'quota')}) USING (slot) JOIN ({order(32, 'scale', shares('scale'), 'quota')}) USING (slot))"]
+    for k in range(rounds):
+        parts.append(f"d{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY {hash_sql(40, k, 'slot')}, slot) AS n FROM s{k})")
+        parts.append(f"t{k} AS (SELECT a.slot AS a, a.scale AS va, b.slot AS b, b.scale AS vb, b.n FROM d{k} a JOIN d{k} b ON a.n = (b.n - 1) // 8 + 1 AND NOT a.ok AND b.ok WHERE NOT {forbidden('a', 'b')} AND NOT {forbidden('b', 'a')})")
+        parts.append(f"m{k} AS MATERIALIZED (SELECT a, arg_min(va, n) AS va, arg_min(b, n) AS b, arg_min(vb, n) AS vb FROM t{k} GROUP BY a)")
+        parts.append(f"g{k} AS (SELECT a AS slot, vb AS scale FROM m{k} UNION ALL SELECT b, va FROM m{k})")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT *, NOT ({FORBIDDEN}) AS ok FROM (SELECT s.slot, lang, difficulty, coalesce(g.scale, s.scale) AS scale FROM s{k} s LEFT JOIN g{k} g USING (slot)))")
+    return f"WITH {', '.join(parts)} SELECT slot, lang, difficulty, scale FROM s{rounds}"
+
+
+@query(_zip_sql())
+def q_schedule_zip(spark, sf_dir) -> DataFrame:
+    docs = Tables(spark, sf_dir).documents
+    n = docs.count()
+    columns = {"lang": (docs.groupBy("lang").agg(F.count("*").alias("w")), "w")}
+    for name, weights in SHARES.items():
+        columns[name] = (X.allocate(spark.createDataFrame(list(weights.items()), f"{name} string, w long"), name, "w", n), "quota")
+    return X.exchange(X.zip_schedule(columns, 30), "slot", "scale", ~F.expr(FORBIDDEN), 40)
+
+
 @query(f"""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY {hash_sql(4, 'p_partkey')}, p_partkey) AS rank, count(*) OVER () AS k FROM part)
        SELECT p_partkey, rank, least(least(7, greatest(5, ceil(9000.0 / k))), floor(9000 / k) + CASE WHEN rank <= 9000 % k THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
 def q_object_quota(spark, sf_dir) -> DataFrame:
@@ -182,11 +211,22 @@ def q_cover_sample(spark, sf_dir) -> DataFrame:
     return X.cover_sample(docs, ["lang", "source", "band"], 14, "doc_id")
 
 
-@query()
+CASES = {"hardest": ("true", "score"), "hard_good": ("quality = 1", "score"), "easy_toxic": ("toxic = 1", "-score"), "unlabelled": ("quality IS NULL", "score"), "impossible": ("quality = 7", "score")}
+
+
+def _cases_sql() -> str:
+    parts, names = [f"p AS (SELECT * FROM ({POOL}) LEFT JOIN labels USING (doc_id))"], []
+    for k, (name, (condition, score)) in enumerate(CASES.items()):
+        used = " AND ".join(f"doc_id <> (SELECT doc_id FROM c{j})" for j in range(k)) or "true"
+        parts.append(f"c{k} AS (SELECT '{name}' AS rule, doc_id FROM p WHERE {used} ORDER BY coalesce({condition}, false) DESC, {score} DESC NULLS LAST, doc_id LIMIT 1)")
+        names.append(f"SELECT * FROM c{k}")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(names)}"
+
+
+@query(_cases_sql())
 def q_pick_cases(spark, sf_dir) -> DataFrame:
     df = pool(Tables(spark, sf_dir)).join(Tables(spark, sf_dir).labels, "doc_id", "left")
-    rules = [("hardest", F.lit(True), F.col("score")), ("hard_good", F.col("quality") == 1, F.col("score")), ("easy_toxic", F.col("toxic") == 1, -F.col("score")), ("unlabelled", F.col("quality").isNull(), F.col("score")), ("impossible", F.col("quality") == 7, F.col("score"))]
-    return X.pick_cases(df, rules, "doc_id")
+    return X.pick_cases(df, [(name, F.expr(condition), F.expr(score)) for name, (condition, score) in CASES.items()], "doc_id")
 
 
 @query("""WITH g AS (SELECT o_orderpriority AS experiment, seed, CASE o_orderpriority WHEN '5-LOW' THEN '3-MEDIUM' ELSE o_orderpriority END AS contract, n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), (VALUES (0), (1), (2)) s(seed)),
@@ -250,10 +290,30 @@ def q_row_digest(spark, sf_dir) -> DataFrame:
     return I.row_digest(Tables(spark, sf_dir).customer, ["c_name", "c_custkey", "c_mktsegment"]).select("c_custkey", "row_digest")
 
 
-@query("SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM (SELECT doc_id // 4096 AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS d, count(*) AS files, sum(n_chars) AS bytes FROM (SELECT doc_id, n_chars, doc_id || '|' || n_chars || '|' || sha256(text) AS l FROM documents) GROUP BY 1)")
+FILES = "SELECT source || '/' || doc_id || '.txt' AS path, n_chars, sha256(text) AS h FROM documents"
+
+
+def files(t: Tables) -> DataFrame:
+    return t.documents.select(F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "n_chars", F.sha2("text", 256).alias("h"))
+
+
+@query(f"""WITH f AS (SELECT *, sha256(path) AS p, (SELECT CASE WHEN count(*) <= 64 THEN 0 WHEN count(*) <= 1024 THEN 1 WHEN count(*) <= 16384 THEN 2 END FROM documents) AS depth FROM ({FILES})),
+    leaf AS (SELECT substr(p, 1, depth) AS p, depth, sha256(string_agg(l, chr(10) ORDER BY l)) AS d, count(*) AS files, sum(n_chars) AS bytes FROM (SELECT *, path || chr(9) || n_chars || chr(9) || h AS l FROM f) GROUP BY 1, 2),
+    mid AS (SELECT substr(p, 1, 1) AS p, depth, CASE WHEN depth < 2 THEN any_value(d) ELSE sha256(string_agg(d, chr(10) ORDER BY p)) END AS d, sum(files) AS files, sum(bytes) AS bytes FROM leaf GROUP BY 1, 2)
+    SELECT CASE WHEN depth = 0 THEN any_value(d) ELSE sha256(string_agg(d, chr(10) ORDER BY p)) END AS fingerprint, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM mid GROUP BY depth""")
 def q_tree_fingerprint(spark, sf_dir) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "n_chars", F.sha2("text", 256).alias("h"))
-    return I.tree_fingerprint(docs, "doc_id", "h", "n_chars")
+    return I.tree_fingerprint(files(Tables(spark, sf_dir)), "path", "h", "n_chars", 64)
+
+
+@query(f"""WITH a AS ({FILES}), b AS (SELECT CASE WHEN doc_id % 211 = 5 THEN 'moved' ELSE source END || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 173 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars, sha256(CASE WHEN doc_id % 97 = 2 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 150 <> 7)
+    SELECT path, CASE WHEN b.h IS NULL THEN 'MISSING' WHEN a.h IS NULL THEN 'ADDED' ELSE 'CHANGED' END AS status FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h OR a.n_chars IS DISTINCT FROM b.n_chars""")
+def q_tree_difference(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    d = F.col("doc_id")
+    path = F.concat_ws("", F.when(d % 211 == 5, "moved").otherwise(F.col("source")), F.lit("/"), d.cast("string"), F.lit(".txt"))
+    later = t.documents.where(d % 150 != 7).select(path.alias("path"), F.when(d % 173 == 3, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"), F.sha2(F.when(d % 97 == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
+    trees = [I.fingerprint_tree(x, "path", "h", "n_chars", 16) for x in (files(t), later)]
+    return I.tree_difference(files(t), later, *trees, "path", "h", "n_chars")
 
 
 #: Job graph over parts: each part depends on part // 3 and, if even, on the part before it.
@@ -321,15 +381,37 @@ def q_near_positions(spark, sf_dir) -> DataFrame:
     return S.distance_pairs(places(Tables(spark, sf_dir)), "vec_id", "x", "y", 0.25, ["label"]).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(x * y, 6) DESC, vec_id) AS n FROM ({PLACES})),
+    near AS MATERIALIZED (SELECT a.label, a.n, coalesce(list(b.n) FILTER (b.n IS NOT NULL), []) AS near FROM p a LEFT JOIN p b ON a.label = b.label AND b.n < a.n AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.25 GROUP BY a.label, a.n),
+    r AS (SELECT label, 0::BIGINT AS n, []::BIGINT[] AS taken FROM p GROUP BY label UNION ALL
+          SELECT r.label, r.n + 1, CASE WHEN list_has_any(r.taken, near.near) THEN r.taken ELSE list_append(r.taken, near.n) END FROM r JOIN near ON near.label = r.label AND near.n = r.n + 1),
+    last AS (SELECT label, arg_max(taken, n) AS taken FROM r GROUP BY label), t AS (SELECT label, unnest(taken) AS n, generate_subscripts(taken, 1) AS rank FROM last)
+    SELECT vec_id, p.label, t.rank::INT AS rank FROM t JOIN p USING (label, n) WHERE t.rank <= 40""")
 def q_suppress_positions(spark, sf_dir) -> DataFrame:
     df = places(Tables(spark, sf_dir)).withColumn("score", F.round(F.col("x") * F.col("y"), 6))
     return S.suppress_positions(df, "vec_id", ["label"], "x", "y", "score", 0.25, 40).select("vec_id", "label", "rank")
 
 
-@query()
+DIVERSE = {"de": 20, "en": 60, "es": 15, "fr": 20}
+
+
+def _diverse_sql() -> str:
+    strata = ", ".join(f"('{s}', {i}, {q})" for i, (s, q) in enumerate(sorted(DIVERSE.items())))
+    d = " + ".join(f"bit_count(xor(a.sig[{i}], b.sig[{i}]))" for i in range(1, 5))
+    return f"""WITH RECURSIVE o AS (SELECT * FROM (VALUES {strata}) v(lang, ord, quota)),
+    s AS (SELECT doc_id, lang, score, sig FROM ({SCORED}) JOIN ({SIGNATURE}) USING (doc_id)),
+    seq AS MATERIALIZED (SELECT doc_id, lang, 'quota' AS phase, quota, row_number() OVER (ORDER BY ord, score DESC, doc_id) AS n FROM s JOIN o USING (lang)
+        UNION ALL SELECT doc_id, lang, 'fill', 120, (SELECT count(*) FROM s JOIN o USING (lang)) + row_number() OVER (ORDER BY score DESC, doc_id) FROM s),
+    near AS MATERIALIZED (SELECT a.doc_id, list(b.doc_id) FILTER ({d} <= 10) AS n10, list(b.doc_id) FILTER ({d} <= 8) AS n8 FROM s a JOIN s b ON {d} <= 10 GROUP BY a.doc_id),
+    step AS MATERIALIZED (SELECT seq.*, CASE phase WHEN 'quota' THEN n10 ELSE n8 END AS near FROM seq JOIN near USING (doc_id)),
+    r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken, [0, 0, 0, 0] AS used, false AS took UNION ALL
+          SELECT step.n, CASE WHEN go THEN list_append(r.taken, step.doc_id) ELSE r.taken END, CASE WHEN go AND step.phase = 'quota' THEN list_transform(r.used, lambda v, i: CASE WHEN i = o.ord + 1 THEN v + 1 ELSE v END) ELSE r.used END, go
+          FROM r JOIN (SELECT * FROM step) step ON step.n = r.n + 1 JOIN o USING (lang), LATERAL (SELECT NOT list_has_any(r.taken, step.near) AND CASE step.phase WHEN 'quota' THEN r.used[o.ord + 1] < o.quota ELSE len(r.taken) < 120 END AS go) g)
+    SELECT doc_id, lang, phase FROM r JOIN seq USING (n) WHERE took"""
+
+
+@query(_diverse_sql())
 def q_diverse_select(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     df = doc_signature(t).join(scored(t).select("doc_id", "lang", "score"), "doc_id")
-    shares = {"de": 20, "en": 60, "es": 15, "fr": 20}
-    return S.diverse_select(df, "doc_id", "lang", "sig", "score", shares, 120, 128, 10, 8)
+    return S.diverse_select(df, "doc_id", "lang", "sig", "score", dict(sorted(DIVERSE.items())), 120, 128, 10, 8)

@@ -272,11 +272,66 @@ def q_density_histogram(spark, sf_dir) -> DataFrame:
     return M.density_histogram(rows, "label", "x", -4.0, 4.0, 20).withColumn("density", F.round("density", 6))
 
 
-@query()
+#: Sobel gradients of the 8 x 8 rasters, reflected at the border, at cells above 0 (at all where none is).
+GRADIENTS = """
+    SELECT label, vec_id, pos, sqrt(gx * gx + gy * gy) AS value FROM (
+        SELECT label, vec_id, r * 8 + c AS pos, e, list_bool_or(list_transform(e, lambda x: x > 0)) AS anywhere,
+               e[u * 8 + n + 1] - e[u * 8 + w + 1] + 2 * (e[r * 8 + n + 1] - e[r * 8 + w + 1]) + e[d * 8 + n + 1] - e[d * 8 + w + 1] AS gx,
+               e[d * 8 + w + 1] - e[u * 8 + w + 1] + 2 * (e[d * 8 + c + 1] - e[u * 8 + c + 1]) + e[d * 8 + n + 1] - e[u * 8 + n + 1] AS gy
+        FROM (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, r, c, CASE r WHEN 0 THEN 1 ELSE r - 1 END AS u, CASE r WHEN 7 THEN 6 ELSE r + 1 END AS d,
+                     CASE c WHEN 0 THEN 1 ELSE c - 1 END AS w, CASE c WHEN 7 THEN 6 ELSE c + 1 END AS n FROM embeddings, range(8) a(r), range(8) b(c)))
+    WHERE e[pos + 1] > 0 OR NOT anywhere"""
+
+
+def gradients(t: Tables) -> DataFrame:
+    df = t.embeddings.withColumn("mask", F.transform("embedding", lambda x: x > 0))
+    return M.gradient_values(df, "vec_id", "label", "embedding", 8, "mask")
+
+
+@query(f"""WITH n AS (SELECT label, least(31, floor(value / 0.5))::INT AS bin, count(*) AS n FROM ({GRADIENTS}) GROUP BY ALL)
+       SELECT label, bin, n, round(n / sum(n) OVER (PARTITION BY label) / 0.5, 6) AS density FROM n""")
 def q_gradient_histogram(spark, sf_dir) -> DataFrame:
-    df = Tables(spark, sf_dir).embeddings.withColumn("mask", F.transform("embedding", lambda x: x > 0))
-    rows = M.gradient_values(df, "vec_id", "label", "embedding", 8, "mask")
-    return M.density_histogram(rows, "label", "value", 0.0, 16.0, 32)
+    return M.density_histogram(gradients(Tables(spark, sf_dir)), "label", "value", 0.0, 16.0, 32).withColumn("density", F.round("density", 6))
+
+
+@query(f"""SELECT label, vec_id, pos::INT AS pos, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_sql(42, 'vec_id', 'pos')}, vec_id, pos) AS r FROM ({GRADIENTS})) WHERE r <= 500""")
+def q_gradient_sample(spark, sf_dir) -> DataFrame:
+    rows = M.sample_values(gradients(Tables(spark, sf_dir)), "label", ["vec_id", "pos"], 500, 42)
+    return rows.select("label", "vec_id", "pos", F.round("value", 6).alias("value"))
+
+
+#: Keys that the metadata of a rendered sample must have.
+RENDERED_KEYS = (
+    "sample_id condition_id background_id foreground_id candidate_seed rendering_seed config_sha256 source_manifest_sha256 "
+    "resolution_manifest_sha256 legacy_source_sha256 code_sha256 selection"
+).split()
+#: Rendered samples made of vectors: their raster is the mask, their first six components the outline, and ids tell what is wrong.
+RENDERED = f"""
+    SELECT vec_id, vec_id % 13 <> 0 AS image, vec_id % 17 <> 0 AS mask, vec_id % 5 = 0 AS wide, list_transform(embedding, lambda x: CASE WHEN vec_id % 29 = 0 THEN 0 WHEN x > 0.2 AND vec_id % 7 = 0 THEN 128 WHEN x > 0 THEN 255 ELSE 0 END) AS m,
+           vec_id % 11 = 0 AS broken, CASE WHEN vec_id % 19 = 0 THEN '  ' ELSE line || chr(10) || CASE vec_id % 6 WHEN 1 THEN '1' || substr(line, 2) WHEN 2 THEN line || ' 0.5' WHEN 3 THEN line || ' 0.5 1.5' WHEN 4 THEN line || ' x 0.5' ELSE line END END AS polygons,
+           list_filter({RENDERED_KEYS}, lambda k: NOT (k = 'selection' AND vec_id % 3 = 0) AND NOT (k = 'code_sha256' AND vec_id % 4 = 0)) AS keys
+    FROM (SELECT vec_id, embedding, '0' || array_to_string(list_transform(embedding[1:6], lambda x: ' ' || CASE WHEN x > 0 THEN '0.75' ELSE '0.25' END), '') AS line FROM embeddings)"""
+
+
+@query(f"""WITH r AS ({RENDERED}), l AS (SELECT *, CASE WHEN broken THEN [] ELSE list_transform(list_filter(string_split(trim(polygons), chr(10)), lambda x: x <> ''), lambda x: string_split(x, ' ')) END AS lines FROM r),
+    b AS (SELECT *, list_filter(list_transform(lines, lambda p: CASE WHEN len(p) < 7 OR len(p) % 2 = 0 THEN 'polygon_invalid_field_count' WHEN p[1] <> '0' THEN 'polygon_invalid_class'
+        WHEN len(list_filter(p, lambda v: TRY_CAST(v AS DOUBLE) IS NULL)) > 0 THEN 'polygon_non_numeric' WHEN len(list_filter(p[2:], lambda v: v::DOUBLE < 0 OR v::DOUBLE > 1)) > 0 THEN 'polygon_coordinate_out_of_range' END), lambda x: x IS NOT NULL) AS bad,
+        list_sort(list_filter({sorted(RENDERED_KEYS)}, lambda k: NOT list_contains(keys, k))) AS lost FROM l)
+    SELECT vec_id, array_to_string(list_sort(list_filter([CASE WHEN NOT image THEN 'image_decode_failed' END, CASE WHEN NOT mask THEN 'mask_decode_failed' END, CASE WHEN image AND mask AND wide THEN 'image_mask_size_mismatch' END,
+        CASE WHEN image AND mask AND len(list_filter(m, lambda v: v NOT IN (0, 255))) > 0 THEN 'mask_not_binary' END, CASE WHEN image AND mask AND len(list_filter(m, lambda v: v <> 0)) = 0 THEN 'mask_empty' END,
+        CASE WHEN broken THEN 'polygon_not_utf8' END, CASE WHEN len(lines) = 0 THEN 'polygon_empty' ELSE bad[1] END, CASE WHEN len(lost) > 0 THEN 'metadata_missing:' || array_to_string(lost, ',') END], lambda x: x IS NOT NULL)), ';') AS reasons FROM b""")
+def q_rendered_reasons(spark, sf_dir) -> DataFrame:
+    v = F.col("vec_id")
+    line = F.concat(F.lit("0"), F.array_join(F.transform(F.slice("embedding", 1, 6), lambda x: F.concat(F.lit(" "), F.when(x > 0, "0.75").otherwise("0.25"))), ""))
+    last = F.when(v % 6 == 1, F.concat(F.lit("1"), F.substr(line, F.lit(2)))).when(v % 6 == 2, F.concat(line, F.lit(" 0.5"))).when(v % 6 == 3, F.concat(line, F.lit(" 0.5 1.5"))).when(v % 6 == 4, F.concat(line, F.lit(" x 0.5"))).otherwise(line)
+    text = F.when(v % 19 == 0, "  ").otherwise(F.concat(line, F.lit("\n"), last)).cast("binary")
+    mask = F.transform("embedding", lambda x: F.when(v % 29 == 0, 0).when((x > F.lit(0.2).cast("double")) & (v % 7 == 0), 128).when(x > 0, 255).otherwise(0))
+    has = lambda k: F.when(~((F.lit(k == "selection") & (v % 3 == 0)) | (F.lit(k == "code_sha256") & (v % 4 == 0))), F.lit(k))
+    keys = F.array_compact(F.array(*[has(k) for k in RENDERED_KEYS]))
+    reasons = M.rendered_reasons(
+        (F.when(v % 13 != 0, 8), F.lit(8)), (F.when(v % 17 != 0, F.when(v % 5 == 0, 9).otherwise(8)), F.lit(8)), mask, F.when(v % 11 == 0, F.unhex(F.lit("30FF"))).otherwise(text), F.map_from_arrays(keys, keys), RENDERED_KEYS
+    )
+    return Tables(spark, sf_dir).embeddings.select("vec_id", F.array_join(reasons, ";").alias("reasons"))
 
 
 @query("""SELECT page_id, array_to_string(list_sort(list_filter([CASE WHEN NOT regexp_matches(html, '<html') THEN 'no_html' END, CASE WHEN NOT regexp_matches(html, '<title>') THEN 'no_title' END,
