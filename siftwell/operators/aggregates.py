@@ -153,8 +153,9 @@ def mean_vector(df: DataFrame, population: str, vector: str) -> DataFrame:
 
 
 def moments(df: DataFrame, population: str, vector: str) -> DataFrame:
-    """(population, i, j, n, si, sj, sij): sums over each population's vectors of x_i, x_j and x_i x_j, i <= j. Each task adds up
-    its vectors, and only those sums, d (d + 1) / 2 rows for a population and task, are shuffled and merged."""
+    """(population, i, j, n, ci, si, sj, sij): sums over each population's vectors of y_i, y_j and y_i y_j, i <= j, where y is the
+    distance x - c from one of its vectors, the least: so large means do not cost digits. Each task adds up its vectors, and only those
+    sums, d (d + 1) / 2 rows for a population and task, are shuffled and merged."""
 
     def run(batches):
         import pandas as pd
@@ -162,16 +163,18 @@ def moments(df: DataFrame, population: str, vector: str) -> DataFrame:
         held: dict = {}
         for b in batches:
             for key, part in b.groupby(population):
-                x = np.stack(part[vector].to_numpy()).astype(np.float64)
-                n, s, q = held.get(key, (0, 0.0, 0.0))
-                held[key] = (n + len(x), s + x.sum(0), q + x.T @ x)
-        for key, (n, s, q) in held.items():
+                c = np.asarray(part["_c"].iloc[0], np.float64)
+                y = np.stack(part[vector].to_numpy()).astype(np.float64) - c
+                n, s, q, _ = held.get(key, (0, 0.0, 0.0, c))
+                held[key] = (n + len(y), s + y.sum(0), q + y.T @ y, c)
+        for key, (n, s, q, c) in held.items():
             i, j = np.triu_indices(len(s))
-            yield pd.DataFrame({population: [key] * len(i), "i": i, "j": j, "n": n, "si": s[i], "sj": s[j], "sij": q[i, j]})
+            yield pd.DataFrame({population: [key] * len(i), "i": i, "j": j, "n": n, "ci": c[i], "si": s[i], "sj": s[j], "sij": q[i, j]})
 
     kind = dict(df.dtypes)[population]
-    sums = df.select(population, vector).mapInPandas(run, f"{population} {kind}, i int, j int, n long, si double, sj double, sij double")
-    return sums.groupBy(population, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+    near = df.groupBy(population).agg(F.min(vector).alias("_c"))
+    sums = df.select(population, vector).join(near, population).mapInPandas(run, f"{population} {kind}, i int, j int, n long, ci double, si double, sj double, sij double")
+    return sums.groupBy(population, "i", "j").agg(F.first("ci").alias("ci"), *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
 
 
 def covariance(df: DataFrame, population: str, vector: str) -> DataFrame:
@@ -183,9 +186,9 @@ def covariance(df: DataFrame, population: str, vector: str) -> DataFrame:
 def frechet_distances(df: DataFrame, population: str, vector: str) -> DataFrame:
     """(a, b, n_a, n_b, distance) of each two populations a < b. The moments of a population are one row of d (d + 1) / 2 numbers;
     rows are joined and compared in tasks."""
-    cells = F.array_sort(F.collect_list(F.struct("i", "j", "n", "si", "sj", "sij")))
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "n", "ci", "si", "sij")))
     one = moments(df, population, vector).groupBy(population).agg(F.first("n").alias("n"), cells.alias("m"))
-    one = one.select(F.col(population).alias("p"), "n", F.transform("m", lambda c: c["i"]).alias("i"), F.transform("m", lambda c: c["j"]).alias("j"), F.transform("m", lambda c: c["si"]).alias("si"), F.transform("m", lambda c: c["sij"]).alias("sij"))
+    one = one.select(F.col(population).alias("p"), "n", *[F.col(f"m.{k}").alias(k) for k in ("i", "j", "ci", "si", "sij")])
     sides = [one.select(*[F.col(c).alias(f"{c}_{s}") for c in one.columns]) for s in "ab"]
     pairs = sides[0].join(sides[1], F.col("p_a") < F.col("p_b"))
 
@@ -195,7 +198,9 @@ def frechet_distances(df: DataFrame, population: str, vector: str) -> DataFrame:
         q, mean = np.zeros((d, d)), np.zeros(d)
         q[i, j] = q[j, i] = np.asarray(r[f"sij_{s}"])
         mean[i] = np.asarray(r[f"si_{s}"]) / n
-        return n, mean, (q - n * np.outer(mean, mean)) / max(1, n - 1)
+        center = np.zeros(d)
+        center[i] = np.asarray(r[f"ci_{s}"])
+        return n, center + mean, (q - n * np.outer(mean, mean)) / max(1, n - 1)
 
     def run(batches):
         import pandas as pd

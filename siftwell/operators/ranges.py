@@ -46,13 +46,12 @@ def sliced(df: DataFrame, by: list[str], order: Column, sample: int = SAMPLE, pe
     hash of the order; each per_range-th of a group's sampled orders is a cut, and a row finds its range by halving.
     """
     rows = durable(df.withColumn("_o", order))
-    n = rows.agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / sample)).alias("_every"))
-    some = rows.select(*by, "_o").crossJoin(F.broadcast(n))  # one row
-    some = some.where(F.pmod(F.xxhash64("_o", *by), F.col("_every")) == 0)
+    every = max(1, rows.count() // sample)
+    some = rows.select(*by, "_o").where(F.pmod(F.xxhash64("_o", *by), F.lit(every)) == 0)
     keys, names = _renamed(by, "c")
-    cuts = some.select(*keys, "_o", "_every").distinct().groupBy(*names).agg(F.array_sort(F.collect_list("_o")).alias("_all"), F.max("_every").alias("_every"))
-    cuts = cuts.withColumn("_step", F.greatest(F.lit(per_range).cast("long"), F.ceil(F.lit(least) / F.col("_every")))).where("size(_all) > _step")
-    cuts = cuts.select(*names, F.filter("_all", lambda _, i: (i + 1) % F.col("_step") == 0).alias("_cuts"))
+    step = max(per_range, -(-least // every))
+    cuts = some.select(*keys, "_o").groupBy(*names).agg(F.array_sort(F.collect_set("_o")).alias("_all")).where(F.size("_all") > step)
+    cuts = cuts.select(*names, F.filter("_all", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
     rows = rows.join(F.broadcast(cuts), _same(by, names), "left")
     powers = F.array(*[F.lit(1 << k) for k in reversed(range((2 * (sample // per_range)).bit_length()))])
     step = lambda low, k: F.when(F.get("_cuts", low + k - 1) <= F.col("_o"), low + k).otherwise(low)

@@ -121,7 +121,7 @@ def select_hard(df: DataFrame, key: str, by: str, group: str, weights: dict, n:
     scored = durable(scored)
     ranked = score_rank(scored, [by], "score", [F.col(key)], "rank")
     top = durable(ranked.join(quotas, by).where(F.col("rank") <= F.col("quota")).drop("rank", "quota"))
-    marked = keep_best(top, group, "score", key)
+    marked = durable(keep_best(top, group, "score", key))
     kept, removed = marked.where("not removed"), marked.where("removed")
     promoted = promote(scored, kept, removed, by, key, group, "score")
     log = change_log(kept, promoted, removed, [key, by, "score"])

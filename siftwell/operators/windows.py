@@ -193,10 +193,10 @@ def eta(df: DataFrame, key: str, order: list[str], seconds: str, total: int, k:
 
 
 def choose_by_mode(df: DataFrame, group: str, mode: Column, score: str, key: str, seed: int) -> DataFrame:
-    """One row of each group: the best, or by digest one of the top 3, of the top 5, or of a pool of at least 3 (a tenth)."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), key)
+    """One row of each group: the best, or by digest one of the top 3, of the top 5, or of a pool of at least 3 (a tenth). A large
+    group is ranked by ranges, like any other order."""
     size = df.groupBy(group).agg(F.count("*").alias("_size"))
-    ranked = df.join(size, group).withColumns({"mode": mode, "rank": F.row_number().over(w)})
+    ranked = score_rank(df.withColumn("mode", mode), [group], score, [key], "rank").join(size, group)
     pool = F.when(F.col("mode") == "best", 1).when(F.col("mode") == "top3", 3).when(F.col("mode") == "top5", 5).otherwise(F.greatest(F.lit(3), F.floor(F.col("_size") / 10)))
     pool = F.least(pool, F.col("_size"))
     pick = F.conv(F.substring(hash_rank(seed, F.col(group)), 1, 8), 16, 10).cast("long") % pool + 1

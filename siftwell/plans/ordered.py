@@ -136,7 +136,7 @@ def q_eta(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank, count(*) OVER (PARTITION BY l_orderkey) AS size,
     ['best', 'top3', 'top5', 'pool'][l_orderkey % 4 + 1] AS mode FROM lineitem), p AS (SELECT *, least(CASE mode WHEN 'best' THEN 1 WHEN 'top3' THEN 3 WHEN 'top5' THEN 5 ELSE greatest(3, floor(size / 10))::BIGINT END, size) AS pool FROM r)
-    SELECT l_orderkey, l_linenumber, mode, rank::INT AS rank FROM p WHERE rank = ('0x' || substr({hash_sql(2, 'l_orderkey')}, 1, 8))::BIGINT % pool + 1""")
+    SELECT l_orderkey, l_linenumber, mode, rank FROM p WHERE rank = ('0x' || substr({hash_sql(2, 'l_orderkey')}, 1, 8))::BIGINT % pool + 1""")
 def q_choose_by_mode(spark, sf_dir) -> DataFrame:
     mode = F.get(F.array(*[F.lit(m) for m in ("best", "top3", "top5", "pool")]), (F.col("l_orderkey") % 4).cast("int"))
     lines = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")

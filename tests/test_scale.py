@@ -238,3 +238,14 @@ def test_trees_name_what_differs(spark):
     off = {(r["level"], r["prefix"]) for r in trees[0].join(I.fingerprint_tree(a.withColumn("h", F.when(F.col("path").isin(one), "z").otherwise(F.col("h"))), "path", "h", "n", 8).withColumnRenamed("digest", "d2"), ["level", "prefix"]).where("digest <> d2").collect()}
     p = hashlib.sha256(one[0].encode()).hexdigest()
     assert off == {(d, p[:d]) for d in range(4)}  # one branch
+
+
+def test_covariance_of_large_means(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 3))
+    df = spark.createDataFrame([(0, [float(v) for v in r + 1e8]) for r in x] + [(1, [float(v) for v in r]) for r in x], "p int, v array<double>")
+    got = {(r["p"], r["i"], r["j"]): r["cov"] for r in A.covariance(df, "p", "v").collect()}
+    want = np.cov(x.T)
+    assert all(got[p, i, j] == pytest.approx(want[i, j], abs=1e-6) for p in (0, 1) for i in range(3) for j in range(i, 3))
+    far = {(r["a"], r["b"]): r["distance"] for r in A.frechet_distances(df, "p", "v").collect()}
+    assert far[0, 1] == pytest.approx(3e16, rel=1e-6)
