@@ -8,31 +8,31 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases (words of a text, lower case) and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Signature rules: tier, label, keyword that a text must hold, pattern over lower-case words with one space between them,
+#: Signature rules: tier, label, keyword that all matches hold, pattern over lower-case words with one space between them,
 #: weight. The tier is the priority: wording of a license itself, addresses, notices that grant it, names with a version, names.
 LICENSE_TEXTS = (
     (0, "mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", 0.99),
-    (0, "mit", "permission", "to deal in the software without restriction including without limitation the rights to use copy modify", 0.97),
-    (0, "x11", "permission", "except as contained in this notice the name of (?:[^ ]+ ){1,12}shall not be used in advertising", 0.97),
+    (0, "mit", "restriction", "to deal in the software without restriction including without limitation the rights to use copy modify", 0.97),
+    (0, "x11", "advertising", "except as contained in this notice the name of (?:[^ ]+ ){1,12}shall not be used in advertising", 0.97),
     (0, "isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 0.98),
     (0, "postgresql", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 0.98),
     (0, "hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted", 0.95),
     (0, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.97),
     (0, "bsd-3-clause", "endorse", "neither the name of (?:[^ ]+ ){1,20}nor the names of (?:its|their) contributors may be used to endorse or promote products", 0.98),
     (0, "bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.98),
-    (0, "bsd-2-clause", "freebsd", "the views and conclusions contained in the software and documentation are those of the authors", 0.9),
+    (0, "bsd-2-clause", "views", "the views and conclusions contained in the software and documentation are those of the authors", 0.9),
     (0, "0bsd", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", 0.97),
     (0, "zlib", "liable", "in no event will the authors be held liable for any damages arising from the use of this software", 0.97),
     (0, "zlib", "altered", "altered source versions must be plainly marked as such", 0.95),
     (0, "apache-2", "apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at(?: http| https)? www apache org licenses license 2 0", 0.99),
-    (0, "apache-2", "apache", "terms and conditions for use reproduction and distribution", 0.6),
+    (0, "apache-2", "reproduction", "terms and conditions for use reproduction and distribution", 0.6),
     (0, "apache-1.1", "apache", "this product includes software developed by the apache software foundation", 0.9),
     (0, "gpl", "gnu", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", 0.99),
     (0, "gpl-2", "gnu", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 0.99),
     (0, "gpl-3", "gnu", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.99),
     (0, "gpl-2", "gnu", "gnu general public license version 2 only as published by the free software foundation", 0.99),
-    (0, "gpl-2", "verbatim", "gnu general public license version 2 june 1991", 0.99),
-    (0, "gpl-3", "verbatim", "gnu general public license version 3 29 june 2007", 0.99),
+    (0, "gpl-2", "gnu", "gnu general public license version 2 june 1991", 0.99),
+    (0, "gpl-3", "gnu", "gnu general public license version 3 29 june 2007", 0.99),
     (0, "gpl", "gnu", "you should have received a copy of the gnu general public license along with this program", 0.95),
     (0, "lgpl", "gnu", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation", 0.99),
     (0, "lgpl-2.1", "gnu", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 0.99),
@@ -51,12 +51,12 @@ LICENSE_TEXTS = (
     (0, "wtfpl", "public", "do what the fuck you want to public license", 0.98),
     (0, "boost-1", "boost", "boost software license version 1 0 august 17th 2003", 0.99),
     (0, "boost-1", "boost", "distributed under the boost software license version 1 0", 0.99),
-    (0, "cc0", "creative", "to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighboring rights", 0.98),
+    (0, "cc0", "neighboring", "to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighboring rights", 0.98),
     (0, "ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1", 0.99),
     (0, "python-2", "python", "psf license agreement for python", 0.97),
     (0, "openssl", "openssl", "this product includes software developed by the openssl project", 0.95),
-    (0, "ms-pl", "microsoft", "this license governs use of the accompanying software if you use the software you accept this license", 0.9),
-    (0, "eupl-1.2", "european", "licensed under the eupl version 1 2 or as soon they will be approved", 0.98),
+    (0, "ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license", 0.9),
+    (0, "eupl-1.2", "eupl", "licensed under the eupl version 1 2 or as soon they will be approved", 0.98),
     (0, "beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 0.95),
     (0, "vim", "vim", "vim is charityware", 0.9),
     (0, "artistic-2", "artistic", "the artistic license 2 0 copyright c 2000 2006 the perl foundation", 0.98),
@@ -190,18 +190,59 @@ GRANT = (
 BEHIND = "(?: style)? licen[cs]e"
 
 
+def expansions(pattern: str) -> list[str]:
+    """What a pattern of the tables matches, each choice once: alternatives and options are spelled out, `[^ ]+` is x, and what
+    repeats stands once."""
+    alternatives, current, i = [], [""], 0
+    while i < len(pattern):
+        if pattern[i] == "|":
+            alternatives += current
+            current, i = [""], i + 1
+            continue
+        if pattern.startswith("(?:", i):
+            depth, j = 1, i + 3
+            while depth:
+                depth += {"(": 1, ")": -1}.get(pattern[j], 0)
+                j += 1
+            unit = expansions(pattern[i + 3 : j - 1])
+        elif pattern[i] == "[":
+            j = pattern.index("]", i) + 1
+            unit = ["x"] if pattern[i + 1] == "^" else [pattern[i + 1], pattern[j - 2]]
+        else:
+            unit, j = [pattern[i]], i + 1
+        if pattern[j : j + 1] == "?":
+            unit, j = [*unit, ""], j + 1
+        elif pattern[j : j + 1] == "+":
+            j += 1
+        elif pattern[j : j + 1] == "{":
+            j = pattern.index("}", j) + 1
+        current, i = [a + u for a in current for u in unit], j
+    return alternatives + current
+
+
+def gate(keyword: str, pattern: str) -> str:
+    """The keyword as it stands in all matches of the pattern: with the space before and behind it where all have that."""
+    texts = [f" {x} " for x in expansions(pattern)]
+    for form in (f" {keyword} ", f" {keyword}", f"{keyword} ", keyword):
+        if all(form in t for t in texts):
+            return form
+    raise ValueError(f"{keyword} is not in all matches of {pattern}")
+
+
 def rules() -> list[dict]:
     """All rules in order of priority: signatures as they stand; each name where words before it grant the license, where
-    `license` follows, and alone if that says enough."""
-    out = [*LICENSE_TEXTS, *ADDRESSES]
-    for tier, label, gate, name in NAMES:
-        out.append((2, label, gate, f"{GRANT}{name}(?:{BEHIND})?", 0.95))
+    `license` follows, and alone if that says enough. A rule's gate is what all of its matches hold."""
+    out = [(t, label, gate(word, pattern), pattern, weight) for t, label, word, pattern, weight in (*LICENSE_TEXTS, *ADDRESSES)]
+    for tier, label, word, name in NAMES:
+        held = gate(word, name)
+        out.append((2, label, held, f"{GRANT}{name}(?:{BEHIND})?", 0.95))
         if tier is None:
-            out.append((4, label, gate, f"(?:the )?{name}{BEHIND}", 0.85))
+            out.append((4, label, held, f"(?:the )?{name}{BEHIND}", 0.85))
         else:
-            out.append((tier, label, gate, f"(?:the )?{name}(?:{BEHIND})?", 0.9 if tier == 3 else 0.8))
-    out = sorted([*out, *NOTICES], key=lambda r: r[0])  # stable: rules of a tier keep their order
-    return [{"tier": t, "label": label, "gate": f" {gate} ", "pattern": f" {pattern}(?= )", "weight": w} for t, label, gate, pattern, w in out]
+            out.append((tier, label, held, f"(?:the )?{name}(?:{BEHIND})?", 0.9 if tier == 3 else 0.8))
+    out += [(t, label, gate(word, pattern), pattern, weight) for t, label, word, pattern, weight in NOTICES]
+    out = sorted(out, key=lambda r: r[0])  # stable: rules of a tier keep their order
+    return [{"tier": t, "label": label, "gate": held, "pattern": f" {pattern}(?= )", "weight": w} for t, label, held, pattern, w in out]
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,12 +263,13 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     none = F.array().cast("array<int>")
     at = F.sequence(F.lit(0), F.size("w") - 1)
     base = {label: F.when(F.contains("t", F.lit(f" {phrase} ")), F.filter(at, _stands(phrase.split()))).otherwise(none) for phrase, label in BASE}
-    gates = "|".join(sorted({r["gate"].strip() for r in table}))
-    gated = F.col("t").rlike(f" (?:{gates}) ")
+    gates = {r["gate"] for r in table}
+    first = "|".join(sorted(g[1:] for g in gates if g[0] == " "))
+    inside = "|".join(sorted(g for g in gates if g[0] != " "))
+    gated = F.col("t").rlike(f" (?:{first})|{inside}" if inside else f" (?:{first})")
     rows = rows.select("id", "t", "w", *[v.alias(f"b{i}") for i, v in enumerate(base.values())], F.when(gated, F.expr(_matches(table))).alias("m"))
-    rows = rows.withColumn("d", F.sort_array(F.flatten(F.transform("m", lambda m: _placed(m, table)))))
-    kept = F.aggregate("d", F.filter("d", lambda d: F.lit(False)), lambda a, d: F.when(F.exists(a, lambda k: (d["start"] < k["end"]) & (k["start"] < d["end"])), a).otherwise(F.array_append(a, d)))
-    rows = rows.withColumn("k", kept)
+    rows = rows.withColumn("d", F.flatten(F.transform("m", lambda m: _placed(m, table))))
+    rows = rows.withColumn("k", F.flatten(F.transform(_clusters(F.col("d")), _kept)))
     names = [F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, label in enumerate(base)]
     rows = rows.withColumn("bl", F.array_sort(F.array_compact(F.array(*names)))).withColumn("p", F.concat("b0", "b1", "b2"))
     found = F.coalesce(F.transform("k", lambda k: k["label"]), F.array().cast("array<string>"))
@@ -260,14 +302,50 @@ def _placed(m: Column, table: list[dict]) -> Column:
     of = lambda name, cut="{}": F.get(F.expr(f"array({', '.join(cut.format(r[name]) for r in table)})"), m["rule"])
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     pairs = F.zip_with(F.slice(m["between"], 1, F.size(m["hits"])), m["hits"], lambda s, h: F.struct(spaces(s).alias("before"), spaces(h).alias("words")))
-    empty = F.expr("cast(array() as array<struct<start:int,words:int>>)")
+    def places(pairs: Column) -> Column:
+        before = _before(F.transform(pairs, lambda x: x["before"] + x["words"]), lambda a, x: a + x)
+        return F.zip_with(pairs, before, lambda x, at: F.struct((at + x["before"]).alias("start"), x["words"].alias("words")))
+
+    found = lambda x: F.struct(of("tier").alias("tier"), (-x["words"]).alias("minus_words"), x["start"].alias("start"), (x["start"] + x["words"]).alias("end"), of("label", "'{}'").alias("label"), of("weight", "{}D").alias("weight"))
+    return F.transform(_once(pairs, places), found)
+
+
+def _once(value: Column, body) -> Column:
+    """body(value) with the value worked out once: Spark works out an expression again wherever it stands inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, merge, size: int = 64) -> Column:
+    """For each element of an array of numbers what those before it merge to (0 at first). Runs of `size` are merged first, so that
+    a long array does not grow one by one."""
+    zero = F.lit(0)
+    fold = lambda array, start: F.aggregate(array, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    runs = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size(v) / size).cast("int")) - 1), lambda b: F.slice(v, b * size + 1, F.lit(size)))
+    over = lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda x: F.aggregate(x, zero, merge)), zero), fold))
+    return _once(values, lambda v: _once(runs(v), over))
+
+
+def _clusters(d: Column) -> Column:
+    """Detections in arrays of those that overlap or are joined by others: what is suppressed depends on one's own array only, so a
+    long text costs no more than the arrays' sizes squared. A cluster begins where all before it have ended."""
+    by_start = F.transform(F.sort_array(F.transform(d, lambda x: F.struct(x["start"].alias("at"), x.alias("d")))), lambda x: x["d"])
+
+    def heads(s: Column) -> Column:
+        marked = F.zip_with(s, _before(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x)), lambda x, r: x["start"] >= r)
+        return F.filter(F.transform(marked, lambda m, i: F.when(m, i + 1)), lambda i: i.isNotNull())
+
+    def cut(s: Column, h: Column) -> Column:
+        ends = F.concat(F.slice(h, 2, F.greatest(F.lit(1), F.size(h))), F.array(F.size(s) + 1))
+        return F.zip_with(h, ends, lambda a, z: F.slice(s, a, z - a))
+
+    return _once(by_start, lambda s: _once(heads(s), lambda h: cut(s, h)))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + x["before"]
-        return F.struct((start + x["words"]).alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), x["words"].alias("words"))).alias("out"))
 
-    places = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
-    return F.transform(places, lambda x: F.struct(of("tier").alias("tier"), (-x["words"]).alias("minus_words"), x["start"].alias("start"), (x["start"] + x["words"]).alias("end"), of("label", "'{}'").alias("label"), of("weight", "{}D").alias("weight")))
+def _kept(d: Column) -> Column:
+    """Of one cluster what is taken: by tier, the longer first, then the earlier, unless it shares words with a taken one."""
+    meets = lambda a, x: F.exists(a, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"]))
+    none = F.filter(d, lambda x: F.lit(False))
+    return F.when(F.size(d) == 1, d).otherwise(F.aggregate(F.sort_array(d), none, lambda a, x: F.when(meets(a, x), a).otherwise(F.array_append(a, x))))
 
 
 def _stands(phrase: list[str]):

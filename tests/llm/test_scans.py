@@ -165,6 +165,30 @@ def test_license_suppression(spark):
     assert r["labels"].split(",")[0] == "apache-2"
 
 
+def test_every_match_of_a_rule_passes_its_gate(spark):
+    table = lic.rules()
+    for r in table:
+        for example in lic.expansions(r["pattern"].removesuffix("(?= )")):
+            assert r["gate"] in f"{example} " and re.fullmatch(r["pattern"].removesuffix("(?= )"), example), (r, example)
+    examples = [random.Random(i).choice(lic.expansions(r["pattern"].removesuffix("(?= )"))).strip() for i, r in enumerate(table)]
+    got = {r["doc_id"]: r["labels"] for r in lic.licenses(make(spark, list(enumerate(examples)))).collect()}
+    for i, (r, t) in enumerate(zip(table, examples)):
+        assert got[i] == plain_licenses(t)[0] and got[i], (r, t)
+
+
+def test_names_run_together_with_versions(spark):
+    said = {"gpl2": "gpl-2", "lgplv3": "lgpl-3", "lgpl3": "lgpl-3", "agplv3": "agpl-3", "Apache2": "apache-2", "FreeBSD license": "bsd-2-clause", "noncommercial use only": "no-commercial-use", "mpl2": "mpl-2", "EUPL1.2": "eupl-1.2", "simply complete, according to limits": ""}
+    got = {r["doc_id"]: r["labels"] for r in lic.licenses(make(spark, list(enumerate(said)))).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
+def test_a_long_text_of_licenses(spark):
+    """8,000 detections side by side and overlapping: what is taken is chosen within each cluster."""
+    text = " and ".join(["under the mit license", "Licensed under the Apache License, Version 2.0", "gpl v3 or later under the lgpl", "cc by nc sa 4.0"] * 2000)
+    r = lic.licenses(make(spark, [(1, text)])).first()
+    assert (r["n_base"], r["labels"]) == (6000, "apache-2,cc-by-nc,cc-by-nc-sa,gpl-3,lgpl,mit")
+
+
 def test_licenses_odd_tables(clashing, empty):
     assert lic.licenses(empty).count() == 0
     assert lic.licenses(clashing).count() == 35
