@@ -1,9 +1,12 @@
 """Secrets, licenses, quality, toxicity and the transducer tokenizer against plain versions."""
 
+import base64
 import hashlib
 import random
 import re
+import uuid
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -81,6 +84,41 @@ def test_network_finds_planted_tokens(spark, words):
     assert len(found) / (len(found) + len(wrong)) >= 0.9
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_network_of_the_given_tables_finds_usual_tokens(spark):
+    """Trained on the given documents, on those of the small table that are not in the training table's range."""
+    net = sec.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    untouched = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 5000").orderBy("doc_id").limit(600).collect()]
+    rng = random.Random(12)
+    token = lambda n, letters=MIXED: "".join(rng.choice(letters) for _ in range(n))
+    part = lambda text: base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+    kinds = {
+        "github": lambda: "ghp_" + token(36), "slack": lambda: f"xoxb-{token(11, MIXED[-10:])}-{token(12, MIXED[-10:])}-{token(24)}", "google": lambda: "AIza" + token(35, MIXED + "-_"), "stripe": lambda: "sk_live_" + token(24),
+        "web": lambda: f"{part('{\"alg\":\"HS256\",\"typ\":\"JWT\"}')}.{part('{\"sub\":\"' + token(12) + '\",\"iat\":15162390}')}.{token(43, MIXED + '-_')}", "base64": lambda: token(40, MIXED + "+/"),
+    }
+    for kind, make_token in kinds.items():
+        texts, places = [], []
+        for text in rng.sample(untouched, 100):
+            words = text.split(" ")
+            k = rng.randrange(len(words) + 1)
+            t = make_token()
+            head = "".join(w + " " for w in words[:k])
+            texts.append(f"{head}{t} {' '.join(words[k:])}")
+            places.append((len(head), len(head) + len(t)))
+        found = sum(any(s[0] <= a and b <= s[1] for s in spans) for spans, (a, b) in zip(sec.all_spans(texts, net), places))
+        assert found >= 80, (kind, found)
+    wrong = sum(s[2] == "model" for spans in sec.all_spans(untouched, net) for s in spans)
+    ids = [f"see {uuid.UUID(int=rng.getrandbits(128))} and /home/{token(4)}/report_{k:05d}.txt on 2024-03-{k % 28 + 1:02d} for the rest" for k in range(100)]
+    assert wrong <= 6 and sum(s[2] == "model" for spans in sec.all_spans(ids, net) for s in spans) <= 15  # of 300 strings
+
+
+def test_masks_of_overlapping_kinds_and_long_texts():
+    both = "token=" + "0123456789abcdef" * 2 + " AKIA" + "Z9" * 10
+    assert sec.masked(both, sec.all_spans([both], None)[0]) == "<assign> <access>"
+    long = " ".join(f"word{i % 7}" for i in range(60_000)) + " password = hunter22 " + "a" * 100_000
+    assert [s[2] for s in sec.all_spans([long], None)[0]] == ["assign", "hex"]
+
+
 def test_candidates_are_seen_whole():
     text = "a/" * 60 + "Zq7Rk29xPw4LmT8vBn3Y" + " end"
     (start, end), = sec.candidates(text)
@@ -88,7 +126,7 @@ def test_candidates_are_seen_whole():
     assert len(seen) > 2
     assert sum((w[sec.BEFORE : sec.BEFORE + sec.INSIDE] > 0).sum() for w in seen) >= end - start
     inside = "x" * 8 + "0123456789abcdef" * 2 + "Y" * 8
-    net = sec.Network(np.zeros((97, 8)), np.zeros((5, 8, 16)), np.zeros(16), np.zeros(32), 9.0, (1.0, 0.0), (0.5, 0.5, 0.5))
+    net = sec.Network(np.zeros((97, 8)), np.zeros((5, 8, 16)), np.zeros(16), np.zeros(32), 9.0, (1.0, 0.0), (0.5,) * len(sec.SHAPES))
     assert sec.joined(sec.all_spans([inside], net)[0]) == "model:0:48,hex:8:40"
 
 
