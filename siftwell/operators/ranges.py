@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .durable import durable
 
@@ -51,12 +52,21 @@ def sliced(df: DataFrame, by: list[str], order: Column, sample: int = SAMPLE, pe
     keys, names = _renamed(by, "c")
     step = max(per_range, -(-least // every))
     cuts = some.select(*keys, "_o").groupBy(*names).agg(F.array_sort(F.collect_set("_o")).alias("_all")).where(F.size("_all") > step)
-    cuts = cuts.select(*names, F.filter("_all", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
-    rows = rows.join(F.broadcast(cuts), _same(by, names), "left")
+    cuts = cuts.select(*names, F.to_json(F.filter("_all", lambda _, i: (i + 1) % step == 0), {"ignoreNullFields": "false"}).alias("_json"))
+    held = cuts.collect()  # sample / per_range cuts in all
+    if not held:
+        return rows.withColumns({"_slice": F.lit(0), "_cut": F.lit(False)})
+    kind = rows.schema["_o"].dataType.simpleString()
+    table = F.from_json(F.lit(f"[{','.join(r['_json'] for r in held)}]"), f"array<array<{kind}>>")  # a constant of the plan: not copied to the rows
+    if by:
+        known = rows.sparkSession.createDataFrame([(*r[:-1], i) for i, r in enumerate(held)], StructType([*cuts.schema.fields[:-1], StructField("_g", IntegerType())]))
+        rows = rows.join(F.broadcast(known), _same(by, names), "left").drop(*names)
+    else:
+        rows = rows.withColumn("_g", F.lit(0))
     powers = F.array(*[F.lit(1 << k) for k in reversed(range((2 * (sample // per_range)).bit_length()))])
-    step = lambda low, k: F.when(F.get("_cuts", low + k - 1) <= F.col("_o"), low + k).otherwise(low)
-    place = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), step))
-    return rows.withColumns({"_slice": place, "_cut": F.col("_cuts").isNotNull()}).drop("_cuts", *names)
+    step_ = lambda low, k: F.when(F.get(F.get(table, F.col("_g")), low + k - 1) <= F.col("_o"), low + k).otherwise(low)
+    place = F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), step_))
+    return rows.withColumns({"_slice": place, "_cut": F.col("_g").isNotNull()}).drop("_g")
 
 
 def fields(df: DataFrame, name: str = "_o") -> list[Column]:
@@ -118,15 +128,26 @@ def last_of(array: Column, k: int) -> Column:
     return F.when(F.size(array) > k, F.slice(array, -k, k)).otherwise(array)
 
 
-def recent(rows: DataFrame, by: list[str], value: Column, k: int, name: str, own: bool) -> DataFrame:
-    """rows of sliced() with `name`: an array of the values (structs of one field v) of the last k rows before each row, or of the last k
-    that end with it (own)."""
-    held = tails(rows.withColumn("_own", F.struct(value.alias("v"))), by, value, k, "_tail")
-    w = Window.partitionBy(*by, "_slice").orderBy(*fields(held))
-    w = w.rowsBetween(-(k - 1), 0) if own else w.rowsBetween(-k, -1)
+def recent(rows: DataFrame, by: list[str], value: Column, k: int, name: str) -> DataFrame:
+    """rows of sliced() with `name`: an array of the values (structs of one field v) of the last k rows, each row itself included."""
+    held = tails(rows.withColumn("_own", F.struct(value.alias("v"))), by, value, k - 1, "_tail") if k > 1 else rows.withColumns({"_own": F.struct(value.alias("v")), "_tail": F.array(F.struct(value.alias("v")))}).withColumn("_tail", F.filter("_tail", lambda x: F.lit(False)))
+    w = Window.partitionBy(*by, "_slice").orderBy(*fields(held)).rowsBetween(-(k - 1), 0)
     return held.withColumn("_near", F.collect_list("_own").over(w)).withColumn(name, last_of(F.concat("_tail", "_near"), k)).drop("_tail", "_near", "_own")
 
 
+def seen_lately(rows: DataFrame, by: list[str], value: Column, k: int, name: str) -> DataFrame:
+    """rows of sliced() with `name`: whether one of the k rows before each row has the same value. Only the first k rows of a slice
+    look at what earlier slices hand on."""
+    held = tails(rows.withColumn("_own", value), by, value, k, "_tail")
+    w = Window.partitionBy(*by, "_slice").orderBy(*fields(held))
+    held = held.withColumns({"_at": F.row_number().over(w), **{f"_l{j}": F.lag("_own", j).over(w) for j in range(1, k + 1)}})
+    inside = reduce(lambda a, b: a | b, [(F.col("_at") > j) & F.col(f"_l{j}").eqNullSafe(F.col("_own")) for j in range(1, k + 1)])
+    left = F.lit(k + 1) - F.col("_at")  # of the last k rows so many lie in earlier slices
+    reach = F.when(F.size("_tail") > left, F.slice("_tail", -left, left)).otherwise(F.col("_tail"))
+    outside = F.when(left > 0, F.exists(reach, lambda x: x["v"].eqNullSafe(F.col("_own")))).otherwise(F.lit(False))
+    return held.withColumn(name, inside | outside).drop("_own", "_tail", "_at", *[f"_l{j}" for j in range(1, k + 1)])
+
+
 def following(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
     """rows of sliced() with `name`: a struct of one field v, the value of the next row of the group; null for the last row."""
     held = rows.withColumn("_own", F.struct(value.alias("v")))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_rank
-from .ranges import carried, falling, fields, following, recent, rising, sliced
+from .durable import durable
+from .ranges import carried, falling, fields, following, recent, rising, seen_lately, sliced
 
 
 def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, name: str) -> DataFrame:
@@ -81,9 +82,10 @@ def shortage(df: DataFrame, quotas: DataFrame, by: str) -> DataFrame:
 def keep_best(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """Adds removed: true for all but the best row of each group (score, then least tie). Null groups are never removed.
 
-    The best is found by an aggregation and joined back, so a large group is never gathered.
+    The best is found by an aggregation, written, and joined back: so its size is known to the join, which broadcasts it or splits
+    what is skewed, and a large group is never gathered.
     """
-    best = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(tie, first_of(F.col(score), tie)).alias("_best"))
+    best = durable(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(tie, first_of(F.col(score), tie)).alias("_best")))
     joined = df.join(best, group, "left")
     return joined.withColumn("removed", F.col(group).isNotNull() & (F.col(tie) != F.col("_best"))).drop("_best")
 
@@ -185,7 +187,7 @@ def eta(df: DataFrame, key: str, order: list[str], seconds: str, total: int, k:
     number of steps and the last k - 1 of those before it."""
     rows = sliced(df, [key], rising(*order))
     rows = carried(rows, [key], "_slice", fields(rows), {"done": F.lit(1).cast("long")})
-    rows = recent(rows, [key], F.col(seconds).cast("double"), k, "_last", own=True)
+    rows = recent(rows, [key], F.col(seconds).cast("double"), k, "_last")
     known = F.filter(F.transform("_last", lambda x: x["v"]), lambda v: v.isNotNull())
     out = rows.withColumn("recent", F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)))
     out = out.withColumn("remaining", F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("recent"))
@@ -242,7 +244,7 @@ def usage_guidance(df: DataFrame, obj: str, domain: str, background: str, order:
     rows = sliced(df, [obj], rising(*order))
     rows = carried(rows, [obj], "_slice", fields(rows), {"used": one, "_domain": one, "_background": one}, {"_domain": [domain], "_background": [background]})
     commits = sliced(rows.drop("_o", "_slice", "_cut"), [], rising(*order))
-    rows = recent(commits, [], F.col(obj), memory, "_memory", own=False)
+    rows = seen_lately(commits, [], F.col(obj), memory, "_memory")
     most = F.lit(others)
     for value, n in (allowed or {}).items():
         most = F.when(F.col(domain) == value, F.lit(n)).otherwise(most)
@@ -252,7 +254,7 @@ def usage_guidance(df: DataFrame, obj: str, domain: str, background: str, order:
             "quota_bonus": F.col("remaining_quota") / F.lit(float(max(1, quota))),
             "domain_repeat_penalty": (F.col("_domain") - 1) / most,
             "background_repeat_penalty": (F.col("_background") - 1).cast("double"),
-            "recent_history_penalty": F.exists("_memory", lambda x: x["v"].eqNullSafe(F.col(obj))).cast("double"),
+            "recent_history_penalty": F.col("_memory").cast("double"),
             "coarse_domain_penalty": F.lit(0.0) if coarse is None else coarse,
         }
     )

@@ -194,8 +194,8 @@ def test_a_long_chain_of_conflicts(spark, monkeypatch):
     alive = S.suppress(nodes, edges, "k", "p", local=5500)  # more conflicts in all than a task takes
     assert alive.where("k % 2 = 1").count() == 0 and alive.count() == n // 2 + 1500
     assert len(rounds) < 4 * 20  # four tables a round
-    few = S.suppress(nodes.where("k < 40"), edges.where("b < 40"), "k", "p", local=3)  # a component too large for a task
-    assert sorted(r["k"] for r in few.collect()) == list(range(0, 40, 2))
+    few = S.suppress(nodes.where("k < 14"), edges.where("b < 14"), "k", "p", local=3)  # a component too large for a task
+    assert sorted(r["k"] for r in few.collect()) == list(range(0, 14, 2))
 
 
 def test_zip_keeps_margins_and_exchange_forbids(spark):
