@@ -8,6 +8,7 @@ holds much more than PER_RANGE / SAMPLE of all rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,36 +40,52 @@ def _renamed(by: list[str], mark: str) -> tuple[list[Column], list[str]]:
     return [F.col(c).alias(n) for c, n in zip(by, names, strict=True)], names
 
 
-def sliced(df: DataFrame, by: list[str], order: Column, sample: int = SAMPLE, per_range: int = PER_RANGE, least: int = LEAST) -> DataFrame:
-    """df with `_o`, the order, `_slice`, the number of its range within `by` (every row of an earlier range comes before), and `_cut`:
-    whether its group has several.
+@dataclass
+class Cuts:
+    """Where the ranges of each group end: rows of (group, JSON of the cuts), the fields of the group, the type of the order."""
 
-    df is written once, since it is read several times: for its size, the sample and the rows. The sample is drawn by a
-    hash of the order; each per_range-th of a group's sampled orders is a cut, and a row finds its range by halving.
-    """
-    rows = durable(df.withColumn("_o", order))
-    every = max(1, rows.count() // sample)
+    held: list
+    group: list[StructField]
+    kind: str
+
+
+def find_cuts(rows: DataFrame, by: list[str]) -> Cuts:
+    """Cuts of rows (with `_o`, the order), which are read twice: for their number and for the sample. The sample is drawn by a hash of
+    the order; each PER_RANGE-th of a group's sampled orders is a cut, or as many more as make LEAST rows."""
+    every = max(1, rows.count() // SAMPLE)
     some = rows.select(*by, "_o").where(F.pmod(F.xxhash64("_o", *by), F.lit(every)) == 0)
+    step = max(PER_RANGE, -(-LEAST // every))
     keys, names = _renamed(by, "c")
-    step = max(per_range, -(-least // every))
     cuts = some.select(*keys, "_o").groupBy(*names).agg(F.array_sort(F.collect_set("_o")).alias("_all")).where(F.size("_all") > step)
     cuts = cuts.select(*names, F.to_json(F.filter("_all", lambda _, i: (i + 1) % step == 0), {"ignoreNullFields": "false"}).alias("_json"))
-    held = cuts.collect()  # sample / per_range cuts in all
-    if not held:
+    return Cuts(cuts.collect(), cuts.schema.fields[:-1], rows.schema["_o"].dataType.simpleString())  # SAMPLE / PER_RANGE cuts in all
+
+
+def placed(rows: DataFrame, by: list[str], cuts: Cuts) -> DataFrame:
+    """rows with `_slice`, the number of its range within `by` (every row of an earlier range comes before), and `_cut`: whether its
+    group has several. A row finds its range by halving."""
+    if not cuts.held:
         return rows.withColumns({"_slice": F.lit(0), "_cut": F.lit(False)})
-    kind = rows.schema["_o"].dataType.simpleString()
-    table = F.from_json(F.lit(f"[{','.join(r['_json'] for r in held)}]"), f"array<array<{kind}>>")  # a constant of the plan: not copied to the rows
+    table = F.from_json(F.lit(f"[{','.join(r['_json'] for r in cuts.held)}]"), f"array<array<{cuts.kind}>>")  # a constant of the plan: not copied to the rows
     if by:
-        known = rows.sparkSession.createDataFrame([(*r[:-1], i) for i, r in enumerate(held)], StructType([*cuts.schema.fields[:-1], StructField("_g", IntegerType())]))
+        known = [(*r[:-1], i) for i, r in enumerate(cuts.held)]
+        known = rows.sparkSession.createDataFrame(known, StructType([*cuts.group, StructField("_g", IntegerType())]))
+        names = [f.name for f in cuts.group]
         rows = rows.join(F.broadcast(known), _same(by, names), "left").drop(*names)
     else:
         rows = rows.withColumn("_g", F.lit(0))
-    powers = F.array(*[F.lit(1 << k) for k in reversed(range((2 * (sample // per_range)).bit_length()))])
-    step_ = lambda low, k: F.when(F.get(F.get(table, F.col("_g")), low + k - 1) <= F.col("_o"), low + k).otherwise(low)
-    place = F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), step_))
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range((2 * (SAMPLE // PER_RANGE)).bit_length()))])
+    step = lambda low, k: F.when(F.get(F.get(table, F.col("_g")), low + k - 1) <= F.col("_o"), low + k).otherwise(low)
+    place = F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), step))
     return rows.withColumns({"_slice": place, "_cut": F.col("_g").isNotNull()}).drop("_g")
 
 
+def sliced(df: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """df with `_o`, the order, and its ranges. df is written once, since it is read several times."""
+    rows = durable(df.withColumn("_o", order))
+    return placed(rows, by, find_cuts(rows, by))
+
+
 def fields(df: DataFrame, name: str = "_o") -> list[Column]:
     """The fields of a struct column, to sort by: Spark sorts plain columns faster than structs."""
     return [F.col(f"{name}.{f}") for f in df.schema[name].dataType.names]
@@ -107,13 +124,14 @@ def running(df: DataFrame, by: list[str], order: Column, sums: dict[str, Column]
     return carried(rows, by, "_slice", fields(rows), sums).drop("_o", "_slice", "_cut")
 
 
-def tails(rows: DataFrame, by: list[str], value: Column, k: int, name: str) -> DataFrame:
+def tails(rows: DataFrame, by: list[str], value: Column, k: int, name: str, source: DataFrame | None = None) -> DataFrame:
     """rows of sliced() with `name`: an array of the last k values (structs of one field v) of earlier slices, in their order.
 
-    Each slice hands on its last k; those of the k slices before are enough, since none is empty.
+    Each slice hands on its last k; those of the k slices before are enough, since none is empty. They are taken from `source`, the
+    same rows in a plan that is cheaper to run, if there is one.
     """
     back = Window.partitionBy(*by, "_slice").orderBy(*[c.desc() for c in fields(rows)])
-    last = rows.where("_cut").withColumns({"_v": value, "_back": F.row_number().over(back)}).where(F.col("_back") <= k)
+    last = (rows if source is None else source).where("_cut").withColumns({"_v": value, "_back": F.row_number().over(back)}).where(F.col("_back") <= k)
     keys, names = _renamed([*by, "_slice"], "k")
     lists = last.groupBy(*by, "_slice").agg(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col("_v").alias("v")))).alias("_t")).select(*keys, "_t")
     w = Window.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(-k, -1)
@@ -135,10 +153,10 @@ def recent(rows: DataFrame, by: list[str], value: Column, k: int, name: str) ->
     return held.withColumn("_near", F.collect_list("_own").over(w)).withColumn(name, last_of(F.concat("_tail", "_near"), k)).drop("_tail", "_near", "_own")
 
 
-def seen_lately(rows: DataFrame, by: list[str], value: Column, k: int, name: str) -> DataFrame:
+def seen_lately(rows: DataFrame, by: list[str], value: Column, k: int, name: str, source: DataFrame | None = None) -> DataFrame:
     """rows of sliced() with `name`: whether one of the k rows before each row has the same value. Only the first k rows of a slice
     look at what earlier slices hand on."""
-    held = tails(rows.withColumn("_own", value), by, value, k, "_tail")
+    held = tails(rows.withColumn("_own", value), by, value, k, "_tail", source)
     w = Window.partitionBy(*by, "_slice").orderBy(*fields(held))
     held = held.withColumns({"_at": F.row_number().over(w), **{f"_l{j}": F.lag("_own", j).over(w) for j in range(1, k + 1)}})
     inside = reduce(lambda a, b: a | b, [(F.col("_at") > j) & F.col(f"_l{j}").eqNullSafe(F.col("_own")) for j in range(1, k + 1)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_rank
 from .durable import durable
-from .ranges import carried, falling, fields, following, recent, rising, seen_lately, sliced
+from .ranges import carried, falling, fields, find_cuts, following, placed, recent, rising, seen_lately, sliced
 
 
 def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, name: str) -> DataFrame:
@@ -241,10 +241,11 @@ def usage_guidance(df: DataFrame, obj: str, domain: str, background: str, order:
     the memory goes through ranges of all commits, each of which gets the last ones of those before it.
     """
     one = F.lit(1).cast("long")
-    rows = sliced(df, [obj], rising(*order))
-    rows = carried(rows, [obj], "_slice", fields(rows), {"used": one, "_domain": one, "_background": one}, {"_domain": [domain], "_background": [background]})
-    commits = sliced(rows.drop("_o", "_slice", "_cut"), [], rising(*order))
-    rows = seen_lately(commits, [], F.col(obj), memory, "_memory")
+    base = durable(df.withColumn("_o", rising(*order)))
+    rows = placed(base, [obj], find_cuts(base, [obj]))
+    rows = carried(rows, [obj], "_slice", fields(rows), {"used": one, "_domain": one, "_background": one}, {"_domain": [domain], "_background": [background]}).drop("_slice", "_cut")
+    commits = find_cuts(base, [])
+    rows = seen_lately(placed(rows, [], commits), [], F.col(obj), memory, "_memory", placed(base, [], commits))
     most = F.lit(others)
     for value, n in (allowed or {}).items():
         most = F.when(F.col(domain) == value, F.lit(n)).otherwise(most)

@@ -59,10 +59,8 @@ def test_ranks_of_nothing_and_null_groups(spark):
 @pytest.fixture
 def small_ranges(monkeypatch):
     """Ranges of 3 rows, so that a group of some hundred is cut into very many."""
-    plain = R.sliced
-    tiny = lambda df, by, order, *a, **k: plain(df, by, order, per_range=3, least=3)
-    for module in (R, W, A):
-        monkeypatch.setattr(module, "sliced", tiny)
+    monkeypatch.setattr(R, "PER_RANGE", 3)
+    monkeypatch.setattr(R, "LEAST", 3)
 
 
 def series(seed, n=400):
