@@ -64,7 +64,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = arrow_schema(schema)
-        if not keeps:
+        if keeps:
+            give_back()
+        else:
             forget()
         step = make()
         for batch in batches:
@@ -110,9 +112,13 @@ def remembered(name: str, make: Callable):
 
 
 def forget() -> None:
-    """Lets go of what earlier tasks have kept in this worker, and hands free memory back to the system: workers live on
-    from stage to stage, beside each other and a JVM."""
+    """Lets go of what earlier tasks have kept in this worker, and hands free memory back to the system."""
     sys.modules.pop("_siftwell_memory", None)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands free memory back to the system: workers live on from stage to stage, beside each other and a JVM."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
