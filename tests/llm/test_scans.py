@@ -112,6 +112,21 @@ def test_network_of_the_given_tables_finds_usual_tokens(spark):
     assert wrong <= 6 and sum(s[2] == "model" for spans in sec.all_spans(ids, net) for s in spans) <= 15  # of 300 strings
 
 
+def test_every_window_of_the_table_is_trained_on(spark, monkeypatch):
+    """More findings and other candidates than a shard holds: all are in a shard, and shards only change the grouping."""
+    rng = random.Random(9)
+    rows = [(i, f"see password={''.join(rng.choice(MIXED) for _ in range(20))} and /home/{i:06d}/file.txt end") for i in range(5000)]
+    found = sec.found_windows(make(spark, rows))
+    shards = sec.sharded(found)
+    assert shards.number == 2
+    held = shards.each(lambda shard, x, y, part: {"n": [len(y)], "yes": [int(y.sum())]}, "n long, yes long").collect()
+    assert sum(r["n"] for r in held) == 10_000 + 4 * sec.MADE
+    assert sum(r["yes"] for r in held) == 5000 + 2 * sec.MADE
+    monkeypatch.setattr(sec, "ROUNDS", 1)
+    counts = sec._counts(shards, sec._descend(shards, 1), None)
+    assert sum(c[-1] for c in counts) >= 0.4 * (10_000 + 4 * sec.MADE) - 4
+
+
 def test_masks_of_overlapping_kinds_and_long_texts():
     both = "token=" + "0123456789abcdef" * 2 + " AKIA" + "Z9" * 10
     assert sec.masked(both, sec.all_spans([both], None)[0]) == "<assign> <access>"
