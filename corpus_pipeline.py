@@ -33,8 +33,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: the one with the smallest doc_id, and of rows that share it the one with
-    the least hash. Rows with one doc_id and texts that are no near copies all stay, and so do those without a doc_id."""
-    rows, roots = near.near_rows(docs.where("doc_id is not null").select(COLUMNS))
+    the least hash. Near copies are texts whose SimHash fingerprints (op1_simhash) differ in 2 bits or less, found by Golay keys,
+    and those whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows with one doc_id and texts that are no near copies all stay, and so do those without a doc_id."""
+    rows, roots = near.near_rows(docs.where("doc_id is not null").select(COLUMNS), fingerprints=True)
     order = F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash"), "r")
     slim = rows.select("r", "node", order.alias("order")).join(roots, "node", "left")
     slim = saved(slim.select("r", F.coalesce("root", "node").alias("root"), "order"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import forget, saved, small_parts
 from .graph import components
+from .simhash import fingerprint, links
 from .wordhash import BASE, mix, words_in
 
 #: Words of a shingle, and the Jaccard similarity of shingle sets from which texts are near copies.
@@ -64,8 +65,8 @@ def band_keys(h: np.ndarray, heads: np.ndarray, bands: int, depth: int) -> np.nd
 
 
 def marked(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int = DEPTH, text_col: str = "text") -> DataFrame:
-    """docs with node, a hash of the shingle set (0: no words), and keys, the set's band keys (none without words)."""
-    fields = [*docs.schema.fields, StructField("node", LongType()), StructField("keys", ArrayType(LongType()))]
+    """docs with node, a hash of the shingle set (0: no words), keys, the set's band keys (none without words), and fp, the SimHash."""
+    fields = [*docs.schema.fields, StructField("node", LongType()), StructField("keys", ArrayType(LongType())), StructField("fp", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -84,7 +85,7 @@ def marked(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int =
                         keys[i] = row
                 whole = batch.slice(start, len(raw))
                 start += len(raw)
-                yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(node.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[*whole.schema.names, "node", "keys"])
+                yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(node.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array([fingerprint(x) for x in raw], np.uint64).view(np.int64))], names=[*whole.schema.names, "node", "keys", "fp"])
 
     return docs.mapInArrow(run, StructType(fields))
 
@@ -120,8 +121,18 @@ def _verified(base: DataFrame, pairs: DataFrame, words: int, alike: float) -> Da
     return both.select("a", "b", "ha", "hb").mapInArrow(judge, "a long, b long")
 
 
-def near_nodes(base: DataFrame, words: int = WORDS, alike: float = ALIKE, paired: int = PAIRED) -> DataFrame:
-    """(node, root) of the nodes that have a near copy. base: (r, node, keys, text), r a number of its own for each row.
+def fingerprint_edges(base: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all nodes of base whose SimHash fingerprints links of 2 differing bits or less connect; found by Golay keys."""
+    kinds = saved(base.select("fp", "node").distinct())
+    roots = saved(components(links(kinds.select("fp").distinct())))
+    rooted = saved(kinds.join(roots.toDF("fp", "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node").distinct())
+    low = saved(rooted.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return rooted.join(low, "root").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def near_nodes(base: DataFrame, known: DataFrame | None, words: int = WORDS, alike: float = ALIKE, paired: int = PAIRED) -> DataFrame:
+    """(node, root) of the nodes that have a near copy. base: (r, node, keys, text), r a number of its own for each row; known:
+    edges (a, b) of nodes that are linked anyway.
 
     Every pair of a key is verified unless other links already join the two: texts of a key with many are first
     compared with its least one, and then only pairs of different components are.
@@ -132,7 +143,8 @@ def near_nodes(base: DataFrame, words: int = WORDS, alike: float = ALIKE, paired
     many = saved(keyed.join(sizes.where(F.col("count") > paired), "key").select("key", "node"))
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
     stars = many.join(many.groupBy("key").agg(F.min("node").alias("a")), "key").where("a < node").select("a", F.col("node").alias("b"))
-    edges = saved(_verified(base, pairs.union(stars), words, alike))
+    edges = _verified(base, pairs.union(stars), words, alike)
+    edges = saved(edges if known is None else edges.union(known))
     roots = saved(components(edges))
     if many.isEmpty():
         return roots
@@ -144,11 +156,15 @@ def near_nodes(base: DataFrame, words: int = WORDS, alike: float = ALIKE, paired
     return components(edges.union(_verified(base, open_, words, alike)))
 
 
-def near_rows(docs: DataFrame, words: int = WORDS, alike: float = ALIKE, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs with r, a number of the row, and node, and (node, root) of the nodes that have a near copy; both are saved."""
+def near_rows(docs: DataFrame, words: int = WORDS, alike: float = ALIKE, text_col: str = "text", fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """docs with r, a number of the row, and node, and (node, root) of the nodes that have a near copy; both are saved.
+
+    fingerprints: texts whose SimHash fingerprints differ in 2 bits or less are near copies, too.
+    """
     base = saved(marked(docs.withColumn("r", F.monotonically_increasing_id()), words, text_col=text_col))
     slim = base.select("r", "node", "keys", F.col(text_col).alias("text"))
-    return base.drop("keys"), saved(near_nodes(slim, words, alike))
+    known = saved(fingerprint_edges(base)) if fingerprints else None
+    return base.drop("keys", "fp"), saved(near_nodes(slim, known, words, alike))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, alike: float = ALIKE, text_col: str = "text") -> DataFrame:

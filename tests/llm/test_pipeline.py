@@ -103,3 +103,18 @@ def test_stages_on_an_empty_table(spark, sf_dir, tmp_path):
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_near_dedup_links_by_fingerprint_and_by_shingles(spark, words):
+    """Texts whose fingerprints are equal although their sets of shingles are not alike, and the other way round."""
+    rng = random.Random(31)
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    chorus = " ".join(["over and out"] * 300)
+    rows = [(k, f"{chorus} {' '.join(prose(20))}") for k in range(3)]
+    assert len({fingerprint(t.encode()) for _, t in rows}) == 1
+    w = prose(120)
+    changed = [*w[:60], "another", *w[61:]]
+    rows += [(10, " ".join(w)), (11, " ".join(changed)), (12, " ".join(prose(120)))]
+    assert (fingerprint(rows[3][1].encode()) ^ fingerprint(rows[4][1].encode())).bit_count() > 2
+    kept = pipe.keep_one_of_near(spark, make(spark, rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 10, 12]
