@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 #: Rows of texts that go to a task's Python worker at a time.
 BATCH_ROWS = 1000
+#: Bytes that the JVM puts into such a batch, one row at least.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +47,13 @@ def saved(df: DataFrame) -> DataFrame:
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of docs: other columns, whatever their names, play no part; null text is empty.
 
-    Tasks get texts in batches of a few MB: unless the session says otherwise, a batch has BATCH_ROWS rows at most.
+    Tasks get texts in batches of a few MB: unless the session says otherwise, a batch has BATCH_ROWS rows and about BATCH_BYTES at most.
     """
     conf = docs.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").startswith(str(64 << 20)):  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -74,7 +78,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], sc
                 out = step(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
 
-    return df.select("id", "text").mapInArrow(run, schema)
+    return df.select("id", "text").mapInArrow(lean(run), schema)
 
 
 def small_parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -117,6 +121,16 @@ def forget() -> None:
     give_back()
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function for mapInArrow, which hands its memory back when it has ended: the worker may wait for long after it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def give_back() -> None:
     """Hands free memory back to the system: workers live on from stage to stage, beside each other and a JVM."""
     pa.default_memory_pool().release_unused()

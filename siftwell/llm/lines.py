@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import forget, saved, small_parts, texts
+from .common import forget, give_back, lean, saved, small_parts, texts
 from .sift import BLOCK, FILTER_BITS, bit_filter, gathered, holds, inside_filter, pressed, slot
 from .wordhash import line_words, mix, open_bytes, press_bytes
 
@@ -60,7 +60,7 @@ def word_classes(rows: DataFrame) -> np.ndarray:
         out = np.minimum(255, 6 * np.log2(np.maximum(total_of(table), 1).astype(np.float64))).astype(np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    sent = rows.select("text").mapInArrow(run, "task int, block int, data binary")
+    sent = rows.select("text").mapInArrow(lean(run), "task int, block int, data binary")
     summed = sent.groupBy("block", F.expr("task div 256").alias("tasks")).applyInArrow(add, "block int, data binary")  # few rows a group, however many tasks
     return gathered(summed.groupBy("block").applyInArrow(grade, "block int, data binary"), COUNTERS, np.uint8)
 
@@ -174,16 +174,23 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 class _Bucket:
-    """The entries of a bucket as arrays, those of a token together and in the order of their lines."""
+    """The entries of a bucket whose token stands more than once, as arrays, in the order they were sent in."""
 
     def __init__(self, sent: list[tuple]):
-        self.token, self.before, self.pos, self.size, self.whole, self.line, _, self.flags = (np.concatenate([x[k] for x in sent]) for k in range(8))
+        token = np.concatenate([x[0] for x in sent])
+        order = np.argsort(token, kind="stable")
+        again = token[order][1:] == token[order][:-1]
+        shared = np.zeros(len(token), bool)
+        shared[order[np.append(again, False) | np.append(False, again)]] = True
+        del token, order, again
+        parts = list(zip(sent, np.split(shared, np.cumsum([len(x[0]) for x in sent])[:-1])))
+        self.token, self.before, self.pos, self.size, self.whole, self.line, self.flags = (np.concatenate([x[k][m] for x, m in parts]) for k in (0, 1, 2, 3, 4, 5, 7))
+        self.bits = np.concatenate([x[8][np.repeat(m, _width(x[3].astype(np.int64)))] for x, m in parts])
         self.pos, self.size, self.line = (x.astype(np.int64) for x in (self.pos, self.size, self.line))
-        self.id = np.concatenate([np.cumsum(x[9])[x[6]] for x in sent])
-        self.h = np.concatenate([x[10][x[6]] for x in sent])
+        self.id = np.concatenate([np.cumsum(x[9])[x[6][m]] for x, m in parts])
+        self.h = np.concatenate([x[10][x[6][m]] for x, m in parts])
         self.width = _width(self.size)
         self.at = np.cumsum(self.width) - self.width
-        self.bits = np.concatenate([x[8] for x in sent])
 
     def take(self, rows: np.ndarray) -> None:
         for k, v in vars(self).items():
@@ -222,11 +229,7 @@ def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
     token until it has met SURE that look alike by the bitmaps, or TRIES that may be (every: to the first one).
     """
     b = _Bucket([pickle.loads(open_bytes(x)) for x in table.column("blob").to_pylist()])
-    order = np.argsort(b.token, kind="stable")
-    again = b.token[order][1:] == b.token[order][:-1]
-    shared = np.sort(order[np.append(again, False) | np.append(False, again)])  # of tokens that stand more than once
-    by_line = np.argsort(b.id[shared], kind="stable")  # within a text lines come in their order
-    b.take(shared[by_line])
+    b.take(np.argsort(b.id, kind="stable"))  # within a text lines come in their order
     if ((b.id[1:] == b.id[:-1]) & (b.h[1:] != b.h[:-1])).any():  # texts that share an id
         b.take(np.lexsort((b.line, b.h, b.id)))
     sets = np.argsort(b.token.astype(np.uint64) << np.uint64(32) | b.whole, kind="stable")
@@ -287,7 +290,12 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
 
         every = wanted is not None
         schema = "id long, h long, line int, id2 long, h2 long, line2 int, more boolean"
-        pairs = rows.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _pairs(t, alike, every), schema)
+        def match(table: pa.Table) -> pa.Table:
+            out = _pairs(table, alike, every)
+            give_back()
+            return out
+
+        pairs = rows.mapInArrow(lean(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(match, schema)
         return saved(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")))
 
     pairs = found()
@@ -309,8 +317,8 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_line_slot(batch.column("h").to_numpy(), batch.column("line").to_numpy()))], names=["s"])
 
-    asked = sets.join(left, KEY).select("words").mapInArrow(slots, "s long")
-    wanted = context.broadcast((bit_filter(asked), bit_filter(left.select("h", "line").mapInArrow(own, "s long"))))
+    asked = sets.join(left, KEY).select("words").mapInArrow(lean(slots), "s long")
+    wanted = context.broadcast((bit_filter(asked), bit_filter(left.select("h", "line").mapInArrow(lean(own), "s long"))))
     rest = saved(found(wanted).join(left, KEY, "left_semi").join(pairs, PAIR, "left_anti"))
     return out.union(_verified(rest, _sets(rows, rest), alike)).distinct()
 
@@ -332,7 +340,7 @@ def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
 
     some = pressed(rows, bit_filter(lists.select(slot("id", "h"))))
-    return saved(some.join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(pick, "id long, h long, line int, words binary"))
+    return saved(some.join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(lean(pick), "id long, h long, line int, words binary"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
@@ -349,7 +357,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
             part = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in KEY], names=KEY)
 
-    return both.select(*KEY, "words", "words2").mapInArrow(judge, "id long, h long, line int").distinct()
+    return both.select(*KEY, "words", "words2").mapInArrow(lean(judge), "id long, h long, line int").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -390,5 +398,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = ["n_lines", "n_removed", "kept_sha256"]
     schema = StructType([whole.schema["id"], whole.schema["row"], *[StructField(c, k) for c, k in zip([*made, "kept_text"], (LongType(), LongType(), StringType(), StringType()))]])
     cut = pressed(whole, bits).join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone")
-    done = cut.mapInArrow(finish, schema).union(whole.select("id", "row", "text", slot("id", "h")).mapInArrow(finish, schema))
+    done = cut.mapInArrow(lean(finish), schema).union(whole.select("id", "row", "text", slot("id", "h")).mapInArrow(lean(finish), schema))
     return done.select(F.col("id").alias(id_col), *made, *(["kept_text", *[F.col(f"row.{c}").alias(c) for c in carry]] if carry else []))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import forget, saved, small_parts
+from .common import forget, lean, saved, small_parts
 from .graph import components
 from .simhash import fingerprint, links
 from .wordhash import BASE, mix, words_in
@@ -87,7 +87,7 @@ def marked(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int =
                 start += len(raw)
                 yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(node.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array([fingerprint(x) for x in raw], np.uint64).view(np.int64))], names=[*whole.schema.names, "node", "keys", "fp"])
 
-    return docs.mapInArrow(run, StructType(fields))
+    return docs.mapInArrow(lean(run), StructType(fields))
 
 
 def _verified(base: DataFrame, pairs: DataFrame, words: int, alike: float) -> DataFrame:
@@ -105,7 +105,7 @@ def _verified(base: DataFrame, pairs: DataFrame, words: int, alike: float) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["node", "hashes"])
 
     some = base.join(rows, "r").select("node", F.coalesce("text", F.lit("")).alias("text"))
-    sets = saved(some.mapInArrow(cut, "node long, hashes binary"))
+    sets = saved(some.mapInArrow(lean(cut), "node long, hashes binary"))
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def _verified(base: DataFrame, pairs: DataFrame, words: int, alike: float) -> Da
             part = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(judge, "a long, b long")
+    return both.select("a", "b", "ha", "hb").mapInArrow(lean(judge), "a long, b long")
 
 
 def fingerprint_edges(base: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import forget
+from .common import forget, lean
 from .wordhash import press_bytes
 
 #: Numbers of a row in which arrays reach the driver.
@@ -65,4 +65,4 @@ def pressed(rows: DataFrame, bits: np.ndarray, level: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(packed, pa.binary())], names=[*rest, "packed"])
 
     fields = [*[rows.schema[c] for c in rest], StructField("packed", BinaryType())]
-    return rows.select(*rest, "text", slot("id", "h")).mapInArrow(press, StructType(fields))
+    return rows.select(*rest, "text", slot("id", "h")).mapInArrow(lean(press), StructType(fields))
