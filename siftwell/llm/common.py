@@ -44,6 +44,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Lets the executors' JVMs collect all garbage, after which they hand the heap they no longer need back to the system.
+
+    A JVM keeps what earlier jobs have made its heap grow to, up to its limit, beside the Python workers of later ones. One
+    task for each core, all at once, reaches every executor; a JVM set not to collect on demand goes on as it is.
+    """
+    n = spark.sparkContext.defaultParallelism
+    collect = F.expr("java_method('java.lang.System', 'gc')").alias("gc")
+    spark.range(0, n, 1, n).select(collect).write.format("noop").mode("overwrite").save()
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of docs: other columns, whatever their names, play no part; null text is empty.
 

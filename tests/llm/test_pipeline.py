@@ -1,5 +1,6 @@
 """The pipeline's stages: what each keeps, changes and returns."""
 
+import gc
 import random
 
 import pytest
@@ -118,3 +119,20 @@ def test_near_dedup_links_by_fingerprint_and_by_shingles(spark, words):
     assert (fingerprint(rows[3][1].encode()) ^ fingerprint(rows[4][1].encode())).bit_count() > 2
     kept = pipe.keep_one_of_near(spark, make(spark, rows), "").collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 10, 12]
+
+
+def test_heap_is_handed_back(spark, empty, monkeypatch):
+    """What earlier jobs made a heap grow to goes back to the system, before a stage begins."""
+    jvm = spark.sparkContext._jvm
+    held = jvm.java.nio.ByteBuffer.allocate(700 << 20)
+    grown = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    del held
+    gc.collect()
+    pipe.shrink_heaps(spark)
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() < grown - (300 << 20)
+    called = []
+    monkeypatch.setattr(pipe, "shrink_heaps", lambda spark: called.append(1) or 1 / 0)
+    for _, stage in pipe.STAGES:
+        with pytest.raises(ZeroDivisionError):
+            stage(spark, empty, "/nowhere")
+    assert len(called) == len(pipe.STAGES)
