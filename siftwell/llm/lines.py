@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import forget, give_back, lean, saved, small_parts, texts
 from .sift import BLOCK, FILTER_BITS, bit_filter, gathered, holds, inside_filter, pressed, slot
@@ -25,6 +25,8 @@ COUNTERS = 1 << 19
 #: Partners that a line asks for at a token, such as the bitmaps show to be alike and doubtful ones, before it waits for
 #: the verification of these; a further pass serves those whose partners all fail.
 SURE, TRIES = 2, 16
+#: Lines up to which the texts that hold them are picked by a broadcast table of their places.
+FEW = 1 << 16
 #: Bytes of text that a task works on at a time.
 CHUNK = 2 << 20
 #: Words of 64 bits in the bitmap of a set: one for each so many tokens, rounded up to a power of two, at most MOST_BITMAP.
@@ -332,15 +334,19 @@ def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         forget()
         for batch in batches:
             out: dict[str, list] = {"id": [], "h": [], "line": [], "words": []}
-            for i, h, packed, at in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "packed", "at")), strict=True):
-                lines = open_bytes(packed).split(b"\n")
+            raw = map(open_bytes, batch.column("packed").to_pylist()) if "packed" in batch.schema.names else batch.column("text").cast(pa.binary()).to_pylist()
+            for i, h, text, at in zip(*(batch.column(c).to_pylist() for c in ("id", "h")), raw, batch.column("at").to_pylist(), strict=True):
+                lines = text.split(b"\n")
                 for k in at:
                     for c, v in zip(out, (i, h, k, b" ".join(sorted({*lines[k].split()})))):
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
 
-    some = pressed(rows, bit_filter(lists.select(slot("id", "h"))))
-    return saved(some.join(lists, ["id", "h"]).select("id", "h", "packed", "at").mapInArrow(lean(pick), "id long, h long, line int, words binary"))
+    if (lists.agg(F.sum(F.size("at"))).first()[0] or 0) <= FEW:  # other texts do not leave the scan
+        some = rows.join(F.broadcast(lists), ["id", "h"]).select("id", "h", "text", "at")
+    else:
+        some = pressed(rows, bit_filter(lists.select(slot("id", "h")))).join(lists, ["id", "h"]).select("id", "h", "packed", "at")
+    return saved(some.mapInArrow(lean(pick), "id long, h long, line int, words binary"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
@@ -378,25 +384,46 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     mask = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts in the filter packed, of all others what there is to tell: nothing is taken from them."""
+        forget()
+        for batch in batches:
+            inside = holds(mask.value, batch.column("s").to_numpy()).tolist()
+            out: list[list] = [[], [], []]
+            for x, lost in zip(batch.column("text").cast(pa.binary()).to_pylist(), inside, strict=True):
+                for c, v in zip(out, (press_bytes(x, 1), None, None) if lost else (None, x.count(b"\n") + 1, hashlib.sha256(x).hexdigest())):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "h", "row")], pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["id", "h", "row", "packed", "n_lines", "kept_sha256"])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             packed = "packed" in batch.schema.names
             part = batch if packed else inside_filter(batch, mask.value, False)
-            raw = map(open_bytes, part.column("packed").to_pylist()) if packed else part.column("text").cast(pa.binary()).to_pylist()
+            raw = (x and open_bytes(x) for x in part.column("packed").to_pylist()) if packed else part.column("text").cast(pa.binary()).to_pylist()
+            told = zip(part.column("n_lines").to_pylist(), part.column("kept_sha256").to_pylist()) if packed else repeat((None, None), part.num_rows)
             out: list[list] = [[], [], [], []]
-            for x, at in zip(raw, part.column("gone").to_pylist() if packed else repeat(None, part.num_rows), strict=True):
-                n = x.count(b"\n") + 1
-                if at:
-                    drop = set(at)
-                    x = b"\n".join([y for k, y in enumerate(x.split(b"\n")) if k not in drop])
-                for c, v in zip(out, (n, len(at or ()), hashlib.sha256(x).hexdigest(), x.decode() if carry else None)):
+            for x, at, (n, sha) in zip(raw, part.column("gone").to_pylist() if packed else repeat(None, part.num_rows), told, strict=packed):
+                if x is not None:
+                    n = x.count(b"\n") + 1
+                    if at:
+                        drop = set(at)
+                        x = b"\n".join([y for k, y in enumerate(x.split(b"\n")) if k not in drop])
+                    sha = hashlib.sha256(x).hexdigest()
+                for c, v in zip(out, (n, len(at or ()), sha, x.decode() if carry else None)):
                     c.append(v)
             columns = [part.column("id"), part.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_lines", "n_removed", "kept_sha256", "kept_text"])
 
     made = ["n_lines", "n_removed", "kept_sha256"]
     schema = StructType([whole.schema["id"], whole.schema["row"], *[StructField(c, k) for c, k in zip([*made, "kept_text"], (LongType(), LongType(), StringType(), StringType()))]])
-    cut = pressed(whole, bits).join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone")
-    done = cut.mapInArrow(lean(finish), schema).union(whole.select("id", "row", "text", slot("id", "h")).mapInArrow(lean(finish), schema))
+    told = [F.lit(None).cast("long").alias("n_lines"), F.lit(None).cast("string").alias("kept_sha256")]
+    rest = whole.select("id", "row", "text", slot("id", "h"))
+    if carry:  # texts that lose nothing are not shuffled
+        cut = pressed(whole, bits).join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone", *told)
+        done = cut.mapInArrow(lean(finish), schema).union(rest.mapInArrow(lean(finish), schema))
+    else:
+        fields = [*[whole.schema[c] for c in ("id", "h", "row")], StructField("packed", BinaryType()), StructField("n_lines", LongType()), StructField("kept_sha256", StringType())]
+        seen = whole.select("id", "h", "row", "text", slot("id", "h")).mapInArrow(lean(sift), StructType(fields))
+        done = seen.join(gone, ["id", "h"], "left").select("id", "row", "packed", "gone", "n_lines", "kept_sha256").mapInArrow(lean(finish), schema)
     return done.select(F.col("id").alias(id_col), *made, *(["kept_text", *[F.col(f"row.{c}").alias(c) for c in carry]] if carry else []))
