@@ -193,3 +193,12 @@ def test_pack_pieces(docs, corpus, path):
 def test_pack_odd_tables(clashing, empty, path):
     assert pack(empty, path).count() == 0
     assert pack(clashing, path).where("piece = 0").count() == 35
+
+
+@pytest.mark.parametrize("few", [-1, 1 << 16])
+def test_lines_picked_both_ways(spark, monkeypatch, few):
+    """Texts of few lines come by a broadcast table, those of many by a filter."""
+    monkeypatch.setattr("siftwell.llm.lines.FEW", few)
+    rows = [(1, "a b c d e f\ng h"), (2, "x y\na b c d e f"), (3, "a b c d e\nz"), (4, ""), (5, None)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup(make(spark, rows)).collect()}
+    assert got == {1: (2, 0), 2: (2, 1), 3: (2, 1), 4: (1, 0), 5: (1, 0)}
