@@ -25,6 +25,12 @@ COUNTERS = 1 << 19
 #: Partners that a line asks for at a token, such as the bitmaps show to be alike and doubtful ones, before it waits for
 #: the verification of these; a further pass serves those whose partners all fail.
 SURE, TRIES = 2, 16
+#: Doubtful partners, those before counted, that a line notes for the case that the first ones fail.
+DEEP = 256
+#: Entries of a token meet by size: a band holds sizes up to this factor apart.
+BAND = 1.2
+#: Pairs of entries that are looked at together.
+STEP = 1 << 16
 #: Lines up to which the texts that hold them are picked by a broadcast table of their places.
 FEW = 1 << 16
 #: Bytes of text that a task works on at a time.
@@ -45,9 +51,9 @@ def word_classes(rows: DataFrame) -> np.ndarray:
         forget()
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in small_parts(batch, CHUNK):
-                h = line_words(part.column("text").cast(pa.binary()).to_pylist())[0]
-                total += np.bincount(_counter(h), minlength=COUNTERS)
+            for part in small_parts(batch, 2 * CHUNK):
+                held = [_counter(line_words(x.column("text").cast(pa.binary()).to_pylist())[0]) for x in small_parts(part, CHUNK // 2)]
+                total += np.bincount(np.concatenate(held), minlength=COUNTERS)
         blocks = total.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([press_bytes(blocks[k].tobytes(), 1) for k in some], pa.binary())], names=["block", "data"]).add_column(0, "task", pa.array(np.full(len(some), TaskContext.get().partitionId(), np.int32)))
@@ -223,12 +229,37 @@ class _Bucket:
         return out
 
 
+def _band(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(size) / np.log(BAND)).astype(np.int64)
+
+
+def _largest(size: np.ndarray, pos: np.ndarray, alike: float) -> np.ndarray:
+    """Size of the largest set that may be alike one of this size if no token before pos is in both."""
+    return np.floor((size - pos) * (1 + alike) / alike + 1e-6).astype(np.int64) - size
+
+
+def _met(token: np.ndarray, size: np.ndarray, pos: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places at which entries meet: number of the entry, band of sizes, and token with band, by which they are sorted.
+
+    An entry stands in the band of its size and in those up to the largest size that it allows, so two that may be alike
+    meet in the band of the larger one.
+    """
+    low = _band(size)
+    n = np.maximum(_band(np.maximum(_largest(size, pos, alike), size)) - low, 0) + 1
+    of = np.repeat(np.arange(len(size)), n)
+    band = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    key = token[of].astype(np.uint64) << np.uint64(16) | band.astype(np.uint64)
+    by = np.argsort(key, kind="stable")
+    return of[by], band[by], key[by]
+
+
 def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
     """Pairs (later line, earlier one) of a bucket that the filters let through; more: the later one may have others.
 
     Equal sets meet in a pair with their first line, and only that one is compared with other sets. A pair that has
     the token before this one in common, too, is left to that token. A line goes back over the earlier ones of its
-    token until it has met SURE that look alike by the bitmaps, or TRIES that may be (every: to the first one).
+    token, in all bands of sizes at once, until it has met SURE that look alike by the bitmaps, or DEEP that may be
+    (every: to the first one); late: it had met TRIES that may be before this one.
     """
     b = _Bucket([pickle.loads(open_bytes(x)) for x in table.column("blob").to_pylist()])
     b.take(np.argsort(b.id, kind="stable"))  # within a text lines come in their order
@@ -241,34 +272,42 @@ def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
     itself = (b.id == b.id[of_lead]) & (b.h == b.h[of_lead]) & (b.line == b.line[of_lead])  # the same line of a row that is repeated
     asks = b.flags >= 2
     copies = np.flatnonzero(~lead & (b.pos == 0) & ~itself & asks)
-    found = [(copies, of_lead[copies], np.ones(len(copies), bool))]
+    found = [(copies, of_lead[copies], np.ones(len(copies), bool), np.zeros(len(copies), bool))]
     stay = np.flatnonzero((lead | (asks & ~itself if every else False)) & (b.flags & 1 == 0))
-    by = stay[np.argsort(b.token[stay], kind="stable")]
-    heads = np.flatnonzero(np.append(True, np.diff(b.token[by]) != 0)) if len(by) else np.zeros(0, np.int64)
+    of, band, by = _met(b.token[stay], b.size[stay], b.pos[stay], alike)
+    heads = np.flatnonzero(np.append(True, np.diff(by) != 0)) if len(by) else np.zeros(0, np.int64)
     nth = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
-    active, tried, back = np.flatnonzero(asks[by] & (nth > 0)), np.zeros(len(by), np.int64), 1
-    size, rest, pos, before = (x[by] for x in (b.size, b.size - b.pos, b.pos, b.before))
+    size, pos, before = (x[stay][of] for x in (b.size, b.pos, b.before))
+    rest, most, home = size - pos, _largest(size, pos, alike), band == _band(size)
+    active, back = np.flatnonzero(asks[stay][of] & (nth > 0)), 1
+    tried, likely, ended = np.zeros(len(stay), np.int64), np.zeros(len(stay), np.int64), np.zeros(len(stay), bool)
     while len(active):
-        s, t = size[active], size[active - back]
-        at = np.flatnonzero(np.minimum(s, t) >= alike * np.maximum(s, t) - 1e-9)
-        i, j = active[at], active[at] - back
-        need = np.ceil(alike / (1 + alike) * (s[at] + t[at]) - 1e-9)
-        ok = np.minimum(rest[i], rest[j]) >= need
+        wide = max(1, min(back, STEP // len(active)))
+        i = np.repeat(active, wide) if wide > 1 else active
+        j = i - np.tile(np.arange(back, back + wide), len(active)) if wide > 1 else i - back
+        if wide > 1:
+            ok = i - j <= nth[i]
+            i, j = i[ok], j[ok]
+        ok = np.flatnonzero((size[j] <= most[i]) & (size[i] <= most[j]) & (home[i] | home[j]))
+        i, j = i[ok], j[ok]
+        s, t = size[i], size[j]
+        need = np.ceil(alike / (1 + alike) * (s + t) - 1e-9)
+        ok = (np.minimum(s, t) >= alike * np.maximum(s, t) - 1e-9) & (np.minimum(rest[i], rest[j]) >= need)
         ok &= (pos[i] == 0) | (pos[j] == 0) | (before[i] != before[j])
-        at, i, j, most = at[ok], by[i[ok]], by[j[ok]], (s[at] + t[at] - 2 * need)[ok]
-        apart = b.differing(i, j)
-        near = apart <= most
-        at, i, j, sure = at[near], i[near], j[near], (2 * apart + 2 <= most)[near]
-        tried[active[at]] += np.where(sure, TRIES // SURE, 1)
-        ended = np.zeros(len(active), bool)
+        i, j, free = of[i[ok]], of[j[ok]], (s + t - 2 * need)[ok]
+        apart = b.differing(stay[i], stay[j])
+        near = apart <= free
+        i, j, sure = i[near], j[near], (2 * apart + 2 <= free)[near]
+        late = tried[i] >= TRIES
         if not every:
-            ended[at] = tried[active[at]] >= TRIES
-        found.append((i, j, ended[at]))
-        back += 1
-        active = active[~ended]
-        active = active[nth[active] >= back]
-    i, j, more = (np.concatenate([x[k] for x in found]) for k in range(3))
-    return pa.table([pa.array(x) for x in (b.id[i], b.h[i], b.line[i].astype(np.int32), b.id[j], b.h[j], b.line[j].astype(np.int32), more)], names=[*PAIR, "more"])
+            np.add.at(tried, i, np.where(sure, TRIES // SURE, 1))
+            np.add.at(likely, i[sure], 1)
+            ended[i] = (likely[i] >= SURE) | (tried[i] >= max(TRIES, DEEP))
+        found.append((stay[i], stay[j], ended[i], late))
+        back += wide
+        active = active[(nth[active] >= back) & ~ended[of[active]]]
+    i, j, more, late = (np.concatenate([x[k] for x in found]) for k in range(4))
+    return pa.table([pa.array(x) for x in (b.id[i], b.h[i], b.line[i].astype(np.int32), b.id[j], b.h[j], b.line[j].astype(np.int32), more, late)], names=[*PAIR, "more", "late"])
 
 
 def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
@@ -276,7 +315,8 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
 
     A line is its set of words; lines without words are never alike. Alike lines share a token of their prefixes, so
     they meet in its bucket; a line asks for few of the partners that no filter rules out there, the pairs are verified
-    on the words themselves, and only lines all of whose partners failed ask, in a second pass, for all others.
+    on the words themselves, and only lines all of whose partners failed ask for the further ones noted there, and those
+    that had more than it notes, in a second pass, for all others.
     """
     rows = rows.where("id is not null")
     context = rows.sparkSession.sparkContext
@@ -291,19 +331,26 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
                     yield from _entries(part, classes.value, buckets, alike, wanted and wanted.value)
 
         every = wanted is not None
-        schema = "id long, h long, line int, id2 long, h2 long, line2 int, more boolean"
+        schema = "id long, h long, line int, id2 long, h2 long, line2 int, more boolean, late boolean"
+
         def match(table: pa.Table) -> pa.Table:
             out = _pairs(table, alike, every)
             give_back()
             return out
 
         pairs = rows.mapInArrow(lean(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(match, schema)
-        return saved(pairs.groupBy(*PAIR).agg(F.max("more").alias("more")))
+        return saved(pairs.groupBy(*PAIR).agg(F.max("more").alias("more"), F.min("late").alias("late")))
 
     pairs = found()
-    sets = _sets(rows, pairs)
-    out = saved(_verified(pairs, sets, alike))
-    left = saved(pairs.where("more").select(*KEY).distinct().join(out, KEY, "left_anti"))
+    first = pairs.where("not late")
+    sets = _sets(rows, first)
+    out = saved(_verified(first, sets, alike))
+    wait = saved(pairs.where("more or late").join(out, KEY, "left_anti"))
+    late = wait.where("late")
+    if not late.isEmpty():
+        more = saved(_verified(late, _sets(rows, late), alike))
+        out, wait = out.union(more), wait.join(more, KEY, "left_anti")
+    left = saved(wait.where("more").select(*KEY).distinct())
     if left.isEmpty():
         return out
 

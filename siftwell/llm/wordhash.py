@@ -23,9 +23,13 @@ def _powers(n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads close values."""
     x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    high = x >> np.uint64(30)
+    x ^= high
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, np.uint64(27), out=high)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= np.right_shift(x, np.uint64(31), out=high)
+    return x
 
 
 @dataclass
@@ -60,8 +64,6 @@ def words_in(parts: list[bytes]) -> Words:
     return Words(buf, start, end, part, mix(np.add.reduceat(value, heads) + size.astype(np.uint64)))
 
 
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
 #: The lowest bytes of a 64-bit number, by how many.
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
@@ -71,13 +73,16 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     line the number of its text and its number in it. Words are hashed by eight bytes at a time."""
     buf = b"\n".join(texts) + b"\n" + bytes(8)
     a = np.frombuffer(buf, np.uint8)[:-8]
-    gap = _GAP[a]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    gap = (a - np.uint8(9) < 5) | (a == 32)
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    edge += 1
     if not gap[0]:
         edge = np.append(0, edge)
-    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    start = edge[0::2].copy()
+    size = edge[1::2] - start
     eight = np.ndarray((len(a),), "<u8", buf, strides=(1,))
-    h = mix(eight[start] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(BASE)
+    h = mix(eight[start] & _LOW[np.minimum(size, 8)])
+    h += size.astype(np.uint64) * np.uint64(BASE)
     long, at = np.flatnonzero(size > 8), 8
     while len(long):
         h[long] = mix(h[long] ^ (eight[start[long] + at] & _LOW[np.minimum(size[long] - at, 8)]))

@@ -202,3 +202,33 @@ def test_lines_picked_both_ways(spark, monkeypatch, few):
     rows = [(1, "a b c d e f\ng h"), (2, "x y\na b c d e f"), (3, "a b c d e\nz"), (4, ""), (5, None)]
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup(make(spark, rows)).collect()}
     assert got == {1: (2, 0), 2: (2, 1), 3: (2, 1), 4: (1, 0), 5: (1, 0)}
+
+
+@pytest.mark.parametrize("crowd", [100, 700])
+def test_lines_with_crowds_of_doubtful_partners(spark, monkeypatch, crowd):
+    """A line whose first partners all fail asks for those that are noted; only where there are more do texts go by filters again."""
+    rng = random.Random(4)
+    rare, often, other = ([f"{c}{k}" for k in range(n)] for c, n in (("r", 9), ("f", 31), ("g", 29)))
+    swapped = lambda n: " ".join(rare + rng.sample(often, 31 - n) + rng.sample(other, n))
+    rows = [(0, swapped(4)), *((k + 1, swapped(5)) for k in range(crowd)), (2000, swapped(0)), (3000, "\n".join(f"{x} " * 5000 for x in often + other))]
+    filters, made = [], lines.bit_filter
+    monkeypatch.setattr(lines, "bit_filter", lambda slots: filters.append(1) or made(slots))
+    got = {(r["id"], r["line"]) for r in lines.similar_lines(spark.createDataFrame([(i, i, t) for i, t in rows], "id long, h long, text string")).collect()}
+    sets = [(i, k, {*x.split()}) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    want = {(i, k) for n, (i, k, x) in enumerate(sets) if any(len(x & y) >= 0.8 * len(x | y) - 1e-9 for _, _, y in sets[:n])}
+    assert got == want and (2000, 0) in want
+    assert bool(filters) == (crowd > lines.DEEP)
+
+
+def test_entries_that_may_be_alike_meet_once_by_size():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 90, 500)
+    pos = (rng.random(500) * lines._prefix(size, 0.8)).astype(np.int64)
+    of, band, key = lines._met(np.zeros(500, np.uint32), size, pos, 0.8)
+    rest, home = size - pos, band == lines._band(size[of])
+    i, j = np.nonzero((key[:, None] == key) & (of[:, None] > of) & (home[:, None] | home))
+    met = sorted(zip(of[i].tolist(), of[j].tolist()))
+    assert len(set(met)) == len(met) < 500 * 499 // 2 * 0.4
+    s, t = size[:, None], size
+    may = (np.minimum(s, t) >= 0.8 * np.maximum(s, t) - 1e-9) & (np.minimum(rest[:, None], rest) >= np.ceil(0.8 / 1.8 * (s + t) - 1e-9))
+    assert {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(may))) if a > b} <= set(met)
