@@ -23,9 +23,10 @@ ALIKE = 0.8
 #: Counters, chosen by a hash, that the number of each word is estimated from; their number is fixed.
 COUNTERS = 1 << 19
 #: Partners that a line asks for at a token, such as the bitmaps show to be alike and doubtful ones, before it waits for
-#: the verification of these; a further pass serves those whose partners all fail.
+#: the verification of these.
 SURE, TRIES = 2, 16
-#: Doubtful partners, those before counted, that a line notes for the case that the first ones fail.
+#: Doubtful partners, the first ones counted, that a line whose partners all fail finds among the entries kept of its
+#: token; a further pass over the texts serves those that have more.
 DEEP = 256
 #: Entries of a token meet by size: a band holds sizes up to this factor apart.
 BAND = 1.2
@@ -205,6 +206,22 @@ class _Bucket:
             if k != "bits":
                 setattr(self, k, v[rows])
 
+    def packed(self, rows: np.ndarray) -> bytes:
+        """What of these rows `_walk` looks at."""
+        n = self.width[rows]
+        flat = np.repeat(self.at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        kept = {k: getattr(self, k)[rows] for k in ("token", "before", "id", "h")} | {k: _narrow(getattr(self, k)[rows]) for k in ("pos", "size", "line")}
+        return press_bytes(pickle.dumps(kept | {"bits": self.bits[flat]}, 5), 1)
+
+    @classmethod
+    def opened(cls, data: bytes) -> _Bucket:
+        b = cls.__new__(cls)
+        vars(b).update(pickle.loads(open_bytes(data)))
+        b.pos, b.size, b.line = (x.astype(np.int64) for x in (b.pos, b.size, b.line))
+        b.width = _width(b.size)
+        b.at = np.cumsum(b.width) - b.width
+        return b
+
     def bitmaps(self, k: np.ndarray, w: int) -> np.ndarray:
         """Bitmaps of w words of sets that have w or twice as many."""
         out = self.bits[self.at[k][:, None] + np.arange(w)]
@@ -254,12 +271,11 @@ def _met(token: np.ndarray, size: np.ndarray, pos: np.ndarray, alike: float) ->
 
 
 def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
-    """Pairs (later line, earlier one) of a bucket that the filters let through; more: the later one may have others.
+    """Pairs (later line, earlier one) of a bucket that the filters let through, as `_walk` finds them.
 
-    Equal sets meet in a pair with their first line, and only that one is compared with other sets. A pair that has
-    the token before this one in common, too, is left to that token. A line goes back over the earlier ones of its
-    token, in all bands of sizes at once, until it has met SURE that look alike by the bitmaps, or DEEP that may be
-    (every: to the first one); late: it had met TRIES that may be before this one.
+    Equal sets meet in a pair with their first line, and only that one is compared with other sets. One row more has the
+    entries of all tokens at which a line is left with TRIES partners (deep), so that it can be taken up again there.
+    every: a line goes back to the first one.
     """
     b = _Bucket([pickle.loads(open_bytes(x)) for x in table.column("blob").to_pylist()])
     b.take(np.argsort(b.id, kind="stable"))  # within a text lines come in their order
@@ -272,15 +288,37 @@ def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
     itself = (b.id == b.id[of_lead]) & (b.h == b.h[of_lead]) & (b.line == b.line[of_lead])  # the same line of a row that is repeated
     asks = b.flags >= 2
     copies = np.flatnonzero(~lead & (b.pos == 0) & ~itself & asks)
-    found = [(copies, of_lead[copies], np.ones(len(copies), bool), np.zeros(len(copies), bool))]
     stay = np.flatnonzero((lead | (asks & ~itself if every else False)) & (b.flags & 1 == 0))
+    i, j, more, deep = _walk(b, stay, asks[stay], alike, None if every else TRIES)
+    hot = np.unique(b.token[i[deep]])
+    kept = [b.packed(stay[np.isin(b.token[stay], hot)])] if len(hot) else []
+    i, j = np.append(copies, i), np.append(of_lead[copies], j)
+    more, deep = np.append(np.ones(len(copies), bool), more), np.append(np.zeros(len(copies), bool), deep)
+    out = _rows(b, i, j).append_column("more", pa.array(more)).append_column("deep", pa.array(deep))
+    rows = pa.table({"kept": pa.array(kept, pa.binary())})
+    out = pa.concat_tables([out, rows], promote_options="default")
+    return out.add_column(0, "bucket", pa.array(np.full(out.num_rows, table.column("bucket")[0].as_py(), np.int32)))
+
+
+def _rows(b: _Bucket, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(x) for x in (b.id[i], b.h[i], b.line[i].astype(np.int32), b.id[j], b.h[j], b.line[j].astype(np.int32))], names=PAIR)
+
+
+def _walk(b: _Bucket, stay: np.ndarray, asks: np.ndarray, alike: float, tries: int | None) -> tuple[np.ndarray, ...]:
+    """Pairs (later entry, earlier one) of the entries stay, for those that ask; more, deep: the later one may have others.
+
+    A pair that has the token before this one in common, too, is left to that token. A line goes back over the earlier
+    ones of its token, in all bands of sizes at once, until it has met SURE that look alike by the bitmaps (more), or as
+    many as tries says that may be (deep; None: to the first one).
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))]
     of, band, by = _met(b.token[stay], b.size[stay], b.pos[stay], alike)
     heads = np.flatnonzero(np.append(True, np.diff(by) != 0)) if len(by) else np.zeros(0, np.int64)
     nth = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
     size, pos, before = (x[stay][of] for x in (b.size, b.pos, b.before))
     rest, most, home = size - pos, _largest(size, pos, alike), band == _band(size)
-    active, back = np.flatnonzero(asks[stay][of] & (nth > 0)), 1
-    tried, likely, ended = np.zeros(len(stay), np.int64), np.zeros(len(stay), np.int64), np.zeros(len(stay), bool)
+    active, back = np.flatnonzero(asks[of] & (nth > 0)), 1
+    tried, likely, enough, ended = np.zeros(len(stay), np.int64), np.zeros(len(stay), np.int64), np.zeros(len(stay), bool), np.zeros(len(stay), bool)
     while len(active):
         wide = max(1, min(back, STEP // len(active)))
         i = np.repeat(active, wide) if wide > 1 else active
@@ -298,16 +336,35 @@ def _pairs(table: pa.Table, alike: float, every: bool) -> pa.Table:
         apart = b.differing(stay[i], stay[j])
         near = apart <= free
         i, j, sure = i[near], j[near], (2 * apart + 2 <= free)[near]
-        late = tried[i] >= TRIES
-        if not every:
+        if tries is not None:
+            if wide > 1:  # of a line's partners no more than it still asks for, the nearest first
+                order = np.argsort(i, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(i[order]) != 0)) if len(i) else order
+                nearest = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                ok = order[nearest < np.maximum(1, tries - tried[i[order]])]
+                i, j, sure = i[ok], j[ok], sure[ok]
             np.add.at(tried, i, np.where(sure, TRIES // SURE, 1))
             np.add.at(likely, i[sure], 1)
-            ended[i] = (likely[i] >= SURE) | (tried[i] >= max(TRIES, DEEP))
-        found.append((stay[i], stay[j], ended[i], late))
+            enough[i] = likely[i] >= SURE
+            ended[i] = enough[i] | (tried[i] >= tries)
+        found.append((stay[i], stay[j], enough[i], ended[i] & ~enough[i]))
         back += wide
         active = active[(nth[active] >= back) & ~ended[of[active]]]
-    i, j, more, late = (np.concatenate([x[k] for x in found]) for k in range(4))
-    return pa.table([pa.array(x) for x in (b.id[i], b.h[i], b.line[i].astype(np.int32), b.id[j], b.h[j], b.line[j].astype(np.int32), more, late)], names=[*PAIR, "more", "late"])
+    i, j, more, deep = (np.concatenate([x[k] for x in found]) for k in range(4))
+    return i, j, more, deep
+
+
+def _resumed(kept: pa.Table, lines: pa.Table, alike: float) -> pa.Table:
+    """Pairs of the lines with earlier ones of the entries kept, up to DEEP at a token; more: the later one may have others."""
+    if not kept.num_rows or not lines.num_rows:
+        return pa.table({c: pa.array([], pa.int32() if c.startswith("line") else pa.int64()) for c in PAIR} | {"more": pa.array([], pa.bool_())})
+    b = _Bucket.opened(kept.column("kept")[0].as_py())
+    wanted = set(zip(*(lines.column(c).to_pylist() for c in KEY)))
+    asks = np.isin(b.h, lines.column("h").to_numpy())
+    some = np.flatnonzero(asks)
+    asks[some] = [x in wanted for x in zip(*(v[some].tolist() for v in (b.id, b.h, b.line)))]
+    i, j, more, deep = _walk(b, np.arange(len(b.id)), asks, alike, max(TRIES, DEEP))
+    return _rows(b, i, j).append_column("more", pa.array(more | deep))
 
 
 def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
@@ -315,8 +372,8 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
 
     A line is its set of words; lines without words are never alike. Alike lines share a token of their prefixes, so
     they meet in its bucket; a line asks for few of the partners that no filter rules out there, the pairs are verified
-    on the words themselves, and only lines all of whose partners failed ask for the further ones noted there, and those
-    that had more than it notes, in a second pass, for all others.
+    on the words themselves, and only lines all of whose partners failed ask for further ones, among the entries kept of
+    tokens with many doubtful partners, and those that have still more, in a second pass, for all others.
     """
     rows = rows.where("id is not null")
     context = rows.sparkSession.sparkContext
@@ -331,25 +388,34 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
                     yield from _entries(part, classes.value, buckets, alike, wanted and wanted.value)
 
         every = wanted is not None
-        schema = "id long, h long, line int, id2 long, h2 long, line2 int, more boolean, late boolean"
+        schema = "bucket int, id long, h long, line int, id2 long, h2 long, line2 int, more boolean, deep boolean, kept binary"
 
         def match(table: pa.Table) -> pa.Table:
             out = _pairs(table, alike, every)
             give_back()
             return out
 
-        pairs = rows.mapInArrow(lean(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(match, schema)
-        return saved(pairs.groupBy(*PAIR).agg(F.max("more").alias("more"), F.min("late").alias("late")))
-
-    pairs = found()
-    first = pairs.where("not late")
-    sets = _sets(rows, first)
-    out = saved(_verified(first, sets, alike))
-    wait = saved(pairs.where("more or late").join(out, KEY, "left_anti"))
-    late = wait.where("late")
-    if not late.isEmpty():
-        more = saved(_verified(late, _sets(rows, late), alike))
-        out, wait = out.union(more), wait.join(more, KEY, "left_anti")
+        return rows.mapInArrow(lean(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(match, schema)
+
+    met = saved(found())
+    pairs = saved(met.where("kept is null").groupBy(*PAIR).agg(F.max("more").alias("more"), F.max("deep").alias("deep")))
+    sets = _sets(rows, pairs)
+    out = saved(_verified(pairs, sets, alike))
+    wait = saved(pairs.where("more or deep").groupBy(*KEY).agg(F.max("more").alias("more"), F.max("deep").alias("deep")).join(out, KEY, "left_anti"))
+    tried = pairs.select(*PAIR)
+    if not (deep := wait.where("deep")).isEmpty():
+
+        def resume(kept: pa.Table, lines: pa.Table) -> pa.Table:
+            return _resumed(kept, lines, alike)
+
+        lost = saved(met.where("deep").select("bucket", *KEY).distinct().join(deep.select(*KEY), KEY, "left_semi"))
+        kept = met.where("kept is not null").select("bucket", "kept")
+        more = kept.groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(resume, "id long, h long, line int, id2 long, h2 long, line2 int, more boolean")
+        more = saved(more.groupBy(*PAIR).agg(F.max("more").alias("more")))
+        late = saved(more.join(pairs, PAIR, "left_anti"))
+        good = saved(_verified(late, _sets(rows, late), alike))
+        out, tried = out.union(good), tried.union(more.select(*PAIR))
+        wait = wait.select(*KEY, "more").union(more.select(*KEY, "more")).join(good, KEY, "left_anti")
     left = saved(wait.where("more").select(*KEY).distinct())
     if left.isEmpty():
         return out
@@ -368,7 +434,7 @@ def similar_lines(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
 
     asked = sets.join(left, KEY).select("words").mapInArrow(lean(slots), "s long")
     wanted = context.broadcast((bit_filter(asked), bit_filter(left.select("h", "line").mapInArrow(lean(own), "s long"))))
-    rest = saved(found(wanted).join(left, KEY, "left_semi").join(pairs, PAIR, "left_anti"))
+    rest = saved(found(wanted).select(*PAIR).distinct().join(left, KEY, "left_semi").join(tried, PAIR, "left_anti"))
     return out.union(_verified(rest, _sets(rows, rest), alike)).distinct()
 
 

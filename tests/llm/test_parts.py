@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwell.llm import lines, substring
@@ -220,6 +221,24 @@ def test_lines_with_crowds_of_doubtful_partners(spark, monkeypatch, crowd):
     assert bool(filters) == (crowd > lines.DEEP)
 
 
+def test_pairs_of_a_crowd_grow_with_it_not_with_its_square():
+    """A line notes the same number of doubtful partners whatever the crowd; the others are kept as entries, once each."""
+
+    def made(crowd):
+        rng = random.Random(4)
+        rare, often, other = ([f"{c}{k}" for k in range(n)] for c, n in (("r", 9), ("f", 31), ("g", 29)))
+        texts = [" ".join(rare + rng.sample(often, 29) + rng.sample(other, 2)) for _ in range(crowd)]
+        part = pa.RecordBatch.from_pydict({"id": list(range(crowd)), "h": list(range(crowd)), "text": texts})
+        classes = np.full(lines.COUNTERS, 9, np.uint8)
+        classes[lines._counter(lines.line_words([" ".join(rare).encode()])[0])] = 0  # these come first
+        return pa.concat_tables(lines._pairs(pa.Table.from_batches([x]), 0.8, False) for x in lines._entries(part, classes, 1, 0.8, None))
+
+    small, large = (made(n) for n in (60, 240))
+    assert 0 < large.num_rows < 6 * small.num_rows
+    kept = [x for x in large.column("kept").to_pylist() if x]
+    assert len(kept) == 1 and len(lines._Bucket.opened(kept[0]).id) <= 9 * 240
+
+
 def test_entries_that_may_be_alike_meet_once_by_size():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 90, 500)
