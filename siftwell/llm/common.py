@@ -44,6 +44,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the table: the join is shuffled and sorted. Else Spark may take a table that its file
+    or its shuffle makes look small, collect it in the driver and copy it whole to every executor."""
+    return df.hint("merge")
+
+
 def shrink_heaps(spark: SparkSession) -> None:
     """Lets the executors' JVMs collect all garbage, after which they hand the heap they no longer need back to the system.
 

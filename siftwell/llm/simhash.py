@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import map_rows, saved, texts
+from .common import map_rows, saved, shuffled, texts
 from .graph import components
 
 #: Fixed value: a generator polynomial of the binary Golay code of length 23.
@@ -99,11 +99,11 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     keyed = saved(_keyed(distinct))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    crowd = keyed.join(shared, "key").select("fp").distinct()
+    crowd = keyed.join(shuffled(shared), "key").select("fp").distinct()
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     ball = crowd.select("fp", F.explode(flips).alias("point"))
     low = ball.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return ball.join(low, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    return ball.join(shuffled(low), "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -121,10 +121,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = saved(map_rows(texts(docs, id_col, text_col), make, "id long, fp long"))
     distinct = saved(marks.groupBy("fp").agg(F.min("id").alias("low")))
     joined = saved(components(links(distinct)))
-    root = distinct.join(joined, F.col("fp") == F.col("node"))
-    root = root.join(root.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    of = saved(distinct.join(root, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return marks.join(of, "fp").select(
+    root = distinct.join(shuffled(joined), F.col("fp") == F.col("node"))
+    root = root.join(shuffled(root.groupBy("root").agg(F.min("low").alias("component_id"))), "root").select("fp", "component_id")
+    of = saved(distinct.join(shuffled(root), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    return marks.join(shuffled(of), "fp").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",

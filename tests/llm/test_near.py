@@ -215,3 +215,26 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark, words):
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipe.keep_one_of_near(spark, make(spark, rows), "").collect())
     assert kept == sorted([(1, a), (2, b), (3, c), (5, ""), (0, a), (0, a)])
     assert pipe.keep_one_of_near(spark, make(spark, []), "").columns == pipe.COLUMNS
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of what is written meanwhile, before it runs; in these tests all tables are small enough to be broadcast."""
+    from siftwell.llm import common, graph, simhash
+
+    seen = []
+
+    def recorded(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.saved(df)
+
+    for module in (graph, simhash, near, pipe):
+        monkeypatch.setattr(module, "saved", recorded)
+    return seen
+
+
+def test_groups_broadcast_no_table(docs, plans):
+    """Tables that grow with the documents are never collected in the driver to be broadcast."""
+    last = simhash_groups(docs)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and "SortMergeJoin" in "".join(plans) and not [p for p in plans if "BroadcastExchange" in p]
