@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import lines, near, packing, queries, secrets, toxicity
-from siftwell.llm.common import saved, shrink_heaps, table
+from siftwell.llm.common import saved, shrink_heaps, shuffled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,11 +40,11 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shrink_heaps(spark)
     rows, roots = near.near_rows(docs.where("doc_id is not null").select(COLUMNS), fingerprints=True)
     order = F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash"), "r")
-    slim = rows.select("r", "node", order.alias("order")).join(roots, "node", "left")
+    slim = rows.select("r", "node", order.alias("order")).join(shuffled(roots), "node", "left")
     slim = saved(slim.select("r", F.coalesce("root", "node").alias("root"), "order"))
     low = saved(slim.groupBy("root").agg(F.min("order").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that the join of a hot root is split
-    gone = saved(slim.join(low, "root").where(F.col("r") != F.col("low.r")).select("r"))
-    return rows.join(gone, "r", "left_anti").select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
+    gone = saved(slim.join(shuffled(low), "root").where(F.col("r") != F.col("low.r")).select("r"))
+    return rows.join(gone.hint("shuffle_hash"), "r", "left_anti").select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import forget, lean, saved, small_parts
+from .common import forget, lean, saved, shuffled, small_parts
 from .graph import components
 from .simhash import fingerprint, links
 from .wordhash import BASE, mix, words_in
@@ -94,7 +94,7 @@ def _verified(base: DataFrame, pairs: DataFrame, words: int, alike: float) -> Da
     """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity alike or more. base: (r, node, text)."""
     pairs = saved(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = saved(base.select("node", "r").join(wanted, "node").groupBy("node").agg(F.min("r").alias("r")).select("r"))
+    rows = saved(base.select("node", "r").join(shuffled(wanted), "node").groupBy("node").agg(F.min("r").alias("r")).select("r"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -104,9 +104,9 @@ def _verified(base: DataFrame, pairs: DataFrame, words: int, alike: float) -> Da
                 ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["node", "hashes"])
 
-    some = base.join(rows, "r").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    some = base.join(rows.hint("shuffle_hash"), "r").select("node", F.coalesce("text", F.lit("")).alias("text"))
     sets = saved(some.mapInArrow(lean(cut), "node long, hashes binary"))
-    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    both = pairs.join(shuffled(sets.toDF("a", "ha")), "a").join(shuffled(sets.toDF("b", "hb")), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +125,9 @@ def fingerprint_edges(base: DataFrame) -> DataFrame:
     """Edges (a, b) that join all nodes of base whose SimHash fingerprints links of 2 differing bits or less connect; found by Golay keys."""
     kinds = saved(base.select("fp", "node").distinct())
     roots = saved(components(links(kinds.select("fp").distinct())))
-    rooted = saved(kinds.join(roots.toDF("fp", "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node").distinct())
+    rooted = saved(kinds.join(shuffled(roots.toDF("fp", "root")), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node").distinct())
     low = saved(rooted.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return rooted.join(low, "root").where("a < node").select("a", F.col("node").alias("b"))
+    return rooted.join(shuffled(low), "root").where("a < node").select("a", F.col("node").alias("b"))
 
 
 def near_nodes(base: DataFrame, known: DataFrame | None, words: int = WORDS, alike: float = ALIKE, paired: int = PAIRED) -> DataFrame:
@@ -139,20 +139,20 @@ def near_nodes(base: DataFrame, known: DataFrame | None, words: int = WORDS, ali
     """
     keyed = saved(base.select("node", F.explode("keys").alias("key")).distinct())
     sizes = keyed.groupBy("key").count().where("count > 1")
-    few = keyed.join(sizes.where(F.col("count") <= paired), "key").select("key", "node")
-    many = saved(keyed.join(sizes.where(F.col("count") > paired), "key").select("key", "node"))
-    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-    stars = many.join(many.groupBy("key").agg(F.min("node").alias("a")), "key").where("a < node").select("a", F.col("node").alias("b"))
+    few = keyed.join(shuffled(sizes.where(F.col("count") <= paired)), "key").select("key", "node")
+    many = saved(keyed.join(shuffled(sizes.where(F.col("count") > paired)), "key").select("key", "node"))
+    pairs = few.withColumnRenamed("node", "a").join(shuffled(few.withColumnRenamed("node", "b")), "key").where("a < b").select("a", "b")
+    stars = many.join(shuffled(many.groupBy("key").agg(F.min("node").alias("a"))), "key").where("a < node").select("a", F.col("node").alias("b"))
     edges = _verified(base, pairs.union(stars), words, alike)
     edges = saved(edges if known is None else edges.union(known))
     roots = saved(components(edges))
     if many.isEmpty():
         return roots
-    part = saved(many.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    part = saved(many.join(shuffled(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     kinds = part.select("key", "root").distinct()
-    apart = kinds.withColumnRenamed("root", "ra").join(kinds.withColumnRenamed("root", "rb"), "key").where("ra < rb")
+    apart = kinds.withColumnRenamed("root", "ra").join(shuffled(kinds.withColumnRenamed("root", "rb")), "key").where("ra < rb")
     a, b = part.toDF("key", "a", "ra"), part.toDF("key", "b", "rb")
-    open_ = apart.join(a, ["key", "ra"]).join(b, ["key", "rb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = apart.join(shuffled(a), ["key", "ra"]).join(shuffled(b), ["key", "rb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return components(edges.union(_verified(base, open_, words, alike)))
 
 
@@ -174,4 +174,4 @@ def near_groups(docs: DataFrame, words: int = WORDS, alike: float = ALIKE, text_
     rows that share one are told apart. An empty table gives an empty result.
     """
     base, roots = near_rows(docs, words, alike, text_col)
-    return base.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*docs.columns, "r", "root")
+    return base.join(shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node")).select(*docs.columns, "r", "root")

@@ -238,3 +238,9 @@ def test_groups_broadcast_no_table(docs, plans):
     last = simhash_groups(docs)
     plans.append(last._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and "SortMergeJoin" in "".join(plans) and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_near_dedup_broadcasts_no_table(spark, docs, plans):
+    last = pipe.keep_one_of_near(spark, docs, "")
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and "SortMergeJoin" in "".join(plans) and not [p for p in plans if "BroadcastExchange" in p]
