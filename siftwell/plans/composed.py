@@ -302,7 +302,7 @@ def files(t: Tables) -> DataFrame:
     mid AS (SELECT substr(p, 1, 1) AS p, depth, CASE WHEN depth < 2 THEN any_value(d) ELSE sha256(string_agg(d, chr(10) ORDER BY p)) END AS d, sum(files) AS files, sum(bytes) AS bytes FROM leaf GROUP BY 1, 2)
     SELECT CASE WHEN depth = 0 THEN any_value(d) ELSE sha256(string_agg(d, chr(10) ORDER BY p)) END AS fingerprint, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM mid GROUP BY depth""")
 def q_tree_fingerprint(spark, sf_dir) -> DataFrame:
-    return I.tree_fingerprint(files(Tables(spark, sf_dir)), "path", "h", "n_chars", 64)
+    return I.tree_fingerprint(files(Tables(spark, sf_dir)), "path", "h", "n_chars", 64, 2)
 
 
 @query(f"""WITH a AS ({FILES}), b AS (SELECT CASE WHEN doc_id % 211 = 5 THEN 'moved' ELSE source END || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 173 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars, sha256(CASE WHEN doc_id % 97 = 2 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 150 <> 7)

@@ -247,3 +247,15 @@ def test_covariance_of_large_means(spark):
     assert all(got[p, i, j] == pytest.approx(want[i, j], abs=1e-6) for p in (0, 1) for i in range(3) for j in range(i, 3))
     far = {(r["a"], r["b"]): r["distance"] for r in A.frechet_distances(df, "p", "v").collect()}
     assert far[0, 1] == pytest.approx(3e16, rel=1e-6)
+
+
+def test_a_tree_of_few_levels_is_one_leaf_beyond_them(spark):
+    rows = [(f"d/{i:x}", f"{i % 3}", i % 90) for i in [*range(700), 5, 5]]
+    df = spark.createDataFrame(rows, "k string, d string, n long").repartition(5)
+    lines = sorted(f"{k}\t{n}\t{d}" for k, d, n in rows)
+    want = "\n".join(lines)
+    for _ in range(3):
+        want = hashlib.sha256(want.encode()).hexdigest()
+    assert I.tree_fingerprint(df, "k", "d", "n", 2, 2).first() == (want, 702, sum(r[2] for r in rows))
+    assert I.tree_fingerprint(df, "k", "d", "n", 3, 2).first() == I.tree_fingerprint(df, "k", "d", "n", 3).first()
+    assert I.sorted_digest(df.select(F.concat_ws("\t", "k", "n", "d").alias("line")), block=40).first()[0] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
