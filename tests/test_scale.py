@@ -259,3 +259,24 @@ def test_a_tree_of_few_levels_is_one_leaf_beyond_them(spark):
     assert I.tree_fingerprint(df, "k", "d", "n", 2, 2).first() == (want, 702, sum(r[2] for r in rows))
     assert I.tree_fingerprint(df, "k", "d", "n", 3, 2).first() == I.tree_fingerprint(df, "k", "d", "n", 3).first()
     assert I.sorted_digest(df.select(F.concat_ws("\t", "k", "n", "d").alias("line")), block=40).first()[0] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def test_diverse_rows_are_taken_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "hamming_links", None)
+    monkeypatch.setattr(S, "ROUND", 4)
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(9)]
+    rows = [(i, "ab"[i % 2], base[rng.randrange(9)] ^ (1 << rng.randrange(64)), round(rng.random(), 1)) for i in range(90)]
+    df = spark.createDataFrame([(i, g, [s & 0xFFFFFFFF, s >> 32], v) for i, g, s, v in rows] + [(99, "a", None, 2.0)], "k int, g string, w array<long>, v double")
+    want, used = set(), []
+    order = sorted(rows, key=lambda r: (-r[3], r[0]))
+    for phase, pool, most, limit in (("quota", [r for r in order if r[1] == "b"], 5, 3), ("quota", [r for r in order if r[1] == "a"], 50, 3), ("fill", order, 40, 1)):
+        n = len(used) if phase == "fill" else 0
+        for r in pool:
+            if n < most and all((r[2] ^ u).bit_count() > limit for u in used):
+                used.append(r[2])
+                want.add((r[0], r[1], phase))
+                n += 1
+    got = S.diverse_select(df, "k", "g", "w", "v", {"b": 5, "a": 50}, 40, 64, 3, 1)
+    assert {tuple(r) for r in got.collect()} == want and dict(got.dtypes) == {"k": "int", "g": "string", "phase": "string"}
+    assert S.diverse_select(df.limit(0), "k", "g", "w", "v", {"b": 5}, 40, 64, 3, 1).collect() == []
