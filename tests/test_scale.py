@@ -1,6 +1,7 @@
 """Ranges, running values, doubling, re-banding, exchange and suppression: results against plain models, and how work is dealt out."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict, deque
 
@@ -261,6 +262,24 @@ def test_a_tree_of_few_levels_is_one_leaf_beyond_them(spark):
     assert I.sorted_digest(df.select(F.concat_ws("\t", "k", "n", "d").alias("line")), block=40).first()[0] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_places_are_taken_without_pairs(spark, monkeypatch, seed):
+    monkeypatch.setattr(S, "distance_pairs", None)
+    monkeypatch.setattr(S, "ROUND", 5)
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), rng.random() * 3, rng.random() * 3, round(rng.random(), 2)) for i in range(150)]
+    rows += [(200 + i, "c", 1.0, 1.0, 0.5) for i in range(30)] + [(300, "a", None, 1.0, 9.0), (301, "a", float("nan"), 1.0, 8.0), (302, None, 1.0, 1.0, 1.0), (303, None, 1.0, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "k long, g string, x double, y double, v double").repartition(3)
+    want = set()
+    for g in ("a", "b", "c", None):
+        kept = []
+        for k, _, x, y, _ in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[4], r[0])):
+            if len(kept) < 7 and all(g is None or None in (x, u) or not math.dist((x, y), (u, v)) <= 0.6 for u, v in kept):
+                kept.append((x, y))
+                want.add((k, g, len(kept)))
+    assert {(r["k"], r["g"], r["rank"]) for r in S.suppress_positions(df, "k", ["g"], "x", "y", "v", 0.6, 7).collect()} == want
+
+
 def test_diverse_rows_are_taken_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(S, "hamming_links", None)
     monkeypatch.setattr(S, "ROUND", 4)
