@@ -299,3 +299,15 @@ def test_diverse_rows_are_taken_without_pairs(spark, monkeypatch):
     got = S.diverse_select(df, "k", "g", "w", "v", {"b": 5, "a": 50}, 40, 64, 3, 1)
     assert {tuple(r) for r in got.collect()} == want and dict(got.dtypes) == {"k": "int", "g": "string", "phase": "string"}
     assert S.diverse_select(df.limit(0), "k", "g", "w", "v", {"b": 5}, 40, 64, 3, 1).collect() == []
+
+
+def test_links_are_counted_in_units(spark):
+    rng = random.Random(12)
+    sigs = [(rng.getrandbits(80) << 48) if i % 2 else rng.getrandbits(128) for i in range(150)]
+    sigs += [s ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)) for s in sigs[:70]] + [sigs[1]] * 60
+    df = spark.createDataFrame([(f"{i:03}", [s >> 32 * k & 0xFFFFFFFF for k in range(4)]) for i, s in enumerate(sigs)] + [("none", None)], "k string, w array<long>")
+    least = {s: f"{i:03}" for i, s in reversed(list(enumerate(sigs)))}
+    n = {x: sum(x != y and (x ^ y).bit_count() <= 5 for y in least) for x in least}
+    for hot in (8, 1000):
+        got = {tuple(r) for r in S.hamming_classes(df, "k", "w", 128, 5, hot=hot).collect()}
+        assert got == {(f"{i:03}", least[s], n[s]) for i, s in enumerate(sigs)} and sum(n.values()) > 100
