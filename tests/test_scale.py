@@ -311,3 +311,22 @@ def test_links_are_counted_in_units(spark):
     for hot in (8, 1000):
         got = {tuple(r) for r in S.hamming_classes(df, "k", "w", 128, 5, hot=hot).collect()}
         assert got == {(f"{i:03}", least[s], n[s]) for i, s in enumerate(sigs)} and sum(n.values()) > 100
+
+
+def test_pairs_of_signatures_are_told_once_and_not_shuffled(spark):
+    rng = random.Random(12)
+    sigs = [(rng.getrandbits(80) << 48) if i % 2 else rng.getrandbits(128) for i in range(150)]
+    sigs += [s ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)) for s in sigs[:70]] + [sigs[1]] * 60
+    df = spark.createDataFrame([(f"{i:03}", [s >> 32 * k & 0xFFFFFFFF for k in range(4)]) for i, s in enumerate(sigs)] + [("none", None)], "k string, w array<long>")
+    every = [(f"{a:03}", f"{b:03}", (x ^ y).bit_count()) for a, x in enumerate(sigs) for b, y in enumerate(sigs) if a < b and (x ^ y).bit_count() <= 5]
+    for hot in (8, 1000):
+        pairs = S.hamming_pairs(df, "k", "w", 128, 5, hot=hot)
+        assert sorted(tuple(r) for r in pairs.collect()) == sorted(every) and len(every) > 1800
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_signatures_with_fewer_bits_than_cuts(spark):
+    df = spark.createDataFrame([(i, [i]) for i in range(64)], "k long, w array<long>")
+    want = sorted((a, b, (a ^ b).bit_count()) for a in range(64) for b in range(a + 1, 64) if (a ^ b).bit_count() <= 4)
+    assert sorted(tuple(r) for r in S.hamming_pairs(df, "k", "w", 32, 4, hot=3).collect()) == want
